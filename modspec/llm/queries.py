@@ -15,12 +15,30 @@ def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from modspec.llm.decontaminate import contained_items
+
+    return contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from modspec.llm.mixing import taken_words
 
     return taken_words(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from modspec.llm.secrets import secret_digest
+
+    return secret_digest(table(spark, folder, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from modspec.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from modspec.llm.exact_dedup import exact_groups
 
@@ -29,7 +47,10 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op3_decontamination": op3_decontamination,
     "op4_mixing": op4_mixing,
+    "op6_secret_scan": op6_secret_scan,
+    "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -48,6 +69,10 @@ links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM sets_d x JOIN sets_d y ON x.s
   GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 80 * (any_value(nx.n) + any_value(ny.n) - count(*))),
 reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)"""
 
+LEAKS = """,
+leaks AS (SELECT doc_id, item_id, any_value(n) AS n_item, count(*) AS n_common FROM sets_d JOIN sets_i USING (s) JOIN sizes_i USING (item_id)
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * any_value(n))"""
+
 #: Documents table {docs} -> targets and taken words.
 MIX = """
 mix_sizes AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
@@ -65,6 +90,8 @@ mixed AS (SELECT doc_id, source, size::BIGINT AS size, source_size, target, (gre
 ORACLES: dict[str, str] = {
     "op1_ngram_join": "WITH RECURSIVE " + SHINGLES.format(tag="d", key="doc_id", docs="documents").strip() + "," + COMPONENTS
     + " SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(min(b), doc_id)) AS component_id FROM sizes_d LEFT JOIN reach ON a = doc_id GROUP BY doc_id, n",
+    "op3_decontamination": "WITH " + SHINGLES.format(tag="d", key="doc_id", docs="documents").strip() + "," + SHINGLES.format(tag="i", key="item_id", docs="benchmark") + LEAKS
+    + " SELECT doc_id, item_id, n_item, n_common FROM leaks",
     "op4_mixing": "WITH " + MIX.format(docs="documents").strip() + " SELECT doc_id, size, source_size, target, taken FROM mixed",
     "op10_exact_dedup": """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
   sha256(coalesce(text, '')) AS text_sha256 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
