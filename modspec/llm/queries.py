@@ -27,6 +27,12 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return taken_words(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from modspec.llm.warc import convert_pages
+
+    return convert_pages(table(spark, folder, "pages"))
+
+
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     from modspec.llm.secrets import secret_digest
 
@@ -49,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op3_decontamination": op3_decontamination,
     "op4_mixing": op4_mixing,
+    "op5_warc": op5_warc,
     "op6_secret_scan": op6_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
