@@ -39,6 +39,12 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_digest(table(spark, folder, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from modspec.llm.suffix_dedup import repeat_digest
+
+    return repeat_digest(table(spark, folder, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     from modspec.llm.toxicity import toxicity_scores
 
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_warc": op5_warc,
     "op6_secret_scan": op6_secret_scan,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
