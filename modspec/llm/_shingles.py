@@ -60,30 +60,34 @@ def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and the number of words before each row (one more than rows)."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start of each word, and the number of words before each row (one more than rows)."""
     n = len(data)
     if not n:
-        return np.zeros(0, U), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     space = _SPACE[data]
     first = ~space
     first[1:] &= space[:-1]
-    heads = offsets[:-1][(offsets[:-1] < n)]
+    heads = offsets[:-1][offsets[:-1] < n]
     first[heads] = ~space[heads]
     starts = np.flatnonzero(first)
-    before = np.searchsorted(starts, offsets)
+    return starts, np.searchsorted(starts, offsets)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, and the number of words before each row (one more than rows)."""
+    starts, before = word_bounds(data, offsets)
     if not len(starts):
         return np.zeros(0, U), before
-    at = np.arange(n, dtype=np.int64) - np.repeat(starts, np.diff(np.append(starts, n)))[-n:] if starts[0] == 0 else None
-    if at is None:
-        lead = starts[0]
-        at = np.concatenate([np.zeros(lead, np.int64), np.arange(lead, n, dtype=np.int64) - np.repeat(starts, np.diff(np.append(starts, n)))])
+    n = len(data)
+    at = np.zeros(n, np.int64)
+    at[starts[0] :] = np.arange(starts[0], n) - np.repeat(starts, np.diff(np.append(starts, n)))
     with np.errstate(over="ignore"):
-        byte = _LOWER[data]
+        byte = _LOWER[data] if lower else data
         value = _TABLE[np.minimum(at, _POSITIONS - 1) * 256 + byte]
         if len(far := np.flatnonzero(at >= _POSITIONS)):
             value[far] = mix((at[far].astype(U) * U(256) + byte[far] + U(1)) * U(0x9E3779B97F4A7C15))
-        value[space] = 0
+        value[_SPACE[data]] = 0
         return mix(np.add.reduceat(value, starts)), before
 
 

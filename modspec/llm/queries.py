@@ -15,6 +15,13 @@ def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    from modspec.llm.chat_format import format_chats, marked_transcripts, train
+
+    transcripts = marked_transcripts(table(spark, folder, "conversations"))
+    return format_chats(transcripts, train(transcripts))
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from modspec.llm.decontaminate import contained_items
 
@@ -39,6 +46,12 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_digest(table(spark, folder, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from modspec.llm.token_counts import token_counts
+
+    return token_counts(table(spark, folder, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from modspec.llm.suffix_dedup import repeat_digest
 
@@ -59,10 +72,12 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_chat_format": op2_chat_format,
     "op3_decontamination": op3_decontamination,
     "op4_mixing": op4_mixing,
     "op5_warc": op5_warc,
     "op6_secret_scan": op6_secret_scan,
+    "op7_token_counts": op7_token_counts,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
