@@ -75,8 +75,9 @@ def locate_substrings(needles: DataFrame, texts: DataFrame, needle_key: str, nee
     shortest = needles.agg(F.min(F.length(needle))).first()[0] or seed
     k = min(seed, shortest)
     gram = lambda chars, i: F.xxhash64(F.array_join(F.slice(chars, i, k), ""))
-    chars = F.split(F.col(text), "")
-    places = F.when(F.length(text) >= k, F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: gram(chars, i)))
+    # the characters are bound to a variable, or they would be split anew at each place
+    bound = F.transform(F.array(F.split(F.col(text), "")), lambda chars: F.transform(F.sequence(F.lit(1), F.size(chars) - k + 1), lambda i: gram(chars, i)))
+    places = F.when(F.length(text) >= k, F.get(bound, F.lit(0)))
     seeds = texts.select(text_key, F.posexplode(places).alias("_at", "_gram"))
     heads = needles.select(needle_key, needle, gram(F.split(F.col(needle), ""), F.lit(1)).alias("_gram"))
     met = seeds.join(heads, "_gram").select(needle_key, needle, text_key, (F.col("_at") + 1).alias("pos"))
