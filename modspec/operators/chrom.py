@@ -15,3 +15,156 @@ def histogram_baseline(df: DataFrame, keys: list[str], value: str, step: float =
     counts = bins.groupBy(*keys, "_lo", "_bin").agg(F.count("*").alias("_c"))
     top = counts.groupBy(*keys, "_lo").agg(F.max_by("_bin", F.struct("_c", -F.col("_bin"))).alias("_bin"))
     return ends.join(top.drop("_lo").withColumnRenamed("_bin", "_b"), keys, "left").select(*keys, F.coalesce(F.pow(F.lit(10.0), F.col("_lo") + F.col("_b") * step), F.lit(0.0)).alias("baseline"))
+
+
+EPS = 2.220446049250313e-16
+
+
+def grid_index(trace: DataFrame, keys: list[str], order: list[str], name: str = "i") -> DataFrame:
+    """1-based index of the points of each trace."""
+    return trace.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def points_of(xic: DataFrame, ranges: DataFrame, keys: list[str], pad: int = 0) -> DataFrame:
+    """Rows of ``ranges`` (left_i, right_i) by the points that they hold, ``pad`` more on both sides where there are any: an equi-join on the index."""
+    spread = ranges.withColumn("i", F.explode(F.sequence(F.col("left_i") - pad, F.col("right_i") + pad)))
+    return spread.join(xic, [*keys, "i"])
+
+
+def closed_auc(xic: DataFrame, ranges: DataFrame, keys: list[str], peak: list[str], value: str, name: str = "area") -> DataFrame:
+    """Trapezoid area (intensity times seconds) of each range, closed by a zero on each side where a point exists."""
+    points = points_of(xic, ranges, keys, 1).withColumn("_v", F.when(F.col("i").between(F.col("left_i"), F.col("right_i")), F.col(value)).otherwise(0.0))
+    w = Window.partitionBy(*keys, *peak).orderBy("i")
+    strip = (F.col("rt") - F.lag("rt").over(w)) * (F.col("_v") + F.lag("_v").over(w)) / 2
+    return points.withColumn("_s", strip).groupBy(*keys, *peak).agg((F.coalesce(F.sum("_s"), F.lit(0.0)) * 60).alias(name))
+
+
+def fwhm(xic: DataFrame, ranges: DataFrame, keys: list[str], peak: list[str], value: str) -> DataFrame:
+    """Width at half of the range's maximum, ends interpolated; 0 for a flat zero.  The last point of a range is no outer point."""
+    points = points_of(xic, ranges, keys)
+    whole = Window.partitionBy(*keys, *peak)
+    w = whole.orderBy("i")
+    side = points.withColumn("_half", F.max(value).over(whole) / 2).withColumn("_k", F.row_number().over(w)).withColumn("_n", F.count("*").over(whole))
+    for c, shift in (("p", F.lag), ("n", F.lead)):
+        side = side.withColumn(f"_{c}rt", shift("rt").over(w)).withColumn(f"_{c}v", shift(value).over(w))
+    at = F.struct("_k", "_n", "rt", F.col(value).alias("v"), "_prt", "_pv", "_nrt", "_nv")
+    high = F.col(value) > F.col("_half")
+    ends = side.groupBy(*keys, *peak).agg(F.min(F.when(high, at)).alias("a"), F.max(F.when(high, at)).alias("b"), F.min("rt").alias("lo"), F.max("rt").alias("hi"), F.first("_half").alias("h"))
+    left = F.when(F.col("a._k") > 1, F.col("a._prt") + (F.col("h") - F.col("a._pv")) * (F.col("a.rt") - F.col("a._prt")) / (F.col("a.v") - F.col("a._pv"))).otherwise(F.col("lo"))
+    right = F.when(F.col("b._k") + 1 < F.col("b._n"), F.col("b._nrt") - (F.col("h") - F.col("b._nv")) * (F.col("b._nrt") - F.col("b.rt")) / (F.col("b.v") - F.col("b._nv"))).otherwise(F.col("hi"))
+    return ends.select(*keys, *peak, F.when(F.col("h") == 0, 0.0).otherwise(right - left).alias("fwhm"))
+
+
+def peak_features(xic: DataFrame, ranges: DataFrame, keys: list[str], imps: list[str], smooth: str = "smooth", prefix: str = "r_") -> DataFrame:
+    """(keys, peak_no, imp, max_ratio, area, fwhm, rt_start, rt_end): ``xic`` has a ratio column ``<prefix><imp>`` for each form."""
+    out = None
+    for imp in imps:
+        shaped = xic.withColumn("_y", F.col(f"{prefix}{imp}") * F.col(smooth))
+        ends = points_of(shaped, ranges, keys).groupBy(*keys, "peak_no").agg(F.max(f"{prefix}{imp}").alias("max_ratio"), F.min("rt").alias("rt_start"), F.max("rt").alias("rt_end"))
+        one = ends.join(closed_auc(shaped, ranges, keys, ["peak_no"], "_y"), [*keys, "peak_no"]).join(fwhm(shaped, ranges, keys, ["peak_no"], "_y"), [*keys, "peak_no"]).withColumn("imp", F.lit(imp))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def kernel_ratio(xic: DataFrame, ranges: DataFrame, psms: DataFrame, keys: list[str], imps: list[str]) -> DataFrame:
+    """(keys, i, r_<imp>...): ratios of the forms at each point of the peaks, by Gaussian weights of the matches in the peak.
+
+    ``psms``: keys, psm, rt and a ratio column for each form.  Bandwidth is
+    (4 / 3n) ^ 0.2 * sd; where that is 0, or leaves a point without weight, it is
+    the peak's length, 1 at most.  Peaks that overlap add up; rows sum to 1.
+    """
+    points = points_of(xic.select(*keys, "i", "rt"), ranges, keys).select(*keys, "peak_no", "i", "rt")
+    ends = points.groupBy(*keys, "peak_no").agg(F.min("rt").alias("lo"), F.max("rt").alias("hi"))
+    near = psms.withColumnRenamed("rt", "t").join(ends, keys).where((F.col("t") >= F.col("lo") - 1e-4) & (F.col("t") <= F.col("hi") + 1e-4))
+    total = psms.groupBy(*keys).agg(F.count("*").alias("n_all"))
+    stats = near.groupBy(*keys, "peak_no").agg((F.pow(4 / (3 * F.count("*")), F.lit(0.2)) * F.coalesce(F.stddev_samp("t"), F.lit(0.0))).alias("bw"))
+    gauss = lambda bw: F.exp(-0.5 * F.pow((F.col("rt") - F.col("t")) / bw, F.lit(2))) / (2 * 3.141592653589793) ** 0.5
+    pairs = points.join(near, [*keys, "peak_no"]).join(stats, [*keys, "peak_no"]).join(total, keys)
+    seen = pairs.groupBy(*keys, "peak_no", "i").agg(F.max(F.when(F.col("bw") > 0, gauss(F.nullif(F.col("bw"), F.lit(0.0))))).alias("most"), F.first("n_all").alias("n_all"))
+    poor = seen.groupBy(*keys, "peak_no").agg(F.max(F.coalesce(F.col("most") < 1e-15 / F.col("n_all"), F.lit(True))).alias("poor"))
+    final = pairs.join(poor, [*keys, "peak_no"]).withColumn("bw", F.when(F.col("poor"), F.least(F.col("hi") - F.col("lo"), F.lit(1.0))).otherwise(F.col("bw")))
+    weighted = final.withColumn("w", gauss(F.nullif(F.col("bw"), F.lit(0.0))))
+    one = weighted.groupBy(*keys, "peak_no", "i").agg(*[(F.sum(F.col("w") * F.col(f"r_{p}")) / (F.sum("w") + EPS)).alias(f"r_{p}") for p in imps])
+    added = one.groupBy(*keys, "i").agg(*[F.sum(f"r_{p}").alias(f"r_{p}") for p in imps])
+    whole = sum((F.col(f"r_{p}") for p in imps), F.lit(EPS))
+    return added.select(*keys, "i", *[(F.col(f"r_{p}") / whole).alias(f"r_{p}") for p in imps])
+
+
+def isotope_gate(df: DataFrame, columns: list[str], pattern: list[float], least: float = 0.6) -> DataFrame:
+    """mono: the intensity at isotope 0, or 0 where isotope -1 exceeds it or isotopes 0.. don't look like ``pattern`` (cosine); ``columns`` are isotopes -1, 0, 1, ..."""
+    before, *rest = [F.col(c) for c in columns]
+    dot = sum((c * p for c, p in zip(rest, pattern)), F.lit(0.0))
+    size = F.sqrt(sum((c * c for c in rest), F.lit(0.0))) * sum(p * p for p in pattern) ** 0.5
+    return df.withColumn("mono", F.when((before > rest[0]) | (size == 0) | (dot / F.nullif(size, F.lit(0.0)) < least), 0.0).otherwise(rest[0]))
+
+
+def detect_xic_peaks(xic: DataFrame, psms: DataFrame, keys: list[str], alpha: float = 0.1) -> DataFrame:
+    """(keys, peak_no, left_i, right_i): peaks around matches, walked point by point in each trace.
+
+    ``xic``: keys, i, rt, raw, smooth; ``psms``: keys, rt.  The walk depends on
+    its own past, so each trace goes to one grouped function; traces are small.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def walk(y, at, step, top, low_at, stop_at):
+        """Bound found from ``at`` in direction ``step`` (None if the trace ends first), the top seen and the last point visited."""
+        low = y[at]
+        i = at + step
+        while 0 <= i < len(y):
+            stop_at(i)
+            if y[i] > top:
+                top = low = y[i]
+                low_at = i
+            if y[i] < low:
+                low, low_at = y[i], i
+            if y[i] < top * alpha:
+                return i - step, top
+            if low < 0.5 * min(y[i], top):
+                return low_at, top
+            i += step
+        return None, top
+
+    def find(key, points: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values("i")
+        rt, y, raw = (points[c].to_numpy() for c in ("rt", "smooth", "raw"))
+        times = np.sort(hits["rt"].to_numpy())
+        found, n = [], 0
+        while n < len(times) and len(rt):
+            seed = int(np.abs(rt - times[n]).argmin())
+            if y[seed] == 0:
+                n += 1
+                continue
+            state = {"n": n, "right": seed}
+
+            def absorb(i, state=state):
+                if state["n"] + 1 < len(times) and rt[i] > times[state["n"] + 1]:
+                    state["n"] += 1
+                    state["right"] = i
+
+            right, top = walk(y, seed, 1, y[seed], seed, absorb)
+            left, _ = walk(y, seed, -1, top, seed, lambda i: None)
+            found.append((seed if left is None else left, state["right"] if right is None else right))
+            n = state["n"] + 1
+        found = [f for f in found if (raw[f[0] : f[1] + 1] != 0).sum() >= 5]
+        first = points["i"].to_numpy()
+        return pd.DataFrame([(*key, k + 1, first[a], first[b]) for k, (a, b) in enumerate(found)], columns=[*keys, "peak_no", "left_i", "right_i"])
+
+    kinds = dict(xic.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "peak_no int", "left_i int", "right_i int"])
+    return xic.groupBy(*keys).cogroup(psms.groupBy(*keys)).applyInPandas(find, schema)
+
+
+def xic_extract(peaks: DataFrame, windows: DataFrame, keys: list[str], scan: str, mz: str, intensity: str, width: float) -> DataFrame:
+    """Per window and scan the last peak, in m/z order, strictly inside (low, high); scans without one aren't listed."""
+    from modspec.operators.joins import range_join
+
+    met = range_join(peaks, windows, mz, "low", "high", width, tuple(keys))
+    return met.groupBy(*keys, "window", scan).agg(F.max_by(intensity, F.struct(mz, intensity)).alias("intensity"))
+
+
+def filter_peak_shares(areas: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """Forms below ``share`` of a peak's largest area drop to 0; the others' areas sum to 1 (an empty peak stays 0)."""
+    w = Window.partitionBy(*keys, "peak_no")
+    kept = areas.withColumn("_a", F.when(F.col("area") >= share * F.max("area").over(w), F.col("area")).otherwise(0.0))
+    return kept.withColumn("share", F.coalesce(F.col("_a") / F.nullif(F.sum("_a").over(w), F.lit(0.0)), F.lit(0.0))).drop("_a")
