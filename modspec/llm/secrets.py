@@ -34,6 +34,8 @@ LONG_TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 #: Nats by which the model of random strings must be likelier.
 MARGIN = 10.0
+#: Counts that a character's overall share weighs in the models.
+BACKOFF = 20.0
 _SPAN = "array<struct<start:int,no:int,kind:string,stop:int,value:string>>"
 
 
@@ -66,17 +68,21 @@ def _pairs(token: Column) -> Column:
 def train_models(samples: DataFrame) -> list[float]:
     """Log-likelihood ratio of each pair of alphabet characters, random over ordinary; ``samples``: token, random (boolean).
 
-    With add-one counts, so a pair that neither sample has stands for nothing;
-    without samples all ratios are 0.
+    A first-order model that backs off, with a weight of BACKOFF counts, to how
+    often its sample has the second character at all (plus one), so characters
+    that one sample lacks speak for the other.  Without samples all ratios are 0.
     """
     size = len(ALPHABET)
     counts = samples.select("random", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("random", "pair").count()
     seen = {(r["random"], r["pair"]): r["count"] for r in counts.collect()}  # twice the square of the alphabet at most
-    out = []
-    for a in ALPHABET:
-        total = {k: sum(seen.get((k, a + b), 0) for b in ALPHABET) + size for k in (True, False)}
-        out += [log((seen.get((True, a + b), 0) + 1) / total[True]) - log((seen.get((False, a + b), 0) + 1) / total[False]) for b in ALPHABET]
-    return out
+
+    def model(kind: bool) -> list[float]:
+        pairs = [[seen.get((kind, a + b), 0) for b in ALPHABET] for a in ALPHABET]
+        single = [sum(row[k] for row in pairs) + 1 for k in range(size)]
+        total = sum(single)
+        return [log((n + BACKOFF * single[k] / total) / (sum(row) + BACKOFF)) for row in pairs for k, n in enumerate(row)]
+
+    return [x - y for x, y in zip(model(True), model(False))]
 
 
 def likelihood_ratio(token: Column, ratios: list[float]) -> Column:
