@@ -122,9 +122,14 @@ def read_site_report(spark: SparkSession, path: str) -> DataFrame:
     return filled.where(F.col("t")[0] == "*").select("site", F.col("t")[1].alias("imp"), F.col("t")[2].alias("charge"), F.col("t")[3].alias("run"), F.element_at("t", -1).cast("double").alias("area"))
 
 
-def read_mod_library(spark: SparkSession, path: str) -> DataFrame:
-    """full_name, name, specificity, residues, pos_class, mono_mass, avg_mass of a modification library."""
+def mod_library_rows(lines: DataFrame) -> DataFrame:
+    """full_name, name, specificity, residues, pos_class, mono_mass, avg_mass of lines ``Name[Spec]=RESIDUES CLASS mono avg ...``."""
     value = F.split(F.regexp_extract("line", r"^[^=]+=(.*)$", 1), r"\s+")
-    rows = _lines(spark, path).where(F.rlike("line", F.lit(r"^[^=\[]+\[[^\]]*\]=\S+ (NORMAL|PEP_N|PEP_C|PRO_N|PRO_C) ")))
+    rows = lines.where(F.rlike("line", F.lit(r"^[^=\[]+\[[^\]]*\]=\S+ (NORMAL|PEP_N|PEP_C|PRO_N|PRO_C) ")))
     full = F.regexp_extract("line", r"^([^=]+)=", 1)
     return rows.select(full.alias("full_name"), F.regexp_extract(full, r"^([^\[]+)", 1).alias("name"), F.regexp_extract(full, r"\[([^\]]*)\]", 1).alias("specificity"), value[0].alias("residues"), value[1].alias("pos_class"), value[2].cast("double").alias("mono_mass"), value[3].cast("double").alias("avg_mass"))
+
+
+def read_mod_library(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a modification library file."""
+    return mod_library_rows(_lines(spark, path))
