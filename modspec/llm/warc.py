@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modspec.llm._shared import new_path
+from modspec.llm._shared import new_path, stored
 
 #: The fields of the headers of both versions, and of the version block's second line.
 ARC_FIELDS = {
@@ -33,6 +33,8 @@ ARC_FIELDS = {
 }
 CRLF2 = "\r\n\r\n"
 RECORDS_PER_FILE = 4000
+#: Up to so many recurring payloads (some 300 bytes each) are broadcast; beyond, it is a shuffled join.
+BROADCAST_DIGESTS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARC_SCHEMA = "archive string, arc_version int, url string, ip string, archive_date string, content_type string, result_code string, payload binary, payload_bytes long, payload_digest string, complete boolean"
 WARC_SCHEMA = "archive string, headers map<string,string>, payload binary, payload_bytes long, payload_digest string, complete boolean"
@@ -212,7 +214,10 @@ def arc_to_warc(records: DataFrame, order: Column, least_bytes: int = 0) -> Data
     """
     date = F.when(F.col("archive_date").rlike("^[0-9]{14}$"), F.regexp_replace("archive_date", r"^(....)(..)(..)(..)(..)(..)$", "$1-$2-$3T$4:$5:$6Z")).otherwise("1970-01-01T00:00:00Z")
     known = records.withColumn("order", order).withColumn("warc_date", date).withColumn("id", _uuid(F.col("url"), F.col("archive_date"), F.col("order"), F.col("payload_digest")))
-    original = known.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("order", "id", "url", "warc_date")).alias("original"))
+    original = known.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.count("*").alias("n"), F.max(F.struct("order", "id", "url", "warc_date")).alias("original"))
+    # only payloads that recur need a look-up; the payloads themselves stay where they are if those are few
+    original = stored(original.where("n > 1").drop("n"), "originals")
+    original = F.broadcast(original) if original.count() <= BROADCAST_DIGESTS else original
     joined = known.join(original, ["payload_digest", "payload_bytes"], "left")
     revisit = F.col("original").isNotNull() & (F.col("order") < F.col("original.order"))
     kind = F.when(revisit, "revisit").when(F.lower("url").rlike("^https?:"), "response").otherwise("resource")
