@@ -37,7 +37,7 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     from modspec.llm.warc import convert_pages
 
-    return convert_pages(table(spark, folder, "pages"))
+    return convert_pages(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,6 +122,9 @@ ORACLES: dict[str, str] = {
     "op3_decontamination": "WITH " + SHINGLES.format(tag="d", key="doc_id", docs="documents").strip() + "," + SHINGLES.format(tag="i", key="item_id", docs="benchmark") + LEAKS
     + " SELECT doc_id, item_id, n_item, n_common FROM leaks",
     "op4_mixing": "WITH " + MIX.format(docs="documents").strip() + " SELECT doc_id, size, source_size, target, taken FROM mixed",
+    "op5_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages), r AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, ((5 * k) // 4 + 1)::INT, 2))::INT >> (3 - (5 * k) % 4)::INT) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM r""",
     "op10_exact_dedup": """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
   sha256(coalesce(text, '')) AS text_sha256 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
 }
