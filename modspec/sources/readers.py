@@ -133,3 +133,62 @@ def mod_library_rows(lines: DataFrame) -> DataFrame:
 def read_mod_library(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a modification library file."""
     return mod_library_rows(_lines(spark, path))
+
+
+#: Numeric columns of a table of matches, by name in lower case.
+PSM_NUMBERS = {"calc_neutral_pepmass": "double", "precursor_neutral_mass": "double", "massdiff": "double", "num_match_ions": "int", "score": "double"}
+
+
+def read_psm_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """A tab-separated table of matches with a header; ``peptide`` and ``protein`` are found in any case, rows with a blank peptide dropped."""
+    raw = spark.read.option("sep", "\t").option("header", True).csv(path)
+    column_named(raw, "protein")
+    kept = raw.where(F.trim(F.coalesce(column_named(raw, "peptide"), F.lit(""))) != "")
+    return kept.select(*[F.col(f"`{c}`").try_cast(PSM_NUMBERS.get(c.lower(), "string")).alias(c.lower() if c.lower() in ("peptide", "protein") else c) for c in raw.columns])
+
+
+def read_ms2(spark: SparkSession, path: str) -> DataFrame:
+    """run, ms2_scan, ms1_scan, precursor_mz, charge, rt_min, activation, instrument, peaks; more than one Z line gives charge 0."""
+    raw = blocks(spark, path, "\nS\t").where(F.rlike("block", F.lit(r"^(S\t)?\s*[0-9]+\s")))
+    zs = F.regexp_extract_all("block", F.lit(r"(?m)^Z\s+([0-9]+)"), F.lit(1))
+    word = lambda name: F.nullif(F.regexp_extract("block", rf"(?m)^I\s+{name}\s+(\S+)", 1), F.lit(""))
+    head = F.split(F.regexp_replace(F.regexp_extract("block", r"^([^\r\n]*)", 1), r"^S\t", ""), r"\s+")
+    rows = raw.select(
+        F.regexp_replace("file", r"\.[^.]*$", "").alias("run"), head[0].cast("long").alias("ms2_scan"), _field("PrecursorScan").cast("long").alias("ms1_scan"), F.element_at(head, -1).cast("double").alias("precursor_mz"),
+        F.when(F.size(zs) == 1, F.get(zs, F.lit(0)).cast("int")).otherwise(0).alias("charge"), (_field("RetTime") / 60).alias("rt_min"), word("ActivationType").alias("activation"), word("InstrumentType").alias("instrument"),
+        F.filter(peak_list(F.regexp_replace("block", r"^[^\r\n]*\r?\n?", "")), lambda p: p["intensity"] > 0).alias("peaks"), "ord")
+    from modspec.operators.windows import drop_consecutive_repeats
+
+    return drop_consecutive_repeats(rows, ["run"], ["ord"], "ms2_scan").drop("ord")
+
+
+def read_peptide_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(imp_rows, rt_ranges) of a peptide report.
+
+    Protein lines, ``*`` rows (form, charge, run, three m/z, area) and ``@`` rows
+    (start, end, ratio, label); of a repeated form, charge and run the last row
+    stands, and one without ``@`` rows drops out.
+    """
+    from modspec.operators.windows import forward_fill
+
+    rows = _lines(spark, path).where("line_no >= 3").where(F.trim("line") != "").withColumn("t", F.split("line", "\t"))
+    kind = F.col("t")[0]
+    star = F.when(kind == "*", F.struct("line_no", "t"))
+    filled = forward_fill(rows, ["file"], ["line_no"], {"protein_line": F.when(~kind.isin("*", "@"), F.col("line")), "star": star})
+    named = filled.where(kind.isin("*", "@") & F.col("star").isNotNull()).withColumn("s", F.col("star.t")).select("file", "line_no", "protein_line", kind.alias("kind"), "t", F.col("star.line_no").alias("at"), F.col("s")[1].alias("imp"), F.col("s")[2].alias("charge"), F.col("s")[3].alias("run"), "s")
+    key = ["imp", "charge", "run"]
+    last = named.where("kind = '@'").groupBy(*key).agg(F.max(F.struct("file", "at")).alias("last"))
+    kept = named.join(last, key).where("file = last.file and at = last.at")
+    number = lambda c, i: F.get(c, F.lit(i)).cast("double")
+    imps = kept.where("kind = '*'").select("protein_line", *key, *[number(F.col("t"), i).alias(n) for i, n in ((4, "mz_mid"), (5, "mz_lo"), (6, "mz_hi"), (7, "area"))])
+    ranges = kept.where("kind = '@'").select(*key, *[number(F.col("t"), i).alias(n) for i, n in ((1, "rt_start"), (2, "rt_end"), (3, "ratio"))], F.get("t", F.lit(4)).cast("int").alias("check_label"))
+    return imps, ranges
+
+
+def read_pair_report(spark: SparkSession, path: str) -> DataFrame:
+    """pair, site, imp, charge, q_left, q_right; the site stands on the first row of its block only, the file's name is the pair."""
+    from modspec.operators.windows import forward_fill
+
+    rows = _lines(spark, path).where("line_no > 0").where(F.trim("line") != "").withColumn("t", F.split("line", "\t"))
+    filled = forward_fill(rows, ["file"], ["line_no"], {"site": F.nullif(F.col("t")[0], F.lit(""))})
+    return filled.select(F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("pair"), "site", F.col("t")[1].alias("imp"), F.col("t")[2].alias("charge"), F.col("t")[3].cast("double").alias("q_left"), F.col("t")[4].cast("double").alias("q_right"))

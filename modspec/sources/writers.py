@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,45 @@ def write_msms_report(msms: DataFrame, path: str) -> None:
 def write_ambiguous_spectra(abundances: DataFrame, path: str, keys: tuple[str, ...] = ("dataset", "title")) -> None:
     """Spectra whose design is rank-deficient."""
     abundances.where("rank_deficient").select(F.concat_ws("\t", *keys).alias("line")).distinct().write.text(path)
+
+
+def site_report_lines(sited: DataFrame) -> DataFrame:
+    """Lines of a site report for site, imp, charge, run, area: a site with its total, then its ``*`` rows."""
+    keys = ["site", "imp", "charge", "run"]
+    none = [F.lit(None).cast("string").alias(k) for k in keys[1:]]
+    top = sited.groupBy("site").agg(F.sum("area").alias("total")).select("site", *none, F.format_string("%s\t%f", "site", "total").alias("line"))
+    low = sited.select(*keys, F.format_string("*\t%s\t%s\t%s\t%f", "imp", "charge", "run", "area").alias("line"))
+    return sectioned_lines([top, low], keys)
+
+
+def write_site_report(sited: DataFrame, path: str) -> None:
+    write_lines(site_report_lines(sited), ["site", "imp", "charge", "run"], path)
+
+
+def pair_report_lines(pairs: DataFrame) -> DataFrame:
+    """Lines of a pair report for site, imp, charge, q_left, q_right; the site on the first row of its block only."""
+    w = Window.partitionBy("site").orderBy("imp", "charge")
+    shown = F.when(F.row_number().over(w) == 1, F.col("site")).otherwise("")
+    return pairs.select("site", "imp", "charge", F.lit(1).alias("level"), F.format_string("%s\t%s\t%s\t%f\t%f", shown, "imp", "charge", "q_left", "q_right").alias("line"))
+
+
+def write_pair_report(pairs: DataFrame, path: str, titles: tuple[str, str] = ("left", "right")) -> None:
+    """One file a partition, each with the header."""
+    lines = pair_report_lines(pairs).repartitionByRange("site").sortWithinPartitions("site", "imp", "charge")
+    header = "\t".join(["site", "imp", "charge", *titles])
+    lines.select(F.col("line").alias(header)).write.option("header", True).option("sep", "\x01").option("quote", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def write_merged_pairs(wide: DataFrame, path: str) -> None:
+    """The wide table of all pairs as tab-separated text with a header."""
+    wide.sortWithinPartitions("site", "imp", "charge").write.option("sep", "\t").option("header", True).csv(path)
+
+
+def write_peptide_report(imp_rows: DataFrame, rt_ranges: DataFrame, path: str) -> None:
+    """Protein lines, ``*`` rows and the ``@`` rows whose ratio isn't 0, in nested order."""
+    keys = ["protein_line", "imp", "charge", "run"]
+    none = lambda names: [F.lit(None).cast("string").alias(n) for n in names]
+    top = imp_rows.select("protein_line").distinct().select("protein_line", *none(keys[1:]), F.col("protein_line").alias("line"))
+    mid = imp_rows.select(*keys, F.format_string("*\t%s\t%s\t%s\t%.4f\t%.4f\t%.4f\t%f", "imp", "charge", "run", "mz_mid", "mz_lo", "mz_hi", "area").alias("line"))
+    low = rt_ranges.where("ratio <> 0").join(imp_rows.select(*keys), keys[1:]).select(*keys, F.format_string("@\t%f\t%f\t%f\t%d", "rt_start", "rt_end", "ratio", "check_label").alias("line"))
+    write_lines(sectioned_lines([top, mid, low], keys), keys, path)

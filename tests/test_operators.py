@@ -149,3 +149,34 @@ def test_read_ms1_and_map(spark, tmp_path):
     assert [(r["run"], r["scan"], r["rt_min"], len(r["peaks"])) for r in got] == [("run", 1, 1.0, 2)]
     (tmp_path / "run.ms2").write_text("H\tx\nS\t000003\t000003\t500.1\nI\tPrecursorScan\t1\nS\t000004\t000004\t600\n")
     assert [tuple(r) for r in readers.read_ms2_map(spark, str(tmp_path / "run.ms2")).collect()] == [("run", 1, 3)]
+
+
+def test_read_matches_and_peptide_and_pair_reports(spark, tmp_path):
+    (tmp_path / "p.tsv").write_text("Scan\tPeptide\tPROTEIN\tScore\n1\tAAK\tP1,P2\t3.5\n2\t \tP1\t1\n")
+    got = readers.read_psm_tsv(spark, str(tmp_path / "p.tsv")).collect()
+    assert [(r["peptide"], r["protein"], r["Score"]) for r in got] == [("AAK", "P1,P2", 3.5)]
+    (tmp_path / "pep.txt").write_text("h\nh\n@\th\nP1,10;\n*\t_A_\t+2\trun\t1.5\t1.4\t1.6\t99\n@\t1\t2\t0.5\t1\n@\t3\t4\t0.5\t0\n*\t_B_\t+2\trun\t1\t1\t1\t5\n")
+    imps, ranges_ = readers.read_peptide_report(spark, str(tmp_path / "pep.txt"))
+    assert [(r["protein_line"], r["imp"], r["area"]) for r in imps.collect()] == [("P1,10;", "_A_", 99.0)]
+    assert {(r["rt_start"], r["check_label"]) for r in ranges_.collect()} == {(1.0, 1), (3.0, 0)}
+    (tmp_path / "pair.txt").write_text("site\timp\tz\tl\tr\nS1\ta\t2\t1\t2\n\tb\t2\t3\t4\nS2\ta\t2\t5\t6\n")
+    assert [(r["pair"], r["site"], r["imp"], r["q_right"]) for r in readers.read_pair_report(spark, str(tmp_path / "pair.txt")).orderBy("q_left").collect()] == [("pair", "S1", "a", 2.0), ("pair", "S1", "b", 4.0), ("pair", "S2", "a", 6.0)]
+    (tmp_path / "run.ms2").write_text("H\tx\nS\t3\t3\t500.1\nI\tRetTime\t60\nI\tActivationType\tHCD\nZ\t2\t999\n100 5\n200 0\nS\t3\t3\t500.1\nS\t4\t4\t600\nZ\t2\t1\nZ\t3\t1\n")
+    ms2 = readers.read_ms2(spark, str(tmp_path / "run.ms2")).orderBy("ms2_scan").collect()
+    assert [(r["ms2_scan"], r["precursor_mz"], r["charge"], r["activation"], len(r["peaks"])) for r in ms2] == [(3, 500.1, 2, "HCD", 1), (4, 600.0, 0, None, 0)]
+
+
+def test_reports_round_trip(spark, tmp_path):
+    from modspec.sources import writers
+
+    msms = spark.createDataFrame([("A", "d", "t1", "f1", 0.25), ("A", "d", "t1", "f2", 0.75), ("A", "d", "t2", "f1", 0.0), ("B", "d", "t3", "f", 1.0)], "peptide string, dataset string, title string, imp string, abundance double")
+    writers.write_msms_report(msms, str(tmp_path / "msms"))
+    assert {tuple(r) for r in readers.read_msms_report(spark, str(tmp_path / "msms")).collect()} == {tuple(r) for r in msms.where("abundance <> 0").collect()}
+    sited = spark.createDataFrame([("S1", "f", "+2", "r", 1.5), ("S1", "g", "+2", "r", 2.0), ("S2", "f", "+3", "r", 4.0)], "site string, imp string, charge string, run string, area double")
+    writers.write_site_report(sited, str(tmp_path / "sites"))
+    assert {tuple(r) for r in readers.read_site_report(spark, str(tmp_path / "sites")).collect()} == {tuple(r) for r in sited.collect()}
+    pairs = spark.createDataFrame([("S1", "a", "2", 1.0, 2.0), ("S1", "b", "2", 3.0, 4.0), ("S2", "a", "2", 5.0, 6.0)], "site string, imp string, charge string, q_left double, q_right double")
+    writers.write_pair_report(pairs, str(tmp_path / "pairs"))
+    assert {tuple(r)[1:] for r in readers.read_pair_report(spark, str(tmp_path / "pairs")).collect()} == {tuple(r) for r in pairs.collect()}
+    writers.write_pep_spec(msms.select("peptide", "dataset", "title").distinct(), str(tmp_path / "list"))
+    assert readers.read_pep_spec(spark, str(tmp_path / "list")).count() == 3
