@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (as in local tests)."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, the context's own, or a temporary one in local mode.
+
+    Tables there stay until the folder is cleared.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isDefined():
             return jsc.getCheckpointDir().get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="modspec-")
         spark.sparkContext.setCheckpointDir(folder)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
