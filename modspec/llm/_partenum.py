@@ -25,16 +25,18 @@ from modspec.llm._shingles import U, mix
 
 #: Upper ends of the size bands, a factor of about 1.41 apart.
 BANDS = np.unique(np.round(2.0 ** (np.arange(0, 80) / 2)).astype(np.int64))
-#: Up to this size, a scheme has (n2, k2) = (5, 2), and (3, 1) beyond: short
-#: texts need choosier signatures, long ones fewer of them.
-SMALL = 256
-WAYS = {True: (5, 2), False: (3, 1)}
+#: (n2, k2) of the schemes up to a size: short texts need choosier signatures, long ones fewer of them.
+WAYS = {256: (5, 2), 724: (3, 1), int(BANDS[-1]): (2, 1)}
+
+
+def _way(scheme: np.ndarray) -> np.ndarray:
+    return np.searchsorted(list(WAYS), BANDS[scheme])
 
 
 def partitions(scheme: np.ndarray, percent: int) -> np.ndarray:
     """First-level partitions of each scheme: somewhat more than its largest sets need."""
     top = BANDS[scheme]
-    k2 = np.where(top <= SMALL, WAYS[True][1], WAYS[False][1])
+    k2 = np.array([k2 for _, k2 in WAYS.values()])[_way(scheme)]
     need = (100 - percent) * 2 * top // (100 + percent) // (k2 + 1) + 1
     return need + need // 8 + np.minimum(need, 4)
 
@@ -53,8 +55,8 @@ def signatures(flat: np.ndarray, bounds: np.ndarray, percent: int = 80) -> tuple
         row.append(rows)
         scheme.append(step)
     row, scheme = np.concatenate(row), np.concatenate(scheme)
-    small = BANDS[scheme] <= SMALL
-    out = [_of_scheme(flat, bounds, row[small == kind], scheme[small == kind], percent, *WAYS[kind]) for kind in (True, False)]
+    way = _way(scheme)
+    out = [_of_scheme(flat, bounds, row[way == i], scheme[way == i], percent, *ways) for i, ways in enumerate(WAYS.values())]
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
