@@ -4,15 +4,15 @@
 hundred) between texts that differ and returns the connected components.  Its
 steps, each a table in the shared folder:
 
-1. *facts*: size, 64-bit set key and a 32-byte sketch of each document's set.
+1. *facts*: size, 64-bit set key and a 128-byte sketch of each document's set.
    Documents with equal sets share a key; only keys are compared.
-2. *members*: (signature, key) of the signatures that two keys or more share.
-   A map task forwards a signature once per key and batch, packed in arrays,
-   so a group of copies doesn't heat a bucket.
-3. *stars*: an eighth of the signatures propose pairs, each key with a few
+2. *members*: the sets of two keys or more that share a signature, each set
+   once.  A map task forwards a signature once per key and batch, packed in
+   arrays, so a group of copies doesn't heat a bucket.
+3. *stars*: an eighth of the sets propose pairs, each key with a few
    pivots of its group; pairs are checked exactly, which joins most groups
    without listing their pairs.
-4. *rest*: signatures whose keys are still in different components have all
+4. *rest*: sets whose keys are still in different components have all
    cross-component pairs compared by sketch inside tasks (large groups in
    blocks); only those that the sketch can't rule out are checked exactly.
    So every pair that shares a signature is linked, known to be connected
@@ -38,13 +38,19 @@ from modspec.llm._shingles import U, mix, per_row
 from modspec.llm.components import connected_components
 
 #: Pivots for each shared signature in the first round.
-PIVOTS = 4
+PIVOTS = 2
 #: Keys of one signature that one task compares; larger groups are cut in blocks.
 BLOCK = 2000
 #: Up to so many candidate keys are broadcast to the scan (8 bytes each); beyond, it is a shuffled join.
 BROADCAST_KEYS = 1_000_000
 #: Pairs compared by sketch at once.
-PAIRS_AT_ONCE = 1 << 18
+PAIRS_AT_ONCE = 1 << 16
+#: Keys of a set in one row.
+KEYS_IN_ROW = 1 << 20
+#: Bytes of a sketch.
+SKETCH = 128
+#: Signatures that a map task sorts and forwards at once.
+SIGNATURES_AT_ONCE = 1 << 20
 
 
 def _keys(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -55,14 +61,14 @@ def _keys(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _sketches(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Counts of shingles in 64 buckets, modulo 16, two to a byte.
+    """Counts of shingles in 256 buckets, modulo 16, two to a byte.
 
     The sum over buckets of the circular distances of two sketches is never
     more than the symmetric difference of the sets.
     """
     rows = len(bounds) - 1
-    cell = np.repeat(np.arange(rows), np.diff(bounds)) * 64 + (flat >> U(58)).astype(np.int64)
-    counts = np.bincount(cell, minlength=rows * 64).astype(np.uint8).reshape(rows, 64) & 15
+    cell = np.repeat(np.arange(rows), np.diff(bounds)) * 256 + (flat >> U(56)).astype(np.int64)
+    counts = np.bincount(cell, minlength=rows * 256).astype(np.uint8).reshape(rows, 256) & 15
     return counts[:, ::2] | counts[:, 1::2] << 4
 
 
@@ -94,7 +100,7 @@ def shingle_facts(docs: DataFrame, id_col: str, text_col: str, words: int) -> Da
                 continue
             n = np.concatenate(n)
             keys = pa.array(np.concatenate(keys).view(np.int64), mask=n == 0)
-            sketch = pa.Array.from_buffers(pa.binary(32), len(n), [None, pa.py_buffer(np.concatenate(sketches).tobytes())])
+            sketch = pa.Array.from_buffers(pa.binary(SKETCH), len(n), [None, pa.py_buffer(np.concatenate(sketches).tobytes())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), keys, sketch.cast(pa.binary())], ["doc_id", "n", "key", "sketch"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(facts, "doc_id long, n long, key long, sketch binary")
@@ -106,34 +112,39 @@ def _runs(sorted_values: np.ndarray) -> np.ndarray:
 
 
 def shared_signatures(docs: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
-    """(signature, key) for each signature that at least two keys have."""
+    """(sig, key) for each set of two keys or more that share a signature; ``sig`` names the set."""
     buckets = 4 * tasks(docs.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, keys, held = [], [], 0
         for batch in batches:
-            sigs, keys = [], []
             for _, flat, bounds in per_row(batch.column(0), words):
                 row, sig = signatures(flat, bounds, percent)
                 sigs.append(sig)
                 keys.append(_keys(flat, bounds)[row])
-            if not sigs:
-                continue
-            sigs, keys = np.concatenate(sigs), np.concatenate(keys)
-            bucket = sigs % U(buckets)
-            # 40 bits of the signature and those of the bucket; one that clashes only proposes a pair for naught
-            sigs >>= U(24)
-            order = np.lexsort((keys, sigs, bucket))
-            bucket, sigs, keys = bucket[order], sigs[order], keys[order]
-            new = np.ones(len(sigs), bool)
-            new[1:] = (sigs[1:] != sigs[:-1]) | (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1])
-            bucket, sigs, keys = bucket[new], sigs[new], keys[new]
-            five = sigs.view(np.uint8).reshape(-1, 8)[:, :5]
-            starts = _runs(bucket)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(bucket[starts[:-1]].astype(np.int32)),
-                pa.array([five[i:j].tobytes() for i, j in zip(starts[:-1], starts[1:])], pa.binary()),
-                pa.array([keys[i:j].tobytes() for i, j in zip(starts[:-1], starts[1:])], pa.binary()),
-            ], ["bucket", "sigs", "keys"])
+                held += len(sig)
+                if held > SIGNATURES_AT_ONCE:
+                    yield forwarded(np.concatenate(sigs), np.concatenate(keys))
+                    sigs, keys, held = [], [], 0
+        if held:
+            yield forwarded(np.concatenate(sigs), np.concatenate(keys))
+
+    def forwarded(sigs: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        bucket = sigs % U(buckets)
+        # 40 bits of the signature and those of the bucket; one that clashes only proposes a pair for naught
+        sigs >>= U(24)
+        order = np.lexsort((keys, sigs, bucket))
+        bucket, sigs, keys = bucket[order], sigs[order], keys[order]
+        new = np.ones(len(sigs), bool)
+        new[1:] = (sigs[1:] != sigs[:-1]) | (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1])
+        bucket, sigs, keys = bucket[new], sigs[new], keys[new]
+        five = sigs.view(np.uint8).reshape(-1, 8)[:, :5]
+        starts = _runs(bucket)
+        return pa.RecordBatch.from_arrays([
+            pa.array(bucket[starts[:-1]].astype(np.int32)),
+            pa.array([five[i:j].tobytes() for i, j in zip(starts[:-1], starts[1:])], pa.binary()),
+            pa.array([keys[i:j].tobytes() for i, j in zip(starts[:-1], starts[1:])], pa.binary()),
+        ], ["bucket", "sigs", "keys"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by bucket; a bucket holds one signature in many
@@ -167,17 +178,27 @@ def shared_signatures(docs: DataFrame, text_col: str, words: int, percent: int)
         sigs, keys = sigs[new], keys[new]
         starts = _runs(sigs)
         many = np.repeat(np.diff(starts) > 1, np.diff(starts))
+        sigs, keys = sigs[many], keys[many]
+        if not len(sigs):
+            return
+        starts = _runs(sigs)
+        # signatures with the same keys propose the same pairs: one of them will do
         with np.errstate(over="ignore"):
-            full = mix(sigs[many] * U(buckets) + U(bucket)).view(np.int64)
-        for i in range(0, len(full), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(full[i : i + (1 << 16)]), pa.array(keys[many][i : i + (1 << 16)])], ["sig", "key"])
+            sums = [np.add.reduceat(mix(keys.view(U) * U(odd) + U(odd)), starts[:-1]) + np.diff(starts).astype(U) for odd in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+        _, chosen = np.unique(np.stack(sums, 1), axis=0, return_index=True)
+        lists = [(int(sums[0][c].view(np.int64)), int(sums[1][c].view(np.int64)), k, keys[at : min(at + KEYS_IN_ROW, starts[c + 1])]) for c in chosen for k, at in enumerate(range(starts[c], starts[c + 1], KEYS_IN_ROW))]
+        for i in range(0, len(lists), 1 << 15):
+            some = lists[i : i + (1 << 15)]
+            held_keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x[3]) for x in some]).astype(np.int32)), pa.array(np.concatenate([x[3] for x in some])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some]), pa.array([x[1] for x in some]), pa.array([x[2] for x in some], pa.int32()), held_keys], ["sig", "check", "part", "keys"])
 
     packed = docs.select(F.col(text_col).alias("text")).mapInArrow(emit, "bucket int, sigs binary, keys binary")
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "sig long, key long")
+    met_keys = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "sig long, check long, part int, keys array<bigint>")
+    return met_keys.dropDuplicates(["sig", "check", "part"]).select("sig", F.explode("keys").alias("key"))
 
 
 def _star_pairs(members: DataFrame) -> DataFrame:
-    """Each key with a few pivots of its group, for an eighth of the signatures."""
+    """Each key with a few pivots of its set, for an eighth of the sets."""
     some = members.where(F.pmod(F.xxhash64("sig"), F.lit(8)) == 0)
     ranked = lambda r: F.struct(F.xxhash64("key", F.lit(r)), "key")
     pivots = some.groupBy("sig").agg(*[F.min(ranked(r)).alias(f"p{r}") for r in range(PIVOTS)])
@@ -189,16 +210,19 @@ def _star_pairs(members: DataFrame) -> DataFrame:
 def _rest_pairs(members: DataFrame, roots: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Pairs of one signature in different components that their sketches can't rule out."""
     spark = members.sparkSession
-    placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n_keys")).where("low <> high")
-    blocks = F.ceil(F.col("n_keys") / BLOCK).cast("int")
-    mixed = mixed.select("sig", blocks.alias("blocks"))
-    rows = placed.join(mixed, "sig").join(facts, "key")
+    placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("root"))
+    placed = stored(placed, "placed")
+    mixed = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n_keys"), F.min("key").alias("leader")).where("low <> high")
+    mixed = mixed.select("sig", "leader", F.ceil(F.col("n_keys") / BLOCK).cast("int").alias("blocks"))
+    rows = placed.join(mixed, "sig")
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     # a row meets every block of its group once: cell (i, j), i <= j, holds blocks i and j
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "n", "sketch")
-    rows = rows.repartition(4 * tasks(spark), "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    # signatures with the same smallest key go to one task, where a pair that they share is found once, and a key's sketch is sent once
+    cell = ["leader", "i", "j", "own", "key", "root"]
+    rows = rows.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "sig")
+    rows = rows.groupBy(*cell).agg(F.collect_list("sig").alias("sigs")).join(facts, "key").select(*cell, "n", "sketch", "sigs")
+    rows = rows.repartition(4 * tasks(spark), "leader", "i", "j").sortWithinPartitions("leader", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
@@ -206,42 +230,43 @@ def _rest_pairs(members: DataFrame, roots: DataFrame, facts: DataFrame, percent:
         for batch in batches:
             batch = pa.Table.from_batches([batch])
             batch = batch if tail is None else pa.concat_tables([tail, batch])
-            cells = np.stack([batch.column(c).to_numpy() for c in ("sig", "i", "j")], 1)
-            last = len(cells) - 1
-            while last and (cells[last - 1] == cells[-1]).all():
-                last -= 1
-            tail = batch.slice(last).combine_chunks()
-            found.append(linked(batch.slice(0, last)))
+            cells = np.stack([batch.column(c).to_numpy() for c in ("leader", "i", "j")], 1)
+            cuts = np.flatnonzero((cells[1:] != cells[:-1]).any(1)) + 1
+            for at, to in zip(np.append(0, cuts[:-1]), cuts):
+                found.append(linked(batch.slice(at, to - at)))
+            tail = batch.slice(cuts[-1] if len(cuts) else 0)
         if tail is not None:
             found.append(linked(tail))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def linked(rows: pa.Table) -> np.ndarray:
-        if not rows.num_rows:
+        if rows.num_rows < 2:
             return np.zeros((0, 2), np.int64)
-        sig, i, j, own, key, root, n = (rows.column(c).to_numpy() for c in ("sig", "i", "j", "own", "key", "root", "n"))
-        sketch = np.frombuffer(rows.column("sketch").combine_chunks().cast(pa.binary(32)).buffers()[1], np.uint8).reshape(-1, 32)
-        sketch = sketch[rows.column("sketch").combine_chunks().offset :][: len(sig)] if len(sketch) != len(sig) else sketch
-        cell = np.concatenate([[True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        starts = np.flatnonzero(cell)
-        ends = np.append(starts[1:], len(sig))
-        end_of = np.repeat(ends, ends - starts)
-        later = end_of - np.arange(len(sig)) - 1  # rows that come after each in its cell
+        i, j, own, key, root, n = (rows.column(c).to_numpy() for c in ("i", "j", "own", "key", "root", "n"))
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        lists = rows.column("sigs").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        sigs, row = lists.flatten().to_numpy(), np.repeat(np.arange(rows.num_rows), lists.value_lengths().to_numpy())
+        order = np.argsort(sigs, kind="stable")
+        sigs, row = sigs[order], row[order]
+        starts = _runs(sigs)
+        later = np.repeat(starts[1:], np.diff(starts)) - np.arange(len(sigs)) - 1  # entries that come after each with its signature
         done = np.concatenate([[0], np.cumsum(later)])
-        out, at = [np.zeros((0, 2), np.int64)], 0
-        while at < len(sig):
+        out, at = [np.zeros(0, np.int64)], 0
+        while at < len(sigs):
             to = max(at + 1, int(np.searchsorted(done, done[at] + PAIRS_AT_ONCE, "right")) - 1)
             x = np.repeat(np.arange(at, to), later[at:to])
-            y = x + 1 + np.arange(len(x)) - np.repeat(done[at:to] - done[at], later[at:to])
+            y = row[x + 1 + np.arange(len(x)) - np.repeat(done[at:to] - done[at], later[at:to])]
+            x = row[x]
             # cells off the diagonal only compare between their two blocks
-            keep = (root[x] != root[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
-            x, y = x[keep], y[keep]
-            keep = _may_link(n[x], n[y], sketch[x], sketch[y], percent)
-            x, y = x[keep], y[keep]
-            out.append(np.unique(np.stack([np.minimum(key[x], key[y]), np.maximum(key[x], key[y])], 1), axis=0))
+            keep = (root[x] != root[y]) & ((i[0] == j[0]) | (own[x] != own[y]))
+            x, y = np.divmod(np.unique(np.minimum(x, y)[keep] * np.int64(rows.num_rows) + np.maximum(x, y)[keep]), rows.num_rows)
+            able = _may_link(n[x], n[y], sketch[x], sketch[y], percent)
+            out.append(x[able] * np.int64(rows.num_rows) + y[able])
             at = to
-        return np.concatenate(out)
+        x, y = np.divmod(np.unique(np.concatenate(out)), rows.num_rows)
+        return np.stack([np.minimum(key[x], key[y]), np.maximum(key[x], key[y])], 1)
 
     return rows.mapInArrow(compare, "a long, b long").distinct()
 
