@@ -12,7 +12,7 @@ MATCH_SQL = "matches AS (SELECT l_orderkey AS spectrum, l_suppkey % 10 AS ion, l
 
 
 def matches(spark, folder):
-    rows = table(spark, folder, "lineitem").where("l_orderkey < 2000").groupBy(F.col("l_orderkey").alias("spectrum"), (F.col("l_suppkey") % 10).alias("ion"), F.col("l_linenumber").alias("imp")).agg(F.sum("l_quantity").alias("raw"))
+    rows = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("spectrum"), (F.col("l_suppkey") % 10).alias("ion"), F.col("l_linenumber").alias("imp")).agg(F.sum("l_quantity").alias("raw"))
     return filters.relative_intensity(rows, ["spectrum"], "raw", 0.0)
 
 
