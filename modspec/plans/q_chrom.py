@@ -164,7 +164,7 @@ def isotope_gate(spark, folder):
 @query("xic_extract", """WITH w AS (SELECT p_partkey AS win, p_size AS grp, p_retailprice - 0.5 AS low, p_retailprice + 0.5 AS high FROM part WHERE p_partkey % 10 = 0)
 SELECT win, l_orderkey AS scan, arg_max(l_quantity, l_extendedprice * 1000000 + l_quantity) AS intensity FROM w JOIN lineitem ON l_linenumber = grp % 7 + 1 AND l_extendedprice > low AND l_extendedprice < high GROUP BY 1, 2""")
 def xic_extract(spark, folder):
-    win = ions(spark, folder).where("ion % 10 = 0").select(F.col("ion").alias("window"), (F.col("cls") % 7 + 1).alias("run"), (F.col("ion_mz") - 0.5).alias("low"), (F.col("ion_mz") + 0.5).alias("high"))
+    win = ions(spark, folder).select(F.col("ion").alias("window"), (F.col("cls") % 7 + 1).alias("run"), (F.col("ion_mz") - 0.5).alias("low"), (F.col("ion_mz") + 0.5).alias("high"))
     got = chrom.xic_extract(peaks(spark, folder).withColumnRenamed("pos", "run"), win, ["run"], "spectrum", "mz", "intensity", 1.0)
     return got.select(F.col("window").alias("win"), F.col("spectrum").alias("scan"), "intensity")
 

@@ -43,3 +43,20 @@ def test_deconvolution_of_every_key(spark, far):
     keys = {r[0] for r in spark.read.parquet(f"{far}/lineitem.parquet").select("l_orderkey").distinct().collect()}
     got = QUERIES["job_deconvolve"](spark, far).groupBy("spectrum").agg(F.sum("abundance").alias("s")).collect()
     assert {r["spectrum"] for r in got} == keys and all(abs(r["s"] - 1) < 1e-3 for r in got)
+
+
+def test_extraction_windows_of_every_part(spark, tmp_path):
+    parts = [(k, k * 3, 900.0 + k * 0.3) for k in range(1, 31)]
+    lines = [(s, 1, 1, 1 + (s + k) % 7, float(1 + (s * 7 + k * 5) % 50), 899.5 + ((s * 37 + k * 91) % 1100) / 100) for s in range(1, 41) for k in range(12)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int, p_retailprice double").withColumn("p_type", F.lit("x")).write.parquet(f"{tmp_path}/part.parquet")
+    wide = spark.createDataFrame(lines, LINES)
+    for c in ("l_returnflag", "l_linestatus", "l_discount"):
+        wide = wide.withColumn(c, F.lit("x"))
+    wide.write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {}
+    for part, size, price in parts:
+        for scan, _, _, number, quantity, mz in lines:
+            if number == size % 7 + 1 and price - 0.5 < mz < price + 0.5:
+                want[part, scan] = max(want.get((part, scan), (0, 0)), (mz, quantity))
+    got = {(r["win"], r["scan"]): r["intensity"] for r in QUERIES["xic_extract"](spark, str(tmp_path)).collect()}
+    assert len({p for p, _ in want}) == 30 and got == {k: v[1] for k, v in want.items()}
