@@ -157,8 +157,8 @@ def abundance_2imp(spark, folder):
 @query("rank_deficient", f"""WITH {MATCH_SQL}, t AS (SELECT DISTINCT spectrum, ion, imp FROM m WHERE imp <= 2), s AS (SELECT spectrum, imp, string_agg(ion, ',' ORDER BY ion) AS ions FROM t GROUP BY 1, 2)
 SELECT spectrum, count(DISTINCT ions) < count(*) AS rank_deficient FROM s GROUP BY 1""")
 def rank_deficient(spark, folder):
-    """Two 0/1 columns are dependent just when they are equal."""
-    rows = matches(spark, folder).where("imp <= 2")
+    """Whether the rank of the 0/1 design of all forms is below their number, by spectrum."""
+    rows = matches(spark, folder)
     x = rows.select("spectrum", "ion", "imp", F.lit(1.0).alias("x"))
     y = rows.groupBy("spectrum", "ion").agg(F.sum("norm").alias("y"))
     return solve.estimate_abundance(x, y, "spectrum", "ion", "imp", "x", "y").groupBy("spectrum").agg(F.max("rank_deficient").alias("rank_deficient"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+from fractions import Fraction
 
 import duckdb
 import pytest
@@ -60,3 +60,26 @@ def test_extraction_windows_of_every_part(spark, tmp_path):
                 want[part, scan] = max(want.get((part, scan), (0, 0)), (mz, quantity))
     got = {(r["win"], r["scan"]): r["intensity"] for r in QUERIES["xic_extract"](spark, str(tmp_path)).collect()}
     assert len({p for p, _ in want}) == 30 and got == {k: v[1] for k, v in want.items()}
+
+
+def independent(columns):
+    """Whether 0/1 columns, sets of ions, are linearly independent: exact elimination."""
+    left = [[Fraction(int(i in c)) for i in range(10)] for c in columns]
+    for k in range(len(left)):
+        at = next((i for i, v in enumerate(left[k]) if v), None)
+        if at is None:
+            return False
+        for other in left[k + 1 :]:
+            by = other[at] / left[k][at]
+            other[:] = [a - by * b for a, b in zip(other, left[k])]
+    return True
+
+
+def test_rank_of_all_forms(spark, tmp_path):
+    designs = {1: [{0, 1}, {2}], 2: [{0, 1}, {2}, {0, 1, 2}], 3: [{0}, {1}, {2, 3}, {2, 3}], 4: [{0}, {0}], 2001: [{0, 1}, {1, 2}, {2, 3}, {3, 0}], 2002: [{0, 1}, {1, 2}, {0, 2}], 2003: [set(), set(), {5}, {6}, {5, 6}], 2004: [set(), set(), {5}, {6}]}
+    designs |= {3000 + n: [{(n * 7 + f * f + j * (n + f)) % 10 for j in range(1 + (n + f) % 4)} for f in range(2 + n % 6)] for n in range(30)}
+    lines = [(k, 1, ion, f + 1, float(1 + ion + f), 1.0) for k, forms in designs.items() for f, ions in enumerate(forms) for ion in ions]
+    spark.createDataFrame(lines, LINES).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {k: not independent([c for c in forms if c]) for k, forms in designs.items()}
+    got = {r["spectrum"]: r["rank_deficient"] for r in QUERIES["rank_deficient"](spark, str(tmp_path)).collect()}
+    assert got == want and want[2] and want[3] and want[2001] and want[2003] and not want[2002] and not want[2004]
