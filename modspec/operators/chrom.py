@@ -155,6 +155,55 @@ def detect_xic_peaks(xic: DataFrame, psms: DataFrame, keys: list[str], alpha: fl
     return xic.groupBy(*keys).cogroup(psms.groupBy(*keys)).applyInPandas(find, schema)
 
 
+def filter_peak_ratios(xic: DataFrame, ranges: DataFrame, keys: list[str], imps: list[str], share: float) -> DataFrame:
+    """``xic`` (keys, i, rt, smooth, r_<imp>...) whose ratios, peak by peak, are 0 for forms below ``share`` of the peak's largest area and sum to 1 over the others.
+
+    Peaks may share points, and a later one sees what an earlier one left, so
+    each trace goes to one grouped function, as in ``detect_xic_peaks``.
+    """
+    import numpy as np
+    import pandas as pd
+
+    names = [f"r_{p}" for p in imps]
+
+    def filtered(key, points: pd.DataFrame, peaks: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values("i").reset_index(drop=True)
+        ratios = points[names].to_numpy(dtype=float, copy=True)
+        i, rt, y = points["i"].to_numpy(), points["rt"].to_numpy(), points["smooth"].to_numpy()
+        for _, p in peaks.sort_values("peak_no").iterrows():
+            a, b = np.searchsorted(i, p["left_i"]), np.searchsorted(i, p["right_i"], "right")
+            lo, hi = max(a - 1, 0), min(b + 1, len(i))
+            v = np.zeros((hi - lo, len(names)))
+            v[a - lo : b - lo] = ratios[a:b] * y[a:b, None]
+            area = (np.diff(rt[lo:hi])[:, None] * (v[1:] + v[:-1]) / 2).sum(axis=0)
+            ratios[a:b, area < area.max() * share] = 0
+            whole = ratios[a:b].sum(axis=1, keepdims=True)
+            ratios[a:b] /= np.where(whole == 0, 1, whole)
+        points[names] = ratios
+        return points
+
+    cols = [*keys, "i", "rt", "smooth", *names]
+    kinds = dict(xic.dtypes)
+    return xic.select(*cols).groupBy(*keys).cogroup(ranges.groupBy(*keys)).applyInPandas(filtered, ", ".join(f"{c} {kinds[c]}" for c in cols))
+
+
+def quantify(xic: DataFrame, psms: DataFrame, keys: list[str], imps: list[str], share: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """The peaks of each trace and, of each form, its best peak with a nonzero area.
+
+    ``xic``: keys, i, rt, raw, smooth; ``psms``: keys, psm, rt and ratios.  The
+    matches' ratios are spread over the peaks found around them.  What is read
+    several times is persisted.
+    """
+    from modspec.operators.windows import best_of
+
+    found = detect_xic_peaks(xic, psms.select(*keys, "rt"), keys).persist()
+    ratios = kernel_ratio(xic, found, psms, keys, imps)
+    shaped = xic.join(ratios, [*keys, "i"], "left").fillna(0.0, [f"r_{p}" for p in imps])
+    features = peak_features(filter_peak_ratios(shaped, found, keys, imps, share).persist(), found, keys, imps)
+    best = best_of(features, [*keys, "imp"], [(F.col("area") * F.col("max_ratio")).desc(), F.col("peak_no")])
+    return found, best.where("area <> 0")
+
+
 def xic_extract(peaks: DataFrame, windows: DataFrame, keys: list[str], scan: str, mz: str, intensity: str, width: float) -> DataFrame:
     """Per window and scan the last peak, in m/z order, strictly inside (low, high); scans without one aren't listed."""
     from modspec.operators.joins import range_join

@@ -24,6 +24,20 @@ def xic(spark, folder):
     return smooth.select("grp", "id", "rt", "raw", "i", "smooth", ratio.alias("r_A"), (1 - ratio).alias("r_B"))
 
 
+def grid(spark, folder):
+    """The smoothed grid of clicks by group, without ratios."""
+    return xic(spark, folder).select("grp", "i", "rt", "raw", "smooth")
+
+
+def hits(spark, folder):
+    """Purchases as matches with ratios of A and B, those below 5 % of their group's largest dropped."""
+    from modspec.operators.filters import relative_intensity
+
+    ratio = (F.col("id") % 10) / F.lit(10.0)
+    kept = relative_intensity(trace(spark, folder).where("run = 'purchase'"), KEYS, "raw", 0.05)
+    return kept.select("grp", F.col("id").alias("psm"), "rt", ratio.alias("r_A"), (1 - ratio).alias("r_B"))
+
+
 def ranges(x):
     return x.groupBy("grp", F.floor((F.col("i") - 1) / 5).alias("peak_no")).agg(F.min("i").alias("left_i"), F.max("i").alias("right_i"))
 
@@ -203,9 +217,9 @@ def ingest_fasta(spark, folder):
 
 @query("job_quantify", f"WITH {BEST_SQL} SELECT grp, imp, round(area, 4) AS area, round(coalesce(area / nullif(sum(area) OVER (PARTITION BY grp), 0), 0), 6) AS share FROM best WHERE round(area, 6) <> 0")
 def job_quantify(spark, folder):
-    """Traces to one area per form: smoothing, features by peak, the best peak, its area, nonzero only."""
+    """Traces to one area per form: peaks around the matches, their ratios spread over the peaks, the best peak, its area, nonzero only."""
     from pyspark.sql import Window
 
-    chosen = best(spark, folder).where("round(area, 6) <> 0")
+    _, chosen = chrom.quantify(grid(spark, folder), hits(spark, folder), KEYS, ["A", "B"])
     share = F.coalesce(F.col("area") / F.nullif(F.sum("area").over(Window.partitionBy("grp")), F.lit(0.0)), F.lit(0.0))
     return chosen.select("grp", "imp", F.round("area", 4).alias("area"), F.round(share, 6).alias("share"))

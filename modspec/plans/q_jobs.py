@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from modspec.operators import chrom, fdr, filters, windows
 from modspec.plans.adapters import TRACE_SQL, ions, peaks, psms, table, trace
-from modspec.plans.q_chrom import BEST_SQL, KEYS, XIC_SQL, areas_sql, best, ranges, xic
+from modspec.plans.q_chrom import BEST_SQL, KEYS, XIC_SQL, areas_sql, best, grid, hits, ranges, xic
 from modspec.plans.q_spectra import MATCH_SQL, matches
 from modspec.plans.q_windows import COUNTS_SQL
 from modspec.plans.registry import query
@@ -100,15 +100,19 @@ def job_requantify(spark, folder):
 
 @query("job_normalise", f"""WITH {XIC_SQL}, {areas_sql('smooth', 'a')}, listed AS (SELECT DISTINCT user_id AS grp FROM events WHERE event_type = 'purchase' AND value > 50) SELECT grp, count(*) AS n_peaks, round(sum(area), 3) AS area FROM a JOIN listed USING (grp) GROUP BY 1""")
 def job_normalise(spark, folder):
-    """Listed groups only, the whole trace as one form."""
-    x = xic(spark, folder)
+    """Listed groups only, one form of ratio 1: the number of peaks and the area of the best."""
     listed = trace(spark, folder).where("run = 'purchase' and raw > 50").select("grp").distinct()
-    areas = chrom.closed_auc(x.join(listed, "grp", "left_semi"), ranges(x), KEYS, ["peak_no"], "smooth")
-    return areas.groupBy("grp").agg(F.count("*").alias("n_peaks"), F.round(F.sum("area"), 3).alias("area"))
+    psm = hits(spark, folder).join(listed, "grp", "left_semi").select("grp", "psm", "rt", F.lit(1.0).alias("r_T"))
+    found, best = chrom.quantify(grid(spark, folder).join(listed, "grp", "left_semi"), psm, KEYS, ["T"])
+    return found.groupBy("grp").agg(F.count("*").alias("n_peaks")).join(best, "grp").select("grp", "n_peaks", F.round("area", 3).alias("area"))
 
 
 @query("job_top1", f"WITH {TRACE_SQL} SELECT grp, run, round(sum(raw), 4) AS area, count(*) AS n FROM trace WHERE run <> 'click' GROUP BY 1, 2 HAVING count(*) >= 5")
 def job_top1(spark, folder):
-    """One form with abundance 1 per match: areas need no deconvolution, groups need five matches."""
-    rows = filters.min_rows(trace(spark, folder).where("run <> 'click'"), ["grp", "run"], 5)
-    return rows.groupBy("grp", "run").agg(F.round(F.sum("raw"), 4).alias("area"), F.count("*").alias("n"))
+    """One form with abundance 1 per match, no deconvolution: the area of the best peak around a group's matches of a run, of which there must be five."""
+    key = ["grp", "run"]
+    kept = filters.relative_intensity(trace(spark, folder).where("run <> 'click'"), key, "raw", 0.05)
+    psm = filters.min_rows(kept, key, 5).select(*key, F.col("id").alias("psm"), "rt", F.lit(1.0).alias("r_T"))
+    counts = psm.groupBy(*key).agg(F.count("*").alias("n"))
+    _, best = chrom.quantify(grid(spark, folder).join(counts.select(*[F.col(c).alias(c) for c in key]), "grp"), psm, key, ["T"])
+    return best.join(counts, key).select(*key, F.round("area", 4).alias("area"), "n")

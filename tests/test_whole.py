@@ -83,3 +83,37 @@ def test_rank_of_all_forms(spark, tmp_path):
     want = {k: not independent([c for c in forms if c]) for k, forms in designs.items()}
     got = {r["spectrum"]: r["rank_deficient"] for r in QUERIES["rank_deficient"](spark, str(tmp_path)).collect()}
     assert got == want and want[2] and want[3] and want[2001] and want[2003] and not want[2002] and not want[2004]
+
+
+def trapezoid(rt, y, a, b):
+    at = [(rt[k], y[k] if a <= k <= b else 0.0) for k in range(max(a - 1, 0), min(b + 2, len(rt)))]
+    return sum((t - s) * (v + u) / 2 for (s, u), (t, v) in zip(at, at[1:])) * 60
+
+
+@pytest.fixture(scope="module")
+def broad(spark, tmp_path_factory):
+    """One group whose peak is 17 points long and lies across strides of five, six purchases of form A around its top, and a group without purchases."""
+    folder = str(tmp_path_factory.mktemp("broad"))
+    y = [0.0] * 6 + [4.0, 8.0, 15.0, 25.0, 40.0, 60.0, 80.0, 95.0, 100.0, 95.0, 80.0, 60.0, 40.0, 25.0, 15.0, 8.0, 4.0] + [0.0] * 7
+    lines = [(1000 + k, 60 * k, user, "click", v) for user in (1, 2) for k, v in enumerate(y)]
+    lines += [(9 + 10 * (200 + k), 60 * (11 + k) + 1, 1, "purchase", 60.0) for k in range(6)]
+    spark.createDataFrame(lines, "event_id long, s long, user_id long, event_type string, value double").selectExpr("event_id", "cast(timestamp_seconds(1704067200 + s) as timestamp_ntz) ts", "user_id", "event_type", "value").write.parquet(f"{folder}/events.parquet")
+    smooth = [sum(w) / len(w) for k in range(len(y)) for w in [y[max(k - 2, 0) : k + 3]]]
+    top = max(range(len(y)), key=lambda k: smooth[k])
+    left, right = top, top
+    while smooth[left - 1] >= 0.1 * smooth[top]:
+        left -= 1
+    while smooth[right + 1] >= 0.1 * smooth[top]:
+        right += 1
+    return folder, trapezoid([float(k) for k in range(len(y))], smooth, left, right), right - left + 1
+
+
+def test_jobs_take_whole_peaks(spark, broad):
+    """Ratios are 0.9 and 0.1 of each match, so of each point; the walls of the peak are where it falls below a tenth of its top."""
+    folder, area, points = broad
+    assert points > 10
+    got = {(r["grp"], r["imp"]): (r["area"], r["share"]) for r in QUERIES["job_quantify"](spark, folder).collect()}
+    assert set(got) == {(1, "A"), (1, "B")}
+    assert got[1, "A"] == pytest.approx((0.9 * area, 0.9), abs=1e-3) and got[1, "B"] == pytest.approx((0.1 * area, 0.1), abs=1e-3)
+    assert [tuple(r) for r in QUERIES["job_normalise"](spark, folder).collect()] == [(1, 1, pytest.approx(area, abs=1e-2))]
+    assert [tuple(r) for r in QUERIES["job_top1"](spark, folder).collect()] == [(1, "purchase", pytest.approx(area, abs=1e-2), 6)]
