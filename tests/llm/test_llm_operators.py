@@ -63,9 +63,11 @@ def brute_components(sets, percent=80):
     return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("block", [2000, 3])
-def test_ngram_join(spark, monkeypatch, block):
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+@pytest.mark.parametrize("small", [False, True])
+def test_ngram_join(spark, monkeypatch, small):
+    if small:  # blocks, buckets, cells and broadcasts that are too small for the groups
+        for name, value in {"BLOCK": 3, "BUCKET_HELD": 16, "HOT_KEYS": 2, "CELL_SHINGLES": 100, "BROADCAST_KEYS": 0, "SIGNATURES_AT_ONCE": 50, "KEYS_IN_ROW": 2}.items():
+            monkeypatch.setattr(ngram_join, name, value)
     texts = sample_texts()
     sets = brute_sets(texts)
     want = brute_components(sets)
@@ -75,30 +77,60 @@ def test_ngram_join(spark, monkeypatch, block):
     assert ngram_join.jaccard_components(docs_of(spark, [])).count() == 0
 
 
-def test_partenum_shares_a_signature_with_every_similar_set():
+@pytest.mark.parametrize("base_first", [True, False])
+def test_ngram_join_counts_rows_not_ids(spark, base_first):
+    base = " ".join(f"t{i}" for i in range(60))
+    near, other = base + " more", " ".join(f"o{i}" for i in range(40))
+    rows = [(1, other), (1, base)] if not base_first else [(1, base), (1, other)]
+    rows += [(5, near), (None, near + " still"), (None, other + " x"), (None, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["text_hash"]): (r["component_id"], r["component_key"]) for r in ngram_join.jaccard_components(docs).collect()}
+    key = {t: spark.createDataFrame([(t,)], "text string").select(ngram_join.text_hash("text")).first()[0] for _, t in rows}
+    a, b = (1, key[base]), (1, key[other])
+    assert got[5, key[near]] == got[a] == got[None, key[near + " still"]] and got[a][0] == 1
+    assert got[b] == got[None, key[other + " x"]] and got[b][0] == 1 and got[a][1] != got[b][1]
+    assert got[9, key[""]] == (9, None) and got[None, key[""]] == (None, None)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_partenum_shares_a_signature_with_every_similar_set(monkeypatch, percent):
     rng = np.random.default_rng(1)
-    for size in (1, 2, 4, 5, 9, 17, 40, 90, 180, 260, 400, 730, 900, 2000):
-        for _ in range(25):
-            a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+    short = _partenum._of_short
+    compared = 0
+    for size in (1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 12, 14, 16, 17, 23, 24, 33, 40, 46, 64, 65, 90, 180, 260, 400, 730, 900, 2000):
+        # large sets keep the guarantee without the signatures of short ones
+        monkeypatch.setattr(_partenum, "_of_short", short if size < 150 else lambda *_: (np.zeros(0, np.int64), np.zeros(0, np.uint64)))
+        for _ in range(60):
+            a = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64, endpoint=False))
             n = len(a)
-            # swaps, removals and additions that keep the similarity at 80 %
-            drop = rng.integers(0, max(1, n // 5) + 1)
-            b = rng.permutation(a)[drop:]
-            extra = rng.integers(0, 1 << 63, max(0, int(rng.integers(0, n // 5 + 1))), dtype=np.uint64)
-            b = np.unique(np.concatenate([b, extra]))
+            # removals and additions that keep the similarity
+            most = max(1, n * (100 - percent) // 100)
+            b = rng.permutation(a)[int(rng.integers(0, most + 1)) :]
+            b = np.unique(np.concatenate([b, rng.integers(0, 1 << 64, int(rng.integers(0, most + 1)), dtype=np.uint64, endpoint=False)]))
             common = len(np.intersect1d(a, b))
-            if not common or 100 * common < 80 * (len(a) + len(b) - common):
-                continue
+            if not common or 100 * common < percent * (len(a) + len(b) - common) or common == len(a) == len(b):
+                continue  # equal sets have one key
             flat = np.concatenate([a, b])
-            row, sig = _partenum.signatures(flat, np.array([0, len(a), len(flat)]))
+            row, sig = _partenum.signatures(flat, np.array([0, len(a), len(flat)]), percent)
             assert set(sig[row == 0]) & set(sig[row == 1]), (size, len(a), len(b), common)
+            compared += 1
+    assert compared > 400
+
+
+def test_partenum_leaves_unrelated_sets_apart():
+    rng = np.random.default_rng(2)
+    for size in (1, 3, 4, 5, 8, 12, 16, 20, 30, 60, 100):
+        flat = rng.integers(0, 1 << 64, 2000 * size, dtype=np.uint64, endpoint=False).reshape(2000, size)
+        flat.sort(axis=1)
+        row, sig = _partenum.signatures(flat.ravel(), np.arange(2001) * size)
+        assert len(sig) == len(np.unique(sig))
 
 
 def test_sketches_never_overstate_a_difference():
     rng = np.random.default_rng(2)
     for size in (5, 300, 6000):
-        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
-        b = np.unique(np.concatenate([a[: size // 2], rng.integers(0, 1 << 63, size, dtype=np.uint64)]))
+        a = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64, endpoint=False))
+        b = np.unique(np.concatenate([a[: size // 2], rng.integers(0, 1 << 64, size, dtype=np.uint64, endpoint=False)]))
         s = ngram_join._sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
         assert ngram_join._apart(s[:1], s[1:])[0] <= len(np.setxor1d(a, b))
 
