@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Up to so many rows of two numbers are broadcast to a scan of whole documents (16 MB); beyond, the join is shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,3 +47,31 @@ def tasks(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def text_hash(text_col: str) -> Column:
+    """With the doc_id, it tells rows apart whose ids repeat or are null; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _beside(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """Semi or anti join of whole documents with rows (doc_id, text_hash)."""
+    rows = stored(rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "rows")
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & text_hash(text_col).eqNullSafe(F.col("_hash"))
+    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, same, how)
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows ``dropped`` (doc_id, text_hash), and with one row each of those in ``repeated``.
+
+    Rows that repeat id and text differ in other columns at most; the one with
+    the least hash over all columns stays.
+    """
+    kept = _beside(docs, dropped, id_col, text_col, "left_anti")
+    repeated = stored(repeated.select("doc_id", "text_hash"), "repeated")
+    if not repeated.limit(1).count():
+        return kept
+    several = _beside(docs, repeated, id_col, text_col, "left_semi")
+    least = F.min(F.struct(F.xxhash64(*docs.columns).alias("_row"), F.struct(*docs.columns).alias("_all")))
+    one = several.groupBy(F.col(id_col).alias("_id"), text_hash(text_col).alias("_hash")).agg(least.alias("_least"))
+    return _beside(kept, repeated, id_col, text_col, "left_anti").union(one.select("_least._all.*"))

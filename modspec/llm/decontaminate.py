@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modspec.llm._shared import stored
+from modspec.llm._shared import stored, text_hash, without_rows
 from modspec.llm._shingles import U, mix, per_row
 
 MAX_HASHES = 64
@@ -51,31 +51,35 @@ def _minima(items: np.ndarray, n: int) -> np.ndarray:
 
 
 def _sets(df: DataFrame, words: int) -> DataFrame:
-    """(id, items) for (id, text): distinct shingles, sorted; texts without words are left out."""
+    """(id, row, items) for (id, row, text): distinct shingles, sorted; texts without words are left out."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, flat, bounds in per_row(batch.column(1), words):
+            for first, flat, bounds in per_row(batch.column(2), words):
                 held = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int64)))
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(held)), held], ["id", "items"])
+                some = batch.slice(first, len(held))
+                out = pa.RecordBatch.from_arrays([some.column(0), some.column(1), held], ["id", "row", "items"])
                 yield out.filter(pa.array(np.diff(bounds) > 0))
 
-    return df.mapInArrow(sets, "id long, items array<bigint>")
+    return df.mapInArrow(sets, "id long, row long, items array<bigint>")
 
 
 def _projected(docs: DataFrame, items: DataFrame, words: int) -> DataFrame:
-    """(id, items): each document's shingles that some item has, if any."""
+    """(id, row, items): the shingles of each text that some item has, if any."""
     known = items.select(F.explode("items").alias("shingle")).distinct()
     if known.count() > BROADCAST_SHINGLES:
-        rows = _sets(docs, words).select("id", F.explode("items").alias("shingle"))
-        return rows.join(known, "shingle", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("shingle")).alias("items"))
-    universe = np.sort(np.array([r[0] for r in known.collect()], np.int64))
+        # equal texts have equal sets, so one row of each goes to the join
+        sets = _sets(docs, words)
+        rows = sets.groupBy("id").agg(F.first("items").alias("items")).select("id", F.explode("items").alias("shingle"))
+        met = rows.join(known, "shingle", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("shingle")).alias("items"))
+        return met.join(docs.select("id", "row").distinct(), "id").select("id", "row", "items")
+    universe = np.sort(known.toArrow().column(0).to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast(universe)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         universe = shared.value
         for batch in batches:
-            for first, flat, bounds in per_row(batch.column(1), words):
+            for first, flat, bounds in per_row(batch.column(2), words):
                 if not len(flat) or not len(universe):
                     continue
                 values = flat.view(np.int64)
@@ -85,10 +89,11 @@ def _projected(docs: DataFrame, items: DataFrame, words: int) -> DataFrame:
                 counts = np.diff(np.concatenate([[0], np.cumsum(found)])[bounds])
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 held = pa.ListArray.from_arrays(pa.array(ends), pa.array(values[found]))
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(held)), held], ["id", "items"])
+                some = batch.slice(first, len(held))
+                out = pa.RecordBatch.from_arrays([some.column(0), some.column(1), held], ["id", "row", "items"])
                 yield out.filter(pa.array(counts > 0))
 
-    return docs.mapInArrow(hits, "id long, items array<bigint>")
+    return docs.mapInArrow(hits, "id long, row long, items array<bigint>")
 
 
 def _signatures(sets: DataFrame, percent: int, parts: list[int], of_items: bool) -> DataFrame:
@@ -126,29 +131,33 @@ def _signatures(sets: DataFrame, percent: int, parts: list[int], of_items: bool)
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                     item_text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each document and item of which it has at least ``percent`` in a hundred shingles: doc_id, item_id, n_item, n_common.
+    """One row for each document and item of which it has at least ``percent`` in a hundred shingles: doc_id, text_hash, item_id, n_item, n_common.
 
     Words and shingles as in the n-gram join; an item with fewer than ``words``
     words is one shingle, found only in documents that are just that.  Null and
-    empty texts and null ids match nothing; rows that repeat an id count once,
-    with their shingles together.  Further columns are ignored.
+    empty texts match nothing; null ids are kept.  Rows that repeat an id with
+    other texts are documents, or items, of their own; rows that repeat id and
+    text count once.  A text of any length is searched whole, by one task.
+    Further columns are ignored; an empty table on either side gives an empty result.
     """
-    items = _sets(benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).where("id is not null"), words)
-    items = stored(items.groupBy("id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")), "items")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    hits = _projected(texts, items, words).groupBy("id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    hits = stored(hits, "hits")
+    bench = benchmark.select(F.xxhash64(F.col(item_col), F.col(item_text_col)).alias("id"), F.col(item_col).cast("long").alias("row"), F.col(item_text_col).alias("text"))
+    items = stored(_sets(bench, words).dropDuplicates(["id"]), "items")
+    texts = docs.select(text_hash(text_col).alias("id"), F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text"))
+    rows = stored(_projected(texts, items, words), "hits")
+    hits = stored(rows.groupBy("id").agg(F.first("items").alias("items")), "hits")
     largest = hits.agg(F.max(F.size("items"))).first()[0] or 0
     parts = list(range(max(0, (largest - 1).bit_length()) + 1)) if largest else []
-    left = _signatures(hits, percent, parts, False).withColumnRenamed("id", "doc_id")
-    right = _signatures(items, percent, parts, True).withColumnRenamed("id", "item_id")
-    pairs = left.join(right, ["part", "fn", "value"]).select("doc_id", "item_id").distinct()
-    checked = pairs.join(hits.toDF("doc_id", "d"), "doc_id").join(items.toDF("item_id", "i"), "item_id")
-    checked = checked.select("doc_id", "item_id", F.size("i").cast("long").alias("n_item"), F.size(F.array_intersect("d", "i")).cast("long").alias("n_common"))
-    return checked.where(f"100 * n_common >= {percent} * n_item")
+    left = _signatures(hits, percent, parts, False).withColumnRenamed("id", "text_hash")
+    right = _signatures(items.select("id", "items"), percent, parts, True).withColumnRenamed("id", "item")
+    pairs = left.join(right, ["part", "fn", "value"]).select("text_hash", "item").distinct()
+    checked = pairs.join(hits.toDF("text_hash", "d"), "text_hash").join(items.toDF("item", "item_id", "i"), "item")
+    checked = checked.select("text_hash", "item_id", F.size("i").cast("long").alias("n_item"), F.size(F.array_intersect("d", "i")).cast("long").alias("n_common"))
+    found = checked.where(f"100 * n_common >= {percent} * n_item")
+    ids = rows.select(F.col("id").alias("text_hash"), F.col("row").alias("doc_id")).distinct()
+    return found.join(ids, "text_hash").select("doc_id", "text_hash", "item_id", "n_item", "n_common")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without those that contain a benchmark item."""
-    dirty = contained_items(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(stored(dirty, "dirty"), id_col, "left_anti")
+    """``docs`` without the rows whose text contains a benchmark item."""
+    dirty = contained_items(docs, benchmark, id_col, text_col, **options).select("doc_id", "text_hash").distinct()
+    return without_rows(docs, dirty, dirty.limit(0), id_col, text_col)

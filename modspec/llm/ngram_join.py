@@ -35,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modspec.llm._partenum import signatures
-from modspec.llm._shared import stored, tasks
+from modspec.llm._shared import stored, tasks, text_hash, without_rows
 from modspec.llm._shingles import U, mix, per_row
 from modspec.llm.components import connected_components
 
@@ -99,10 +99,6 @@ def _may_link(na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray, pe
     return able
 
 
-def text_hash(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
@@ -411,3 +407,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     full = facts.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "key").join(placed, "key", "left")
     own = lambda c: F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col(c)).alias(c)
     return full.select("doc_id", "text_hash", "n_shingles", F.col("key").alias("set_key"), own("class_id"), own("component_id"), "component_key")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id (null last), of equal ones the smallest text hash.
+
+    Documents without words stay, each by itself.
+    """
+    rows = jaccard_components(docs, id_col, text_col, **options).where("component_key is not null")
+    rows = stored(rows.groupBy("component_key", "doc_id", "text_hash").count(), "grouped")
+    first = rows.groupBy("component_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), F.count("*").alias("several"))
+    one = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    dropped = rows.join(first.where("several > 1"), "component_key").where(~one)
+    # what stays may be a row that repeats id and text
+    return without_rows(docs, dropped, rows.where("count > 1").join(first, "component_key").where(one), id_col, text_col)

@@ -25,7 +25,7 @@ def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from modspec.llm.decontaminate import contained_items
 
-    return contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
 
 
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,7 +67,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from modspec.llm.exact_dedup import exact_groups
 
-    return exact_groups(table(spark, folder, "documents"))
+    return exact_groups(table(spark, folder, "documents")).drop("key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -120,9 +120,12 @@ def linear_classifier(votes: np.ndarray, posterior: np.ndarray, ridge: float = 1
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> Classifier:
-    """Trains on labelled rows outside the held-out fold; without both labels, all scores are 0."""
+    """Trains on labelled rows outside the held-out fold, ``max_train`` at most; without both labels, all scores are 0.
+
+    The classifier has at most MAX_VOTERS weights, those of the entries that tell the classes best apart.
+    """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    known = known.where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sample = stored(texts.join(F.broadcast(stored(known, "known")), "doc_id").select("text", "label"), "sample")  # max_train rows at most are broadcast
 
@@ -161,8 +164,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """All columns of ``docs`` and: held_out, score (0 to 1), predicted (1 if score >= 0.5).
 
     Null texts count as empty, which have a score as others do.  Labels that
-    are null or neither 0 nor 1 are left out; of repeated labels of a document
-    one counts.  Columns of ``docs`` with these names are replaced.
+    are null or neither 0 nor 1 are left out; of differing labels of a document
+    1 counts, and documents that repeat its id all have it.  A text of any length is
+    scored whole; an empty table gives an empty result.  Columns of ``docs`` with these names are replaced.
     """
     model = train(docs, labels, id_col, text_col, label_col, max_train)
 

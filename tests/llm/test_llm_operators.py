@@ -186,7 +186,7 @@ def test_decontamination(spark, monkeypatch, limit):
     d, i = brute_sets(texts), brute_sets(items)
     want = {(a, b, len(y), len(x & y)) for a, x in enumerate(d) for b, y in enumerate(i) if y and 100 * len(x & y) >= 80 * len(y)}
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    assert {tuple(r) for r in decontaminate.contained_items(docs_of(spark, texts), bench).collect()} == want and want
+    assert {(r["doc_id"], r["item_id"], r["n_item"], r["n_common"]) for r in decontaminate.contained_items(docs_of(spark, texts), bench).collect()} == want and want
     assert decontaminate.contained_items(docs_of(spark, texts), bench.limit(0)).count() == 0
     assert decontaminate.contained_items(docs_of(spark, []), bench).count() == 0
 
@@ -194,7 +194,7 @@ def test_decontamination(spark, monkeypatch, limit):
 def test_mixing(spark):
     texts = sample_texts(7, 80)
     docs = docs_of(spark, texts)
-    sizes, pieces = mixing.mix_sources(docs, levels=2, blocks_per_shard=4)
+    sizes, pieces, quotas = mixing.mix_sources(docs, levels=2, blocks_per_shard=4)
     rows = [r.asDict() for r in mixing.taken_words(docs, levels=2, blocks_per_shard=4).collect()]
     total = {s: sum(r["size"] for r in rows if r["source"] == s) for s in {r["source"] for r in rows}}
     order = sorted([s for s in total if s is not None]) + [None]
@@ -213,13 +213,33 @@ def test_mixing(spark):
         own = [r for r in rows if r["source"] == s]
         assert abs(own[0]["target"] - target[s]) < 1e-6 and sum(r["taken"] for r in own) == int(target[s] + 1e-9)
     assert all(r["taken"] <= 3 * r["size"] for r in rows) and len(rows) == len(texts)
-    shards = Counter(r["shard"] for r in pieces.collect())
-    assert set(shards) <= set(range(4))
+    drawn = Counter()
+    blocks = {}
+    for r in pieces.collect():
+        drawn[r["doc_id"]] += r["words"]
+        blocks.setdefault((r["shard"], r["source"]), set()).add(r["block"])
+    # what the shards draw makes up the mix; a shard draws no more blocks of a source than its quota has, and no other shard draws them
+    assert {i: n for i, n in drawn.items()} == {r["doc_id"]: r["taken"] for r in rows if r["taken"]}
+    quota = {(r["shard"], r["source"]): r["n_blocks"] for r in quotas.collect()}
+    assert set(blocks) <= set(quota) and all(len(b) <= quota[k] for k, b in blocks.items())
+    for s in total:
+        mine = [b for (_, source), bs in blocks.items() if source == s for b in bs]
+        assert len(mine) == len(set(mine))
+    assert any(sorted(b) != list(range(min(b), max(b) + 1)) for b in blocks.values())  # blocks are permuted, not runs
+    shards = [r["shard"] for r in mixing.in_shards(pieces).collect()]
+    assert shards == sorted(shards) and set(shards) <= set(range(4))
     again = {(r["doc_id"], r["taken"]) for r in mixing.taken_words(docs, levels=2, blocks_per_shard=4).collect()}
     assert again == {(r["doc_id"], r["taken"]) for r in rows}
     assert mixing.taken_words(docs_of(spark, [])).count() == 0 and mixing.taken_words(docs_of(spark, [None, ""])).count() == 2
 
 
+def test_mixing_counts_rows_not_ids(spark):
+    rows = [(1, "a b c", "s"), (1, "d e", "s"), (None, "f g h i", "s"), (None, None, None), (1, "j " * 500, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted((r["size"], r["taken"]) for r in mixing.taken_words(d).collect()) for d in (docs, docs.repartition(3), docs.orderBy("text"))]
+    assert runs[0] == runs[1] == runs[2] and [n for n, _ in runs[0]] == [0, 2, 3, 4, 500]
+
+
 def test_splitting_tree_keeps_quotas(spark):
     quotas = spark.createDataFrame([(0, 13), (1, 1), (2, 0), (3, 50)], "rank int, n_blocks long")
     rows = mixing.split_quotas(quotas, 3).collect()
@@ -362,7 +382,7 @@ def test_exact_groups(spark, key):
     for i, t in enumerate(texts):
         same = [j for j, x in enumerate(texts) if (x or "") == (t or "")]
         want[i] = (max(same), len(same), i == max(same), hashlib.sha256((t or "").encode()).hexdigest())
-    got = {r["doc_id"]: tuple(r)[1:] for r in exact_dedup.exact_groups(docs_of(spark, texts), key=key, capacity=5).collect()}
+    got = {r["doc_id"]: tuple(r)[1:5] for r in exact_dedup.exact_groups(docs_of(spark, texts), key=key, capacity=5).collect()}
     assert got == want
     kept = exact_dedup.exact_dedup(docs_of(spark, texts))
     assert {r["doc_id"] for r in kept.collect()} == {i for i, w in want.items() if w[2]} and kept.columns[0] == "doc_id"
@@ -371,6 +391,23 @@ def test_exact_groups(spark, key):
     assert len(repeated) == 4 and all(r["kept"] and r["group_size"] == 2 for r in repeated)
 
 
+def test_dropping_counts_rows_not_ids(spark):
+    rows = [(1, "aaa", "x"), (1, "unique", "x"), (5, "aaa", "x"), (7, "d", "x"), (7, "d", "y"), (7, "d", "y"), (None, "n", "x"), (None, "n", "x"), (None, "m", "x"), (8, "n", "x"), (None, None, "x"), (None, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    for order in (docs, docs.orderBy(F.desc("text")), docs.repartition(3)):
+        got = sorted((r["doc_id"] or 0, r["text"] or "") for r in exact_dedup.exact_dedup(order).collect())
+        assert got == [(0, ""), (0, "m"), (1, "unique"), (5, "aaa"), (7, "d"), (8, "n")]
+    long = " ".join(f"w{i}" for i in range(50))
+    near = [(1, long), (1, "other words that are five"), (2, long + " x"), (2, long + " x"), (None, long), (None, long), (3, ""), (None, None)]
+    kept = ngram_join.one_of_each_group(spark.createDataFrame(near, "doc_id long, text string"))
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:5]) for r in kept.collect()) == [(0, ""), (1, "other"), (1, "w0 w1"), (3, "")]
+    same = ngram_join.one_of_each_group(spark.createDataFrame([(None, long), (None, long), (None, long + " y")], "doc_id long, text string"))
+    assert same.count() == 1
+    bench = spark.createDataFrame([(1, "other words that are five"), (1, "one more item of the bench"), (None, "never met anywhere in any text")], "item_id long, text string")
+    clean = decontaminate.decontaminate(spark.createDataFrame(near, "doc_id long, text string"), bench)
+    assert sorted(r["text"] or "" for r in clean.collect()) == sorted(t or "" for _, t in near if not (t or "").startswith("other"))
+
+
 def test_directory_doubles_until_no_bucket_is_overfull():
     counts = {i: (50 if i < 4 else 1) for i in range(16)}
     slots = exact_dedup.grow_directory(counts, 4, 60)
