@@ -3,6 +3,10 @@
 A stage takes (spark, docs, sf_dir).  All but the last return the columns of
 ``documents``; the last has the mixed corpus: each document that the mix takes,
 with its size, its source's size and target, and the words taken.
+
+Rows that repeat a doc_id, or have none, are documents of their own in every
+stage: what goes is told by id and text.  Null texts count as empty; empty
+documents stay until the mix, which takes no words of them.
 """
 
 from __future__ import annotations
@@ -14,37 +18,40 @@ from modspec.llm._shared import stored, table
 from modspec.llm.decontaminate import decontaminate
 from modspec.llm.exact_dedup import exact_dedup
 from modspec.llm.mixing import taken_words
-from modspec.llm.ngram_join import jaccard_components
+from modspec.llm.ngram_join import one_of_each_group
 from modspec.llm.toxicity import toxicity_scores
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(docs.columns)
+    scored = toxicity_scores(docs.withColumn("_doc", F.struct(*docs.columns)), table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 0").select("_doc.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup(docs)
 
 
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similarity, directly or through others, the one with the smallest id stays."""
-    others = jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(stored(others, "others"), "doc_id", "left_anti").select(docs.columns)
+    return one_of_each_group(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = taken_words(docs).where("taken > 0").groupBy("doc_id").agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"))
-    return docs.join(stored(taken, "taken"), "doc_id").select(*docs.columns, "size", "source_size", "target", "taken")
+    """Rows are numbered in a stored table; the documents that the mix takes move once, to their counts."""
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    taken = taken_words(numbered, row_col="_row").where("taken > 0").select(F.col("row").alias("_row"), "size", "source_size", "target", "taken")
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    return numbered.select("_row", *own).join(stored(taken, "taken").hint("merge"), "_row").drop("_row")
 
 
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact dedup", drop_copies),
-    ("n-gram Jaccard join", one_of_each_group),
+    ("n-gram Jaccard join", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
     ("mixing", mix),
 ]
