@@ -62,7 +62,7 @@ BUCKET_SHINGLES = 1 << 19
 #: Signatures that a bucket holds before it passes on those of so many keys.
 BUCKET_HELD = 1 << 21
 HOT_KEYS = 1 << 14
-#: Shingles of the sets in one cell of the exact check, but for longer sets.
+#: Shingles of the sets in one cell of the exact check, but for longer sets; an eighth for stars, in which a set is in two cells a pivot at most.
 CELL_SHINGLES = 1 << 21
 
 
@@ -322,7 +322,7 @@ def _rest_pairs(members: DataFrame, roots: DataFrame, facts: DataFrame, percent:
     return rows.mapInArrow(compare, "a long, b long, leader long").groupBy("a", "b").agg(F.min("leader").alias("leader"))
 
 
-def _verified(able: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+def _verified(able: DataFrame, cell_shingles: int, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """The pairs (a, b, leader) whose sets pass the exact test.
 
     A leader's pairs are checked in cells: its keys are dealt among as many
@@ -333,7 +333,7 @@ def _verified(able: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     able = stored(able, "able")
     ends = able.select("leader", F.col("a").alias("key")).union(able.select("leader", "b")).distinct().join(classes.select("key", "n", "rep"), "key")
     ends = stored(ends, "ends")
-    blocks = ends.groupBy("leader").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("blocks"))
+    blocks = ends.groupBy("leader").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / cell_shingles)).cast("int").alias("blocks"))
     own = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
     placed = able.join(blocks, "leader").withColumn("x", own("a")).withColumn("y", own("b"))
     placed = stored(placed.select("leader", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b"), "cells")
@@ -395,10 +395,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_shingles = facts.agg(F.sum("n")).first()[0] or 0
     members = stored(shared_signatures(docs, text_col, words, percent, n_shingles), "members")
     args = (classes, docs, id_col, text_col, words, percent)
-    edges = stored(_verified(_screened(_star_pairs(members), classes, percent), *args), "links")
+    edges = stored(_verified(_screened(_star_pairs(members), classes, percent), max(1, CELL_SHINGLES // 8), *args), "links")
     roots = connected_components(edges)
     rest = _rest_pairs(members, roots, classes.select("key", "n", "sketch"), percent)
-    more = stored(_verified(rest, *args), "links")
+    more = stored(_verified(rest, CELL_SHINGLES, *args), "links")
     if more.limit(1).count():
         roots = connected_components(edges.union(more))
     placed = classes.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
