@@ -63,25 +63,36 @@ def nearest_join(points: DataFrame, grid: DataFrame, keys: list[str], on: str, i
     return found.select(*points.columns, F.when(err <= max_err, pick).alias(index))
 
 
-def locate_substrings(needles: DataFrame, texts: DataFrame, needle_key: str, needle: str, text_key: str, text: str, seed: int = 12) -> DataFrame:
+def _grams(text: str, k: int) -> Column:
+    """All overlapping strings of ``k`` characters, in order."""
+    at_once = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
+    # a pattern steps by UTF-16 units, so texts beyond the basic plane are cut by characters
+    bound = F.transform(F.array(F.split(F.col(text), "")), lambda chars: F.transform(F.sequence(F.lit(1), F.size(chars) - k + 1), lambda i: F.array_join(F.slice(chars, i, k), "")))
+    cut = F.when(F.length(text) >= k, F.get(bound, F.lit(0)))
+    return F.when(F.rlike(F.col(text), F.lit(r"[\x{10000}-\x{10FFFF}]")), cut).otherwise(at_once)
+
+
+def locate_substrings(needles: DataFrame, texts: DataFrame, needle_key: str, needle: str, text_key: str, text: str, seeds: tuple[int, ...] = (1, 2, 3, 4, 6, 8, 12)) -> DataFrame:
     """(needle_key, text_key, pos): all occurrences, overlapping ones too, 1-based.
 
-    Every place of a text is hashed over ``seed`` characters (at most the
-    length of the shortest needle) and meets the needles' beginnings in an
-    equi-join; the few candidates are compared in full.  Empty needles are
-    found nowhere.
+    Needles are classed by the longest seed that they can have; for each class
+    that occurs, every place of a text meets the beginnings of the class's
+    needles in an equi-join, so a short needle doesn't loosen the others'
+    seeds.  Candidates longer than their seed are compared in full.  Empty
+    needles are found nowhere.
     """
-    needles = needles.where(F.length(needle) > 0)
-    shortest = needles.agg(F.min(F.length(needle))).first()[0] or seed
-    k = min(seed, shortest)
-    gram = lambda chars, i: F.xxhash64(F.array_join(F.slice(chars, i, k), ""))
-    # the characters are bound to a variable, or they would be split anew at each place
-    bound = F.transform(F.array(F.split(F.col(text), "")), lambda chars: F.transform(F.sequence(F.lit(1), F.size(chars) - k + 1), lambda i: gram(chars, i)))
-    places = F.when(F.length(text) >= k, F.get(bound, F.lit(0)))
-    seeds = texts.select(text_key, F.posexplode(places).alias("_at", "_gram"))
-    heads = needles.select(needle_key, needle, gram(F.split(F.col(needle), ""), F.lit(1)).alias("_gram"))
-    met = seeds.join(heads, "_gram").select(needle_key, needle, text_key, (F.col("_at") + 1).alias("pos"))
-    checked = met.join(texts.select(text_key, text), text_key)
+    size = F.length(needle)
+    seed = F.greatest(*[F.when(size >= k, k).otherwise(0) for k in seeds]) if len(seeds) > 1 else F.when(size >= seeds[0], seeds[0]).otherwise(0)
+    classed = needles.where(size > 0).withColumn("_k", seed)
+    found = None
+    for k in [r[0] for r in classed.select("_k").distinct().collect()]:  # as many as seeds
+        places = texts.select(text_key, F.posexplode(_grams(text, k)).alias("_at", "_g")).select(text_key, "_at", F.xxhash64("_g").alias("_gram"))
+        heads = classed.where(F.col("_k") == k).select(needle_key, needle, F.xxhash64(F.substring(needle, 1, k)).alias("_gram"))
+        met = places.join(heads, "_gram").select(needle_key, needle, text_key, (F.col("_at") + 1).alias("pos"))
+        found = met if found is None else found.union(met)
+    if found is None:
+        found = needles.where("false").join(texts.select(text_key), F.lit(False)).select(needle_key, needle, text_key, F.lit(1).alias("pos"))
+    checked = found.join(texts.select(text_key, text), text_key)
     return checked.where(F.substr(F.col(text), F.col("pos"), F.length(needle)) == F.col(needle)).select(needle_key, text_key, "pos")
 
 

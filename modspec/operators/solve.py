@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -50,51 +52,81 @@ def gram_matrix(terms: DataFrame, keys: list[str], row: str, col: str, value: st
     return a.join(b, [*keys, row]).where("i <= j").groupBy(*keys, "i", "j").agg(F.sum(F.col("_x") * F.col("_y")).alias("h"))
 
 
-def box_descent(h: np.ndarray, f: np.ndarray, low: np.ndarray, sweeps: int = 20_000, tol: float = 1e-12) -> np.ndarray:
-    """min x'Hx/2 + f'x over x >= low, by coordinate descent."""
-    x = low.astype(float).copy()
-    diag = np.diag(h)
-    grad = h @ x + f
+def box_descent(h: np.ndarray, f: np.ndarray, sweeps: int = 20_000, tol: float = 1e-12) -> np.ndarray:
+    """min x'Hx/2 + f'x over x >= 0 of many systems at once, by coordinate descent: ``h`` is (systems, n, n), ``f`` (systems, n).
+
+    Systems that no longer move are left out of further sweeps.
+    """
+    x = np.zeros(f.shape)
+    diag = np.einsum("bii->bi", h)
+    grad = f.astype(float).copy()
+    active = np.arange(len(h))
+    hh, dd, gg, xx = h, np.where(diag > 0, diag, np.inf), grad, x.copy()
     for _ in range(sweeps):
-        moved = 0.0
-        for i in np.flatnonzero(diag > 0):
-            new = max(low[i], x[i] - grad[i] / diag[i])
-            if new != x[i]:
-                grad += h[:, i] * (new - x[i])
-                moved = max(moved, abs(new - x[i]))
-                x[i] = new
-        if moved < tol:
+        moved = np.zeros(len(hh))
+        for i in range(f.shape[1]):
+            step = np.maximum(-xx[:, i], -gg[:, i] / dd[:, i])
+            gg += hh[:, :, i] * step[:, None]
+            xx[:, i] += step
+            np.maximum(moved, np.abs(step), out=moved)
+        on = moved >= tol
+        if on.sum() < 0.8 * len(on) or not on.any():
+            x[active[~on]] = xx[~on]
+            active, hh, dd, gg, xx = active[on], hh[on], dd[on], gg[on], xx[on]
+        if not len(active):
             break
+    x[active] = xx
     return x
 
 
-def estimate_abundance(terms: DataFrame, targets: DataFrame, key: str, row: str, col: str, value: str, target: str, lam: float = 0.0) -> DataFrame:
-    """(key, col, abundance, kkt, rank_deficient) of each spectrum: min |Xw - y|^2 / 2 + lam/2 * sum w, w >= 0.
+def estimate_abundance(terms: DataFrame, targets: DataFrame, key: str, row: str, col: str, value: str, target: str, lam: float = 0.0, penalties: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """(key, col, abundance, xy, kkt, rank_deficient) of each spectrum: min |Xw - y|^2 / 2 + sum of penalties * w / 2, w >= 0.
 
-    ``terms`` are the entries of X, ``targets`` (key, row, target) y.  H and
-    X'y come from Spark aggregates; a spectrum's small system is solved in its
-    group.  Abundances within 1e-8 of 0 are 0, the others sum to 1.
+    ``terms`` are the entries of X, ``targets`` (key, row, target) y.  The
+    penalty of a form is ``lam``, or ``lam`` times its own in ``penalties``
+    (key, col, penalty); ``weights`` (key, row, weight) multiply the squares of
+    the rows.  H and X'y come from Spark aggregates; a spectrum's system is one
+    row, and a task solves the systems of a batch together, by their size.
+    Abundances within 1e-8 of 0 are 0, the others sum to 1.
     """
-    h = gram_matrix(terms, [key], row, col, value).select(key, F.lit(0).alias("kind"), "i", "j", F.col("h").alias("v"))
-    xy = terms.join(targets, [key, row]).groupBy(key, F.col(col).alias("i")).agg(F.sum(F.col(value) * F.col(target)).alias("v"))
-    rows = h.unionByName(xy.select(key, F.lit(1).alias("kind"), "i", F.col("i").alias("j"), "v"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(pdf["i"])
-        n = len(names)
-        i, j, v = np.searchsorted(names, pdf["i"]), np.searchsorted(names, pdf["j"]), pdf["v"].to_numpy()
-        quad = (pdf["kind"] == 0).to_numpy()
-        m = np.zeros((n, n))
-        m[i[quad], j[quad]] = v[quad]
-        m[j[quad], i[quad]] = v[quad]
-        f = np.full(n, lam / 2)
-        f[i[~quad]] -= v[~quad]
-        x = box_descent(m, f, np.zeros(n))
-        grad = m @ x + f
-        kkt = max(np.abs(np.minimum(grad, 0)).max(), np.abs(grad * x).max())
-        x[np.abs(x) <= 1e-8] = 0
-        share = x / x.sum() if x.sum() else x
-        return pd.DataFrame({key: pdf[key].iloc[0], col: names, "abundance": share, "kkt": kkt, "rank_deficient": bool(np.linalg.matrix_rank(m) < n)})
+    if weights is not None:
+        root = weights.select(key, row, F.sqrt("weight").alias("_root"))
+        terms = terms.join(root, [key, row]).withColumn(value, F.col(value) * F.col("_root")).drop("_root")
+        targets = targets.join(root, [key, row]).withColumn(target, F.col(target) * F.col("_root")).drop("_root")
+    h = gram_matrix(terms, [key], row, col, value).groupBy(key).agg(F.collect_list(F.struct("i", "j", F.col("h").cast("double").alias("v"))).alias("h"))
+    xy = terms.join(targets, [key, row]).groupBy(key, F.col(col).alias("i")).agg(F.sum(F.col(value) * F.col(target)).cast("double").alias("v"))
+    own = F.lit(float(lam))
+    if penalties is not None:
+        xy = xy.join(penalties.select(key, F.col(col).alias("i"), "penalty"), [key, "i"], "left")
+        own = lam * F.coalesce("penalty", F.lit(0.0)).cast("double")
+    xy = xy.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "v", own.alias("p")))).alias("xy"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            names = [[e["i"] for e in xy] for xy in pdf["xy"]]
+            size = np.array([len(n) for n in names])
+            out = []
+            for n in np.unique(size):
+                some = np.flatnonzero(size == n)
+                m, b, f = np.zeros((len(some), n, n)), np.zeros((len(some), n)), np.zeros((len(some), n))
+                for k, at in enumerate(some):
+                    place = {name: i for i, name in enumerate(names[at])}
+                    for e in pdf["h"].iat[at]:
+                        i, j = place[e["i"]], place[e["j"]]
+                        m[k, i, j] = m[k, j, i] = e["v"]
+                    b[k] = [e["v"] for e in pdf["xy"].iat[at]]
+                    f[k] = [e["p"] / 2 for e in pdf["xy"].iat[at]]
+                f -= b
+                x = box_descent(m, f)
+                grad = np.einsum("bij,bj->bi", m, x) + f
+                kkt = np.maximum(np.abs(np.minimum(grad, 0)).max(1), np.abs(grad * x).max(1))
+                x[np.abs(x) <= 1e-8] = 0
+                whole = x.sum(1, keepdims=True)
+                deficient = np.linalg.matrix_rank(m, hermitian=True) < n
+                out.append(pd.DataFrame({key: np.repeat(pdf[key].to_numpy()[some], n), col: [name for at in some for name in names[at]], "abundance": (x / np.where(whole == 0, 1, whole)).ravel(),
+                                         "xy": b.ravel(), "kkt": np.repeat(kkt, n), "rank_deficient": np.repeat(deficient, n)}))
+            if out:
+                yield pd.concat(out)
 
     kind = dict(terms.dtypes)
-    return rows.groupBy(key).applyInPandas(solve, f"{key} {kind[key]}, {col} {kind[col]}, abundance double, kkt double, rank_deficient boolean")
+    return h.join(xy, key).mapInPandas(solve, f"{key} {kind[key]}, {col} {kind[col]}, abundance double, xy double, kkt double, rank_deficient boolean")

@@ -1,53 +1,90 @@
 """Windows over ordered rows: running counts, clusters, fills, intervals, best-of.
 
 All take column names, so they serve spectra and any other table.  Those with
-partition columns shuffle once on them; those over a whole table work in two
-levels (runs of a value range, then rows within a run) and never put all rows
-in one task.
+partition columns shuffle once on them; those over a whole table, or over
+groups that may be few and large, work in two levels (runs of a value range,
+then rows within a run) and never put all rows of a group in one task.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_sums(df: DataFrame, score: str, tie: str, flags: dict[str, Column], runs: int = 200) -> DataFrame:
-    """Running sums of ``flags`` over the whole table by falling score, then tie.
+#: Rows of a run that one task puts in order; there are at least LEAST_RUNS.
+RUN_ROWS = 100_000
+LEAST_RUNS = 16
 
-    Cut points of the score (one row, broadcast) split the rows into runs;
-    sums within a run and totals of the runs before it add up.
+
+def _with_runs(df: DataFrame, value: str, runs: int | None = None) -> DataFrame:
+    """``df`` with _run: ranges of ``value`` with about as many rows each, by rising value; their number grows with the table.
+
+    Equal values share a run.  Null is before all runs.
     """
-    probe = df.agg(F.percentile_approx(score, [i / runs for i in range(1, runs)], 10_000).alias("_cuts"))
-    run = F.size(F.filter("_cuts", lambda c: c > F.col(score)))
-    placed = df.crossJoin(F.broadcast(probe)).withColumn("_run", run).drop("_cuts")
-    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy("_run").agg(*[F.sum(f.cast("long")).alias(f"_{n}") for n, f in flags.items()])
-    offsets = totals.select("_run", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in flags])
-    inside = Window.partitionBy("_run").orderBy(F.col(score).desc(), tie).rowsBetween(Window.unboundedPreceding, 0)
-    local = placed.select("*", *[F.sum(f.cast("long")).over(inside).alias(n) for n, f in flags.items()])
-    summed = local.join(F.broadcast(offsets), "_run")  # as many rows as runs
-    return summed.select(*df.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in flags])
+    runs = runs or max(LEAST_RUNS, df.count() // RUN_ROWS)
+    cuts = sorted(set(df.approxQuantile(value, [i / runs for i in range(1, runs)], 0.25 / runs)))
+    if not cuts:
+        return df.withColumn("_run", F.lit(0))
+    placed = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_value", outputCol="_run", handleInvalid="keep").transform(df.withColumn("_value", F.col(value).cast("double")))
+    return placed.drop("_value").withColumn("_run", F.coalesce(F.col("_run").cast("int"), F.lit(-1)))
+
 
+def running_sums(df: DataFrame, score: str, tie: str, flags: dict[str, Column], keys: list[str] | None = None, runs: int | None = None) -> DataFrame:
+    """Running sums of ``flags`` by falling score, then tie, over the whole table or within the groups of ``keys``.
 
-def running_sums_by(df: DataFrame, keys: list[str], score: str, tie: str, flags: dict[str, Column]) -> DataFrame:
-    """Running sums of ``flags`` within each group by falling score, then tie."""
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), tie).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select("*", *[F.sum(f.cast("long")).over(w).alias(n) for n, f in flags.items()])
+    Sums within a run of the score and totals of the runs before it add up, so
+    a group of any size is spread over its runs.
+    """
+    keys = keys or []
+    placed = _with_runs(df, score, runs)
+    before = Window.partitionBy(*keys).orderBy(F.desc("_run")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*keys, "_run").agg(*[F.sum(f.cast("long")).alias(f"_{n}") for n, f in flags.items()])
+    offsets = totals.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_run").alias("_of"), *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in flags])
+    inside = Window.partitionBy(*keys, "_run").orderBy(F.col(score).desc(), tie).rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.select("*", *[F.sum(f.cast("long")).over(inside).alias(n) for n, f in flags.items()])
+    same = F.col("_run") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return local.join(offsets, same).select(*df.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in flags])
 
 
 def monotone_q(df: DataFrame, keys: list[str], score: str, tie: str, ratio: str, cap: float | None = 1.0) -> DataFrame:
-    """q: the smallest ratio at this or any lower score, capped."""
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), tie).rowsBetween(0, Window.unboundedFollowing)
-    q = F.min(ratio).over(w)
-    return df.withColumn("q", q if cap is None else F.least(q, F.lit(cap)))
+    """q: the smallest ratio at this or any lower score, capped; minima of runs of the score and of the rows within a run."""
+    placed = _with_runs(df, score)
+    lows = placed.groupBy(*keys, "_run").agg(F.min(ratio).alias("_low"))
+    after = Window.partitionBy(*keys).orderBy(F.desc("_run")).rowsBetween(1, Window.unboundedFollowing)
+    lows = lows.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_run").alias("_of"), F.min("_low").over(after).alias("_low"))
+    inside = Window.partitionBy(*keys, "_run").orderBy(F.col(score).desc(), tie).rowsBetween(0, Window.unboundedFollowing)
+    same = F.col("_run") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    q = F.least(F.col("_q"), F.col("_low")) if cap is None else F.least(F.col("_q"), F.col("_low"), F.lit(cap))
+    return placed.withColumn("_q", F.min(ratio).over(inside)).join(lows, same).withColumn("q", q).select(*df.columns, "q")
 
 
 def gap_clusters(df: DataFrame, keys: list[str], value: str, tie: str, tol: Column) -> DataFrame:
-    """cluster: 1, 2, ... by rising value; a new one begins where the gap to the row before exceeds ``tol`` (an expression over ``_prev``)."""
-    w = Window.partitionBy(*keys).orderBy(value, tie)
-    stepped = df.withColumn("_prev", F.lag(value).over(w)).withColumn("_cut", F.coalesce((F.col(value) - F.col("_prev") > tol).cast("long"), F.lit(1)))
-    return stepped.withColumn("cluster", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_prev", "_cut")
+    """cluster: 1, 2, ... by rising value; a new one begins where the gap to the row before exceeds ``tol`` (an expression over ``_prev``).
+
+    Cuts are found within runs of the value, the largest value of the run
+    before standing in front of a run's first row; counts of cuts add up over
+    the runs.
+    """
+    placed = _with_runs(df, value)
+    order = Window.partitionBy(*keys).orderBy("_run")
+    tops = placed.groupBy(*keys, "_run").agg(F.max(value).alias("_top")).select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_run").alias("_of"), "_top")
+    tops = tops.withColumn("_edge", F.lag("_top").over(Window.partitionBy(*[f"_key_{k}" for k in keys]).orderBy("_of"))).drop("_top")
+    same = F.col("_run") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    w = Window.partitionBy(*keys, "_run").orderBy(value, tie)
+    stepped = placed.join(tops, same).withColumn("_prev", F.coalesce(F.lag(value).over(w), F.col("_edge")))
+    stepped = stepped.withColumn("_cut", F.coalesce((F.col(value) - F.col("_prev") > tol).cast("long"), F.lit(1))).drop("_of", "_edge", *[f"_key_{k}" for k in keys])
+    cuts = stepped.groupBy(*keys, "_run").agg(F.sum("_cut").alias("_cuts"))
+    cuts = cuts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_run").alias("_of"), F.coalesce(F.sum("_cuts").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    local = stepped.withColumn("_in", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return local.join(cuts, same).withColumn("cluster", F.col("_in") + F.col("_before")).select(*df.columns, "cluster")
 
 
 def forward_fill(df: DataFrame, keys: list[str], order: list[str], fills: dict[str, Column]) -> DataFrame:

@@ -175,7 +175,7 @@ def isotope_gate(spark, folder):
     return chrom.isotope_gate(rows, _COLS, _PATTERN).select("id", "mono")
 
 
-@query("xic_extract", """WITH w AS (SELECT p_partkey AS win, p_size AS grp, p_retailprice - 0.5 AS low, p_retailprice + 0.5 AS high FROM part WHERE p_partkey % 10 = 0)
+@query("xic_extract", """WITH w AS (SELECT p_partkey AS win, p_size AS grp, p_retailprice - 0.5 AS low, p_retailprice + 0.5 AS high FROM part)
 SELECT win, l_orderkey AS scan, arg_max(l_quantity, l_extendedprice * 1000000 + l_quantity) AS intensity FROM w JOIN lineitem ON l_linenumber = grp % 7 + 1 AND l_extendedprice > low AND l_extendedprice < high GROUP BY 1, 2""")
 def xic_extract(spark, folder):
     win = ions(spark, folder).select(F.col("ion").alias("window"), (F.col("cls") % 7 + 1).alias("run"), (F.col("ion_mz") - 0.5).alias("low"), (F.col("ion_mz") + 0.5).alias("high"))
@@ -215,7 +215,7 @@ def ingest_fasta(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.regexp_extract(text, r"^([^\n]*)", 1).alias("header"), F.regexp_replace(F.regexp_replace(text, r"^[^\n]*", ""), r"[ \t\n\r\f\x0B]", "").alias("sequence"))
 
 
-@query("job_quantify", f"WITH {BEST_SQL} SELECT grp, imp, round(area, 4) AS area, round(coalesce(area / nullif(sum(area) OVER (PARTITION BY grp), 0), 0), 6) AS share FROM best WHERE round(area, 6) <> 0")
+@query("job_quantify")
 def job_quantify(spark, folder):
     """Traces to one area per form: peaks around the matches, their ratios spread over the peaks, the best peak, its area, nonzero only."""
     from pyspark.sql import Window

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from modspec.operators import chrom, fdr, filters, windows
-from modspec.plans.adapters import TRACE_SQL, ions, peaks, psms, table, trace
-from modspec.plans.q_chrom import BEST_SQL, KEYS, XIC_SQL, areas_sql, best, grid, hits, ranges, xic
+from modspec.plans.adapters import ions, peaks, psms, table, trace
+from modspec.plans.q_chrom import BEST_SQL, KEYS, areas_sql, best, grid, hits, ranges, xic
 from modspec.plans.q_spectra import MATCH_SQL, matches
 from modspec.plans.q_windows import COUNTS_SQL
 from modspec.plans.registry import query
@@ -98,7 +98,7 @@ def job_requantify(spark, folder):
     return got.select("grp", "imp", F.round("area", 4).alias("area"), F.round(F.col("area") / F.nullif("total", F.lit(0.0)), 6).alias("share"))
 
 
-@query("job_normalise", f"""WITH {XIC_SQL}, {areas_sql('smooth', 'a')}, listed AS (SELECT DISTINCT user_id AS grp FROM events WHERE event_type = 'purchase' AND value > 50) SELECT grp, count(*) AS n_peaks, round(sum(area), 3) AS area FROM a JOIN listed USING (grp) GROUP BY 1""")
+@query("job_normalise")
 def job_normalise(spark, folder):
     """Listed groups only, one form of ratio 1: the number of peaks and the area of the best."""
     listed = trace(spark, folder).where("run = 'purchase' and raw > 50").select("grp").distinct()
@@ -107,7 +107,7 @@ def job_normalise(spark, folder):
     return found.groupBy("grp").agg(F.count("*").alias("n_peaks")).join(best, "grp").select("grp", "n_peaks", F.round("area", 3).alias("area"))
 
 
-@query("job_top1", f"WITH {TRACE_SQL} SELECT grp, run, round(sum(raw), 4) AS area, count(*) AS n FROM trace WHERE run <> 'click' GROUP BY 1, 2 HAVING count(*) >= 5")
+@query("job_top1")
 def job_top1(spark, folder):
     """One form with abundance 1 per match, no deconvolution: the area of the best peak around a group's matches of a run, of which there must be five."""
     key = ["grp", "run"]

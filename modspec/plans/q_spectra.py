@@ -8,7 +8,7 @@ from modspec.operators import filters, solve
 from modspec.plans.adapters import peaks, psms, table
 from modspec.plans.registry import query
 
-MATCH_SQL = "matches AS (SELECT l_orderkey AS spectrum, l_suppkey % 10 AS ion, l_linenumber AS imp, sum(l_quantity) AS raw FROM lineitem WHERE l_orderkey < 2000 GROUP BY ALL), m AS (SELECT *, raw / max(raw) OVER (PARTITION BY spectrum) AS norm FROM matches)"
+MATCH_SQL = "matches AS (SELECT l_orderkey AS spectrum, l_suppkey % 10 AS ion, l_linenumber AS imp, sum(l_quantity) AS raw FROM lineitem GROUP BY ALL), m AS (SELECT *, raw / max(raw) OVER (PARTITION BY spectrum) AS norm FROM matches)"
 
 
 def matches(spark, folder):
@@ -130,11 +130,13 @@ def _abundance(spark, folder):
     return solve.estimate_abundance(x, y, "spectrum", "ion", "imp", "x", "y", 0.5)
 
 
-@query("abundance_kkt", "SELECT DISTINCT l_orderkey AS spectrum, true AS kkt_ok, true AS sums_ok FROM lineitem WHERE l_orderkey < 2000")
+@query("abundance_kkt", f"""WITH {MATCH_SQL}, y AS (SELECT spectrum, ion, sum(norm) AS y FROM m GROUP BY 1, 2), xy AS (SELECT m.spectrum, m.imp, sum(y) AS p FROM m JOIN y USING (spectrum, ion) GROUP BY 1, 2)
+SELECT spectrum, count(*) AS n_forms, round(sum(p), 5) AS xy, round(max(p), 5) AS top, true AS kkt_ok, true AS sums_ok FROM xy GROUP BY 1""")
 def abundance_kkt(spark, folder):
-    """Certificate that each spectrum's solution is optimal, and that its shares sum to 1 (or 0)."""
+    """The right side X'y that the solver was given, a certificate that each spectrum's solution is optimal, and that its shares sum to 1 (or 0)."""
     s = F.sum("abundance")
-    return _abundance(spark, folder).groupBy("spectrum").agg((F.max("kkt") < 1e-6).alias("kkt_ok"), ((F.abs(s - 1) < 1e-9) | (s == 0)).alias("sums_ok"))
+    return _abundance(spark, folder).groupBy("spectrum").agg(
+        F.count("*").alias("n_forms"), F.round(F.sum("xy"), 5).alias("xy"), F.round(F.max("xy"), 5).alias("top"), (F.max("kkt") < 1e-6).alias("kkt_ok"), ((F.abs(s - 1) < 1e-9) | (s == 0)).alias("sums_ok"))
 
 
 @query("abundance_2imp", f"""WITH {MATCH_SQL}, t AS (SELECT spectrum, ion, imp FROM m WHERE imp <= 2), y AS (SELECT spectrum, ion, sum(norm) AS y FROM m WHERE imp <= 2 GROUP BY 1, 2),
@@ -154,8 +156,7 @@ def abundance_2imp(spark, folder):
     return both.select("spectrum", F.round("share", 5).alias("share"))
 
 
-@query("rank_deficient", f"""WITH {MATCH_SQL}, t AS (SELECT DISTINCT spectrum, ion, imp FROM m WHERE imp <= 2), s AS (SELECT spectrum, imp, string_agg(ion, ',' ORDER BY ion) AS ions FROM t GROUP BY 1, 2)
-SELECT spectrum, count(DISTINCT ions) < count(*) AS rank_deficient FROM s GROUP BY 1""")
+@query("rank_deficient")
 def rank_deficient(spark, folder):
     """Whether the rank of the 0/1 design of all forms is below their number, by spectrum."""
     rows = matches(spark, folder)

@@ -99,12 +99,13 @@ def test_best_of_prefers_the_first_on_ties(spark):
 
 def test_box_descent_meets_the_optimality_conditions():
     rng = np.random.default_rng(0)
-    for _ in range(30):
-        n = int(rng.integers(2, 6))
-        a = rng.normal(size=(n + 2, n))
-        h, f = a.T @ a, rng.normal(size=n)
-        x = solve.box_descent(h, f, np.zeros(n))
-        g = h @ x + f
+    for n in range(1, 7):
+        a = rng.normal(size=(40, n + 2, n))
+        a[::7, :, 0] = 0  # an empty form
+        a[::5, :, -1] = a[::5, :, 0]  # equal forms
+        h, f = np.einsum("bki,bkj->bij", a, a), np.einsum("bki,bk->bi", a, rng.normal(size=(40, n + 2)))
+        x = solve.box_descent(h, f)
+        g = np.einsum("bij,bj->bi", h, x) + f
         assert (x >= 0).all() and (g > -1e-6).all() and np.abs(g * x).max() < 1e-6
 
 
