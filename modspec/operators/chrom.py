@@ -57,13 +57,16 @@ def fwhm(xic: DataFrame, ranges: DataFrame, keys: list[str], peak: list[str], va
 
 def peak_features(xic: DataFrame, ranges: DataFrame, keys: list[str], imps: list[str], smooth: str = "smooth", prefix: str = "r_") -> DataFrame:
     """(keys, peak_no, imp, max_ratio, area, fwhm, rt_start, rt_end): ``xic`` has a ratio column ``<prefix><imp>`` for each form."""
-    out = None
-    for imp in imps:
-        shaped = xic.withColumn("_y", F.col(f"{prefix}{imp}") * F.col(smooth))
-        ends = points_of(shaped, ranges, keys).groupBy(*keys, "peak_no").agg(F.max(f"{prefix}{imp}").alias("max_ratio"), F.min("rt").alias("rt_start"), F.max("rt").alias("rt_end"))
-        one = ends.join(closed_auc(shaped, ranges, keys, ["peak_no"], "_y"), [*keys, "peak_no"]).join(fwhm(shaped, ranges, keys, ["peak_no"], "_y"), [*keys, "peak_no"]).withColumn("imp", F.lit(imp))
-        out = one if out is None else out.unionByName(one)
-    return out
+    # one row per point and form, so that the trace is read and joined once
+    forms = F.array(*[F.struct(F.lit(i).alias("imp"), F.col(f"{prefix}{i}").alias("ratio"), (F.col(f"{prefix}{i}") * F.col(smooth)).alias("_y")) for i in imps])
+    shaped = xic.select(*keys, "i", "rt", F.inline(forms))
+    by = ranges.select(*keys, "peak_no", "left_i", "right_i", F.explode(F.array(*[F.lit(i) for i in imps])).alias("imp"))
+    within = [*keys, "imp"]
+    ends = points_of(shaped, by, within).groupBy(*within, "peak_no").agg(F.max("ratio").alias("max_ratio"), F.min("rt").alias("rt_start"), F.max("rt").alias("rt_end"))
+    parts = [closed_auc(shaped, by, within, ["peak_no"], "_y"), fwhm(shaped, by, within, ["peak_no"], "_y")]
+    for part in parts:
+        ends = ends.join(part, [*within, "peak_no"])
+    return ends
 
 
 def kernel_ratio(xic: DataFrame, ranges: DataFrame, psms: DataFrame, keys: list[str], imps: list[str]) -> DataFrame:

@@ -41,6 +41,16 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], on: str, take:
     return joined.select(*left.columns, *[F.col(f"_right.{n}").alias(n) for n in take.values()])
 
 
+def precursor_profile(spectra: DataFrame, peaks: DataFrame, key: str, keys: list[str], precursor: str, mz: str, intensity: str, tol: float) -> DataFrame:
+    """``spectra`` with intensity: the largest peak within ``tol`` of the precursor among the peaks of equal ``keys``, 0 without one."""
+    at = peaks.select(*keys, F.col(mz).alias("_mz"), F.col(intensity).alias("_intensity"))
+    # peaks of one m/z differ in their largest only
+    at = at.groupBy(*keys, "_mz").agg(F.max("_intensity").alias("_intensity"))
+    near = band_join(spectra.select(key, *keys, F.col(precursor).alias("_precursor")), at, "_precursor", "_mz", tol, tuple(keys))
+    top = near.groupBy(key).agg(F.max("_intensity").alias("intensity"))
+    return spectra.join(top, key, "left").withColumn("intensity", F.coalesce("intensity", F.lit(0.0)))
+
+
 def nearest_join(points: DataFrame, grid: DataFrame, keys: list[str], on: str, index: str, max_err: float) -> DataFrame:
     """Index of the grid value nearest to each point, the first on ties; null beyond ``max_err``.
 

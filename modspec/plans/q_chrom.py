@@ -186,15 +186,14 @@ def xic_extract(spark, folder):
 @query("precursor_profile", f"""WITH {TRACE_SQL}, v AS (SELECT v.id, v.grp, v.raw, c.id AS ms1, c.rt AS rt FROM (SELECT * FROM trace WHERE run = 'view') v ASOF JOIN (SELECT * FROM trace WHERE run = 'click') c ON v.grp = c.grp AND v.rt >= c.rt)
 SELECT v.id, v.ms1, v.rt, coalesce(max(t.raw) FILTER (abs(t.raw - v.raw) <= 0.3), 0) AS intensity FROM v LEFT JOIN trace t ON t.grp = v.grp AND t.run = 'click' GROUP BY 1, 2, 3""")
 def precursor_profile(spark, folder):
-    """Scan and time of each spectrum's parent, and the largest peak near its precursor (0 without one) from the nested peaks."""
-    from modspec.operators.joins import asof_join
+    """Scan and time of each spectrum's parent, and the largest peak near its precursor (0 without one)."""
+    from modspec.operators.joins import asof_join, precursor_profile
 
     t = trace(spark, folder)
     parents = t.where("run = 'click'").withColumn("at", F.col("rt"))
     spectra = asof_join(t.where("run = 'view'").select("id", "grp", "rt", "raw"), parents, ["grp"], "rt", {"id": "ms1", "at": "ms1_rt"}, "id")
-    nested = parents.groupBy("grp").agg(F.collect_list("raw").alias("peaks"))
-    near = F.array_max(F.filter("peaks", lambda p: F.abs(p - F.col("raw")) <= 0.3))
-    return spectra.join(nested, "grp").select("id", "ms1", F.col("ms1_rt").alias("rt"), F.coalesce(near, F.lit(0.0)).alias("intensity"))
+    got = precursor_profile(spectra, t.where("run = 'click'").select("grp", F.col("raw").alias("mz"), "raw"), "id", ["grp"], "raw", "mz", "raw", 0.3)
+    return got.select("id", "ms1", F.col("ms1_rt").alias("rt"), "intensity")
 
 
 @query("ingest_scan_filter", "SELECT l_orderkey AS scan, count(*) AS n_peaks, max(l_extendedprice) - min(l_extendedprice) AS width FROM lineitem WHERE l_quantity > 0 GROUP BY 1 HAVING max(l_extendedprice) - min(l_extendedprice) >= 10")

@@ -29,9 +29,14 @@ def peptide_proteins(rows: DataFrame, peptide: str = "peptide", protein: str = "
 
 
 def blocks(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    """(file, block, ord): pieces of the files between separators."""
+    """(file, block, ord): pieces of the files between separators; a file is told by its whole path."""
     text = spark.read.option("lineSep", separator).text(path)
-    return text.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("block"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("ord"))
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("block"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("ord"))
+
+
+def stem() -> Column:
+    """The name of a file without folders and ending."""
+    return F.regexp_replace(F.regexp_extract("file", r"([^/]*)$", 1), r"\.[^.]*$", "")
 
 
 def peak_list(text: Column) -> Column:
@@ -51,10 +56,10 @@ def read_mgf(spark: SparkSession, path: str) -> DataFrame:
 
     raw = blocks(spark, path, "END IONS").where(F.contains("block", F.lit("BEGIN IONS")))
     title = F.trim(F.regexp_extract("block", r"(?m)^TITLE=([^\r\n]*)", 1))
-    rows = raw.select(F.regexp_replace("file", r"\.[^.]*$", "").alias("dataset"), title.alias("title"), "ord",
+    rows = raw.select("file", stem().alias("dataset"), title.alias("title"), "ord",
                       F.expr(r"try_cast(regexp_extract(block, '(?m)^CHARGE=([0-9]+)', 1) as int)").alias("charge"),
                       F.regexp_extract("block", rf"(?m)^PEPMASS=\s*({NUMBER})", 1).cast("double").alias("precursor_mz"), peak_list(F.col("block")).alias("peaks"))
-    return _last_wins(rows, ["dataset", "title"]).select("dataset", "title", scan_of_title(F.col("title")).alias("scan"), "charge", "precursor_mz", "peaks")
+    return _last_wins(rows, ["file", "title"]).select("dataset", "title", scan_of_title(F.col("title")).alias("scan"), "charge", "precursor_mz", "peaks")
 
 
 def _field(name: str) -> Column:
@@ -64,7 +69,7 @@ def _field(name: str) -> Column:
 def read_ms1(spark: SparkSession, path: str) -> DataFrame:
     """run, scan, rt_min, injection_ms, peaks: scans with positive peaks over at least 10 m/z; files of profile data are rejected."""
     raw = blocks(spark, path, "\nS\t")
-    run = F.regexp_replace("file", r"\.[^.]*$", "")
+    run = stem()
     profile = raw.where(F.rlike("block", F.lit(r"(?m)^H\s+DataType\s+P"))).select("file").distinct()
     scans = raw.join(profile, "file", "left_anti").where(F.rlike("block", F.lit(r"^(S\t)?\s*[0-9]+\s")) & ~F.rlike("block", F.lit("^H")))
     body = F.regexp_replace("block", r"^[^\r\n]*\r?\n?", "")
@@ -76,17 +81,26 @@ def read_ms1(spark: SparkSession, path: str) -> DataFrame:
 def read_ms2_map(spark: SparkSession, path: str) -> DataFrame:
     """run, ms1_scan, ms2_scan of blocks with both numbers."""
     raw = blocks(spark, path, "\nS\t")
-    pair = raw.select(F.regexp_replace("file", r"\.[^.]*$", "").alias("run"), F.expr("try_cast(nullif(regexp_extract(block, '^(?:S\\\\t)?\\\\s*([0-9]+)', 1), '') as bigint)").alias("ms2_scan"), _field("PrecursorScan").cast("long").alias("ms1_scan"))
+    pair = raw.select(stem().alias("run"), F.expr("try_cast(nullif(regexp_extract(block, '^(?:S\\\\t)?\\\\s*([0-9]+)', 1), '') as bigint)").alias("ms2_scan"), _field("PrecursorScan").cast("long").alias("ms1_scan"))
     return pair.where("ms2_scan is not null and ms1_scan is not null").select("run", "ms1_scan", "ms2_scan")
 
 
-def read_fasta(spark: SparkSession, path: str, name_regex: str | None = None) -> DataFrame:
-    """protein, sequence: the name is the first group of the pattern in the header line, else the header; of a repeated name the last stands."""
-    raw = blocks(spark, path, ">").where(F.trim("block") != "")
+def fasta_rows(raw: DataFrame, name_regex: str | None = None) -> DataFrame:
+    """protein, sequence of records (block, ord), with or without their ``>``; of a repeated name the last stands."""
+    block = F.regexp_replace("block", r"^\s*>", "")
+    rows = raw.withColumn("block", block).where(F.trim("block") != "")
     header = F.trim(F.regexp_extract("block", r"^([^\r\n]*)", 1))
     name = F.coalesce(F.nullif(F.regexp_extract(F.concat(F.lit(">"), header), name_regex, 1), F.lit("")), header) if name_regex else header
-    rows = raw.select(name.alias("protein"), F.regexp_replace(F.regexp_replace("block", r"^[^\r\n]*", ""), r"\s", "").alias("sequence"), "ord")
-    return _last_wins(rows, ["protein"])
+    named = rows.select(name.alias("protein"), F.regexp_replace(F.regexp_replace("block", r"^[^\r\n]*", ""), r"\s", "").alias("sequence"), "ord")
+    return _last_wins(named, ["protein"])
+
+
+def read_fasta(spark: SparkSession, path: str, name_regex: str | None = None) -> DataFrame:
+    """protein, sequence: the name is the first group of the pattern in the header line, else the header; of a repeated name the last stands.
+
+    Records begin with ``>`` at the start of a line; one inside a header is part of it.
+    """
+    return fasta_rows(blocks(spark, path, "\n>"), name_regex)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -131,8 +145,13 @@ def mod_library_rows(lines: DataFrame) -> DataFrame:
 
 
 def read_mod_library(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a modification library file."""
-    return mod_library_rows(_lines(spark, path))
+    """Rows of a modification library file; an error where their number isn't what its ``total=`` line says."""
+    lines = _lines(spark, path)
+    rows = mod_library_rows(lines)
+    said = lines.select(F.expr(r"try_cast(nullif(regexp_extract(line, '^total=\\s*([0-9]+)', 1), '') as long)").alias("n")).agg(F.sum("n")).first()[0]
+    if said is not None and said != (n := rows.count()):
+        raise ValueError(f"the library has {n} readable modifications, its total is {said}")
+    return rows
 
 
 #: Numeric columns of a table of matches, by name in lower case.
@@ -154,12 +173,12 @@ def read_ms2(spark: SparkSession, path: str) -> DataFrame:
     word = lambda name: F.nullif(F.regexp_extract("block", rf"(?m)^I\s+{name}\s+(\S+)", 1), F.lit(""))
     head = F.split(F.regexp_replace(F.regexp_extract("block", r"^([^\r\n]*)", 1), r"^S\t", ""), r"\s+")
     rows = raw.select(
-        F.regexp_replace("file", r"\.[^.]*$", "").alias("run"), head[0].cast("long").alias("ms2_scan"), _field("PrecursorScan").cast("long").alias("ms1_scan"), F.element_at(head, -1).cast("double").alias("precursor_mz"),
+        "file", stem().alias("run"), head[0].cast("long").alias("ms2_scan"), _field("PrecursorScan").cast("long").alias("ms1_scan"), F.element_at(head, -1).cast("double").alias("precursor_mz"),
         F.when(F.size(zs) == 1, F.get(zs, F.lit(0)).cast("int")).otherwise(0).alias("charge"), (_field("RetTime") / 60).alias("rt_min"), word("ActivationType").alias("activation"), word("InstrumentType").alias("instrument"),
         F.filter(peak_list(F.regexp_replace("block", r"^[^\r\n]*\r?\n?", "")), lambda p: p["intensity"] > 0).alias("peaks"), "ord")
     from modspec.operators.windows import drop_consecutive_repeats
 
-    return drop_consecutive_repeats(rows, ["run"], ["ord"], "ms2_scan").drop("ord")
+    return drop_consecutive_repeats(rows, ["file"], ["ord"], "ms2_scan").drop("ord", "file")
 
 
 def read_peptide_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
