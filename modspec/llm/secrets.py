@@ -3,19 +3,21 @@
 Three base patterns (assignments, access keys, hex runs) give base spans.  Two
 character Markov models, of random strings and of ordinary identifiers, are
 trained from labelled samples in the same texts: the values that the base
-patterns found, and long tokens of letters or of digits alone outside of them.  A long token
-elsewhere whose log-likelihood ratio of the two exceeds MARGIN is one more
-span, of kind ``random``.
+patterns found are random; long tokens outside of them that fall into words
+and numbers between separators are ordinary.  A long token elsewhere whose
+log-likelihood ratio of the two exceeds MARGIN is one more span, of kind
+``random``.  A sample of one's own (token, random) can be given instead.
 
 Texts are scanned once; later steps see only spans and long tokens, and what
-comes to the driver is one count for each pair of alphabet characters.
+comes to the driver is one count for each pair of alphabet characters.  The
+work on a text grows with its length and matches, whatever their number.
 """
 
 from __future__ import annotations
 
 from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modspec.llm._shared import stored
@@ -36,29 +38,64 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-.
 MARGIN = 10.0
 #: Counts that a character's overall share weighs in the models.
 BACKOFF = 20.0
+#: Places of matches are summed in blocks of so many.
+BLOCK = 256
+#: Pairs of spans and long tokens that are compared within a row; texts with more go by a sorted pass over their spans.
+PAIRS_IN_ROW = 100_000
+#: Words and numbers between separators.
+ORDINARY = r"^[+/_=-]*([A-Za-z]+|[0-9]+)([+/_=-]+([A-Za-z]+|[0-9]+))*[+/_=-]*$"
 _SPAN = "array<struct<start:int,no:int,kind:string,stop:int,value:string>>"
 
 
+def _bound(value: Column, f) -> Column:
+    """``f(value)``, with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running_sums(sizes: Column) -> Column:
+    """Running sums of an array of whole numbers, not empty, in two levels: within blocks, and over the blocks' ends."""
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)), empty, step, lambda acc: acc["out"]))
+
+    def joined(parts: Column) -> Column:
+        ends = F.aggregate(F.transform(parts, lambda p: F.element_at(p, -1)), empty, step, lambda acc: acc["out"])
+        before = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+        return F.flatten(F.zip_with(parts, before, lambda p, o: F.transform(p, lambda x: x + o)))
+
+    return _bound(blocks, joined)
+
+
 def find_spans(text: Column, pattern: str, kind: str, no: int, group: int = 0) -> Column:
     """All matches, leftmost and not overlapping, with their places in code points.
 
     The pieces between matches and the matches themselves come in order, so
-    running lengths give the places.
+    running sums of their lengths give the places.
     """
-    pieces = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    zipped = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(whole)).alias("p"), whole.alias("w"), value.alias("v"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["p"])
-        stop = begin + F.length(x["w"])
-        span = F.struct(begin.alias("start"), F.lit(no).alias("no"), F.lit(kind).alias("kind"), stop.alias("stop"), x["v"].alias("value"))
-        return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def spans(found: Column) -> Column:
+        sizes = F.zip_with(F.slice(found["p"], F.lit(1), F.size(found["w"])), found["w"], lambda p, w: F.length(p) + F.length(w))
+        zipped = F.arrays_zip(running_sums(sizes).alias("stop"), found["w"].alias("w"), found["v"].alias("v"))
+        return F.transform(zipped, lambda x: F.struct((x["stop"] - F.length(x["w"])).alias("start"), F.lit(no).alias("no"), F.lit(kind).alias("kind"), x["stop"].alias("stop"), x["v"].alias("value")))
+
+    matched = F.struct(F.split(text, pattern, -1).alias("p"), whole.alias("w"), value.alias("v"))
+    return F.when(text.rlike(pattern), _bound(matched, spans)).otherwise(F.array().cast(_SPAN))
+
 
-    found = F.aggregate(zipped, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
+def _apart(rows: DataFrame) -> DataFrame:
+    """(row, tokens): the long tokens that overlap no base span, found in one sorted pass over the spans of each text."""
+    span = lambda c, is_base: rows.select("row", F.explode(c).alias("s"), F.lit(is_base).alias("is_base"))
+    spans = span("base", True).union(span("tokens", False)).withColumn("start", F.col("s.start"))
+    order = Window.partitionBy("row").orderBy("start", F.desc("is_base"))
+    stop = F.max(F.when(F.col("is_base"), F.col("s.stop"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begin = F.first(F.when(F.col("is_base"), F.col("start")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    free = spans.withColumn("before", stop).withColumn("after", begin).where("not is_base and coalesce(before <= start, true) and coalesce(after >= s.stop, true)")
+    return free.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("tokens"))
 
 
 def _pairs(token: Column) -> Column:
@@ -100,12 +137,13 @@ def _of_kind(kind: str):
     return lambda span: span["kind"] == kind
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN, samples: DataFrame | None = None) -> DataFrame:
     """doc_id, base, added: arrays of spans (start, no, kind, stop, value), by start, for each row of ``docs``.
 
     Places are code points, the end exclusive.  A null text is empty; texts
-    without secrets have empty arrays.  Rows that repeat an id stay rows of
-    their own, further columns are ignored.
+    without secrets have empty arrays; a text of any length is scanned whole.
+    Rows that repeat an id stay rows of their own, further columns are
+    ignored, an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     scanned = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
@@ -113,12 +151,21 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for no, kind in enumerate(KINDS):
         _, group, least = PATTERNS[kind]
         found.append(F.filter(find_spans(F.col("text"), _SCANNED[kind], kind, no, group), _at_least(least)))
-    scanned = scanned.select("doc_id", F.array_sort(F.concat(*found)).alias("base"), find_spans(F.col("text"), LONG_TOKEN, "random", len(KINDS)).alias("tokens"))
+    scanned = scanned.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.array_sort(F.concat(*found)).alias("base"), find_spans(F.col("text"), LONG_TOKEN, "random", len(KINDS)).alias("tokens"))
+    scanned = stored(scanned, "spans")
+    pairs = F.size("base").cast("long") * F.size("tokens")
     apart = lambda t: ~F.exists("base", lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"]))
-    scanned = stored(scanned.withColumn("tokens", F.filter("tokens", apart)), "spans")
-    secret = scanned.select(F.explode("base.value").alias("token"), F.lit(True).alias("random"))
-    ordinary = scanned.select(F.explode("tokens.value").alias("token"), F.lit(False).alias("random")).where("not (token rlike '[0-9]' and token rlike '[A-Za-z]')")
-    ratios = train_models(secret.union(ordinary))
+    few = scanned.where(pairs <= PAIRS_IN_ROW).withColumn("tokens", F.filter("tokens", apart)).drop("row")
+    many = scanned.where(pairs > PAIRS_IN_ROW)
+    if many.limit(1).count():
+        free = stored(_apart(many), "apart")
+        few = few.union(many.drop("tokens").join(free, "row", "left").select("doc_id", "base", F.coalesce("tokens", F.array().cast(_SPAN)).alias("tokens")))
+    scanned = few
+    if samples is None:
+        secret = scanned.select(F.explode("base.value").alias("token"), F.lit(True).alias("random"))
+        ordinary = scanned.select(F.explode("tokens.value").alias("token"), F.lit(False).alias("random")).where(F.rlike("token", F.lit(ORDINARY)))
+        samples = secret.union(ordinary)
+    ratios = train_models(samples)
     added = F.filter("tokens", lambda t: likelihood_ratio(t["value"], ratios) > margin)
     return scanned.select("doc_id", "base", added.alias("added"))
 

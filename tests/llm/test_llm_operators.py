@@ -291,6 +291,40 @@ def test_secrets(spark):
     assert secrets.secret_digest(docs_of(spark, [])).count() == 0
 
 
+def test_secret_spans_of_one_text_with_many_matches(spark, monkeypatch):
+    text = " ".join(f"token=ab{i:06d} word" for i in range(40_000))
+    got = secrets.secret_digest(docs_of(spark, [text])).first()
+    want = ",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer(secrets.PATTERNS["assign"][0], text))
+    assert got["n_assign"] == 40_000 and got["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+    # both ways of keeping long tokens apart from base spans agree
+    mixed = [f"x {'Qz9' * 7} token={'kT4' * 8} {'v8W' * 9}=secret:{'pL2' * 6} {'user_name_' * 3} API_KEY: {'m' * 9} {i}" for i in range(6)] + [None, "secret: " + "aB3" * 9]
+    ways = []
+    for limit in (secrets.PAIRS_IN_ROW, 0):
+        monkeypatch.setattr(secrets, "PAIRS_IN_ROW", limit)
+        ways.append(sorted(tuple(r) for r in secrets.secret_digest(docs_of(spark, mixed)).collect()))
+    assert ways[0] == ways[1]
+
+
+def test_secret_models_on_labelled_tokens(spark):
+    """Recall of random strings and of mixed identifiers left alone, on tokens that the training sample doesn't have."""
+    rng = random.Random(33)
+    syllables = [a + b for a in "bcdfglmnprstv" for b in ("a", "e", "i", "o", "u", "er", "an", "in")]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
+
+    def ordinary():
+        parts = [word() for _ in range(rng.randint(2, 4))] + [str(rng.randint(1990, 2030))] * rng.randint(0, 1) + [word()]
+        return rng.choice(["_", "-", "/"]).join(parts).ljust(16, "s")
+
+    secret = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(rng.randint(24, 40)))
+    train = [f"token = {secret()} then {ordinary()} and {ordinary()}" for _ in range(400)]
+    test = [secret() for _ in range(200)] + [ordinary() for _ in range(200)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_digest(docs_of(spark, [*train, *(f"see {t} here" for t in test)])).collect()}
+    flagged = ["random:4:" in got[400 + i] for i in range(400)]
+    recall, precision = sum(flagged[:200]) / 200, sum(flagged[:200]) / max(1, sum(flagged))
+    print("recall", recall, "precision", precision)
+    assert recall >= 0.95 and precision >= 0.95
+
+
 def test_markov_models_tell_random_from_ordinary(spark):
     rng = random.Random(8)
     alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
