@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modspec.llm._shared import stored, tasks
@@ -141,13 +141,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pd.D
         yield held
 
 
-def format_chats(transcripts: DataFrame, model: Model, chunk: int = CHUNK, **columns) -> DataFrame:
-    """conv_id, turn_no, role, content, rendered: the recovered turns of each conversation.
-
-    ``transcripts`` has pieces of text in the order of their turns; null texts
-    are blank lines, a null conv_id is left out, pieces of a repeated turn
-    follow one another by text.  Further columns are ignored.
-    """
+def decode_lines(transcripts: DataFrame, model: Model, chunk: int = CHUNK, **columns) -> DataFrame:
+    """conv_id, chunk, turn, pos, local (number of the recovered turn in its chunk), role, line (without its marker)."""
     lines = transcript_lines(transcripts, chunk=chunk, **columns).where("conv_id is not null")
     order = ["conv_id", "chunk", "turn", "pos", "line"]
     firsts = lines.groupBy("conv_id").agg(F.min("chunk").alias("first"), F.max("chunk").alias("last")).where("first < last")
@@ -187,7 +182,27 @@ def format_chats(transcripts: DataFrame, model: Model, chunk: int = CHUNK, **col
             yield pa.RecordBatch.from_arrays([pa.array(g["conv_id"], pa.int64()), pa.array(g["chunk"], pa.int64()), pa.array(g["turn"], pa.int64()), pa.array(g["pos"], pa.int32()),
                 pa.array(local, pa.int64()), pa.array([r for _, r in states]), pa.array(clean, pa.string())], ["conv_id", "chunk", "turn", "pos", "local", "role", "line"])
 
-    decoded = stored(dealt(known).mapInArrow(decode, "conv_id long, chunk long, turn long, pos int, local long, role string, line string"), "decoded")
+    return stored(dealt(known).mapInArrow(decode, "conv_id long, chunk long, turn long, pos int, local long, role string, line string"), "decoded")
+
+
+def role_agreement(conversations: DataFrame, transcripts: DataFrame, model: Model, **options) -> DataFrame:
+    """role, marked, n, n_right: of the turns of ``conversations``, with and without a marker in ``transcripts``, how many have their own role."""
+    first = decode_lines(transcripts, model, **options).where("pos = 0").select("conv_id", "turn", F.col("role").alias("found"))
+    marked = transcripts.select("conv_id", "turn", F.rlike("text", F.lit("(?i)" + MARKER)).alias("marked"))
+    both = conversations.select("conv_id", "turn", F.lower("role").alias("role")).join(marked, ["conv_id", "turn"]).join(first, ["conv_id", "turn"])
+    return both.groupBy("role", "marked").agg(F.count("*").alias("n"), F.count_if(F.col("role") == F.col("found")).alias("n_right"))
+
+
+def format_chats(transcripts: DataFrame, model: Model, chunk: int = CHUNK, **columns) -> DataFrame:
+    """conv_id, turn_no, role, content, rendered: the recovered turns of each conversation.
+
+    ``transcripts`` has pieces of text in the order of their turns; null texts
+    are blank lines, a null conv_id is left out, pieces of a repeated turn
+    follow one another by text.  A turn of any length is decoded whole, in the
+    task of its chunk; an empty table gives an empty result.  Further columns
+    are ignored.
+    """
+    decoded = decode_lines(transcripts, model, chunk, **columns)
     totals = decoded.groupBy("conv_id", "chunk").agg(F.max("local").alias("turns"))
     # one row for each chunk: a window over them is small
     before = totals.select("conv_id", "chunk", F.sum("turns").over(Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
@@ -197,10 +212,20 @@ def format_chats(transcripts: DataFrame, model: Model, chunk: int = CHUNK, **col
     return turns.select("conv_id", "turn_no", "role", "content", F.concat(F.lit("<|"), "role", F.lit("|>\n"), F.trim("content"), F.lit("<|end|>\n")).alias("rendered"))
 
 
-def marked_transcripts(conversations: DataFrame) -> DataFrame:
-    """Conversations as transcripts: each turn's text behind a speaker marker, in one of four styles by conversation."""
+def held_out(conv_id: Column) -> Column:
+    """A fifth of the conversations, by hash; a null id isn't held out."""
+    return F.coalesce(F.pmod(F.xxhash64(conv_id.cast("long")), F.lit(5)) == 0, F.lit(False))
+
+
+def marked_transcripts(conversations: DataFrame, unmarked: float = 0.2) -> DataFrame:
+    """Conversations as transcripts: each turn's text behind a speaker marker, in one of four styles by conversation.
+
+    The markers are made from the role column; a share of ``unmarked`` turns,
+    by hash, has none, so that what surrounds them has to give their role.
+    """
     role = F.lower("role")
     style = F.pmod(F.xxhash64("conv_id"), F.lit(4))
     marker = F.when(style == 0, F.concat(F.initcap(role), F.lit(": "))).when(style == 1, F.concat(F.lit("### "), F.initcap(role), F.lit(": "))).when(style == 2, F.concat(F.lit("["), role, F.lit("] ")))
     marker = marker.otherwise(F.concat(F.lit("<|"), role, F.lit("|> ")))
+    marker = F.when(F.pmod(F.xxhash64("conv_id", "turn", F.lit("unmarked")), F.lit(1000)) >= int(1000 * unmarked), marker)
     return conversations.withColumn("text", F.concat(F.coalesce(marker, F.lit("")), F.coalesce("text", F.lit(""))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from modspec.llm._shared import table
 
@@ -16,10 +17,11 @@ def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
-    from modspec.llm.chat_format import format_chats, marked_transcripts, train
+    """All conversations are decoded; a fifth of the turns has no marker, and a fifth of the conversations isn't trained on."""
+    from modspec.llm.chat_format import format_chats, held_out, marked_transcripts, train
 
     transcripts = marked_transcripts(table(spark, folder, "conversations"))
-    return format_chats(transcripts, train(transcripts))
+    return format_chats(transcripts, train(transcripts.where(~held_out(F.col("conv_id")))))
 
 
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,7 +39,8 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     from modspec.llm.warc import convert_pages
 
-    return convert_pages(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    kind = F.when(F.col("record_type") == "revisit", "revisit").otherwise("response").alias("record_type")
+    return convert_pages(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", kind, "refers_to")
 
 
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:

@@ -193,9 +193,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are UTF-8 bytes, null is empty; strings never cross documents and
     are judged on the input.  Texts of fewer than ``length`` bytes lose
-    nothing; rows that repeat an id are documents of their own.  Further
-    columns are ignored.
+    nothing; rows that repeat an id are documents of their own.  A very long
+    text is a block of its own, held by one task.  Further columns are
+    ignored; an empty table gives an empty result.
     """
+    return _spans_and_blocks(docs, id_col, text_col, length)[0]
+
+
+def _spans_and_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> tuple[DataFrame, str]:
+    """The spans, and the name of the table of blocks that they are read from."""
     spark = docs.sparkSession
     n_buckets = 4 * tasks(spark)
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -207,7 +213,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _spans_of(spark, rows, twins, length, n_buckets)
 
 
-def _spans_of(spark, rows: DataFrame, twins: DataFrame, length: int, n_buckets: int) -> DataFrame:
+def _spans_of(spark, rows: DataFrame, twins: DataFrame, length: int, n_buckets: int) -> tuple[DataFrame, str]:
     marked = rows.join(twins.withColumn("twin", F.lit(True)), "key", "left").withColumn("twin", F.coalesce("twin", F.lit(False)))
     size = F.length("data")
     span = "array<struct<start:bigint,stop:bigint>>"
@@ -270,11 +276,13 @@ def _spans_of(spark, rows: DataFrame, twins: DataFrame, length: int, n_buckets:
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(cols[3], pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     cuts = full.mapInArrow(cut, f"doc_id long, n_bytes long, spans {span}, kept binary")
-    return settled.union(cuts)
+    return settled.union(cuts), name
 
 
 def repeat_digest(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    spans = repeated_spans(docs, **options)
+    spans, blocks = _spans_and_blocks(docs, **options)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["stop"] - s["start"])
-    return spans.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    digest = stored(spans.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")), "digest")
+    docs.sparkSession.sql(f"DROP TABLE IF EXISTS {blocks}")  # its files stay in the shared folder
+    return digest

@@ -6,7 +6,8 @@ piece covers are tokens of their own at a low score.  The distinct pre-tokens
 of a slice of texts form a trie, walked one depth at a time: a node's forward
 score is computed once, from those of its ancestors and the piece that ends at
 it, whatever number of words share the prefix; a word's count stands at its
-terminal node.  There is no shuffle.
+terminal node.  Words of more than LONG bytes, which share little, are cut one
+by one by the same sums.  There is no shuffle.
 
 The vocabulary file (its path is a parameter) lists pieces by rank; scores are
 those of a Zipf law over ranks, -log(rank + 2).
@@ -31,6 +32,8 @@ SPACE = b"\t\n\x0b\x0c\r "
 UNKNOWN = -8.0
 #: Bytes of text whose distinct words share a trie.
 TRIE_BYTES = 4 << 20
+#: Bytes of a word beyond which it has no place in the trie.
+LONG = 256
 
 with np.errstate(over="ignore"):
     _BASE = U(0x9E3779B97F4A7C15)
@@ -51,6 +54,7 @@ class PieceTable:
 
     def __init__(self, pieces: dict[str, float]):
         self.unknown = min(pieces.values(), default=0.0) + UNKNOWN
+        self.pieces = {p.encode(): s for p, s in pieces.items()}
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         groups: dict[int, list[tuple[int, float]]] = {}
         with np.errstate(over="ignore"):
@@ -126,12 +130,35 @@ def count_tokens(words: list[bytes], table: PieceTable) -> np.ndarray:
     return out
 
 
+def count_one(word: bytes, table: PieceTable) -> int:
+    """Tokens of one word."""
+    lengths, pieces = table.lengths, table.pieces
+    reach = max(lengths, default=1)
+    # scores and tokens of the last prefixes, by length modulo a little more than the longest piece
+    ring = reach + 1
+    scores, tokens = [0.0] * ring, [0] * ring
+    for end in range(1, len(word) + 1):
+        best, count = -np.inf, 0
+        for n in lengths:
+            if n <= end and (s := pieces.get(word[end - n : end])) is not None:
+                total = scores[(end - n) % ring] + s
+                if total > best:
+                    best, count = total, tokens[(end - n) % ring] + 1
+        total = scores[(end - 1) % ring] + table.unknown
+        if total > best:
+            best, count = total, tokens[(end - 1) % ring] + 1
+        scores[end % ring], tokens[end % ring] = best, count
+    return tokens[len(word) % ring]
+
+
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_words (pre-tokens), n_tokens for each row of ``docs``.
 
     Null, empty and white-space texts have no tokens.  Of equally good cuts the
-    one whose last piece is longest counts.  Rows that repeat an id stay rows,
-    further columns are ignored.
+    one whose last piece is longest counts.  A text of any length is counted
+    whole, by one task, in time that grows with its length.  Rows that repeat
+    an id stay rows, further columns are ignored, an empty table gives an empty
+    result.
     """
     pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(vocabulary))  # a vocabulary, whatever the size of the input
     mark = MARK.encode()
@@ -149,8 +176,10 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 # a word ends at white space or where the next row begins
                 row_end = ends[np.searchsorted(before, some, "right")] if len(some) else some
                 words = [mark + raw[a:b].rstrip(SPACE) for a, b in zip(starts[some].tolist(), np.minimum(row_end, np.append(starts, len(part))[some + 1]).tolist())]
-                order = sorted(range(len(words)), key=words.__getitem__)
+                order = sorted((k for k in range(len(words)) if len(words[k]) <= LONG), key=words.__getitem__)
                 counts = np.zeros(len(words), np.int64)
+                for k in (k for k in range(len(words)) if len(words[k]) > LONG):
+                    counts[k] = count_one(words[k], table)
                 counts[order] = count_tokens([words[k] for k in order], table)
                 sums = np.concatenate([[0], np.cumsum(counts[inverse])])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(before), pa.int64()), pa.array(sums[before[1:]] - sums[before[:-1]], pa.int64())], ["doc_id", "n_words", "n_tokens"])

@@ -32,6 +32,8 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 CRLF2 = "\r\n\r\n"
+#: An archive has about so many bytes of payload, or so many records if they are small.
+FILE_BYTES = 16 << 20
 RECORDS_PER_FILE = 4000
 #: Up to so many recurring payloads (some 300 bytes each) are broadcast; beyond, it is a shuffled join.
 BROADCAST_DIGESTS = 200_000
@@ -45,26 +47,28 @@ def digest(payload: bytes) -> str:
     return b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def write_arc(records: DataFrame, path: str, version: int = 1, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_arc(records: DataFrame, path: str, version: int = 1, records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
     """Writes ARC archives of one version; ``records``: key, url, ip, archive_date (14 digits), content_type, payload (string or binary).
 
-    The key only spreads records over files.  A null payload is empty; null or
-    empty header fields are written as ``-``, blanks in them as ``%20``.
+    Key and url only spread records over files, each of which has a task of
+    its own.  A null payload is empty; null or empty header fields are written
+    as ``-``, blanks in them as ``%20``.
     """
     spark = records.sparkSession
-    files = max(1, -(-records.count() // records_per_file))
+    count, size = records.agg(F.count("*"), F.sum(F.length(F.col("payload").cast("binary")))).first()
+    files = max(1, -(-count // records_per_file), -(-(size or 0) // file_bytes))
     field = lambda c: F.regexp_replace(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("-")), r"[ \r\n]", "%20")
     payload = F.coalesce(F.col("payload").cast("binary"), F.lit(b""))
     middle = [field("ip"), field("archive_date"), field("content_type")]
     if version == 2:
         middle += [F.lit("200"), F.lit("-"), F.lit("-"), F.lit("0"), F.lit("modspec.arc")]
     header = F.concat_ws(" ", field("url"), *middle, F.length(payload).cast("string"))
-    rows = records.select(F.pmod(F.xxhash64("key"), F.lit(files)).cast("int").alias("file"), F.lit(1).alias("seq"), F.concat(F.lit("\n").cast("binary"), F.concat(header, F.lit("\n")).cast("binary"), payload).alias("value"))
+    rows = records.select(F.pmod(F.xxhash64("key", "url"), F.lit(files)).cast("int").alias("file"), F.lit(1).alias("seq"), F.concat(F.lit("\n").cast("binary"), F.concat(header, F.lit("\n")).cast("binary"), payload).alias("value"))
     about = f"{version} 0 modspec\n{ARC_FIELDS[version]}\n"
     extra = " 200 - - 0 modspec.arc" if version == 2 else ""
     block = F.concat(F.lit("filedesc://modspec-"), F.col("id").cast("string"), F.lit(f".arc 0.0.0.0 19700101000000 text/plain{extra} {len(about)}\n{about}"))
     heads = spark.range(files).select(F.col("id").cast("int").alias("file"), F.lit(0).alias("seq"), block.cast("binary").alias("value"))
-    rows = heads.union(rows).repartition(files, "file").sortWithinPartitions("file", "seq")
+    rows = heads.union(rows).repartitionById(files, F.col("file")).sortWithinPartitions("file", "seq")
     rows.select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
@@ -157,7 +161,9 @@ class _Warc(_Walker):
         length = fields.get("Content-Length", "")
         return (fields, int(length)) if length.isdigit() else None
 
-    def record(self, header, payload, complete):
+    def record(self, header, block, complete):
+        # a message's payload begins after its own header
+        payload = block.partition(b"\r\n\r\n")[2] if header.get("Content-Type", "").startswith("application/http") else block
         yield self.archive, list(header.items()), payload, len(payload), digest(payload), complete
 
 
@@ -204,13 +210,14 @@ def _uuid(*parts: Column) -> Column:
 
 
 def arc_to_warc(records: DataFrame, order: Column, least_bytes: int = 0) -> DataFrame:
-    """WARC records for ARC records: headers (ordered array of name and value) and payload.
+    """WARC records for ARC records: headers (ordered array of name and value) and payload (the block; a response's is an HTTP message).
 
     ``order`` ranks records with equal payloads: the largest is the response,
     the others become revisits without a payload of their own, if the payload
     has at least ``least_bytes`` bytes.  Ties of ``order`` are responses too.
-    Addresses other than http(s) become ``resource`` records.  A date that
-    isn't 14 digits becomes the epoch.
+    A null ``order`` ranks below all others, and of such records alone all are
+    responses.  Addresses other than http(s) become ``resource`` records.  A
+    date that isn't 14 digits becomes the epoch.
     """
     date = F.when(F.col("archive_date").rlike("^[0-9]{14}$"), F.regexp_replace("archive_date", r"^(....)(..)(..)(..)(..)(..)$", "$1-$2-$3T$4:$5:$6Z")).otherwise("1970-01-01T00:00:00Z")
     known = records.withColumn("order", order).withColumn("warc_date", date).withColumn("id", _uuid(F.col("url"), F.col("archive_date"), F.col("order"), F.col("payload_digest")))
@@ -219,15 +226,17 @@ def arc_to_warc(records: DataFrame, order: Column, least_bytes: int = 0) -> Data
     original = stored(original.where("n > 1").drop("n"), "originals")
     original = F.broadcast(original) if original.count() <= BROADCAST_DIGESTS else original
     joined = known.join(original, ["payload_digest", "payload_bytes"], "left")
-    revisit = F.col("original").isNotNull() & (F.col("order") < F.col("original.order"))
+    revisit = F.coalesce(F.col("order") < F.col("original.order"), F.col("order").isNull() & F.col("original.order").isNotNull())
     kind = F.when(revisit, "revisit").when(F.lower("url").rlike("^https?:"), "response").otherwise("resource")
-    payload = F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: "), "content_type", F.lit("\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF2)).cast("binary")
+    payload = F.when(revisit, F.lit(b"")).when(kind == "response", F.concat(http, F.col("payload"))).otherwise(F.col("payload"))
+    content = F.when(revisit, None).when(kind == "response", "application/http; msgtype=response").otherwise(F.col("content_type"))
     header = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
     if_revisit = lambda value: F.when(revisit, value)
     headers = F.filter(F.array(
         header("WARC-Type", kind), header("WARC-Record-ID", F.col("id")), header("WARC-Date", F.col("warc_date")), header("WARC-Target-URI", F.col("url")), header("WARC-IP-Address", F.when(F.col("ip") != "-", F.col("ip"))),
         header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")), header("WARC-Refers-To", if_revisit(F.col("original.id"))), header("WARC-Refers-To-Target-URI", if_revisit(F.col("original.url"))),
-        header("WARC-Refers-To-Date", if_revisit(F.col("original.warc_date"))), header("WARC-Profile", if_revisit(F.lit(PROFILE))), header("Content-Type", F.col("content_type")), header("Content-Length", F.length(payload)),
+        header("WARC-Refers-To-Date", if_revisit(F.col("original.warc_date"))), header("WARC-Profile", if_revisit(F.lit(PROFILE))), header("Content-Type", content), header("Content-Length", F.length(payload)),
     ), lambda h: h["value"].isNotNull())
     return joined.select(headers.alias("headers"), payload.alias("payload"))
 
@@ -248,12 +257,12 @@ def convert_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     own; a null id is -1.
     """
     spark = pages.sparkSession
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-1))
-    url = F.concat(F.coalesce(F.nullif(F.col(url_col), F.lit("")), F.lit("http://-/")), F.lit("#record="), key.cast("string"))
+    key = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null"))
+    url = F.concat(F.coalesce(F.nullif(F.col(url_col), F.lit("")), F.lit("http://-/")), F.lit("#record="), key)
     legacy = pages.select(key.alias("key"), url.alias("url"), F.lit("0.0.0.0").alias("ip"), F.lit("20240101000000").alias("archive_date"), F.lit("text/html").alias("content_type"), F.col(html_col).alias("payload"))
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(legacy, arc, version)
-    page_of = lambda c: F.regexp_extract(c, r"#record=(-?[0-9]+)$", 1).cast("long")
+    page_of = lambda c: F.regexp_extract(c, r"#record=(-?[0-9]+)$", 1).try_cast("long")
     write_warc(arc_to_warc(read_arc(spark, arc), page_of(F.col("url"))), warc)
     got = read_warc(spark, warc)
     h = lambda name: F.get(F.map_values(F.map_filter("headers", lambda k, _: k == name)), F.lit(0))

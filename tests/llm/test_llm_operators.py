@@ -150,7 +150,7 @@ def test_chat_roles(spark):
             role = "system" if not t and c % 2 else ("user", "assistant")[t % 2]
             rows.append((c, t, role, "\n".join(" ".join(rng.choice(["lorem", "ipsum", "dolor"]) for _ in range(rng.randint(1, 20))) + "." for _ in range(1 + 2 * (role == "assistant"))), None))
     talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, before string")
-    marked = chat_format.marked_transcripts(talks)
+    marked = chat_format.marked_transcripts(talks, unmarked=0.0)
     model = chat_format.train(marked)
     got = {(r["conv_id"], r["turn_no"]): (r["role"], r["content"]) for r in chat_format.format_chats(marked, model).collect()}
     assert sum(got.get((c, t + 1)) == (role, text) for c, t, role, text, _ in rows) >= 0.95 * len(rows)
@@ -160,6 +160,26 @@ def test_chat_roles(spark):
     assert chat_format.format_chats(odd.limit(0), chat_format.train(odd.limit(0))).count() == 0
 
 
+def test_roles_without_markers(spark):
+    """Held-out conversations: marked turns keep their role, and the turns around them give most of the unmarked ones theirs."""
+    rng = random.Random(8)
+    rows = []
+    for c in range(200):
+        start = c % 3 == 0
+        for t in range(rng.randint(4, 10)):
+            role = "system" if start and not t else ("user", "assistant")[(t - start) % 2]
+            text = "What about that?" if role == "user" else "\n".join(["Here is one line of an answer that goes on for quite a while, longer than any question would be."] * rng.randint(1, 3))
+            rows.append((c, t, role, text))
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    marked = chat_format.marked_transcripts(talks)
+    model = chat_format.train(marked.where(~chat_format.held_out(F.col("conv_id"))))
+    out = chat_format.held_out(F.col("conv_id"))
+    got = {(r["role"], r["marked"]): (r["n_right"], r["n"]) for r in chat_format.role_agreement(talks.where(out), marked.where(out), model).collect()}
+    rate = lambda m: sum(a for (_, k), (a, _) in got.items() if k == m) / sum(n for (_, k), (_, n) in got.items() if k == m)
+    print(got)
+    assert rate(True) >= 0.98 and rate(False) >= 0.8
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(4)
     n = len(chat_format.STATES)
@@ -263,6 +283,16 @@ def test_warc_round_trip(spark, version):
         assert r["payload_bytes"] == len(p) and r["payload_digest"] == base64.b32encode(hashlib.sha1(p).digest()).decode()
         assert (r["refers_to"], r["record_type"] == "revisit") == ((None, False) if last == k else (last, True))
     assert warc.convert_pages(pages.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "http://a/", "p"), (-1, "http://a/", "p"), (-1, "http://b/", "q"), (None, "http://a/", "r")], "page_id long, url string, html string")
+    got = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in warc.convert_pages(odd, version=version).collect())
+    assert got == [(-1, 1, "response", 0), (-1, 1, "response", 0), (0, 1, "response", 0), (0, 1, "revisit", -1)]
+
+
+def test_archives_are_dealt_by_bytes(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"http://a/{k}", "0.0.0.0", "20240101000000", "text/html", "x" * 1000) for k in range(60)], "key long, url string, ip string, archive_date string, content_type string, payload string")
+    warc.write_arc(rows, f"{tmp_path}/arc", file_bytes=6000)
+    assert len(list((tmp_path / "arc").glob("*.gz"))) == 10
+    assert warc.read_arc(spark, f"{tmp_path}/arc").where("complete").count() == 60
 
 
 def test_truncated_archive_is_marked(spark, tmp_path):
@@ -355,6 +385,30 @@ def test_token_counts(spark):
     assert token_counts.count_tokens(words, table).tolist() == [brute(w) for w in words]
 
 
+def test_token_counts_equal_a_plain_dynamic_program(spark):
+    pieces = {p.encode(): s for p, s in token_counts.load_pieces(token_counts.VOCABULARY).items()}
+    unknown = min(pieces.values()) + token_counts.UNKNOWN
+    longest = max(map(len, pieces))
+
+    def brute(word):
+        best = [(0.0, 0)]
+        for end in range(1, len(word) + 1):
+            choice = None
+            for n in range(min(longest, end), 0, -1):
+                s = pieces.get(word[end - n : end])
+                if s is not None and (choice is None or best[end - n][0] + s > choice[0]):
+                    choice = (best[end - n][0] + s, best[end - n][1] + 1)
+            if choice is None or best[end - 1][0] + unknown > choice[0]:
+                choice = (best[end - 1][0] + unknown, best[end - 1][1] + 1)
+            best.append(choice)
+        return best[-1][1]
+
+    real = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 2000").orderBy("doc_id").limit(40).collect()]
+    texts = [*real, *sample_texts(30, 12), "añb" * 500, "x" * 2000 + " y", None, ""]
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [sum(brute(("▁" + w).encode()) for w in WORD.findall(t or "")) for t in texts]
+
+
 def test_token_counts_of_documents(spark):
     texts = sample_texts(10)
     got = {r["doc_id"]: r for r in token_counts.token_counts(docs_of(spark, texts)).collect()}
