@@ -35,6 +35,23 @@ def scan_of_title(title: Column) -> Column:
     return F.try_to_number(F.trim(token), F.lit("9999999999")).cast("long")
 
 
+#: The escapes of a title.
+ESCAPES = {"%2e": ".", "%20": " ", "%3a": ":", "%3d": "=", "%22": '"', "%2c": ",", "%2d": "-"}
+
+
+def decode_title(title: Column) -> Column:
+    """A title with its escapes as characters."""
+    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ESCAPES.items(), title)
+
+
+def render_top1(sequence: Column, names: Column, places: Column) -> Column:
+    """Letters with ``{name}``, each name up to its first blank, put in at 0-based ``places``; ``names`` run in parallel."""
+    short = F.transform(F.arrays_zip(places.alias("p"), names.alias("n")), lambda x: F.struct(x["p"].alias("p"), F.substring_index(x["n"], " ", 1).alias("n")))
+    put = lambda acc, x: F.concat(F.substr(acc, F.lit(1), x["p"]), F.lit("{"), x["n"], F.lit("}"), F.substr(acc, x["p"] + 1))
+    # from the right, so that places left of it stay
+    return F.aggregate(F.reverse(F.array_sort(short)), sequence, put)
+
+
 def max_fragment_charge(charge: Column) -> Column:
     return F.when(charge <= 2, 1).when(charge == 3, 2).otherwise(3)
 

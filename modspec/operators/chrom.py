@@ -207,6 +207,34 @@ def quantify(xic: DataFrame, psms: DataFrame, keys: list[str], imps: list[str],
     return found, best.where("area <> 0")
 
 
+def requantify(xic: DataFrame, psms: DataFrame, checked: DataFrame, keys: list[str], imps: list[str], max_err: float = 1e9) -> DataFrame:
+    """(keys, imp, area, share): each form's area in its checked range and its share of the whole trace there.
+
+    ``xic``: keys, i, rt, smooth; ``psms``: keys, psm, rt and ratios;
+    ``checked``: keys, imp, rt_start, rt_end.  Groups without any range, and
+    forms without one, have no rows; the ratio of a form comes from the matches
+    in its own range.  Ends go to the nearest points of the trace.
+    """
+    from modspec.operators.joins import nearest_join
+    from modspec.operators.sites import attach_checked
+
+    forms = xic.select(*keys).distinct().withColumn("imp", F.explode(F.array(*[F.lit(i) for i in imps])))
+    known = forms.join(checked.select(*keys).distinct(), keys, "left_semi")
+    ranges = attach_checked(known.withColumn("_group", F.struct(*keys)), checked, [*keys, "imp"], "_group").drop("_group").where("rt_start is not null")
+    points = xic.select(*keys, "rt", "i")
+    for end, index in (("rt_start", "left_i"), ("rt_end", "right_i")):
+        ranges = nearest_join(ranges.withColumn("rt", F.col(end)), points.withColumnRenamed("i", index), keys, "rt", index, max_err).drop("rt")
+    by = [*keys, "imp"]
+    ranges = ranges.where("left_i is not null and right_i is not null").select(*by, F.lit(1).alias("peak_no"), "left_i", "right_i").persist()
+    each = ranges.select(*by)
+    traces = xic.join(each, keys)
+    ratios = kernel_ratio(traces, ranges, psms.join(each, keys), by, imps)
+    own = F.coalesce(*[F.when(F.col("imp") == i, F.col(f"r_{i}")) for i in imps])
+    shaped = traces.join(ratios.select(*by, "i", own.alias("_own")), [*by, "i"], "left").withColumn("_y", F.col("smooth") * F.coalesce("_own", F.lit(0.0)))
+    area = closed_auc(shaped, ranges, by, ["peak_no"], "_y").join(closed_auc(shaped, ranges, by, ["peak_no"], "smooth", "_total"), [*by, "peak_no"])
+    return area.select(*by, "area", (F.col("area") / F.nullif(F.col("_total"), F.lit(0.0))).alias("share"))
+
+
 def xic_extract(peaks: DataFrame, windows: DataFrame, keys: list[str], scan: str, mz: str, intensity: str, width: float) -> DataFrame:
     """Per window and scan the last peak, in m/z order, strictly inside (low, high); scans without one aren't listed."""
     from modspec.operators.joins import range_join

@@ -107,6 +107,18 @@ def fragment_ions(peptides: DataFrame, charges: list[int], mass_of: Column, prot
     return both.withColumn("z", F.explode(F.array(*[F.lit(z) for z in charges]))).select(peptide, "i.type", "pos", "z", ((F.col("i.m") + F.col("z") * proton) / F.col("z")).alias("mz"))
 
 
+#: The nine ion types by number, each with the series whose places it has (1 b, 2 y) and the mass that it lacks (CO, NH3, H2O).
+CO, NH3, H2O = 27.9949146, 17.0265491, 18.0105647
+ION_TYPES = {1: (1, 0.0), 11: (1, NH3), 12: (1, H2O), 2: (2, 0.0), 21: (2, NH3), 22: (2, H2O), 3: (1, CO), 31: (1, CO + NH3), 32: (1, CO + H2O)}
+
+
+def ion_types(ions: DataFrame, types: tuple[int, ...]) -> DataFrame:
+    """Ions of the given types from b (1) and y (2) ions with type, z and mz."""
+    wanted = F.array(*[F.struct(F.lit(ION_TYPES[t][0]).alias("_series"), F.lit(t).alias("_type"), F.lit(ION_TYPES[t][1]).alias("_lost")) for t in types])
+    each = ions.select("*", F.inline(wanted)).where("type = _series")
+    return each.withColumn("mz", F.round(F.col("mz") - F.col("_lost") / F.col("z"), 8)).withColumn("type", F.col("_type")).drop("_series", "_type", "_lost")
+
+
 def discriminating_ions(placed: DataFrame, fragments: DataFrame, masses: dict[str, float], sites: str = "sites", placement: str = "placement", peptide: str = "peptide") -> DataFrame:
     """(peptide, imp, type, pos, z, mz, n_mods): ions between neighbouring sites, shifted by what lies on their side."""
     table = F.create_map(F.lit(""), F.lit(0.0), *[F.lit(x) for p in masses.items() for x in p])

@@ -55,3 +55,10 @@ def decoy_and_group(protein: Column, tag: Column, decoy_tag: str, group_tags: li
     """(target: the protein lacks the decoy tag in any case; in_group: ``tag`` has none of the group tags)."""
     held = F.exists(F.array(*[F.lit(t) for t in group_tags]), lambda t: F.contains(tag, t))
     return ~F.contains(F.upper(protein), F.lit(decoy_tag.upper())), ~held
+
+
+def select_standard(psms: DataFrame, peptide: tuple[str, str], mass: tuple[str, float], tol: float = 1e-4, charge: tuple[str, int] | None = None, min_ions: tuple[str, int] | None = None) -> DataFrame:
+    """Matches of one standard: exact peptide, mass within the tolerance, where given its charge and a floor of matched ions; each argument is a column and its value."""
+    kept = psms.where((F.col(peptide[0]) == peptide[1]) & (F.abs(F.col(mass[0]) - mass[1]) < tol))
+    kept = kept.where(F.col(charge[0]) == charge[1]) if charge else kept
+    return kept.where(F.col(min_ions[0]) >= min_ions[1]) if min_ions else kept

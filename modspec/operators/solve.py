@@ -52,11 +52,71 @@ def gram_matrix(terms: DataFrame, keys: list[str], row: str, col: str, value: st
     return a.join(b, [*keys, row]).where("i <= j").groupBy(*keys, "i", "j").agg(F.sum(F.col("_x") * F.col("_y")).alias("h"))
 
 
-def box_descent(h: np.ndarray, f: np.ndarray, sweeps: int = 20_000, tol: float = 1e-12) -> np.ndarray:
-    """min x'Hx/2 + f'x over x >= 0 of many systems at once, by coordinate descent: ``h`` is (systems, n, n), ``f`` (systems, n).
+#: Row weights of the design: from the ion itself, or as one mean for its class.
+WEIGHTS = ("self", "class", "observed", "log", "sqrt")
+
+
+def row_weights(ions: DataFrame, observed: DataFrame, key: str, ion: str, cls: str, norm: str, raw: str, mode: str) -> DataFrame:
+    """(key, ion, weight) for the squares of the design's rows; classes that nothing matches have none.
+
+    ``ions`` (key, ion, cls) are all theoretical ions, ``observed`` (key, ion,
+    norm, raw) the matched ones.  "self" takes an ion's normalised intensity (1
+    where it is 0 or missing), the others one mean for each class: of normalised
+    intensities over all its ions ("class") or the matched ones ("observed"), of
+    log or root raw intensities, as shares of the spectrum's largest, over all.
+    """
+    rows = ions.join(observed.select(key, ion, F.col(norm).alias("_norm"), F.col(raw).alias("_raw")), [key, ion], "left")
+    seen = F.count("_norm").over(Window.partitionBy(key, cls)) > 0
+    if mode == "self":
+        value = F.coalesce(F.nullif(F.col("_norm"), F.lit(0.0)), F.lit(1.0))
+    else:
+        scaled = {"log": F.log("_raw"), "sqrt": F.sqrt("_raw")}.get(mode)
+        each = F.col("_norm") if scaled is None else scaled / F.max(scaled).over(Window.partitionBy(key))
+        rows = rows.withColumn("_each", each)
+        whole = Window.partitionBy(key, cls)
+        value = F.sum("_each").over(whole) / F.count("_norm" if mode == "observed" else F.lit(1)).over(whole)
+    return rows.withColumn("weight", value).withColumn("_seen", seen).where("_seen").select(key, ion, "weight")
+
+
+def class_shares(observed: DataFrame, classes: DataFrame, key: str, ion: str, cls: str, norm: str) -> DataFrame:
+    """(key, ion, y): each matched ion's share of its class, the right side of constant efficiencies."""
+    rows = observed.join(classes.select(key, ion, cls), [key, ion])
+    return rows.select(key, ion, F.coalesce(F.col(norm) / F.nullif(F.sum(norm).over(Window.partitionBy(key, cls)), F.lit(0.0)), F.lit(0.0)).alias("y"))
+
+
+def variable_efficiency(incidence: DataFrame, ions: DataFrame, observed: DataFrame, key: str, ion: str, imp: str, cls: str, norm: str, lam: float = 0.0, **options) -> tuple[DataFrame, DataFrame]:
+    """((key, imp, abundance, kkt, rank_deficient), (key, cls, efficiency)): abundances with an efficiency of each ion class.
+
+    The design has, beside the forms of an ion (``incidence``: key, ion, imp), a
+    column for each matched class with minus the ion's intensity; its unknowns,
+    inverse efficiencies, are 1 at least, those of forms 0; the right side is 0.
+    Rows of classes that nothing matches are left out.  Efficiencies are scaled
+    to a largest of 1; the penalty is on forms only.
+    """
+    rows = ions.select(key, ion, cls).join(observed.select(key, ion, F.col(norm).alias("_norm")), [key, ion], "left")
+    rows = rows.withColumn("_seen", F.coalesce(F.sum("_norm").over(Window.partitionBy(key, cls)), F.lit(0.0)) > 0).where("_seen")
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string")).alias("_col")
+    forms = incidence.select(key, ion, name("f", imp)).distinct().join(rows.select(key, ion), [key, ion]).withColumn("_x", F.lit(1.0))
+    classes = rows.where("_norm > 0").select(key, ion, name("c", cls), (-F.col("_norm")).alias("_x"))
+    zeros = rows.select(key, ion, F.lit(0.0).alias("_y"))
+    lows = classes.select(key, "_col").distinct().withColumn("low", F.lit(1.0))
+    penalties = forms.select(key, "_col").distinct().withColumn("penalty", F.lit(1.0))
+    got = estimate_abundance(forms.unionByName(classes), zeros, key, ion, "_col", "_x", "_y", lam, penalties, lows=lows, **options)
+    kinds = dict(incidence.dtypes)
+    imps = got.where("_col like 'f%'").select(key, F.substring("_col", 2, 1000).cast(kinds[imp]).alias(imp), "abundance", "kkt", "rank_deficient")
+    inverse = got.where("_col like 'c%'").select(key, F.substring("_col", 2, 1000).cast(dict(ions.dtypes)[cls]).alias(cls), (1 / F.col("abundance")).alias("_e"))
+    return imps, inverse.select(key, cls, (F.col("_e") / F.max("_e").over(Window.partitionBy(key))).alias("efficiency"))
+
+
+def box_descent(h: np.ndarray, f: np.ndarray, low: np.ndarray | None = None, sweeps: int = 20_000, tol: float = 1e-12) -> np.ndarray:
+    """min x'Hx/2 + f'x over x >= low (0 if not given) of many systems at once, by coordinate descent: ``h`` is (systems, n, n), ``f`` and ``low`` (systems, n).
 
     Systems that no longer move are left out of further sweeps.
     """
+    if low is not None:
+        return low + box_descent(h, f + np.einsum("bij,bj->bi", h, low), None, sweeps, tol)
+    if f.shape[1] == 2:
+        return _of_two(h, f, sweeps, tol)
     x = np.zeros(f.shape)
     diag = np.einsum("bii->bi", h)
     grad = f.astype(float).copy()
@@ -79,13 +139,35 @@ def box_descent(h: np.ndarray, f: np.ndarray, sweeps: int = 20_000, tol: float =
     return x
 
 
-def estimate_abundance(terms: DataFrame, targets: DataFrame, key: str, row: str, col: str, value: str, target: str, lam: float = 0.0, penalties: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
+def _of_two(h: np.ndarray, f: np.ndarray, sweeps: int, tol: float) -> np.ndarray:
+    """Closed form of systems with two unknowns; singular ones are put beside a third, empty unknown for the descent."""
+    a, b, o, p, q = h[:, 0, 0], h[:, 1, 1], h[:, 0, 1], -f[:, 0], -f[:, 1]
+    det = a * b - o * o
+    flat = det <= 1e-12 * a * b
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x1, x2 = (p * b - q * o) / det, (q * a - p * o) / det
+        # with one unknown below 0 that one is 0; with both, the one that alone gains less
+        gain1, gain2 = np.maximum(p, 0) ** 2 / a, np.maximum(q, 0) ** 2 / b
+        no1 = (x1 < 0) & ((x2 >= 0) | (gain1 < gain2))
+        no2 = (x2 < 0) & ~no1
+        w1 = np.where(no1, 0.0, np.where(no2, np.maximum(p / a, 0), x1))
+        w2 = np.where(no2, 0.0, np.where(no1, np.maximum(q / b, 0), x2))
+    out = np.stack([w1, w2], 1)
+    if flat.any():
+        wide, side = np.zeros((flat.sum(), 3, 3)), np.zeros((flat.sum(), 3))
+        wide[:, :2, :2], side[:, :2] = h[flat], f[flat]
+        out[flat] = box_descent(wide, side, None, sweeps, tol)[:, :2]
+    return out
+
+
+def estimate_abundance(terms: DataFrame, targets: DataFrame, key: str, row: str, col: str, value: str, target: str, lam: float = 0.0, penalties: DataFrame | None = None, weights: DataFrame | None = None, lows: DataFrame | None = None) -> DataFrame:
     """(key, col, abundance, xy, kkt, rank_deficient) of each spectrum: min |Xw - y|^2 / 2 + sum of penalties * w / 2, w >= 0.
 
     ``terms`` are the entries of X, ``targets`` (key, row, target) y.  The
     penalty of a form is ``lam``, or ``lam`` times its own in ``penalties``
     (key, col, penalty); ``weights`` (key, row, weight) multiply the squares of
-    the rows.  H and X'y come from Spark aggregates; a spectrum's system is one
+    the rows; ``lows`` (key, col, low) are least values other than 0, of columns
+    that keep their value and don't count as forms.  H and X'y come from Spark aggregates; a spectrum's system is one
     row, and a task solves the systems of a batch together, by their size.
     Abundances within 1e-8 of 0 are 0, the others sum to 1.
     """
@@ -99,7 +181,11 @@ def estimate_abundance(terms: DataFrame, targets: DataFrame, key: str, row: str,
     if penalties is not None:
         xy = xy.join(penalties.select(key, F.col(col).alias("i"), "penalty"), [key, "i"], "left")
         own = lam * F.coalesce("penalty", F.lit(0.0)).cast("double")
-    xy = xy.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "v", own.alias("p")))).alias("xy"))
+    low = F.lit(0.0)
+    if lows is not None:
+        xy = xy.join(lows.select(key, F.col(col).alias("i"), "low"), [key, "i"], "left")
+        low = F.coalesce("low", F.lit(0.0)).cast("double")
+    xy = xy.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "v", own.alias("p"), low.alias("low")))).alias("xy"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -108,7 +194,7 @@ def estimate_abundance(terms: DataFrame, targets: DataFrame, key: str, row: str,
             out = []
             for n in np.unique(size):
                 some = np.flatnonzero(size == n)
-                m, b, f = np.zeros((len(some), n, n)), np.zeros((len(some), n)), np.zeros((len(some), n))
+                m, (b, f, least) = np.zeros((len(some), n, n)), np.zeros((3, len(some), n))
                 for k, at in enumerate(some):
                     place = {name: i for i, name in enumerate(names[at])}
                     for e in pdf["h"].iat[at]:
@@ -116,12 +202,14 @@ def estimate_abundance(terms: DataFrame, targets: DataFrame, key: str, row: str,
                         m[k, i, j] = m[k, j, i] = e["v"]
                     b[k] = [e["v"] for e in pdf["xy"].iat[at]]
                     f[k] = [e["p"] / 2 for e in pdf["xy"].iat[at]]
+                    least[k] = [e["low"] for e in pdf["xy"].iat[at]]
                 f -= b
-                x = box_descent(m, f)
+                x = box_descent(m, f, least)
                 grad = np.einsum("bij,bj->bi", m, x) + f
-                kkt = np.maximum(np.abs(np.minimum(grad, 0)).max(1), np.abs(grad * x).max(1))
+                kkt = np.maximum(np.abs(np.minimum(grad, 0)).max(1), np.abs(grad * (x - least)).max(1))
                 x[np.abs(x) <= 1e-8] = 0
-                whole = x.sum(1, keepdims=True)
+                form = least == 0
+                whole = np.where(form, (x * form).sum(1, keepdims=True), 1.0)
                 deficient = np.linalg.matrix_rank(m, hermitian=True) < n
                 out.append(pd.DataFrame({key: np.repeat(pdf[key].to_numpy()[some], n), col: [name for at in some for name in names[at]], "abundance": (x / np.where(whole == 0, 1, whole)).ravel(),
                                          "xy": b.ravel(), "kkt": np.repeat(kkt, n), "rank_deficient": np.repeat(deficient, n)}))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from modspec.functions.scalars import render_top1
 from modspec.operators import chrom, fdr, filters, windows
 from modspec.plans.adapters import ions, peaks, psms, table, trace
-from modspec.plans.q_chrom import BEST_SQL, KEYS, areas_sql, best, grid, hits, ranges, xic
+from modspec.plans.q_chrom import KEYS, grid, hits
 from modspec.plans.q_spectra import MATCH_SQL, matches
 from modspec.plans.q_windows import COUNTS_SQL
 from modspec.plans.registry import query
@@ -25,9 +26,7 @@ def render_sectioned(spark, folder):
 def top1_report(spark, folder):
     """The best form of each match with abundance 1: the modification's name up to its first blank, put at a 0-based place."""
     letters = F.upper(F.replace("p_name", F.lit(" "), F.lit("")))
-    at = F.col("p_size") % 5
-    name = F.substring_index(F.concat("p_type", F.lit(" (K)")), " ", 1)
-    imp = F.concat(F.substr(letters, F.lit(1), at), F.lit("{"), name, F.lit("}"), F.substr(letters, at + 1))
+    imp = render_top1(letters, F.array(F.concat("p_type", F.lit(" (K)"))), F.array(F.col("p_size") % 5))
     return table(spark, folder, "part").select("p_partkey", imp.alias("imp"), F.lit(1.0).alias("abundance"))
 
 
@@ -89,13 +88,14 @@ def job_deconvolve(spark, folder):
     return cut.where("abundance > 0").select("spectrum", "imp", F.round("abundance", 4).alias("abundance"), "rank_deficient")
 
 
-@query("job_requantify", f"WITH {BEST_SQL}, {areas_sql('smooth', 't')} SELECT b.grp, b.imp, round(b.area, 4) AS area, round(b.area / nullif(t.area, 0), 6) AS share FROM best b JOIN t ON t.grp = b.grp AND t.peak_no = b.peak_no")
+@query("job_requantify")
 def job_requantify(spark, folder):
-    """Area of each form in its checked range (here its best peak) and its share of the whole trace there."""
-    x = xic(spark, folder)
-    whole = chrom.closed_auc(x, ranges(x), KEYS, ["peak_no"], "smooth", "total")
-    got = best(spark, folder).join(whole, ["grp", "peak_no"])
-    return got.select("grp", "imp", F.round("area", 4).alias("area"), F.round(F.col("area") / F.nullif("total", F.lit(0.0)), 6).alias("share"))
+    """Area of each form in its checked range, here from the first to the last match that is mostly of the form, and its share of the whole trace there."""
+    psm = hits(spark, folder)
+    ends = [F.min("rt").alias("rt_start"), F.max("rt").alias("rt_end")]
+    checked = psm.withColumn("imp", F.when(F.col("r_A") >= F.col("r_B"), "A").otherwise("B")).groupBy("grp", "imp").agg(*ends)
+    got = chrom.requantify(grid(spark, folder), psm, checked, KEYS, ["A", "B"])
+    return got.select("grp", "imp", F.round("area", 4).alias("area"), F.round("share", 6).alias("share"))
 
 
 @query("job_normalise")

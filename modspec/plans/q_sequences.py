@@ -182,6 +182,16 @@ def discriminating_ions(spark, folder):
     return _ions(spark, folder).select("peptide", "imp", "type", "pos", F.round("mz", 5).alias("mz"), "n_mods")
 
 
+_LOST = ", ".join(f"({t}, {series}, {lost!r}::DOUBLE)" for t, (series, lost) in E.ION_TYPES.items())
+
+
+@query("ion_types", f"WITH {_IONS_SQL}, kinds(kind, series, lost) AS (VALUES {_LOST}) SELECT peptide, imp, kind AS type, pos, round(mz - lost, 5) AS mz, n_mods FROM ions JOIN kinds ON type = series")
+def ion_types(spark, folder):
+    """Discriminating ions of all nine types."""
+    rows = _ions(spark, folder).withColumn("mz", F.round("mz", 5))
+    return E.ion_types(rows, tuple(E.ION_TYPES)).select("peptide", "imp", "type", "pos", F.round("mz", 5).alias("mz"), "n_mods")
+
+
 @query("distinct_ions", f"WITH {_IONS_SQL} SELECT peptide, type, pos, mz, n_mods, count(DISTINCT imp) AS n_imps, dense_rank() OVER (PARTITION BY peptide ORDER BY type, pos) AS cls FROM ions GROUP BY peptide, type, pos, mz, n_mods")
 def distinct_ions(spark, folder):
     rows = _ions(spark, folder).withColumn("mz", F.round("mz", 5))

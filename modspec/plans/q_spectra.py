@@ -54,7 +54,8 @@ def modified_filter(spark, folder):
 @query("standard_filter", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND abs(o_totalprice - round(o_totalprice)) < 0.05 AND o_custkey % 3 = 1 AND o_custkey >= 100")
 def standard_filter(spark, folder):
     """One standard: exact name, mass within a tolerance, charge and a floor of matched ions."""
-    return psms(spark, folder).where((F.col("grp") == "F") & (F.abs(F.col("score") - F.round("score")) < 0.05) & (F.col("scan") % 3 == 1) & (F.col("scan") >= 100)).select("id")
+    rows = psms(spark, folder).withColumn("off", F.col("score") - F.round("score")).withColumn("charge", F.col("scan") % 3)
+    return filters.select_standard(rows, ("grp", "F"), ("off", 0.0), 0.05, ("charge", 1), ("scan", 100)).select("id")
 
 
 @query("psm_flags", "SELECT s_suppkey, NOT contains(upper(s_name), '7') AS target, NOT (contains(s_name, '12') OR contains(s_name, '3')) AS in_group FROM supplier")
@@ -139,6 +140,48 @@ def abundance_kkt(spark, folder):
         F.count("*").alias("n_forms"), F.round(F.sum("xy"), 5).alias("xy"), F.round(F.max("xy"), 5).alias("top"), (F.max("kkt") < 1e-6).alias("kkt_ok"), ((F.abs(s - 1) < 1e-9) | (s == 0)).alias("sums_ok"))
 
 
+@query("abundance_penalty", f"""WITH {MATCH_SQL}, s AS (SELECT spectrum, imp, sum(norm) AS a FROM m GROUP BY 1, 2), p AS (SELECT spectrum, imp, 0.5 * (1 / a) / min(1 / a) OVER (PARTITION BY spectrum) AS penalty FROM s)
+SELECT spectrum, count(*) AS n_forms, round(max(penalty), 6) AS penalty, true AS kkt_ok, true AS sums_ok FROM p GROUP BY 1""")
+def abundance_penalty(spark, folder):
+    """Solutions whose penalty is each form's own, from its summed intensity, with their certificate."""
+    rows = matches(spark, folder)
+    x = rows.select("spectrum", "ion", "imp", F.lit(1.0).alias("x"))
+    y = rows.groupBy("spectrum", "ion").agg(F.sum("norm").alias("y"))
+    p = solve.penalty(solve.sdp_scores(rows, ["spectrum"], "imp", "norm", "raw"), ["spectrum"], "s_norm", 0.5)
+    got = solve.estimate_abundance(x, y, "spectrum", "ion", "imp", "x", "y", 1.0, p).join(p.select("spectrum", "imp", "penalty"), ["spectrum", "imp"])
+    s = F.sum("abundance")
+    return got.groupBy("spectrum").agg(F.count("*").alias("n_forms"), F.round(F.max("penalty"), 6).alias("penalty"), (F.max("kkt") < 1e-6).alias("kkt_ok"), ((F.abs(s - 1) < 1e-9) | (s == 0)).alias("sums_ok"))
+
+
+@query("row_weights", f"""WITH {MATCH_SQL}, o AS (SELECT spectrum, ion, sum(norm) AS norm, sum(raw) AS raw FROM m GROUP BY 1, 2), t AS (SELECT DISTINCT spectrum, k AS ion, k % 3 AS cls FROM m, range(10) r(k)),
+j AS (SELECT t.*, norm, raw, sqrt(raw) / max(sqrt(raw)) OVER (PARTITION BY spectrum) AS root FROM t LEFT JOIN o USING (spectrum, ion)),
+w AS (SELECT *, count(norm) OVER c AS seen, count(*) OVER c AS n, sum(norm) OVER c AS total, sum(root) OVER c AS roots FROM j WINDOW c AS (PARTITION BY spectrum, cls))
+SELECT spectrum, ion, round(total / n, 6) AS w_class, round(total / seen, 6) AS w_observed, round(roots / n, 6) AS w_sqrt FROM w WHERE seen > 0""")
+def row_weights(spark, folder):
+    """Weights of the design's rows in three modes, ten ions in three classes for each spectrum."""
+    rows = matches(spark, folder)
+    seen = rows.groupBy("spectrum", "ion").agg(F.sum("norm").alias("norm"), F.sum("raw").alias("raw"))
+    all_ions = rows.select("spectrum").distinct().withColumn("ion", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long")))).withColumn("cls", F.col("ion") % 3)
+    out = None
+    for mode in ("class", "observed", "sqrt"):
+        one = solve.row_weights(all_ions, seen, "spectrum", "ion", "cls", "norm", "raw", mode).select("spectrum", "ion", F.round("weight", 6).alias(f"w_{mode}"))
+        out = one if out is None else out.join(one, ["spectrum", "ion"])
+    return out
+
+
+@query("abundance_efficiency")
+def abundance_efficiency(spark, folder):
+    """Abundances with an efficiency of each class of ions (two classes), and the certificate."""
+    rows = matches(spark, folder)
+    seen = rows.groupBy("spectrum", "ion").agg(F.sum("norm").alias("norm"))
+    classed = seen.select("spectrum", "ion", (F.col("ion") % 2).alias("cls"))
+    imps, efficiency = solve.variable_efficiency(rows.select("spectrum", "ion", "imp"), classed, seen, "spectrum", "ion", "imp", "cls", "norm")
+    s = F.sum("abundance")
+    tops = efficiency.groupBy("spectrum").agg(F.max("efficiency").alias("top"))
+    got = imps.groupBy("spectrum").agg(F.count("*").alias("n_forms"), (F.max("kkt") < 1e-6).alias("kkt_ok"), ((F.abs(s - 1) < 1e-9) | (s == 0)).alias("sums_ok"))
+    return got.join(tops, "spectrum", "left")
+
+
 @query("abundance_2imp", f"""WITH {MATCH_SQL}, t AS (SELECT spectrum, ion, imp FROM m WHERE imp <= 2), y AS (SELECT spectrum, ion, sum(norm) AS y FROM m WHERE imp <= 2 GROUP BY 1, 2),
 c AS (SELECT t.spectrum, count(*) FILTER (imp = 1) AS a, count(*) FILTER (imp = 2) AS b, sum(y) FILTER (imp = 1) AS p, sum(y) FILTER (imp = 2) AS q FROM t JOIN y USING (spectrum, ion) GROUP BY 1),
 o AS (SELECT x.spectrum, count(*) AS o FROM t x JOIN t z ON x.spectrum = z.spectrum AND x.ion = z.ion AND x.imp = 1 AND z.imp = 2 GROUP BY 1),

@@ -85,6 +85,40 @@ def write_merged_pairs(wide: DataFrame, path: str) -> None:
     wide.sortWithinPartitions("site", "imp", "charge").write.option("sep", "\t").option("header", True).csv(path)
 
 
+def merged_lines(wide: DataFrame, names: list[str]) -> DataFrame:
+    """site, imp, charge, level, line of a merged table: per pair left, right and two blank columns; a SUM row ends each site."""
+    cell = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%f", c)).otherwise("")
+    columns = [f"{n}_{side}" for n in names for side in ("left", "right")]
+    line = lambda head: F.concat_ws("\t", *head, *[x for n in names for x in (cell(f"{n}_left"), cell(f"{n}_right"), F.lit(""), F.lit(""))])
+    rows = wide.select("site", "imp", "charge", F.lit(0).alias("level"), line([F.col("site"), F.col("imp"), F.col("charge")]).alias("line"))
+    sums = wide.groupBy("site").agg(*[F.sum(c).alias(c) for c in columns])
+    none = F.lit(None).cast("string")
+    return rows.unionByName(sums.select("site", none.alias("imp"), none.alias("charge"), F.lit(1).alias("level"), line([F.col("site"), F.lit("SUM"), F.lit("")]).alias("line")))
+
+
+def write_merged_report(wide: DataFrame, names: list[str], path: str) -> None:
+    """The rows of each site in order and then its sums; a site never crosses files."""
+    merged_lines(wide, names).repartitionByRange("site").sortWithinPartitions("site", "level", "imp", "charge").select("line").write.text(path)
+
+
+def write_sites(sited: DataFrame, others: DataFrame, path: str, others_path: str) -> None:
+    """The site report, and rows of proteins that nobody asked for as tab-separated text."""
+    write_site_report(sited, path)
+    others.write.option("sep", "\t").option("header", True).csv(others_path)
+
+
+def write_top1_msms(psms: DataFrame, path: str) -> None:
+    """A deconvolution report of one form with abundance 1 for each match (peptide, dataset, title, imp)."""
+    write_msms_report(psms.withColumn("abundance", F.lit(1.0)), path)
+
+
+def write_requant_report(imp_rows: DataFrame, rt_ranges: DataFrame, path: str) -> None:
+    """As the peptide report, with one ``@`` row of each form, that with the largest check label."""
+    key = ["imp", "charge", "run"]
+    best = rt_ranges.where("ratio <> 0").groupBy(*key).agg(F.max(F.struct("check_label", "rt_start", "rt_end", "ratio")).alias("b"))
+    write_peptide_report(imp_rows, best.select(*key, "b.*"), path)
+
+
 def write_peptide_report(imp_rows: DataFrame, rt_ranges: DataFrame, path: str) -> None:
     """Protein lines, ``*`` rows and the ``@`` rows whose ratio isn't 0, in nested order."""
     keys = ["protein_line", "imp", "charge", "run"]

@@ -117,3 +117,52 @@ def test_jobs_take_whole_peaks(spark, broad):
     assert got[1, "A"] == pytest.approx((0.9 * area, 0.9), abs=1e-3) and got[1, "B"] == pytest.approx((0.1 * area, 0.1), abs=1e-3)
     assert [tuple(r) for r in QUERIES["job_normalise"](spark, folder).collect()] == [(1, 1, pytest.approx(area, abs=1e-2))]
     assert [tuple(r) for r in QUERIES["job_top1"](spark, folder).collect()] == [(1, "purchase", pytest.approx(area, abs=1e-2), 6)]
+
+
+def test_requantification_takes_the_checked_range(spark, broad):
+    """The matches of form A lie at minutes 11 to 16, a second late; their ratios are 0.9 of it."""
+    folder, _, _ = broad
+    y = [0.0] * 6 + [4.0, 8.0, 15.0, 25.0, 40.0, 60.0, 80.0, 95.0, 100.0, 95.0, 80.0, 60.0, 40.0, 25.0, 15.0, 8.0, 4.0] + [0.0] * 7
+    smooth = [sum(w) / len(w) for k in range(len(y)) for w in [y[max(k - 2, 0) : k + 3]]]
+    area = trapezoid([float(k) for k in range(len(y))], smooth, 11, 16)
+    got = [tuple(r) for r in QUERIES["job_requantify"](spark, folder).collect()]
+    assert got == [(1, "A", pytest.approx(0.9 * area, abs=1e-3), pytest.approx(0.9, abs=1e-6))]
+
+
+def test_efficiencies_of_classes_are_found(spark):
+    """Two forms with ions of their own in two classes, the second of which shows half of what is there."""
+    from modspec.operators import solve
+
+    rows = [(1, 0, 1, 0.8, 0), (1, 1, 2, 0.2, 0), (1, 2, 1, 0.4, 1), (1, 3, 2, 0.1, 1)]
+    df = spark.createDataFrame(rows, "s long, ion long, imp int, norm double, cls int")
+    # the ray of solutions is cut by the least inverse efficiency, 1
+    imps, efficiency = solve.variable_efficiency(df.select("s", "ion", "imp"), df.select("s", "ion", "cls"), df.select("s", "ion", "norm"), "s", "ion", "imp", "cls", "norm")
+    assert {r["imp"]: round(r["abundance"], 6) for r in imps.collect()} == {1: 0.8, 2: 0.2}
+    assert {r["cls"]: round(r["efficiency"], 6) for r in efficiency.collect()} == {0: 1.0, 1: 0.5}
+    # class 2 matches nothing, so its ion has no row
+    ions = df.select("s", "ion", "cls").union(spark.createDataFrame([(1, 9, 2)], "s long, ion long, cls int"))
+    weights = {r["ion"]: round(r["weight"], 6) for r in solve.row_weights(ions, df.withColumn("raw", F.col("norm") * 100), "s", "ion", "cls", "norm", "raw", "class").collect()}
+    assert weights == {0: 0.5, 1: 0.5, 2: 0.25, 3: 0.25}
+
+
+def test_reports_with_sums_and_largest_labels(spark, tmp_path):
+    from modspec.sources import readers, writers
+
+    wide = spark.createDataFrame([("s1", "i1", "+2", 1.0, 2.0, None, None), ("s1", "i2", "+2", 3.0, 4.0, 5.0, 6.0)], "site string, imp string, charge string, p_left double, p_right double, q_left double, q_right double")
+    writers.write_merged_report(wide, ["p", "q"], f"{tmp_path}/merged")
+    lines = [r["value"] for r in spark.read.text(f"{tmp_path}/merged").collect()]
+    assert lines == ["s1\ti1\t+2\t1.000000\t2.000000\t\t\t\t\t\t", "s1\ti2\t+2\t3.000000\t4.000000\t\t\t5.000000\t6.000000\t\t", "s1\tSUM\t\t4.000000\t6.000000\t\t\t5.000000\t6.000000\t\t"]
+    imps = spark.createDataFrame([("P", "_A_", "+2", "r", 1.0, 1.0, 1.0, 9.0)], "protein_line string, imp string, charge string, run string, mz_mid double, mz_lo double, mz_hi double, area double")
+    ranges = spark.createDataFrame([("_A_", "+2", "r", 1.0, 2.0, 0.5, 0), ("_A_", "+2", "r", 3.0, 4.0, 0.5, 2)], "imp string, charge string, run string, rt_start double, rt_end double, ratio double, check_label int")
+    writers.write_requant_report(imps, ranges, f"{tmp_path}/requant")
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/requant").collect()][-1:] == ["@\t3.000000\t4.000000\t0.500000\t2"]
+    (tmp_path / "f.fasta").write_text(">a>b c\nMK\n>d\nAA\n>a>b c\nLL\n")
+    assert {tuple(r) for r in readers.read_fasta(spark, f"{tmp_path}/f.fasta").collect()} == {("a>b c", "LL"), ("d", "AA")}
+
+
+def test_scalars_of_titles_and_top1(spark):
+    from modspec.functions import scalars
+
+    df = spark.createDataFrame([("a%2e12%20b%3a%3d%22%2c%2d", "PEPTIDE", ["Acetyl (K)", "Phospho (S)"], [2, 5])], "t string, s string, n array<string>, p array<int>")
+    got = df.select(scalars.decode_title(F.col("t")), scalars.render_top1(F.col("s"), F.col("n"), F.col("p"))).first()
+    assert tuple(got) == ('a.12 b:=",-', "PE{Acetyl}PTI{Phospho}DE")
