@@ -62,7 +62,7 @@ BUCKET_SHINGLES = 1 << 19
 #: Signatures that a bucket holds before it passes on those of so many keys.
 BUCKET_HELD = 1 << 21
 HOT_KEYS = 1 << 14
-#: Shingles of the sets in one cell of the exact check, but for longer sets; an eighth for stars, in which a set is in two cells a pivot at most.
+#: Shingles of the sets in one cell of the exact check, but for longer sets; a 64th for stars, in which all but the pivots are in a cell for each pivot.
 CELL_SHINGLES = 1 << 21
 
 
@@ -395,7 +395,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_shingles = facts.agg(F.sum("n")).first()[0] or 0
     members = stored(shared_signatures(docs, text_col, words, percent, n_shingles), "members")
     args = (classes, docs, id_col, text_col, words, percent)
-    edges = stored(_verified(_screened(_star_pairs(members), classes, percent), max(1, CELL_SHINGLES // 8), *args), "links")
+    edges = stored(_verified(_screened(_star_pairs(members), classes, percent), max(1, CELL_SHINGLES // 64), *args), "links")
     roots = connected_components(edges)
     rest = _rest_pairs(members, roots, classes.select("key", "n", "sketch"), percent)
     more = stored(_verified(rest, CELL_SHINGLES, *args), "links")

@@ -268,6 +268,7 @@ def convert_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     h = lambda name: F.get(F.map_values(F.map_filter("headers", lambda k, _: k == name)), F.lit(0))
     rows = got.select(page_of(h("WARC-Target-URI")).alias("page_id"), "payload_bytes", F.regexp_replace(h("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"), h("WARC-Type").alias("record_type"),
                       page_of(h("WARC-Refers-To-Target-URI")).alias("refers_to"), h("WARC-Record-ID").alias("record_id"), h("WARC-Date").alias("warc_date"))
+    rows = stored(rows, "records")  # without payloads, so that the archives are read once
     # a revisit has no payload; its length is that of the record it refers to
     lengths = rows.where("record_type <> 'revisit'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("full"))
     rows = rows.join(lengths, "payload_digest", "left")
