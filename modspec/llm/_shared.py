@@ -15,7 +15,7 @@ BROADCAST_ROWS = 1_000_000
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset, the context's own, or a temporary one in local mode.
 
-    Tables there stay until the folder is cleared.
+    Tables there stay until ``drop_tables`` is called or the folder is cleared.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -30,8 +30,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths of this process's tables.
+_paths: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes the tables that this process has stored, once all results that read them are written."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -513,3 +513,18 @@ def test_shingles_cross_slices_alike(spark):
     texts = sample_texts(14)
     sizes = [np.concatenate([np.diff(b) for _, _, b in _shingles.per_row(pa.array(texts), 5, size)]).tolist() for size in (1, 500, 1 << 20)]
     assert sizes[0] == sizes[1] == sizes[2] == [len(s) for s in brute_sets(texts)]
+
+
+def test_tables_are_dropped(spark):
+    import os
+
+    from modspec.llm import _shared
+
+    held = _shared._paths[:]
+    _shared._paths.clear()
+    assert _shared.stored(spark.range(3), "three").count() == 3
+    path = _shared._paths[0].removeprefix("file:")
+    assert os.path.isdir(path)
+    _shared.drop_tables(spark)
+    assert not os.path.exists(path) and not _shared._paths
+    _shared._paths.extend(held)
