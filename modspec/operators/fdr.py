@@ -14,7 +14,7 @@ NO_TARGET = 1e-6
 def target_decoy_counts(psms: DataFrame, score: str = "score", tie: str = "id", decoy: str = "decoy", group: str = "grp") -> DataFrame:
     """Running targets and decoys by falling score: over all rows (n_targets, n_decoys) and in the group (g_targets, g_decoys)."""
     everywhere = running_sums(psms, score, tie, {"n_targets": ~F.col(decoy), "n_decoys": F.col(decoy)})
-    return running_sums(everywhere, score, tie, {"g_targets": ~F.col(decoy), "g_decoys": F.col(decoy)}, [group])
+    return running_sums(everywhere, score, tie, {"g_targets": ~F.col(decoy), "g_decoys": F.col(decoy)}, keys=[group])
 
 
 def accept(rated: DataFrame, limit: float, score: str = "score", decoy: str = "decoy", keys: list[str] | None = None) -> DataFrame:
@@ -35,7 +35,7 @@ def global_fdr(psms: DataFrame, limit: float, score: str = "score", tie: str = "
 
 def separate_fdr(psms: DataFrame, limit: float, group: str = "grp", score: str = "score", tie: str = "id", decoy: str = "decoy") -> DataFrame:
     """Decoys over targets within each group, with monotone q."""
-    counts = running_sums(psms, score, tie, {"g_targets": ~F.col(decoy), "g_decoys": F.col(decoy)}, [group])
+    counts = running_sums(psms, score, tie, {"g_targets": ~F.col(decoy), "g_decoys": F.col(decoy)}, keys=[group])
     rated = counts.withColumn("ratio", F.col("g_decoys") / F.greatest(F.col("g_targets").cast("double"), F.lit(NO_TARGET)))
     return accept(monotone_q(rated, [group], score, tie, "ratio"), limit, score, decoy, [group])
 

@@ -31,7 +31,7 @@ def _with_runs(df: DataFrame, value: str, runs: int | None = None) -> DataFrame:
     return placed.drop("_value").withColumn("_run", F.coalesce(F.col("_run").cast("int"), F.lit(-1)))
 
 
-def running_sums(df: DataFrame, score: str, tie: str, flags: dict[str, Column], keys: list[str] | None = None, runs: int | None = None) -> DataFrame:
+def running_sums(df: DataFrame, score: str, tie: str, flags: dict[str, Column], runs: int | None = None, keys: list[str] | None = None) -> DataFrame:
     """Running sums of ``flags`` by falling score, then tie, over the whole table or within the groups of ``keys``.
 
     Sums within a run of the score and totals of the runs before it add up, so

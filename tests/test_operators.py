@@ -181,3 +181,22 @@ def test_reports_round_trip(spark, tmp_path):
     assert {tuple(r)[1:] for r in readers.read_pair_report(spark, str(tmp_path / "pairs")).collect()} == {tuple(r) for r in pairs.collect()}
     writers.write_pep_spec(msms.select("peptide", "dataset", "title").distinct(), str(tmp_path / "list"))
     assert readers.read_pep_spec(spark, str(tmp_path / "list")).count() == 3
+
+
+def test_runs_of_groups_equal_one_window(spark):
+    """Sums, least ratios and clusters by group in several runs of the score, with ties, nulls and a group of most rows."""
+    from pyspark.sql import Window
+
+    rows = [(i, float(i * 37 % 90) if i % 41 else None, "big" if i % 5 else ("small" if i % 2 else None), i % 3 == 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, score double, grp string, decoy boolean").repartition(3)
+    w = Window.partitionBy("grp").orderBy(F.col("score").desc(), "id")
+    want = df.withColumn("n", F.sum(F.col("decoy").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("q", F.least(F.min(F.col("id") % 7 / 7).over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(1.0)))
+    got = windows.running_sums(df, "score", "id", {"n": F.col("decoy")}, 6, ["grp"])
+    got = windows.monotone_q(got.withColumn("ratio", F.col("id") % 7 / 7), ["grp"], "score", "id", "ratio")
+    assert {(r["id"], r["n"], r["q"]) for r in got.collect()} == {(r["id"], r["n"], r["q"]) for r in want.collect()}
+    up = Window.partitionBy("grp").orderBy("score", "id")
+    cut = F.coalesce((F.col("score") - F.lag("score").over(up) > 0.5).cast("long"), F.lit(1))
+    known = df.where("score is not null")
+    want = known.withColumn("cut", cut).withColumn("c", F.sum("cut").over(up.rowsBetween(Window.unboundedPreceding, 0)))
+    got = windows.gap_clusters(known, ["grp"], "score", "id", F.lit(0.5))
+    assert {(r["id"], r["cluster"]) for r in got.collect()} == {(r["id"], r["c"]) for r in want.collect()}
