@@ -52,6 +52,25 @@ def render_top1(sequence: Column, names: Column, places: Column) -> Column:
     return F.aggregate(F.reverse(F.array_sort(short)), sequence, put)
 
 
+def baseline_of(values: Column, step: float = 0.08, least: int = 100) -> Column:
+    """Baseline of one spectrum's positive intensities: 10 ^ centre of the fullest bin of their log10, the first on ties; 0 for ``least`` values or fewer.
+
+    Centres begin at the least value, in steps; one pass over the sorted array.
+    """
+    logs = F.sort_array(F.transform(values, lambda v: F.log10(v)))
+    zero, none = F.lit(0).cast("long"), F.lit(-1).cast("long")
+    start = F.struct(F.get(logs, F.lit(0)).alias("lo"), F.element_at(logs, -1).alias("hi"), none.alias("bin"), zero.alias("n"), none.alias("best"), zero.alias("most"))
+
+    def put(acc: Column, x: Column) -> Column:
+        at = F.least(F.floor((x - acc["lo"]) / step + 0.5), F.floor((acc["hi"] - acc["lo"]) / step + 1e-9)).cast("long")
+        n = F.when(at == acc["bin"], acc["n"] + 1).otherwise(F.lit(1).cast("long"))
+        more = n > acc["most"]
+        return F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi"), at.alias("bin"), n.alias("n"), F.when(more, at).otherwise(acc["best"]).alias("best"), F.when(more, n).otherwise(acc["most"]).alias("most"))
+
+    centre = F.aggregate(logs, start, put, lambda acc: F.pow(F.lit(10.0), acc["lo"] + acc["best"] * step))
+    return F.when(F.size(values) > least, centre).otherwise(0.0)
+
+
 def max_fragment_charge(charge: Column) -> Column:
     return F.when(charge <= 2, 1).when(charge == 3, 2).otherwise(3)
 

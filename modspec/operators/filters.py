@@ -45,10 +45,10 @@ def chem_prior(psms: DataFrame, mods: str, places: str, length: str, allowed: li
     return psms.where((F.size(F.array_distinct(mods)) <= max_types) & F.coalesce(fine, F.lit(True)))
 
 
-def modified(modification: Column, labels: list[str] | None = None) -> Column:
+def modified(modification: Column, labels: list[str] | None = None, separator: str = ";") -> Column:
     """Whether a modification string counts: not '-', no oxidation, and not isotope labels only."""
     keep = (modification != "-") & ~F.contains(modification, F.lit("Oxidation"))
-    return keep & ~F.forall(F.split(modification, ";"), lambda m: F.trim(m).isin(*labels)) if labels else keep
+    return keep & ~F.forall(F.split(modification, separator), lambda m: F.trim(m).isin(*labels)) if labels else keep
 
 
 def decoy_and_group(protein: Column, tag: Column, decoy_tag: str, group_tags: list[str]) -> tuple[Column, Column]:

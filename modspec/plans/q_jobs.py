@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from modspec.functions.scalars import render_top1
-from modspec.operators import chrom, fdr, filters, windows
+from modspec.operators import chrom, fdr, filters, jobs, review, windows
 from modspec.plans.adapters import ions, peaks, psms, table, trace
 from modspec.plans.q_chrom import KEYS, grid, hits
 from modspec.plans.q_spectra import MATCH_SQL, matches
@@ -116,3 +116,79 @@ def job_top1(spark, folder):
     counts = psm.groupBy(*key).agg(F.count("*").alias("n"))
     _, best = chrom.quantify(grid(spark, folder).join(counts.select(*[F.col(c).alias(c) for c in key]), "grp"), psm, key, ["T"])
     return best.join(counts, key).select(*key, F.round("area", 4).alias("area"), "n")
+
+
+#: Orders as search results: peptide, protein and modifications made from the keys.
+SEARCHED_SQL = """searched AS (SELECT o_orderkey AS id, o_orderpriority AS dataset, o_custkey AS scan, o_totalprice AS score, 'PEPTIDE' AS peptide, CASE WHEN o_custkey % 10 = 0 THEN 'rev_P' ELSE 'P' END AS protein,
+  CASE o_orderkey % 6 WHEN 0 THEN '-' WHEN 1 THEN 'Acetyl (K)' WHEN 2 THEN 'Acetyl (K),Oxidation (M)' WHEN 3 THEN 'Acetyl (K),Methyl (R),Trim (K)' WHEN 4 THEN 'Label (K)' ELSE 'Methyl (R),Label (K)' END AS m,
+  CASE o_orderkey % 6 WHEN 0 THEN '-' WHEN 1 THEN (1 + o_custkey % 7)::VARCHAR WHEN 2 THEN '1,' || (2 + o_custkey % 6) WHEN 3 THEN '1,2,3' WHEN 4 THEN '7' ELSE '3,' || (4 + o_custkey % 4) END AS places FROM orders)"""
+
+
+def searched(spark, folder):
+    key, scan = F.col("id"), F.col("scan")
+    kind = lambda *cases: F.element_at(F.array(*cases), (key % 6 + 1).cast("int"))
+    text = lambda c: c.cast("string")
+    m = kind(*[F.lit(x) for x in ("-", "Acetyl (K)", "Acetyl (K),Oxidation (M)", "Acetyl (K),Methyl (R),Trim (K)", "Label (K)", "Methyl (R),Label (K)")])
+    places = kind(F.lit("-"), text(1 + scan % 7), F.concat(F.lit("1,"), text(2 + scan % 6)), F.lit("1,2,3"), F.lit("7"), F.concat(F.lit("3,"), text(4 + scan % 4)))
+    return psms(spark, folder).select("id", "dataset", "scan", text(key).alias("spectrum"), "score", F.lit("PEPTIDE").alias("peptide"), F.when(scan % 10 == 0, "rev_P").otherwise("P").alias("protein"), m.alias("modification"), places.alias("modificationlocation"))
+
+
+@query("job_prefilter_chain", f"""WITH {SEARCHED_SQL}, e AS (SELECT *, CASE WHEN m = '-' THEN [] ELSE [split_part(x, ' ', 1) for x in string_split(m, ',')] END AS mods FROM searched),
+prior AS (SELECT *, starts_with(protein, 'rev') AS decoy, NOT contains(m, 'Acetyl') AS grp FROM e WHERE len(list_distinct(mods)) <= 2 AND (m = '-' OR string_split(places, ',')[-1] <> '7' OR mods[-1] IN ('Methyl', 'Label'))),
+counts AS (SELECT *, sum((NOT decoy)::INT) OVER w AS t, sum(decoy::INT) OVER w AS d FROM prior WINDOW w AS (PARTITION BY grp ORDER BY score DESC, dataset, scan, id::VARCHAR, peptide, places ROWS UNBOUNDED PRECEDING)),
+low AS (SELECT grp, min(score) AS threshold FROM counts WHERE d / greatest(t::DOUBLE, 1e-6) <= 0.11 GROUP BY 1),
+ok AS (SELECT c.* FROM counts c JOIN low USING (grp) WHERE NOT decoy AND score >= threshold)
+SELECT id, dataset, scan, m AS modification FROM (SELECT *, count(*) OVER (PARTITION BY dataset, scan) AS n FROM ok) WHERE n = 1 AND m <> '-' AND NOT contains(m, 'Oxidation') AND m <> 'Label (K)'""")
+def job_prefilter_chain(spark, folder):
+    """All steps of the job: chemical prior, flags, rates by group, lone scans, modified matches without labels."""
+    kept = jobs.prefilter_psms(searched(spark, folder), ["Methyl", "Label"], "REV", ["Acetyl"], 0.11, ["Label (K)"])
+    return kept.select("id", "dataset", "scan", "modification")
+
+
+@query("review_all", """WITH pk AS (SELECT DISTINCT l_orderkey AS spectrum, l_linenumber AS pos, l_partkey AS part, l_suppkey AS supp, l_extendedprice / 50 AS mz, l_quantity AS intensity FROM lineitem),
+psm AS (SELECT o_orderkey AS spectrum, any_value(1 - o_totalprice / 1000000) AS main, min(o_custkey) AS c FROM orders GROUP BY 1),
+f AS (SELECT spectrum, 1 AS imp, 14.0 + c % 2 AS mass, [(spectrum % 10)::BIGINT, (1 + c % 8)::BIGINT] AS sites, [14.0 + c % 2, 42.0] AS masses FROM psm UNION ALL SELECT spectrum, 2, 42.0, [(1 + c % 8)::BIGINT], [42.0] FROM psm),
+hit AS (SELECT DISTINCT spectrum, 1 + supp % 2 AS imp, 1 + part % 2 AS type, pos FROM pk WHERE part % 3 = 0),
+g AS (SELECT spectrum, imp, type, count(*) AS n, sum(brk) + (max(pos) < 7)::INT AS gaps FROM (SELECT *, (pos - coalesce(lag(pos) OVER (PARTITION BY spectrum, imp, type ORDER BY pos), 0) > 1)::INT AS brk FROM hit) GROUP BY ALL),
+l AS (SELECT spectrum, imp, sum(n - 0.5 * gaps) AS runs FROM g GROUP BY ALL),
+u AS (SELECT f.spectrum, f.imp, least(greatest(s, 1), 8) AS s FROM f, unnest(f.sites) AS t(s)),
+b AS (SELECT row_number() OVER () AS k, u.*, x.edge, CASE WHEN s - 1 + edge BETWEEN 1 AND 7 THEN 1 ELSE 0 END AS needed, s - 1 + edge AS border FROM u, (VALUES (0), (1)) x(edge)),
+kn AS (SELECT b.k, any_value(b.spectrum) AS spectrum, any_value(b.imp) AS imp, any_value(b.needed) AS needed, count(h.pos) > 0 AS known FROM b LEFT JOIN hit h ON h.spectrum = b.spectrum AND h.imp = b.imp AND ((h.type = 1 AND h.pos = b.border) OR (h.type = 2 AND h.pos = 8 - b.border)) GROUP BY b.k),
+loc AS (SELECT spectrum, imp, CASE WHEN sum(needed) > 0 THEN (sum(known::INT) / sum(needed) - 0.75) / 0.25 END AS localisation FROM kn GROUP BY ALL),
+forms AS (SELECT f.spectrum, min(NOT (list_contains(f.sites, 8) AND f.masses[list_position(f.sites, 8)] < 14.0266)) AS enzyme, avg(coalesce(runs, 0) / 14) AS ladder, avg(localisation) AS localisation FROM f LEFT JOIN l USING (spectrum, imp) JOIN loc USING (spectrum, imp) GROUP BY 1),
+z AS (SELECT pk.*, 400.0 + c % 800 AS pre, max(intensity) OVER (PARTITION BY spectrum) AS high FROM pk JOIN psm USING (spectrum)),
+y AS (SELECT *, CASE WHEN mz < pre - 50 AND pre - 50 - 100 * (ceil((pre - 50 - mz) / 100) - 1) > 300 THEN -ceil((pre - 50 - mz) / 100) WHEN mz >= pre + 50 THEN floor((mz - pre - 50) / 100) END AS bin FROM z),
+x AS (SELECT *, max(intensity) OVER (PARTITION BY spectrum, bin) AS top, CASE WHEN bin < 0 THEN 0.6 ELSE 0.3 END::DOUBLE AS share FROM y),
+un AS (SELECT spectrum, 1 - coalesce(sum((intensity - share * top) / ((1 - share) * top)) FILTER (bin IS NOT NULL AND part % 3 <> 0 AND intensity > share * top AND intensity > 0.1::DOUBLE * high), 0) AS unmatched FROM x GROUP BY 1)
+SELECT spectrum, enzyme, round(main, 6) AS main, round(ladder, 6) AS ladder, round(localisation, 6) AS localisation, round(unmatched, 5) + 0.0 AS unmatched FROM psm JOIN forms USING (spectrum) LEFT JOIN un USING (spectrum)""")
+def review_all(spark, folder):
+    """All five scores; orders are matches with two forms each, lines their peaks, every third part an ion that meets one."""
+    base = peaks(spark, folder).select("spectrum", "pos", "part", "supp", (F.col("mz") / 50).alias("mz"), "intensity").distinct()
+    base = base.withColumn("peak", F.struct("pos", "part", "supp", "mz", "intensity"))
+    hit = base.where("part % 3 = 0").select("spectrum", (1 + F.col("supp") % 2).alias("imp"), (1 + F.col("part") % 2).alias("type"), "pos", "peak")
+    orders = table(spark, folder, "orders").groupBy(F.col("o_orderkey").alias("spectrum")).agg(F.max("o_totalprice").alias("score"), F.min("o_custkey").alias("c"))
+    psm = orders.select("spectrum", "score", (400.0 + F.col("c") % 800).alias("precursor_mz"))
+    place = 1 + F.col("c") % 8
+    two = F.array(F.struct(F.lit(1).alias("imp"), F.array(F.col("spectrum") % 10, place).alias("sites"), F.array(14.0 + F.col("c") % 2, F.lit(42.0)).alias("masses")), F.struct(F.lit(2).alias("imp"), F.array(place).alias("sites"), F.array(F.lit(42.0)).alias("masses")))
+    forms = orders.select("spectrum", F.inline(two)).withColumn("length", F.lit(8).cast("long"))
+    got = review.review_scores(psm, forms, base, hit, 0.0, 1_000_000.0, high_is_better=False)
+    return got.select("spectrum", (F.col("enzyme") > 0).alias("enzyme"), *[F.round(c, 6).alias(c) for c in ("main", "ladder", "localisation")], (F.round("unmatched", 5) + 0.0).alias("unmatched"))
+
+
+@query("search_results", """WITH o AS (SELECT o_orderkey AS k, o_custkey % 50 AS file, o_custkey AS c, round(o_totalprice, 2) AS price FROM orders WHERE o_orderkey % 8 <= 5)
+SELECT 'f' || file AS file, 'f' || file || '.raw' AS dataset, c AS scan, 'run.' || c || '.' || k AS spectrum, (1 + k % 4)::INT AS charge, price AS calc_neutral_pepmass, round(price - 0.5, 2) AS precursor_neutral_mass, (k % 30)::INT AS num_match_ions,
+  'P' || c || ',Q' || k AS protein, ['Carb (C),Tag (N-term)', 'Carb (C),Ox (M)', 'Carb (C),Tag (N-term),Ox (M)', 'Tag (N-term),Ox (M),Acetyl (K)'][1 + k % 4] AS modification, ['2,0', '2,0', '2,0,4', '0,2,4'][1 + k % 4] AS modificationlocation FROM o""")
+def search_results(spark, folder):
+    """Orders written as lines of result files, one file for each fiftieth of the customers, and parsed back; the N-terminal variable one replaces the fixed one."""
+    from modspec.sources.readers import search_dat_rows
+
+    o = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("f"), (F.col("o_custkey") % 50).cast("string")).alias("file"), F.col("o_custkey").alias("c"), F.round("o_totalprice", 2).alias("price"))
+    places = F.element_at(F.array(*[F.lit(x) for x in ("0000000", "1000000", "0000100", "0010200")]), (F.col("k") % 4 + 1).cast("int"))
+    row = F.format_string('q%d_p1=%d,%.2f,-0.5,%d,ACDMK,8,%s,20.5,000,0,0;"P%d x":0:1:5:1,"Q%d":0:1:5:1', "k", F.col("k") % 8, "price", F.col("k") % 30, places, "c", "k")
+    texts = [row, F.format_string('Content-Type: application/x-result; name="query%d"', "k"), F.format_string("title=run%%2e%d%%2e%d", "c", "k"), F.format_string("charge=%d+", 1 + F.col("k") % 4)]
+    body = o.select("file", "k", F.posexplode(F.array(*texts)).alias("at", "line"))
+    body = body.select("file", F.struct(F.when(F.col("at") == 0, 1).otherwise(2).alias("part"), "k", "at").alias("ord"), "line")
+    head = o.select("file").distinct().select("file", F.posexplode(F.array(F.lit("MODS=Carb (C),Tag (N-term)"), F.concat(F.lit("FILE=D:\\in\\"), "file", F.lit(".raw")), F.lit("IT_MODS=Ox (M),Acetyl (K)"))).alias("at", "line"))
+    head = head.select("file", F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("k"), "at").alias("ord"), "line")
+    got = search_dat_rows(head.unionByName(body))
+    return got.select("file", "dataset", "scan", "spectrum", "charge", "calc_neutral_pepmass", F.round("precursor_neutral_mass", 2).alias("precursor_neutral_mass"), "num_match_ions", "protein", "modification", "modificationlocation")

@@ -66,8 +66,20 @@ def _field(name: str) -> Column:
     return F.expr(rf"try_cast(nullif(regexp_extract(block, '(?m)^I\\s+{name}\\s+({NUMBER.replace(chr(92), chr(92) * 2)})', 1), '') as double)")
 
 
+def above_baseline(scans: DataFrame) -> DataFrame:
+    """Scans with their baseline and without the peaks below it."""
+    from modspec.functions.scalars import baseline_of
+
+    rated = scans.withColumn("baseline", baseline_of(F.transform("peaks", lambda p: p["intensity"])))
+    # the power of a logarithm may end a little above the value that it came from
+    return rated.withColumn("peaks", F.filter("peaks", lambda p: p["intensity"] >= F.col("baseline") * (1 - 1e-12)))
+
+
 def read_ms1(spark: SparkSession, path: str) -> DataFrame:
-    """run, scan, rt_min, injection_ms, peaks: scans with positive peaks over at least 10 m/z; files of profile data are rejected."""
+    """run, scan, rt_min, injection_ms, peaks, baseline: scans with positive peaks over at least 10 m/z; files of profile data are rejected.
+
+    Peaks below the scan's baseline (``baseline_of``) are dropped.
+    """
     raw = blocks(spark, path, "\nS\t")
     run = stem()
     profile = raw.where(F.rlike("block", F.lit(r"(?m)^H\s+DataType\s+P"))).select("file").distinct()
@@ -75,7 +87,7 @@ def read_ms1(spark: SparkSession, path: str) -> DataFrame:
     body = F.regexp_replace("block", r"^[^\r\n]*\r?\n?", "")
     rows = scans.select(run.alias("run"), F.regexp_extract("block", r"([0-9]+)", 1).cast("long").alias("scan"), (_field("RetTime") / 60).alias("rt_min"), _field("IonInjectionTime").alias("injection_ms"), F.filter(peak_list(body), lambda p: p["intensity"] > 0).alias("peaks"))
     mzs = F.transform("peaks", lambda p: p["mz"])
-    return rows.where((F.size("peaks") > 0) & (F.array_max(mzs) - F.array_min(mzs) >= 10))
+    return above_baseline(rows.where((F.size("peaks") > 0) & (F.array_max(mzs) - F.array_min(mzs) >= 10)))
 
 
 def read_ms2_map(spark: SparkSession, path: str) -> DataFrame:
@@ -109,10 +121,13 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pep_spec(spark: SparkSession, path: str) -> DataFrame:
-    """peptide, dataset, title: a line of one token opens a peptide, lines of two are its spectra."""
+    """peptide, dataset, title: a line of one token opens a peptide, lines of two are its spectra.
+
+    Tokens of a line with tabs are parted by tabs, so that titles may hold blanks.
+    """
     from modspec.operators.windows import forward_fill
 
-    rows = _lines(spark, path).where(F.trim("line") != "").withColumn("t", F.split(F.trim("line"), r"\s+"))
+    rows = _lines(spark, path).where(F.trim("line") != "").withColumn("t", F.when(F.contains("line", F.lit("\t")), F.split(F.trim("line"), r"\t+")).otherwise(F.split(F.trim("line"), r"\s+")))
     filled = forward_fill(rows, ["file"], ["line_no"], {"peptide": F.when(F.size("t") == 1, F.col("t")[0])})
     return filled.where("size(t) = 2").select("peptide", F.col("t")[0].alias("dataset"), F.col("t")[1].alias("title"))
 
@@ -167,7 +182,13 @@ def read_psm_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ms2(spark: SparkSession, path: str) -> DataFrame:
-    """run, ms2_scan, ms1_scan, precursor_mz, charge, rt_min, activation, instrument, peaks; more than one Z line gives charge 0."""
+    """run, ms2_scan, ms1_scan, precursor_mz, charge, rt_min, activation, instrument, peaks, baseline, fragmentation; more than one Z line gives charge 0.
+
+    Peaks below the scan's baseline are dropped; ``fragmentation`` is null for other methods than those of ``fragmentation_code``.
+    """
+    from modspec.functions.scalars import fragmentation_code
+    from modspec.operators.windows import drop_consecutive_repeats
+
     raw = blocks(spark, path, "\nS\t").where(F.rlike("block", F.lit(r"^(S\t)?\s*[0-9]+\s")))
     zs = F.regexp_extract_all("block", F.lit(r"(?m)^Z\s+([0-9]+)"), F.lit(1))
     word = lambda name: F.nullif(F.regexp_extract("block", rf"(?m)^I\s+{name}\s+(\S+)", 1), F.lit(""))
@@ -176,9 +197,8 @@ def read_ms2(spark: SparkSession, path: str) -> DataFrame:
         "file", stem().alias("run"), head[0].cast("long").alias("ms2_scan"), _field("PrecursorScan").cast("long").alias("ms1_scan"), F.element_at(head, -1).cast("double").alias("precursor_mz"),
         F.when(F.size(zs) == 1, F.get(zs, F.lit(0)).cast("int")).otherwise(0).alias("charge"), (_field("RetTime") / 60).alias("rt_min"), word("ActivationType").alias("activation"), word("InstrumentType").alias("instrument"),
         F.filter(peak_list(F.regexp_replace("block", r"^[^\r\n]*\r?\n?", "")), lambda p: p["intensity"] > 0).alias("peaks"), "ord")
-    from modspec.operators.windows import drop_consecutive_repeats
-
-    return drop_consecutive_repeats(rows, ["file"], ["ord"], "ms2_scan").drop("ord", "file")
+    once = above_baseline(drop_consecutive_repeats(rows, ["file"], ["ord"], "ms2_scan").drop("ord", "file"))
+    return once.withColumn("fragmentation", fragmentation_code(F.col("activation"), F.col("instrument")))
 
 
 def read_peptide_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -211,3 +231,63 @@ def read_pair_report(spark: SparkSession, path: str) -> DataFrame:
     rows = _lines(spark, path).where("line_no > 0").where(F.trim("line") != "").withColumn("t", F.split("line", "\t"))
     filled = forward_fill(rows, ["file"], ["line_no"], {"site": F.nullif(F.col("t")[0], F.lit(""))})
     return filled.select(F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("pair"), "site", F.col("t")[1].alias("imp"), F.col("t")[2].alias("charge"), F.col("t")[3].cast("double").alias("q_left"), F.col("t")[4].cast("double").alias("q_right"))
+
+
+#: Digits of a string of modification numbers by place.
+PLACE_DIGITS = "123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def search_dat_rows(lines: DataFrame) -> DataFrame:
+    """Matches of search-engine result files given by line: file, ord (any order within a file), line.
+
+    file, dataset, scan, spectrum, charge, calc_neutral_pepmass,
+    precursor_neutral_mass, massdiff, num_match_ions, peptide, protein,
+    modification, modificationlocation, score.  Only rank-1 rows with up to
+    five missed cleavages count.  Places are 1-based, 0 is the N-terminus;
+    fixed modifications stand first, at places without a variable one; without
+    any both columns are ``-``.  A match whose query has no section drops out.
+
+    Match rows need no context.  Only headings, titles and charges, three short
+    lines a spectrum, are put in order, file by file.
+    """
+    from modspec.functions.scalars import decode_title, scan_of_title
+    from modspec.operators.windows import forward_fill
+
+    lines = lines.select("file", "ord", F.regexp_replace("line", r"\r$", "").alias("line"))
+    named = lambda name: F.min_by(F.substr("line", F.lit(len(name) + 2)), F.when(F.startswith("line", F.lit(f"{name}=")), F.col("ord")))
+    heads = lines.where(F.rlike("line", F.lit("^(MODS|FILE|IT_MODS)="))).groupBy("file").agg(named("MODS").alias("_fixed"), named("FILE").alias("_source"), named("IT_MODS").alias("_variable"))
+    heads = heads.select("file", F.split(F.coalesce("_fixed", F.lit("")), ",").alias("_fixed"), F.substring_index(F.substring_index("_source", "=", -1), "\\", -1).alias("dataset"), F.split(F.coalesce("_variable", F.lit("")), ",").alias("_variable"))
+
+    query = lambda pattern: F.expr(f"try_cast(nullif(regexp_extract(line, '{pattern}', 1), '') as bigint)")
+    match = lines.where(F.rlike("line", F.lit("^q[0-9]+_p1=[0-5]"))).withColumn("_query", query("^q([0-9]+)_p1=")).withColumn("_c", F.split(F.substring_index("line", ";", 1), ","))
+    part = lambda i: F.get("_c", F.lit(i))
+    names = F.transform(F.regexp_extract_all(F.regexp_extract("line", "^[^;]*;(.*)$", 1), F.lit('"([^"]*)"'), F.lit(1)), lambda x: F.substring_index(x, " ", 1))
+    match = match.select("file", "_query", *[part(i).try_cast(t).alias(n) for i, t, n in ((1, "double", "calc_neutral_pepmass"), (2, "double", "massdiff"), (3, "int", "num_match_ions"), (4, "string", "peptide"), (6, "string", "_places"), (7, "double", "score"))], F.array_join(names, ",").alias("protein"))
+
+    marked = lines.where(F.rlike("line", F.lit('^(Content-Type:.*name="|title=|charge=)')))
+    # any heading ends the section of a query
+    filled = forward_fill(marked, ["file"], ["ord"], {"_query": F.when(F.startswith("line", F.lit("Content-Type:")), F.coalesce(query('name="query([0-9]+)"'), F.lit(-1)))})
+    spectra = filled.where("_query >= 0").groupBy("file", "_query").agg(decode_title(named("title")).alias("spectrum"), query_charge(named("charge")).alias("charge"))
+
+    m = match.join(heads, "file", "left").join(spectra, ["file", "_query"])
+    each = lambda text: F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: i <= F.length(text))
+    m = m.withColumn("_var", F.filter(F.transform(each("_places"), lambda i: F.struct((i - 1).alias("at"), F.instr(F.lit(PLACE_DIGITS), F.substr("_places", i, F.lit(1))).alias("mod"))), lambda x: x["mod"] > 0))
+    m = m.withColumn("_var", F.transform("_var", lambda x: F.struct(x["at"].alias("at"), F.get("_variable", x["mod"] - 1).alias("mod"))))
+    residue = lambda mod: F.regexp_extract(mod, r"^[^ ]* \(([^ ])\)", 1)
+    of = lambda mod: F.concat(
+        F.transform(F.filter(each("peptide"), lambda j: F.substr("peptide", j, F.lit(1)) == residue(mod)), lambda j: F.struct(j.alias("at"), mod.alias("mod"))),
+        F.when(F.contains(mod, F.lit("N-term")), F.array(F.struct(F.lit(0).alias("at"), mod.alias("mod")))).otherwise(F.array().cast("array<struct<at:int,mod:string>>")))
+    fixed = F.filter(F.flatten(F.transform("_fixed", of)), lambda x: ~F.exists("_var", lambda v: v["at"] == x["at"]))
+    m = m.withColumn("_mods", F.concat(fixed, "_var"))
+    text = lambda field: F.when(F.size("_mods") == 0, "-").otherwise(F.array_join(F.transform("_mods", lambda x: x[field].cast("string")), ","))
+    return m.select("file", "dataset", scan_of_title(F.col("spectrum")).alias("scan"), "spectrum", "charge", "calc_neutral_pepmass", (F.col("calc_neutral_pepmass") + F.col("massdiff")).alias("precursor_neutral_mass"), "massdiff", "num_match_ions", "peptide", "protein", text("mod").alias("modification"), text("at").alias("modificationlocation"), "score")
+
+
+def query_charge(text: Column) -> Column:
+    """The number of a charge such as ``2+``."""
+    return F.regexp_extract(text, "^([0-9]+)", 1).try_cast("int")
+
+
+def read_search_dat(spark: SparkSession, path: str) -> DataFrame:
+    """Matches of a folder of search-engine result files; see ``search_dat_rows``."""
+    return search_dat_rows(blocks(spark, path, "\n").withColumnRenamed("block", "line"))

@@ -200,3 +200,98 @@ def test_runs_of_groups_equal_one_window(spark):
     want = known.withColumn("cut", cut).withColumn("c", F.sum("cut").over(up.rowsBetween(Window.unboundedPreceding, 0)))
     got = windows.gap_clusters(known, ["grp"], "score", "id", F.lit(0.5))
     assert {(r["id"], r["cluster"]) for r in got.collect()} == {(r["id"], r["c"]) for r in want.collect()}
+
+
+SEARCH = """Content-Type: application/x-result; name="parameters"
+
+MODS=Carb (C),Tag (N-term)
+FILE=X=C:\\data\\run7.mgf
+CHARGE=2+
+IT_MODS=Ox (M),Acetyl (K)
+Content-Type: application/x-result; name="peptides"
+
+q1_p1=1,604.35,-0.25,2,KCTMGC,8,02000000,11.74,000,0,0;"P68433 x":0:10:15:2,"P84228":0:10
+q1_p2=1,604.35,-0.25,2,KKKK,8,000000,1.74,000,0,0;"P1":0:10
+q2_p1=-1
+q3_p1=0,500.5,0.5,3,CKM,8,10100,21.5,000,0,0;"P9":0:1
+q4_p1=7,500.5,0.5,3,CKM,8,10100,21.5,000,0,0;"P9":0:1
+q5_p1=0,400.0,0.0,3,AAA,8,00000,1.5,000,0,0
+Content-Type: application/x-result; name="proteins"
+
+Content-Type: application/x-result; name="query1"
+
+title=run7%2e101%2e101%2e2
+charge=2+
+Content-Type: application/x-result; name="query3"
+
+title=scan%3a 77
+charge=3+
+Content-Type: application/x-result; name="query4"
+
+title=scan%3a78
+charge=3+
+Content-Type: application/x-result; name="query5"
+
+title=run7%2e5%2e5
+Content-Type: application/x-result; name="index"
+
+title=none
+charge=9+
+"""
+
+
+def test_read_search_results(spark, tmp_path):
+    (tmp_path / "a.dat").write_text(SEARCH.replace("\n", "\r\n"))
+    (tmp_path / "b.dat").write_text(SEARCH.replace("MODS=Carb (C),Tag (N-term)", "MODS=", 1).replace("run7", "run8"))
+    got = {(r["dataset"], r["scan"]): r for r in readers.read_search_dat(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [(f"run{n}.mgf", s) for n in (7, 8) for s in (5, 77, 101)]
+    first = got["run7.mgf", 101]
+    assert (first["modification"], first["modificationlocation"]) == ("Carb (C),Carb (C),Tag (N-term),Acetyl (K)", "2,6,0,1")
+    assert (first["spectrum"], first["charge"], first["protein"], first["num_match_ions"], first["score"]) == ("run7.101.101.2", 2, "P68433,P84228", 2, 11.74) and first["precursor_neutral_mass"] == pytest.approx(604.1)
+    # a variable modification of the N-terminus stands for the fixed one
+    assert (got["run7.mgf", 77]["modification"], got["run7.mgf", 77]["modificationlocation"]) == ("Carb (C),Ox (M),Ox (M)", "1,0,2")
+    assert got["run8.mgf", 5]["modification"] == "-" and got["run8.mgf", 5]["charge"] is None and got["run8.mgf", 5]["protein"] == ""
+
+
+def test_prefilter_from_files_to_files(spark, tmp_path):
+    from modspec.operators.jobs import prefilter_files
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.dat").write_text(SEARCH.replace("MODS=Carb (C),Tag (N-term)", "MODS=", 1))
+    prefilter_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), ["Acetyl"], "REV_", ["Acetyl"], 0.01)
+    kept = readers.read_psm_tsv(spark, str(tmp_path / "out" / "psms")).collect()
+    assert [(r["peptide"], r["modification"]) for r in kept] == [("CKM", "Ox (M),Ox (M)"), ("KCTMGC", "Acetyl (K)")]
+    listed = readers.read_pep_spec(spark, str(tmp_path / "out" / "pep_spec"))
+    assert {tuple(r) for r in listed.select("peptide", "dataset").collect()} == {("CKM", "run7.mgf"), ("KCTMGC", "run7.mgf")}
+
+
+def test_baseline_of_one_array_equals_the_grouped_one(spark):
+    import random
+
+    from modspec.functions.scalars import baseline_of
+    from modspec.operators.chrom import histogram_baseline
+
+    draw = random.Random(3)
+    df = spark.createDataFrame([(k, 10 ** draw.gauss(3, 1)) for k in range(12) for _ in range(70 + k * 10)], "k int, v double")
+    one = dict(df.groupBy("k").agg(F.collect_list("v").alias("v")).select("k", baseline_of(F.col("v"))).collect())
+    assert one == pytest.approx(dict(histogram_baseline(df, ["k"], "v").collect())) and sum(v == 0 for v in one.values()) == 4
+
+
+def test_review_scores(spark):
+    from modspec.operators.review import review_scores
+
+    psm = spark.createDataFrame([(1, 30.0, 600.0), (2, 50.0, 600.0)], "spectrum int, score double, precursor_mz double")
+    forms = spark.createDataFrame([(1, 1, 5, [2], [42.0]), (1, 2, 5, [5], [14.0])], "spectrum int, imp int, length int, sites array<int>, masses array<double>")
+    hits = spark.createDataFrame([(1, 1, 1, 1, 7), (1, 1, 1, 2, 8), (1, 2, 2, 4, 9)], "spectrum int, imp int, type int, pos int, peak int")
+    peaks = spark.createDataFrame([(1, 7, 500.0, 100.0), (1, 11, 510.0, 80.0), (1, 12, 700.0, 50.0), (1, 13, 205.0, 100.0), (1, 14, 580.0, 100.0)], "spectrum int, peak int, mz double, intensity double")
+    one, two = review_scores(psm, forms, peaks, hits, 0.0, 60.0).orderBy("spectrum").collect()
+    assert one["enzyme"] == -float("inf") and one["main"] == 0.5
+    # form 1: two hits, one gap; form 2: one hit, one gap
+    assert one["ladder"] == pytest.approx(((2 - 0.5) / 8 + (1 - 0.5) / 8) / 2)
+    # form 1 knows both borders of place 2; form 2 needs the left border of place 5, which the ion from the right at 4 isn't
+    assert one["localisation"] == pytest.approx(((1.0 - 0.75) / 0.25 + (0.0 - 0.75) / 0.25) / 2)
+    # 80 of a bin whose top is 100, and a bin's own top of 50
+    assert one["unmatched"] == pytest.approx(1 - (80 - 60) / 40 - 1)
+    assert two["enzyme"] is None and two["unmatched"] is None and two["main"] == pytest.approx(5 / 6)
+    with pytest.raises(Exception, match="out of its bounds"):
+        review_scores(psm, forms, peaks, hits, 0.0, 40.0).collect()
