@@ -192,3 +192,28 @@ def search_results(spark, folder):
     head = head.select("file", F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("k"), "at").alias("ord"), "line")
     got = search_dat_rows(head.unionByName(body))
     return got.select("file", "dataset", "scan", "spectrum", "charge", "calc_neutral_pepmass", F.round("precursor_neutral_mass", 2).alias("precursor_neutral_mass"), "num_match_ions", "protein", "modification", "modificationlocation")
+
+
+@query("job_deconvolve_spectra")
+def job_deconvolve_spectra(spark, folder):
+    """From spectra and peaks to shares of forms: compositions, placements, ions, matches, dominance, abundances (mixtures of known shares are in the tests).
+
+    Each order is a spectrum of the peptide that its first part's name spells,
+    with one acetylation; each of its lines is a peak of the b or y series,
+    every third one shifted by the modification.
+    """
+    from modspec.functions.constants import PROTON, WATER
+    from modspec.operators import enumerate as E
+    from modspec.operators.placements import base_masses, deconvolve_msms
+
+    rules = [("acetyl", "L", 42.010565), ("acetyl", "E", 42.010565), ("methyl", "E", 14.01565)]
+    name = table(spark, folder, "part").select(F.col("p_partkey").alias("part"), F.upper(F.replace("p_name", F.lit(" "), F.lit(""))).alias("peptide"))
+    lines = peaks(spark, folder)
+    spectra = lines.groupBy("spectrum").agg(F.min("part").alias("part")).join(name, "part")
+    whole = F.aggregate(base_masses(F.col("peptide")), F.lit(WATER + 42.010565), lambda acc, m: acc + m)
+    spectra = spectra.select("spectrum", "peptide", ((whole + 2 * PROTON) / 2).alias("precursor_mz"), F.lit(2).alias("charge"))
+    fragments = E.fragment_ions(spectra.select("peptide").distinct(), [1], base_masses(F.col("peptide")), PROTON, WATER)
+    at = lines.select("spectrum", F.col("pos").cast("int").alias("pos"), (1 + F.col("supp") % 2).cast("int").alias("type"), (F.col("part") % 3 == 0).alias("shifted"), "intensity").join(spectra.select("spectrum", "peptide"), "spectrum")
+    seen = at.join(fragments, ["peptide", "type", "pos"]).select("spectrum", (F.col("mz") + F.when(F.col("shifted"), 42.010565).otherwise(0.0)).alias("mz"), "intensity")
+    got = deconvolve_msms(spectra, seen, rules, 0.01, 0.02, lam=0.1)
+    return got.select("spectrum", "imp", F.round("abundance", 4).alias("abundance"), "status", "rank_deficient")

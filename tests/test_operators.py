@@ -295,3 +295,53 @@ def test_review_scores(spark):
     assert two["enzyme"] is None and two["unmatched"] is None and two["main"] == pytest.approx(5 / 6)
     with pytest.raises(Exception, match="out of its bounds"):
         review_scores(psm, forms, peaks, hits, 0.0, 40.0).collect()
+
+
+RULES = [("ac", "K", 42.010565), ("me", "K", 14.01565), ("ph", "S", 79.966331), ("tag", "N-termA", 229.16)]
+
+
+def test_arrangements_across_specificities(spark):
+    from itertools import product
+
+    from modspec.operators.placements import site_arrangements, site_compositions, slots
+
+    df = spark.createDataFrame([("AKSKS",), ("KS",), ("GG",)], "peptide string")
+    got = {}
+    for r in site_arrangements(site_compositions(df, RULES), RULES).collect():
+        got.setdefault(r["peptide"], []).append((tuple(r["placement"]), tuple(r["counts"]), round(r["delta"], 6), r["n_forms"]))
+    at = {r[0]: [(s["site"], s["kind"]) for s in r[1]] for r in df.select("peptide", slots(F.col("peptide"), RULES)).collect()}
+    assert at == {"AKSKS": [(0, "N-term"), (2, "K"), (3, "S"), (4, "K"), (5, "S")], "KS": [(0, "N-term"), (1, "K"), (2, "S")], "GG": [(0, "N-term")]}
+    allowed = {"N-term": ["", "tag"], "K": ["", "ac", "me"], "S": ["", "ph"]}
+    mass = {"": 0.0} | {m: v for m, _, v in RULES}
+    for peptide, where in at.items():
+        want = [p for p in product(*[allowed[k] for _, k in where]) if peptide.startswith("A") or p[0] == ""]
+        assert sorted(p for p, *_ in got[peptide]) == sorted(want)
+        by = {}
+        for p, counts, delta, n in got[peptide]:
+            assert delta == pytest.approx(sum(mass[m] for m in p)) and counts == tuple(p.count(m) for m, _, _ in RULES)
+            by.setdefault(counts, (n, set()))[1].add(p)
+        assert all(n == len(s) for n, s in by.values())
+
+
+@pytest.mark.parametrize("model", ["constant", "equal", "variable"])
+def test_deconvolution_from_spectra(spark, model):
+    """Two forms of a peptide mixed 3 : 1, a lone form, a spectrum without ions, one of another mass and one unmodified."""
+    from modspec.functions.constants import PROTON, RESIDUES, WATER
+    from modspec.operators.placements import deconvolve_msms
+
+    def ladder(peptide, mods):
+        m = [RESIDUES[r] + mods.get(i + 1, 0.0) for i, r in enumerate(peptide)]
+        return sum(m) + WATER, [(round(sum(m[:k]) + PROTON, 6)) for k in range(1, len(m))] + [round(sum(m[k:]) + WATER + PROTON, 6) for k in range(1, len(m))]
+
+    whole, first = ladder("GKAKG", {2: 42.010565})
+    _, second = ladder("GKAKG", {4: 42.010565})
+    bare, _ = ladder("GKAKG", {})
+    lone, _ = ladder("GKAAG", {2: 42.010565})
+    mz = lambda mass: (mass + 2 * PROTON) / 2
+    spectra = spark.createDataFrame([(1, "GKAKG", mz(whole), 2), (2, "GKAAG", mz(lone), 2), (3, "GKAKG", mz(whole), 2), (4, "GKAKG", mz(whole + 5), 2), (5, "GKAKG", mz(bare), 2), (6, "GKAKG", mz(whole), 2)], "spectrum int, peptide string, precursor_mz double, charge int")
+    peaks = [(1, m, 75.0) for m in first] + [(1, m, 25.0) for m in second] + [(6, m, 10.0) for m in first] + [(3, 50.0, 1.0)]
+    got = deconvolve_msms(spectra, spark.createDataFrame(peaks, "spectrum int, mz double, intensity double"), [("ac", "K", 42.010565)], 0.01, 0.01, model=model).collect()
+    rows = {(r["spectrum"], r["imp"]): (r["abundance"], r["status"]) for r in got}
+    assert rows[1, "_GK{ac}AKG_"][0] == pytest.approx(0.75, abs=1e-3) and rows[1, "_GKAK{ac}G_"][0] == pytest.approx(0.25, abs=1e-3)
+    assert rows[2, "_GK{ac}AAG_"] == (1.0, "ok") and rows[6, "_GK{ac}AKG_"] == (1.0, "ok")
+    assert rows[3, None] == (None, "failed") and rows[4, None] == (None, "no arrangement") and rows[5, None] == (None, "unmodified") and len(rows) == 7
