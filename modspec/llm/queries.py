@@ -73,6 +73,24 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(table(spark, folder, "documents")).drop("key")
 
 
+def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    from modspec.llm.bpe import encode_digest
+
+    return encode_digest(table(spark, folder, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    from modspec.llm.centroids import cluster_vectors
+
+    return cluster_vectors(table(spark, folder, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    from modspec.llm.periodic_runs import periodic_runs
+
+    return periodic_runs(table(spark, folder, "documents"), plant=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_chat_format": op2_chat_format,
@@ -84,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_bpe": op11_bpe,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -119,6 +140,28 @@ mix_line AS (SELECT m.doc_id, m.source, size, source_size, target, coalesce(sum(
 mixed AS (SELECT doc_id, source, size::BIGINT AS size, source_size, target, (greatest(0, least(size, floor(target)::BIGINT - before)) + greatest(0, least(size, floor(target)::BIGINT - source_size - before))
   + greatest(0, least(size, floor(target)::BIGINT - 2 * source_size - before)))::BIGINT AS taken FROM mix_line)"""
 
+def _assigned(k: int) -> str:
+    """Vectors with the nearest of the centroids c{k}; then the next centroids, where a cluster has vectors."""
+    return f"""
+near{k} AS (SELECT rid, c, list_sum(list_transform(range(1, 65), lambda i: (x[i] - m[i]) * (x[i] - m[i])))::BIGINT AS d FROM vecs, c{k}),
+at{k} AS (SELECT rid, c, d FROM near{k} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)"""
+
+
+def _moved(k: int) -> str:
+    return f"""
+sum{k} AS (SELECT c, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM at{k} JOIN vecs USING (rid), range(1, 65) t(i) GROUP BY c, i),
+c{k + 1} AS (SELECT c{k}.c, coalesce(o.m, c{k}.m) AS m FROM c{k} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM sum{k} GROUP BY c) o ON o.c = c{k}.c)"""
+
+
+CLUSTERS = (
+    """WITH kept AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+vecs AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM kept),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, 'null')), x) - 1 AS c, x AS m FROM vecs QUALIFY c < 16),"""
+    + ",".join(_assigned(k) + "," + _moved(k) for k in range(3)) + "," + _assigned(3)
+    + """ SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256 FROM at3 JOIN vecs USING (rid) JOIN c3 USING (c)"""
+)
+
 ORACLES: dict[str, str] = {
     "op1_ngram_join": "WITH RECURSIVE " + SHINGLES.format(tag="d", key="doc_id", docs="documents").strip() + "," + COMPONENTS
     + " SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(min(b), doc_id)) AS component_id FROM sizes_d LEFT JOIN reach ON a = doc_id GROUP BY doc_id, n",
@@ -130,4 +173,5 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string(list_tran
   CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM r""",
     "op10_exact_dedup": """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
   sha256(coalesce(text, '')) AS text_sha256 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op12_centroid_clusters": CLUSTERS,
 }
