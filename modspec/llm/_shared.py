@@ -67,10 +67,19 @@ def text_hash(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _beside(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
     """Semi or anti join of whole documents with rows (doc_id, text_hash)."""
-    rows = stored(rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "rows")
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & text_hash(text_col).eqNullSafe(F.col("_hash"))
+    own_id, own_hash = fresh(docs, "_id"), fresh(docs, "_hash")
+    rows = stored(rows.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)), "rows")
+    same = docs[id_col].cast("long").eqNullSafe(F.col(own_id)) & text_hash(text_col).eqNullSafe(F.col(own_hash))
     return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, same, how)
 
 
@@ -86,5 +95,5 @@ def without_rows(docs: DataFrame, dropped: DataFrame, repeated: DataFrame, id_co
         return kept
     several = _beside(docs, repeated, id_col, text_col, "left_semi")
     least = F.min(F.struct(F.xxhash64(*docs.columns).alias("_row"), F.struct(*docs.columns).alias("_all")))
-    one = several.groupBy(F.col(id_col).alias("_id"), text_hash(text_col).alias("_hash")).agg(least.alias("_least"))
+    one = several.groupBy(F.col(id_col).alias(fresh(docs, "_id")), text_hash(text_col).alias(fresh(docs, "_hash"))).agg(least.alias("_least"))
     return _beside(kept, repeated, id_col, text_col, "left_anti").union(one.select("_least._all.*"))
