@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modspec.llm._shared import stored, table
+from modspec.llm._shared import fresh, stored, table
 from modspec.llm.decontaminate import decontaminate
 from modspec.llm.exact_dedup import exact_dedup
 from modspec.llm.mixing import taken_words
@@ -23,8 +23,9 @@ from modspec.llm.toxicity import toxicity_scores
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity_scores(docs.withColumn("_doc", F.struct(*docs.columns)), table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select("_doc.*")
+    whole = fresh(docs, "_doc")
+    scored = toxicity_scores(docs.withColumn(whole, F.struct(*docs.columns)), table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 0").select(f"{whole}.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +42,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are numbered in a stored table; the documents that the mix takes move once, to their counts."""
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    taken = taken_words(numbered, row_col="_row").where("taken > 0").select(F.col("row").alias("_row"), "size", "source_size", "target", "taken")
+    """Rows are numbered in a stored table; the documents that the mix takes move once, to their counts; columns
+    of their names are replaced."""
+    row = fresh(docs, "_row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    taken = taken_words(numbered, row_col=row).where("taken > 0").select(F.col("row").alias(row), "size", "source_size", "target", "taken")
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    return numbered.select("_row", *own).join(stored(taken, "taken").hint("merge"), "_row").drop("_row")
+    return numbered.select(row, *own).join(stored(taken, "taken").hint("merge"), row).drop(row)
 
 
 STAGES = [
