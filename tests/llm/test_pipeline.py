@@ -69,3 +69,26 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
                 want[i] = (size[i], total[s], taken)
     got = {r["doc_id"]: (r["size"], r["source_size"], r["taken"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want and len(got) > 50
+
+
+def test_pipeline_on_clashing_columns_nulls_and_repeats(spark, tmp_path):
+    """Helper names as the user's own columns, null and empty texts, null and repeated ids, an empty table."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, _id string, _HASH int, _row int, _doc string, _least string, _all int"
+    extra = ("x", 1, 7, "d", "l", 3)
+    plain = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(1, plain, "en", "a", 1, *extra), (1, plain, "en", "a", 1, *extra), (1, plain, "en", "b", 2, *extra), (1, "other words under the same id", "en", "a", 1, *extra), (None, "no id at all here", None, None, None, *(None,) * 6)]
+    rows += [(2, plain, "en", "a", 1, *extra), (3, None, "en", "a", 1, *extra), (4, "", "en", "b", 1, *extra), (None, None, "en", "b", 1, *extra), (5, "some item of a benchmark with ten words in it " + plain[:20], "en", "b", 1, *extra)]
+    docs = spark.createDataFrame(rows, kind)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0, "c"), (None, 1, 1, "c"), (2, None, None, "c")], "doc_id long, quality int, toxic int, text string").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "some item of a benchmark with ten words in it", 1), (2, None, 2), (None, "", 3)], "item_id long, text string, doc_id int").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert set(docs.columns) <= set(out.columns)
+    got = sorted((r["doc_id"] or -1, r["text"], r["_row"]) for r in out.collect())
+    assert got == [(-1, "no id at all here", None), (1, "other words under the same id", 7), (2, plain, 7)]
+    empty = tmp_path / "empty"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
