@@ -101,10 +101,11 @@ def imp_mass(imp: Column, mods: dict[str, float]) -> Column:
 
 
 def render_imp(sequence: Column, sites: Column, names: Column) -> Column:
-    """``_`` + letters with ``{name}`` after each 1-based site (0: before the first) + ``_``; ``sites`` and ``names`` run in parallel."""
+    """``_`` + letters with ``{name}`` after each 1-based site (0: before the first) + ``_``, behind which the names of the
+    C-terminus (length + 1) stand; at one site in the order given; ``sites`` and ``names`` run in parallel."""
     at = lambda i: F.array_join(F.transform(F.filter(F.arrays_zip(sites.alias("s"), names.alias("n")), lambda x: x["s"] == i), lambda x: F.concat(F.lit("{"), x["n"], F.lit("}"))), "")
     letters = F.transform(F.sequence(F.lit(1), F.length(sequence)), lambda i: F.concat(F.substr(sequence, i, F.lit(1)), at(i)))
-    return F.concat(F.lit("_"), at(F.lit(0)), F.array_join(letters, ""), F.lit("_"))
+    return F.concat(F.lit("_"), at(F.lit(0)), F.array_join(letters, ""), F.lit("_"), at(F.length(sequence) + 1))
 
 
 def accurate_mz(center: Column, mono: Column, charge: Column, spacing: float, tol: float, low: int = -1, high: int = 8) -> Column:

@@ -35,13 +35,13 @@ def psm_status(n_candidates: Column, n_matched: Column, cap: int) -> Column:
 
 
 def chem_prior(psms: DataFrame, mods: str, places: str, length: str, allowed: list[str], max_types: int = 2) -> DataFrame:
-    """Rows with few enough distinct modifications, and an allowed one where the last sits on the C-terminal residue.
+    """Rows with few enough distinct modifications, and only allowed ones at the last place where that is the C-terminal residue.
 
     ``mods`` and ``places`` are parallel arrays.
     """
     last = F.array_max(places)
     at_end = F.transform(F.filter(F.arrays_zip(F.col(places).alias("p"), F.col(mods).alias("m")), lambda x: x["p"] == last), lambda x: x["m"])
-    fine = (last != F.col(length)) | F.exists(at_end, lambda m: m.isin(*allowed))
+    fine = (last != F.col(length)) | F.forall(at_end, lambda m: m.isin(*allowed))
     return psms.where((F.size(F.array_distinct(mods)) <= max_types) & F.coalesce(fine, F.lit(True)))
 
 

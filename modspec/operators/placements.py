@@ -17,6 +17,7 @@ from modspec.functions.constants import PROTON, RESIDUES, WATER
 from modspec.functions.scalars import max_fragment_charge, render_imp
 from modspec.operators import enumerate as E
 from modspec.operators import filters, joins, solve
+from modspec.operators.compositions import find_compositions
 
 Rule = tuple[str, str, float]
 TERMINUS = re.compile(r"^(Protein )?([NC]-term)(.?)$")
@@ -107,6 +108,14 @@ def base_masses(peptide: Column, fixed: dict[str, float] | None = None) -> Colum
     return F.transform(F.split(peptide, ""), lambda r, i: F.try_element_at(table, r) + ends(i))
 
 
+def fixed_places(peptide: Column, fixed: dict[str, float] | None, names: dict[str, str] | None = None) -> Column:
+    """Array of (site, name) of the fixed modifications of a peptide, sites as in ``slots``."""
+    none = F.array().cast("array<struct<site:int,name:string>>")
+    at = lambda sites, spec: F.transform(sites, lambda i: F.struct(i.cast("int").alias("site"), F.lit((names or {}).get(spec, spec)).alias("name")))
+    one = {"N-term": F.array(F.lit(0)), "C-term": F.array(F.length(peptide) + 1)}
+    return F.concat(none, *[at(one[s] if s in one else E.sites_of(peptide, s), s) for s in fixed or {}])
+
+
 def trypsin_cterm(length: Column, tol: float, limits: list[float], masses: Column) -> Column:
     """Whether a placement is possible for trypsin: no more than ``tol`` on the C-terminal residue, or a mass within it of a limit."""
     at = F.filter(F.arrays_zip(F.col("slots").alias("s"), masses.alias("m")), lambda x: x["s"]["site"] == length)
@@ -128,13 +137,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def candidate_forms(spectra: DataFrame, rules: list[Rule], ms1_tol: float, fixed: dict[str, float] | None = None, limits: list[float] | None = None, cap: int = E.MAX_CANDIDATES) -> tuple[DataFrame, DataFrame]:
+def candidate_forms(spectra: DataFrame, rules: list[Rule], ms1_tol: float, fixed: dict[str, float] | None = None, limits: list[float] | None = None, cap: int = E.MAX_CANDIDATES, fixed_names: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """((spectrum, peptide, imp, slots, placement), (spectrum, status)): forms whose mass is that of the spectrum.
 
     ``spectra``: spectrum, peptide, precursor_mz, charge, and prot_n and prot_c
-    where a rule needs them.  Compositions and placements are made once for each
-    distinct peptide, after their number is known; a spectrum whose candidates
+    where a rule needs them.  Placements are made once for each composition
+    of a distinct peptide, after their number is known; a spectrum whose candidates
     are too many, or that may be unmodified, has none, and its status says so.
+    Names of forms have the fixed modifications, each named by ``fixed_names``
+    (specificity to name, the specificity itself where it isn't given) before
+    the variable one of the same place.
     ``limits``, if given, are the masses that trypsin allows at the C-terminus.
     """
     ends = [c for c in ("prot_n", "prot_c") if c in spectra.columns]
@@ -142,24 +154,28 @@ def candidate_forms(spectra: DataFrame, rules: list[Rule], ms1_tol: float, fixed
     masses = base_masses(F.col("peptide"), fixed)
     theory = F.aggregate(masses, F.lit(WATER), lambda acc, m: acc + m)
     measured = spectra.withColumn("_dm", (F.col("precursor_mz") - PROTON) * F.col("charge") - theory).where("_dm is not null")
-    comps = stored(site_compositions(measured.select(*peptide).distinct(), rules))
-    met = stored(joins.band_join(measured.select("spectrum", *peptide, "_dm"), comps, "_dm", "delta", ms1_tol, tuple(peptide), inclusive=False).select("spectrum", *peptide, "counts", "n_forms", "too_many_sites"))
+    kinds = list(dict.fromkeys(slot_class(r[1]) for r in rules))
+    most = F.array(*[F.when(applies(r[1], F.col("peptide")), n_slots(slot_class(r[1]))).otherwise(0) for r in rules])
+    profiled = measured.withColumn("slots", slots(F.col("peptide"), rules)).select("spectrum", *peptide, "slots", "_dm", most.alias("most"), F.array(*[n_slots(k) for k in kinds]).alias("room"))
+    hits = find_compositions(profiled, [r[2] for r in rules], [kinds.index(slot_class(r[1])) for r in rules], ms1_tol, "spectrum", "_dm", cap=cap)
+    met = stored(hits.join(profiled.select("spectrum", *peptide, "slots"), "spectrum"))
     bare = F.aggregate("counts", F.lit(0), lambda acc, k: acc + k) == 0
     judged = met.groupBy("spectrum").agg(F.sum("n_forms").alias("n"), F.bool_or(bare).alias("_bare"), F.bool_or("too_many_sites").alias("_wide"))
     status = F.when(F.col("n").isNull() & F.col("_wide").isNull(), "no arrangement").when(F.col("_bare"), "unmodified").when(F.col("_wide"), "too many sites").when(F.col("n") > cap, "too many").otherwise("ok")
     told = spectra.select("spectrum").join(judged, "spectrum", "left").select("spectrum", status.alias("status"))
-    fit = met.join(told.where("status = 'ok'"), "spectrum", "left_semi").select("spectrum", *peptide, "counts")
-    wanted = comps.join(fit.select(*peptide, "counts").distinct(), [*peptide, "counts"])
+    fit = met.join(told.where("status = 'ok'"), "spectrum", "left_semi").select("spectrum", *peptide, "slots", "counts")
+    wanted = fit.select(*peptide, "slots", "counts").distinct()
     placed = site_arrangements(wanted, rules)
     if limits is not None:
         table = F.create_map(F.lit(""), F.lit(0.0), *[F.lit(x) for m, _, mass in rules for x in (m, mass)])
         placed = placed.where(trypsin_cterm(F.length("peptide"), ms1_tol, limits, F.transform("placement", lambda m: F.element_at(table, m))))
     occupied = F.filter(F.arrays_zip(F.col("slots").alias("s"), F.col("placement").alias("m")), lambda x: x["m"] != "")
-    placed = placed.withColumn("imp", render_imp(F.col("peptide"), F.transform(occupied, lambda x: x["s"]["site"]), F.transform(occupied, lambda x: x["m"])))
-    return stored(fit.join(placed.select(*peptide, "counts", "imp", "slots", "placement"), [*peptide, "counts"]).select("spectrum", "peptide", "imp", "slots", "placement")), told
+    named = F.concat(fixed_places(F.col("peptide"), fixed, fixed_names), F.transform(occupied, lambda x: F.struct(x["s"]["site"].alias("site"), x["m"].alias("name"))))
+    placed = placed.withColumn("_named", named).withColumn("imp", render_imp(F.col("peptide"), F.col("_named.site"), F.col("_named.name")))
+    return stored(fit.drop("slots").join(placed.select(*peptide, "counts", "imp", "slots", "placement"), [*peptide, "counts"]).select("spectrum", "peptide", "imp", "slots", "placement")), told
 
 
-def deconvolve_msms(spectra: DataFrame, peaks: DataFrame, rules: list[Rule], ms1_tol: float, ms2_tol: float, fixed: dict[str, float] | None = None, limits: list[float] | None = None, alpha: float = 0.01, lam: float = 0.0, least: float = 0.01, model: str = "constant", types: tuple[int, ...] = (1, 2)) -> DataFrame:
+def deconvolve_msms(spectra: DataFrame, peaks: DataFrame, rules: list[Rule], ms1_tol: float, ms2_tol: float, fixed: dict[str, float] | None = None, limits: list[float] | None = None, alpha: float = 0.01, lam: float = 0.0, least: float = 0.01, model: str = "constant", types: tuple[int, ...] = (1, 2), fixed_names: dict[str, str] | None = None) -> DataFrame:
     """(spectrum, imp, abundance, status, rank_deficient): the forms of each spectrum and their shares.
 
     ``spectra`` as in ``candidate_forms``; ``peaks``: spectrum, mz, intensity.
@@ -171,7 +187,7 @@ def deconvolve_msms(spectra: DataFrame, peaks: DataFrame, rules: list[Rule], ms1
     Abundances below ``least`` of the largest become 0.  A spectrum without a
     result has one row with its status and null form.
     """
-    forms, told = candidate_forms(spectra, rules, ms1_tol, fixed, limits)
+    forms, told = candidate_forms(spectra, rules, ms1_tol, fixed, limits, fixed_names=fixed_names)
     masses = {m: mass for m, _, mass in rules}
     once = forms.select("peptide", "imp", F.transform("slots", lambda s: s["site"]).alias("sites"), "placement").distinct()
     fragments = E.fragment_ions(once.select("peptide").distinct(), [1, 2, 3], base_masses(F.col("peptide"), fixed), PROTON, WATER)

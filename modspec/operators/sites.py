@@ -12,19 +12,21 @@ def parse_sites(imp_rows: DataFrame, proteins: DataFrame, mods: DataFrame, imp:
     """One row per (row, known modification): the input columns and site.
 
     ``{...}`` groups are walked in order; the place is the number of residues
-    before the brace (0: N-term).  Modifications missing from ``mods`` (mod,
+    before the brace (0: N-term), behind the closing underscore the C-term.  Modifications missing from ``mods`` (mod,
     mod_abbr) are skipped; proteins missing from ``proteins`` (protein,
     prot_abbr) drop out (see ``uninterested``).  The initiator isn't counted.
     """
     groups = F.regexp_extract_all(F.col(imp), F.lit(r"\{([^}]*)\}"), F.lit(1))
     pieces = F.split(F.col(imp), r"\{[^}]*\}", -1)
     residues = F.aggregate(F.slice(pieces, F.lit(1), F.size(groups)), F.array().cast("array<int>"), lambda acc, p: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(F.replace(p, F.lit("_"), F.lit("")))).cast("int"))))
+    # a group behind the closing underscore
+    closed = F.transform(groups, lambda m, i: F.rlike(F.array_join(F.slice(pieces, F.lit(1), i + 1), ""), F.lit("[^_]_$")))
     letters = F.regexp_replace(F.regexp_replace(F.col(imp), r"\{[^}]*\}", ""), "_", "")
-    walked = imp_rows.withColumn("_letters", letters).withColumn("_at", F.explode(F.arrays_zip(groups.alias("mod"), residues.alias("before")))).select("*", "_at.mod", "_at.before").drop("_at")
+    walked = imp_rows.withColumn("_letters", letters).withColumn("_at", F.explode(F.arrays_zip(groups.alias("mod"), residues.alias("before"), closed.alias("closed")))).select("*", "_at.mod", "_at.before", F.col("_at.closed").alias("_closed")).drop("_at")
     known = walked.join(F.broadcast(mods), "mod").join(F.broadcast(proteins), protein)  # names asked for by the user
     place = (F.col(start) + F.col("before") - 2).cast("string")
-    site = F.when(F.col("before") == 0, F.concat("prot_abbr", F.lit("N-term_"), "mod_abbr")).otherwise(F.concat("prot_abbr", F.substr("_letters", F.greatest(F.col("before"), F.lit(1)), F.lit(1)), place, "mod_abbr"))
-    return known.withColumn("site", site).drop("_letters", "before")
+    site = F.when(F.col("_closed"), F.concat("prot_abbr", F.lit("C-term_"), "mod_abbr")).when(F.col("before") == 0, F.concat("prot_abbr", F.lit("N-term_"), "mod_abbr")).otherwise(F.concat("prot_abbr", F.substr("_letters", F.greatest(F.col("before"), F.lit(1)), F.lit(1)), place, "mod_abbr"))
+    return known.withColumn("site", site).drop("_letters", "before", "_closed")
 
 
 def uninterested(imp_rows: DataFrame, proteins: DataFrame, protein: str = "protein") -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+EPS = 2.220446049250313e-16
+
+
 def penalty(scored: DataFrame, keys: list[str], score: str, lam: float) -> DataFrame:
     """penalty = lam * (1 / score) / min(1 / score) over the group."""
     inverse = 1 / F.col(score)
@@ -21,13 +24,16 @@ def sdp_scores(matches: DataFrame, keys: list[str], imp: str, norm: str, raw: st
     return matches.groupBy(*keys, imp).agg(F.sum(norm).alias("s_norm"), F.sum(F.log(raw)).alias("s_log"), F.sum(F.sqrt(raw)).alias("s_sqrt"), F.sum(F.exp(norm)).alias("s_exp"))
 
 
-def ksdp_scores(matches: DataFrame, keys: list[str], imp: str, kind: str, pos: str, value: str, window: int = 2, gamma: float = 0.9) -> DataFrame:
+def ksdp_scores(matches: DataFrame, keys: list[str], imp: str, kind: str, pos: str, value: str, window: int = 2, gamma: float = 0.9, theory: DataFrame | None = None) -> DataFrame:
     """Ladder-aware score: intensities times the root of the summed exp(-gamma * misses in a window) over the grid kind x place, by its cells.
 
-    The grid has the kinds and places that the group has, whoever matched them.
+    The grid has the kinds and places of ``theory`` (keys, kind, pos), all
+    theoretical ions of the group, matched or not; without it those of the
+    matches alone.
     """
-    kinds = matches.select(*keys, kind).distinct()
-    places = matches.select(*keys, pos).distinct()
+    every = matches if theory is None else theory
+    kinds = every.select(*keys, kind).distinct()
+    places = every.select(*keys, pos).distinct()
     imps = matches.groupBy(*keys, imp).agg(F.sum(value).alias("_sum"))
     hits = matches.select(*keys, imp, kind, pos).distinct().withColumn("_hit", F.lit(1))
     grid = imps.join(kinds, keys).join(places, keys).join(hits, [*keys, imp, kind, pos], "left")  # a spectrum's grid is small
@@ -38,11 +44,15 @@ def ksdp_scores(matches: DataFrame, keys: list[str], imp: str, kind: str, pos: s
 
 
 def hyperscores(matches: DataFrame, keys: list[str], imp: str, is_b: Column, raw: str) -> DataFrame:
-    """log10 of the factorials of b and y counts plus the natural logs of their intensity sums, each term only where there is a match."""
-    sums = matches.groupBy(*keys, imp).agg(F.count_if(is_b).alias("nb"), F.count_if(~is_b).alias("ny"), F.sum(F.when(is_b, F.col(raw))).alias("ib"), F.sum(F.when(~is_b, F.col(raw))).alias("iy"))
+    """log10 of the factorials of b and y counts plus the natural logs of their intensity sums, each term only where there is a match.
+
+    An intensity below 1, and more than 1000 matches of a series, are errors.
+    """
+    sums = matches.groupBy(*keys, imp).agg(F.count_if(is_b).alias("nb"), F.count_if(~is_b).alias("ny"), F.sum(F.when(is_b, F.col(raw))).alias("ib"), F.sum(F.when(~is_b, F.col(raw))).alias("iy"), F.min(raw).alias("_least"))
+    sums = sums.withColumn("_ok", F.when(F.col("_least") < 1, F.raise_error(F.lit("an intensity below 1")).cast("int")).when(F.greatest("nb", "ny") > 1000, F.raise_error(F.lit("more than 1000 ions of a series")).cast("int")).otherwise(0))
     fact = lambda n: F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda acc, i: acc + F.log10(i))
     term = lambda n, s: F.when(F.col(n) > 0, fact(F.col(n)) + F.log(s)).otherwise(0.0)
-    return sums.select(*keys, imp, (term("nb", "ib") + term("ny", "iy")).alias("score"))
+    return sums.select(*keys, imp, (term("nb", "ib") + term("ny", "iy") + F.col("_ok")).alias("score"))
 
 
 def gram_matrix(terms: DataFrame, keys: list[str], row: str, col: str, value: str) -> DataFrame:
@@ -108,60 +118,87 @@ def variable_efficiency(incidence: DataFrame, ions: DataFrame, observed: DataFra
     return imps, inverse.select(key, cls, (F.col("_e") / F.max("_e").over(Window.partitionBy(key))).alias("efficiency"))
 
 
-def box_descent(h: np.ndarray, f: np.ndarray, low: np.ndarray | None = None, sweeps: int = 20_000, tol: float = 1e-12) -> np.ndarray:
-    """min x'Hx/2 + f'x over x >= low (0 if not given) of many systems at once, by coordinate descent: ``h`` is (systems, n, n), ``f`` and ``low`` (systems, n).
+#: Outcomes of ``active_set``.
+SOLVED, STOPPED = "ok", "not converged"
+
+
+def active_set(h: np.ndarray, f: np.ndarray, low: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """min x'Hx/2 + f'x over x >= low (0 if not given) of many systems at once: ``h`` is (systems, n, n), positive semidefinite, ``f`` and ``low`` (systems, n).
 
-    Systems that no longer move are left out of further sweeps.
+    Returns x, the scaled residual of the optimality conditions and whether it
+    is within rounding.  Unknowns become free one at a time, the one with the
+    steepest descent first; the free ones are solved for by a Cholesky factor of
+    their part of H, scaled to a unit diagonal; a step stops where one of them
+    would leave its bound, which then is fixed again.  All systems of a call go
+    in step; those that are done are left out.  The residual of an unknown is
+    its gradient over what rounding leaves of the terms that it sums.
     """
     if low is not None:
-        return low + box_descent(h, f + np.einsum("bij,bj->bi", h, low), None, sweeps, tol)
-    if f.shape[1] == 2:
-        return _of_two(h, f, sweeps, tol)
-    x = np.zeros(f.shape)
+        x, residual, fine = active_set(h, f + np.einsum("bij,bj->bi", h, low))
+        return low + x, residual, fine
+    n_systems, n = f.shape
     diag = np.einsum("bii->bi", h)
-    grad = f.astype(float).copy()
-    active = np.arange(len(h))
-    hh, dd, gg, xx = h, np.where(diag > 0, diag, np.inf), grad, x.copy()
-    for _ in range(sweeps):
-        moved = np.zeros(len(hh))
-        for i in range(f.shape[1]):
-            step = np.maximum(-xx[:, i], -gg[:, i] / dd[:, i])
-            gg += hh[:, :, i] * step[:, None]
-            xx[:, i] += step
-            np.maximum(moved, np.abs(step), out=moved)
-        on = moved >= tol
-        if on.sum() < 0.8 * len(on) or not on.any():
-            x[active[~on]] = xx[~on]
-            active, hh, dd, gg, xx = active[on], hh[on], dd[on], gg[on], xx[on]
-        if not len(active):
+    scale = np.where(diag > 0, 1 / np.sqrt(np.where(diag > 0, diag, 1)), 0.0)
+    hs, fs = h * scale[:, :, None] * scale[:, None, :], f * scale
+    size = np.abs(hs)
+    x, free = np.zeros(f.shape), np.zeros(f.shape, bool)
+    barred = scale == 0  # an unknown without a term stays at its bound
+    on = np.arange(n_systems)
+    noise = lambda rows, y: 64 * n * EPS * (np.einsum("bij,bj->bi", size[rows], np.abs(y)) + np.abs(fs[rows]))
+    for _ in range(12 * n + 24):
+        descent = -(np.einsum("bij,bj->bi", hs[on], x[on]) + fs[on])
+        open_ = ~free[on] & ~barred[on] & (descent > noise(on, x[on]))
+        some = open_.any(1)
+        on, descent, open_ = on[some], descent[some], open_[some]
+        if not len(on):
             break
-    x[active] = xx
-    return x
-
-
-def _of_two(h: np.ndarray, f: np.ndarray, sweeps: int, tol: float) -> np.ndarray:
-    """Closed form of systems with two unknowns; singular ones are put beside a third, empty unknown for the descent."""
-    a, b, o, p, q = h[:, 0, 0], h[:, 1, 1], h[:, 0, 1], -f[:, 0], -f[:, 1]
-    det = a * b - o * o
-    flat = det <= 1e-12 * a * b
-    with np.errstate(divide="ignore", invalid="ignore"):
-        x1, x2 = (p * b - q * o) / det, (q * a - p * o) / det
-        # with one unknown below 0 that one is 0; with both, the one that alone gains less
-        gain1, gain2 = np.maximum(p, 0) ** 2 / a, np.maximum(q, 0) ** 2 / b
-        no1 = (x1 < 0) & ((x2 >= 0) | (gain1 < gain2))
-        no2 = (x2 < 0) & ~no1
-        w1 = np.where(no1, 0.0, np.where(no2, np.maximum(p / a, 0), x1))
-        w2 = np.where(no2, 0.0, np.where(no1, np.maximum(q / b, 0), x2))
-    out = np.stack([w1, w2], 1)
-    if flat.any():
-        wide, side = np.zeros((flat.sum(), 3, 3)), np.zeros((flat.sum(), 3))
-        wide[:, :2, :2], side[:, :2] = h[flat], f[flat]
-        out[flat] = box_descent(wide, side, None, sweeps, tol)[:, :2]
-    return out
+        new = np.where(open_, descent, -np.inf).argmax(1)
+        free[on, new] = True
+        rows = on
+        for turn in range(n + 1):
+            z = _free_solution(hs[rows], fs[rows], free[rows])
+            back = free[rows] & (z <= 0)
+            if turn == 0:  # rounding says that the new one can't grow: it stays out until another one has moved
+                useless = back[np.arange(len(rows)), new]
+                free[rows[useless], new[useless]] = False
+                barred[rows[useless], new[useless]] = True
+                rows, z, back = rows[~useless], z[~useless], back[~useless]
+            inside = ~back.any(1)
+            x[rows[inside]] = np.where(free[rows[inside]], z[inside], 0.0)
+            barred[rows[inside]] = scale[rows[inside]] == 0
+            rows, z, back = rows[~inside], z[~inside], back[~inside]
+            if not len(rows):
+                break
+            now = x[rows]
+            part = np.where(back, now / np.where(back, now - z, 1.0), np.inf)
+            step = part.min(1)
+            x[rows] = np.where(free[rows], now + step[:, None] * (z - now), 0.0)
+            leaves = back & (part <= step[:, None] * (1 + 1e-12))
+            free[rows] &= ~leaves
+            x[rows] = np.where(leaves, 0.0, np.maximum(x[rows], 0.0))
+    every = np.arange(n_systems)
+    gradient = np.einsum("bij,bj->bi", hs, x) + fs
+    off = np.where(free, np.abs(gradient), np.maximum(-gradient, 0)) * (scale > 0)
+    residual = (off / np.maximum(noise(every, x), 1e-300)).max(1, initial=0.0)
+    return x * scale, residual, residual <= 16.0
+
+
+def _free_solution(h: np.ndarray, f: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Solutions of the systems' free parts; a hair on the diagonal keeps singular ones apart, and two refinements take it back from the others."""
+    both = free[:, :, None] & free[:, None, :]
+    part = np.where(both, h, 0.0)
+    one = np.eye(f.shape[1])
+    factor = np.linalg.cholesky(part + one * (np.where(free, 1e-13, 1.0)[:, :, None]))
+    right = np.where(free, -f, 0.0)
+    solve = lambda r: np.linalg.solve(factor.transpose(0, 2, 1), np.linalg.solve(factor, r[:, :, None]))[:, :, 0]
+    z = solve(right)
+    for _ in range(2):
+        z = z + solve(right - np.einsum("bij,bj->bi", part, z))
+    return z
 
 
 def estimate_abundance(terms: DataFrame, targets: DataFrame, key: str, row: str, col: str, value: str, target: str, lam: float = 0.0, penalties: DataFrame | None = None, weights: DataFrame | None = None, lows: DataFrame | None = None) -> DataFrame:
-    """(key, col, abundance, xy, kkt, rank_deficient) of each spectrum: min |Xw - y|^2 / 2 + sum of penalties * w / 2, w >= 0.
+    """(key, col, abundance, xy, kkt, rank_deficient, status) of each spectrum: min |Xw - y|^2 / 2 + sum of penalties * w / 2, w >= 0.
 
     ``terms`` are the entries of X, ``targets`` (key, row, target) y.  The
     penalty of a form is ``lam``, or ``lam`` times its own in ``penalties``
@@ -169,14 +206,18 @@ def estimate_abundance(terms: DataFrame, targets: DataFrame, key: str, row: str,
     the rows; ``lows`` (key, col, low) are least values other than 0, of columns
     that keep their value and don't count as forms.  H and X'y come from Spark aggregates; a spectrum's system is one
     row, and a task solves the systems of a batch together, by their size.
-    Abundances within 1e-8 of 0 are 0, the others sum to 1.
+    Abundances within 1e-8 of 0 are 0, the others sum to 1.  ``status`` says
+    whether the optimality conditions hold up to rounding ("ok") or not ("not
+    converged"); ``kkt`` is how far the gradient is from them.  A row without a
+    target has the target 0.
     """
     if weights is not None:
         root = weights.select(key, row, F.sqrt("weight").alias("_root"))
         terms = terms.join(root, [key, row]).withColumn(value, F.col(value) * F.col("_root")).drop("_root")
         targets = targets.join(root, [key, row]).withColumn(target, F.col(target) * F.col("_root")).drop("_root")
     h = gram_matrix(terms, [key], row, col, value).groupBy(key).agg(F.collect_list(F.struct("i", "j", F.col("h").cast("double").alias("v"))).alias("h"))
-    xy = terms.join(targets, [key, row]).groupBy(key, F.col(col).alias("i")).agg(F.sum(F.col(value) * F.col(target)).cast("double").alias("v"))
+    aimed = terms.join(targets.select(key, row, F.col(target).alias("_aim")), [key, row], "left")
+    xy = aimed.groupBy(key, F.col(col).alias("i")).agg(F.sum(F.col(value) * F.coalesce("_aim", F.lit(0.0))).cast("double").alias("v"))
     own = F.lit(float(lam))
     if penalties is not None:
         xy = xy.join(penalties.select(key, F.col(col).alias("i"), "penalty"), [key, "i"], "left")
@@ -204,7 +245,7 @@ def estimate_abundance(terms: DataFrame, targets: DataFrame, key: str, row: str,
                     f[k] = [e["p"] / 2 for e in pdf["xy"].iat[at]]
                     least[k] = [e["low"] for e in pdf["xy"].iat[at]]
                 f -= b
-                x = box_descent(m, f, least)
+                x, _, fine = active_set(m, f, least)
                 grad = np.einsum("bij,bj->bi", m, x) + f
                 kkt = np.maximum(np.abs(np.minimum(grad, 0)).max(1), np.abs(grad * (x - least)).max(1))
                 x[np.abs(x) <= 1e-8] = 0
@@ -212,9 +253,9 @@ def estimate_abundance(terms: DataFrame, targets: DataFrame, key: str, row: str,
                 whole = np.where(form, (x * form).sum(1, keepdims=True), 1.0)
                 deficient = np.linalg.matrix_rank(m, hermitian=True) < n
                 out.append(pd.DataFrame({key: np.repeat(pdf[key].to_numpy()[some], n), col: [name for at in some for name in names[at]], "abundance": (x / np.where(whole == 0, 1, whole)).ravel(),
-                                         "xy": b.ravel(), "kkt": np.repeat(kkt, n), "rank_deficient": np.repeat(deficient, n)}))
+                                         "xy": b.ravel(), "kkt": np.repeat(kkt, n), "rank_deficient": np.repeat(deficient, n), "status": np.repeat(np.where(fine, SOLVED, STOPPED), n)}))
             if out:
                 yield pd.concat(out)
 
     kind = dict(terms.dtypes)
-    return h.join(xy, key).mapInPandas(solve, f"{key} {kind[key]}, {col} {kind[col]}, abundance double, xy double, kkt double, rank_deficient boolean")
+    return h.join(xy, key).mapInPandas(solve, f"{key} {kind[key]}, {col} {kind[col]}, abundance double, xy double, kkt double, rank_deficient boolean, status string")

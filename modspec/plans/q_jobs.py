@@ -160,7 +160,7 @@ z AS (SELECT pk.*, 400.0 + c % 800 AS pre, max(intensity) OVER (PARTITION BY spe
 y AS (SELECT *, CASE WHEN mz < pre - 50 AND pre - 50 - 100 * (ceil((pre - 50 - mz) / 100) - 1) > 300 THEN -ceil((pre - 50 - mz) / 100) WHEN mz >= pre + 50 THEN floor((mz - pre - 50) / 100) END AS bin FROM z),
 x AS (SELECT *, max(intensity) OVER (PARTITION BY spectrum, bin) AS top, CASE WHEN bin < 0 THEN 0.6 ELSE 0.3 END::DOUBLE AS share FROM y),
 un AS (SELECT spectrum, 1 - coalesce(sum((intensity - share * top) / ((1 - share) * top)) FILTER (bin IS NOT NULL AND part % 3 <> 0 AND intensity > share * top AND intensity > 0.1::DOUBLE * high), 0) AS unmatched FROM x GROUP BY 1)
-SELECT spectrum, enzyme, round(main, 6) AS main, round(ladder, 6) AS ladder, round(localisation, 6) AS localisation, round(unmatched, 5) + 0.0 AS unmatched FROM psm JOIN forms USING (spectrum) LEFT JOIN un USING (spectrum)""")
+SELECT spectrum, enzyme, round(main, 8) AS main, round(ladder, 6) AS ladder, round(localisation, 6) AS localisation, round(unmatched, 5) + 0.0 AS unmatched FROM psm JOIN forms USING (spectrum) LEFT JOIN un USING (spectrum)""")
 def review_all(spark, folder):
     """All five scores; orders are matches with two forms each, lines their peaks, every third part an ion that meets one."""
     base = peaks(spark, folder).select("spectrum", "pos", "part", "supp", (F.col("mz") / 50).alias("mz"), "intensity").distinct()
@@ -172,7 +172,7 @@ def review_all(spark, folder):
     two = F.array(F.struct(F.lit(1).alias("imp"), F.array(F.col("spectrum") % 10, place).alias("sites"), F.array(14.0 + F.col("c") % 2, F.lit(42.0)).alias("masses")), F.struct(F.lit(2).alias("imp"), F.array(place).alias("sites"), F.array(F.lit(42.0)).alias("masses")))
     forms = orders.select("spectrum", F.inline(two)).withColumn("length", F.lit(8).cast("long"))
     got = review.review_scores(psm, forms, base, hit, 0.0, 1_000_000.0, high_is_better=False)
-    return got.select("spectrum", (F.col("enzyme") > 0).alias("enzyme"), *[F.round(c, 6).alias(c) for c in ("main", "ladder", "localisation")], (F.round("unmatched", 5) + 0.0).alias("unmatched"))
+    return got.select("spectrum", (F.col("enzyme") > 0).alias("enzyme"), F.round("main", 8).alias("main"), *[F.round(c, 6).alias(c) for c in ("ladder", "localisation")], (F.round("unmatched", 5) + 0.0).alias("unmatched"))
 
 
 @query("search_results", """WITH o AS (SELECT o_orderkey AS k, o_custkey % 50 AS file, o_custkey AS c, round(o_totalprice, 2) AS price FROM orders WHERE o_orderkey % 8 <= 5)

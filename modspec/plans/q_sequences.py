@@ -196,3 +196,30 @@ def ion_types(spark, folder):
 def distinct_ions(spark, folder):
     rows = _ions(spark, folder).withColumn("mz", F.round("mz", 5))
     return E.distinct_ions(rows).select("peptide", "type", "pos", "mz", "n_mods", "n_imps", "cls")
+
+
+#: Rules of the composition search: whole masses, one of them negative, so that many counts meet a shift and hits lie behind hits.
+SEARCH_RULES = [("a", "E", 14.0), ("b", "A", 20.0), ("c", "E", -20.0), ("d", "O", 6.0)]
+
+
+@query("composition_search", """WITH s AS (SELECT o_orderkey AS spectrum, min(l_partkey) AS part, any_value(o_custkey % 47 - 12)::DOUBLE AS delta FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+p AS (SELECT p_partkey AS part, length(x) - length(replace(x, 'E', '')) AS e, length(x) - length(replace(x, 'A', '')) AS u, length(x) - length(replace(x, 'O', '')) AS o FROM (SELECT p_partkey, upper(replace(p_name, ' ', '')) AS x FROM part)),
+k AS (SELECT DISTINCT e, u, o FROM p), v AS (SELECT k.*, a, b, c, d FROM k, range(0, 40) t(a), range(0, 40) x(b), range(0, 40) y(c), range(0, 40) z(d) WHERE a + c <= e AND b <= u AND d <= o),
+w AS (SELECT *, 14.0 * a + 20 * b - 20 * c + 6 * d AS m, list_transform(range(0, a + b + c + d), lambda n: 14.0 * least(n, a) + 20 * least(greatest(n - a, 0), b) - 20 * least(greatest(n - a - b, 0), c) + 6 * greatest(n - a - b - c, 0)) AS path FROM v),
+h AS (SELECT spectrum, a, b, c, d, e, u, o FROM s JOIN p USING (part) JOIN w USING (e, u, o) WHERE abs(delta - m) < 0.5 AND len(list_filter(path, lambda x: abs(delta - x) < 0.5)) = 0),
+n AS (SELECT *, factorial(e::INT) / (factorial(a::INT) * factorial(c::INT) * factorial((e - a - c)::INT)) * factorial(u::INT) / (factorial(b::INT) * factorial((u - b)::INT)) * factorial(o::INT) / (factorial(d::INT) * factorial((o - d)::INT)) AS f FROM h),
+t AS (SELECT *, sum(f) OVER (PARTITION BY spectrum) AS total FROM n)
+SELECT spectrum, CASE WHEN total <= 20 THEN a || '/' || b || '/' || c || '/' || d END AS counts, CASE WHEN total <= 20 THEN f ELSE total END::BIGINT AS n_forms FROM t GROUP BY ALL""")
+def composition_search(spark, folder):
+    """Counts of four rules, one of them negative, whose mass is the shift of an order on its first part's name; orders with over 20 forms say how many."""
+    from modspec.operators.compositions import find_compositions
+    from modspec.operators.placements import n_slots, slots
+
+    first = peaks(spark, folder).groupBy("spectrum").agg(F.min("part").alias("p_partkey"))
+    shift = table(spark, folder, "orders").groupBy(F.col("o_orderkey").alias("spectrum")).agg((F.min("o_custkey") % 47 - 12).cast("double").alias("delta"))
+    name = table(spark, folder, "part").select("p_partkey", F.upper(F.replace("p_name", F.lit(" "), F.lit(""))).alias("peptide"))
+    rows = first.join(shift, "spectrum").join(name, "p_partkey").withColumn("slots", slots(F.col("peptide"), SEARCH_RULES))
+    room = F.array(*[n_slots(k) for k in "EAO"])
+    targets = rows.select("spectrum", "delta", F.array(*[n_slots(k) for _, k, _ in SEARCH_RULES]).alias("most"), room.alias("room"))
+    hits = find_compositions(targets, [m for _, _, m in SEARCH_RULES], [0, 1, 0, 2], 0.5, "spectrum", cap=20)
+    return hits.select("spectrum", F.array_join("counts", "/").alias("counts"), "n_forms")

@@ -38,7 +38,7 @@ def psm_status(spark, folder):
 
 
 @query("chem_prior", """WITH p AS (SELECT o_orderkey AS id, ['m' || o_custkey % 3, 'm' || o_custkey % 4, 'm' || o_custkey % 5] AS mods, [o_custkey % 7, o_custkey % 8, o_custkey % 9] AS places FROM orders),
-q AS (SELECT *, list_max(places) AS last FROM p) SELECT id FROM q WHERE len(list_distinct(mods)) <= 2 AND (last <> 6 OR (places[1] = 6 AND mods[1] IN ('m1')) OR (places[2] = 6 AND mods[2] IN ('m1')) OR (places[3] = 6 AND mods[3] IN ('m1')))""")
+q AS (SELECT *, list_max(places) AS last FROM p) SELECT id FROM q WHERE len(list_distinct(mods)) <= 2 AND (last <> 6 OR ((places[1] <> 6 OR mods[1] IN ('m1')) AND (places[2] <> 6 OR mods[2] IN ('m1')) AND (places[3] <> 6 OR mods[3] IN ('m1'))))""")
 def chem_prior(spark, folder):
     mod = lambda n: F.concat(F.lit("m"), (F.col("scan") % n).cast("string"))
     rows = psms(spark, folder).select("id", F.array(mod(3), mod(4), mod(5)).alias("mods"), F.array(*[F.col("scan") % n for n in (7, 8, 9)]).alias("places"), F.lit(6).alias("len"))
@@ -182,21 +182,21 @@ def abundance_efficiency(spark, folder):
     return got.join(tops, "spectrum", "left")
 
 
-@query("abundance_2imp", f"""WITH {MATCH_SQL}, t AS (SELECT spectrum, ion, imp FROM m WHERE imp <= 2), y AS (SELECT spectrum, ion, sum(norm) AS y FROM m WHERE imp <= 2 GROUP BY 1, 2),
+@query("abundance_2imp", f"""WITH {MATCH_SQL}, t AS (SELECT DISTINCT spectrum, ion, 1 + imp % 2 AS imp FROM m), y AS (SELECT spectrum, ion, sum(norm) AS y FROM m GROUP BY 1, 2),
 c AS (SELECT t.spectrum, count(*) FILTER (imp = 1) AS a, count(*) FILTER (imp = 2) AS b, sum(y) FILTER (imp = 1) AS p, sum(y) FILTER (imp = 2) AS q FROM t JOIN y USING (spectrum, ion) GROUP BY 1),
 o AS (SELECT x.spectrum, count(*) AS o FROM t x JOIN t z ON x.spectrum = z.spectrum AND x.ion = z.ion AND x.imp = 1 AND z.imp = 2 GROUP BY 1),
 s AS (SELECT c.spectrum, a, b, p, q, coalesce(o, 0) AS o FROM c LEFT JOIN o USING (spectrum) WHERE a > 0 AND b > 0 AND NOT (a = b AND coalesce(o, 0) = a)),
 u AS (SELECT *, (p * b - q * o) / (a * b - o * o) AS x1, (q * a - p * o) / (a * b - o * o) AS x2 FROM s),
 w AS (SELECT *, CASE WHEN x1 < 0 THEN 0 WHEN x2 < 0 THEN p / a ELSE x1 END AS w1, CASE WHEN x2 < 0 THEN 0 WHEN x1 < 0 THEN q / b ELSE x2 END AS w2 FROM u)
-SELECT spectrum, round(w1 / (w1 + w2), 5) AS share FROM w""")
+SELECT spectrum, round(w1 / (w1 + w2), 8) AS share FROM w""")
 def abundance_2imp(spark, folder):
-    """Spectra reduced to two forms with different ions, against the closed form."""
-    rows = matches(spark, folder).where("imp <= 2")
-    x = rows.select("spectrum", "ion", "imp", F.lit(1.0).alias("x"))
+    """Odd and even forms of each spectrum as two, whose ions differ, against the closed form."""
+    rows = matches(spark, folder).withColumn("imp", 1 + F.col("imp") % 2)
+    x = rows.select("spectrum", "ion", "imp", F.lit(1.0).alias("x")).distinct()
     y = rows.groupBy("spectrum", "ion").agg(F.sum("norm").alias("y"))
     got = solve.estimate_abundance(x, y, "spectrum", "ion", "imp", "x", "y")
     both = got.where("not rank_deficient").groupBy("spectrum").agg(F.count("*").alias("n"), F.sum(F.when(F.col("imp") == 1, F.col("abundance")).otherwise(0.0)).alias("share")).where("n = 2")
-    return both.select("spectrum", F.round("share", 5).alias("share"))
+    return both.select("spectrum", F.round("share", 8).alias("share"))
 
 
 @query("rank_deficient")

@@ -97,16 +97,67 @@ def test_best_of_prefers_the_first_on_ties(spark):
     assert {(r["g"], r["k"]) for r in windows.best_of(df, ["g"], [F.desc("v"), F.col("k")]).collect()} == {(1, 1), (2, 1)}
 
 
-def test_box_descent_meets_the_optimality_conditions():
+def test_active_sets_meet_the_optimality_conditions():
     rng = np.random.default_rng(0)
-    for n in range(1, 7):
-        a = rng.normal(size=(40, n + 2, n))
+    for n in range(1, 8):
+        a = rng.normal(size=(60, n + 2, n))
         a[::7, :, 0] = 0  # an empty form
         a[::5, :, -1] = a[::5, :, 0]  # equal forms
-        h, f = np.einsum("bki,bkj->bij", a, a), np.einsum("bki,bk->bi", a, rng.normal(size=(40, n + 2)))
-        x = solve.box_descent(h, f)
+        h, f = np.einsum("bki,bkj->bij", a, a), np.einsum("bki,bk->bi", a, rng.normal(size=(60, n + 2)))
+        f[::3] += 0.3 * (np.abs(a[::3]).sum(1) > 0)  # with penalties
+        x, _, fine = solve.active_set(h, f)
         g = np.einsum("bij,bj->bi", h, x) + f
-        assert (x >= 0).all() and (g > -1e-6).all() and np.abs(g * x).max() < 1e-6
+        assert fine.all() and (x >= 0).all() and (g > -1e-9).all() and np.abs(g * x).max() < 1e-9
+        low = rng.uniform(0, 1, f.shape)
+        x, _, fine = solve.active_set(h, f, low)
+        g = np.einsum("bij,bj->bi", h, x) + f
+        assert fine.all() and (x >= low).all() and (g > -1e-9).all() and np.abs(g * (x - low)).max() < 1e-9
+
+
+@pytest.mark.parametrize("condition", [1e2, 1e5, 1e8])
+def test_active_sets_equal_their_enumeration(condition):
+    """Near-collinear forms: the best of all sets of free forms, solved in longer numbers."""
+    from fractions import Fraction
+    from itertools import product
+
+    def exact(h, f, free):
+        rows = [[Fraction(float(h[i, j])) for j in free] + [Fraction(float(-f[i]))] for i in free]
+        for k in range(len(free)):
+            p = next(r for r in range(k, len(free)) if rows[r][k])
+            rows[k], rows[p] = rows[p], rows[k]
+            for r in range(len(free)):
+                if r != k and rows[r][k]:
+                    q = rows[r][k] / rows[k][k]
+                    rows[r] = [x - q * y for x, y in zip(rows[r], rows[k])]
+        return [rows[k][-1] / rows[k][k] for k in range(len(free))]
+
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 6):
+        q, _ = np.linalg.qr(rng.normal(size=(n, n)))
+        h = q @ np.diag(np.geomspace(1, 1 / condition, n)) @ q.T
+        h = (h + h.T) / 2
+        for _ in range(4):
+            f = h @ -np.maximum(rng.normal(size=n), 0) + (rng.uniform(size=n) < 0.3) * 1e-3
+            best = None
+            for some in product([0, 1], repeat=n):
+                free = [i for i in range(n) if some[i]]
+                z = exact(h, f, free)
+                if all(v >= 0 for v in z):
+                    x = [Fraction(0)] * n
+                    for i, v in zip(free, z):
+                        x[i] = v
+                    value = sum(x[i] * (sum(Fraction(float(h[i, j])) * x[j] for j in range(n)) / 2 + Fraction(float(f[i]))) for i in range(n))
+                    best = min(best, (value, x), key=lambda v: v[0]) if best else (value, x)
+            x, _, fine = solve.active_set(h[None], f[None])
+            want = np.array([float(v) for v in best[1]])
+            assert fine[0] and np.abs(x[0] - want).max() <= 1e-15 * condition * 50 * max(1, want.max())
+
+
+def test_rows_without_a_target_count_as_zero(spark):
+    terms = spark.createDataFrame([(1, 1, "a", 1.0), (1, 2, "b", 1.0)], "s long, r int, c string, x double")
+    targets = spark.createDataFrame([(1, 1, 2.0)], "s long, r int, y double")
+    got = {r["c"]: (r["abundance"], r["status"]) for r in solve.estimate_abundance(terms, targets, "s", "r", "c", "x", "y").collect()}
+    assert got == {"a": (1.0, "ok"), "b": (0.0, "ok")}
 
 
 def test_arrangement_counts(spark):
@@ -345,3 +396,98 @@ def test_deconvolution_from_spectra(spark, model):
     assert rows[1, "_GK{ac}AKG_"][0] == pytest.approx(0.75, abs=1e-3) and rows[1, "_GKAK{ac}G_"][0] == pytest.approx(0.25, abs=1e-3)
     assert rows[2, "_GK{ac}AAG_"] == (1.0, "ok") and rows[6, "_GK{ac}AKG_"] == (1.0, "ok")
     assert rows[3, None] == (None, "failed") and rows[4, None] == (None, "no arrangement") and rows[5, None] == (None, "unmodified") and len(rows) == 7
+
+
+def brute_compositions(delta, masses, kinds, most, room, tol):
+    """The search by rule: one count at a time, a hit isn't extended."""
+    out = []
+
+    def go(used, i, left):
+        if any(sum(u for u, k in zip(used, kinds) if k == j) > r for j, r in enumerate(room)):
+            return
+        if abs(left) < tol:
+            out.append(tuple(used))
+            return
+        if i < len(masses):
+            if used[i] < most[i]:
+                go(used[:i] + [used[i] + 1] + used[i + 1 :], i, left - masses[i])
+            if i + 1 < len(masses):
+                go(used, i + 1, left)
+
+    go([0] * len(masses), 0, delta)
+    return sorted(out)
+
+
+def test_compositions_meet_in_the_middle():
+    from modspec.operators.compositions import n_placements, search
+
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        r = int(rng.integers(1, 6))
+        masses = rng.choice([14.0, 20.0, -20.0, 6.0, 0.0, -8.0, 13.5], r)
+        kinds = rng.integers(0, 3, r)
+        room, most = rng.integers(0, 5, 3), np.where(rng.uniform(size=r) < 0.8, 9, 0)
+        deltas = rng.integers(-30, 60, 6).astype(float)
+        at, counts = search(deltas, masses, kinds, most, room, 0.75)
+        for i, d in enumerate(deltas):
+            want = brute_compositions(d, masses.tolist(), kinds.tolist(), np.minimum(most, room[kinds]).tolist(), room.tolist(), 0.75)
+            assert sorted(map(tuple, counts[at == i].tolist())) == want
+    # the rule's own example: the hit of one K isn't extended by A and G, which cancel
+    at, counts = search(np.array([14.0]), np.array([14.0, 20.0, -20.0]), np.array([0, 1, 2]), np.array([2, 2, 2]), np.array([2, 2, 2]), 0.1)
+    assert counts.tolist() == [[1, 0, 0]] and n_placements(counts[0], np.array([0, 1, 2]), np.array([2, 2, 2])) == 2
+    # five rules on thirty places: 324,632 vectors, of which only hits become rows
+    at, counts = search(np.array([500.0]), np.array([14.01, 42.02, 79.9, 56.03, 28.3]), np.zeros(5, int), np.full(5, 30), np.array([30]), 0.001)
+    assert (np.abs(counts @ np.array([14.01, 42.02, 79.9, 56.03, 28.3]) - 500) < 0.001).all()
+
+
+def test_composition_rows(spark):
+    from modspec.operators.compositions import find_compositions
+
+    rows = [("a", 14.0, [2, 2, 2], [2, 2, 2]), ("none", 3.0, [2, 2, 2], [2, 2, 2]), ("null", None, [2, 2, 2], [2, 2, 2]), ("wide", 14.0, [30, 2, 2], [30, 2, 2]), ("bare", 0.0, [2, 2, 2], [2, 2, 2]), ("not wide", 20.0, [0, 1, 0], [30, 1, 0])]
+    df = spark.createDataFrame(rows, "k string, delta double, most array<int>, room array<int>")
+    got = {(r["k"], tuple(r["counts"]) if r["counts"] else None, r["n_forms"], r["too_many_sites"]) for r in find_compositions(df, [14.0, 20.0, -20.0], [0, 1, 2], 0.1, "k").collect()}
+    assert got == {("a", (1, 0, 0), 2, False), ("wide", None, 30, True), ("bare", (0, 0, 0), 1, False), ("not wide", (0, 1, 0), 1, False)}
+    assert find_compositions(df.limit(0), [14.0, 20.0, -20.0], [0, 1, 2], 0.1, "k").collect() == []
+
+
+def test_names_of_forms_have_every_modification(spark):
+    """Two rules on the C-terminus give two names; fixed modifications stand before variable ones."""
+    from modspec.functions.constants import PROTON
+    from modspec.operators.placements import base_masses, candidate_forms
+
+    whole = lambda shift, fixed: (F.aggregate(base_masses(F.col("peptide"), fixed), F.lit(18.0105647 + shift), lambda a, m: a + m) + 2 * PROTON) / 2
+    rules = [("am", "C-term", 10.0), ("bm", "C-term", 10.004), ("t", "N-term", 10.002), ("x", "K", 50.0)]
+    peptide = spark.createDataFrame([("AKGKA",)], "peptide string")
+    spectra = peptide.select("peptide", F.lit(1).alias("spectrum"), whole(10.0, None).alias("precursor_mz"), F.lit(2).alias("charge"))
+    forms, _ = candidate_forms(spectra, rules, 0.01)
+    assert {r["imp"] for r in forms.collect()} == {"_AKGKA_{am}", "_AKGKA_{bm}", "_{t}AKGKA_"}
+    fixed = {"K": 28.5, "C-term": 3.0}
+    spectra = peptide.select("peptide", F.lit(1).alias("spectrum"), whole(50.0, fixed).alias("precursor_mz"), F.lit(2).alias("charge"))
+    forms, _ = candidate_forms(spectra, rules, 0.01, fixed, fixed_names={"K": "fk"})
+    assert {r["imp"] for r in forms.collect()} == {"_AK{fk}{x}GK{fk}A_{C-term}", "_AK{fk}GK{fk}{x}A_{C-term}"}
+
+
+def test_sites_at_both_ends(spark):
+    from modspec.operators.sites import parse_sites
+
+    rows = spark.createDataFrame([("P", "_{m}AK{m}B_{m}", 10)], "protein string, imp string, start int")
+    got = parse_sites(rows, spark.createDataFrame([("P", "p")], "protein string, prot_abbr string"), spark.createDataFrame([("m", "M")], "mod string, mod_abbr string"))
+    assert sorted(r["site"] for r in got.collect()) == ["pC-term_M", "pK10M", "pN-term_M"]
+
+
+def test_chemical_prior_asks_all_at_the_last_place(spark):
+    df = spark.createDataFrame([(1, ["a", "b"], [5, 5]), (2, ["a", "a"], [5, 5]), (3, ["b", "a"], [4, 5]), (4, ["b"], [4]), (5, [], [])], "id int, m array<string>, p array<int>").withColumn("n", F.lit(5))
+    assert {r["id"] for r in filters.chem_prior(df, "m", "p", "n", ["a"]).collect()} == {2, 3, 4, 5}
+
+
+def test_hyperscore_errors_and_theoretical_grid(spark):
+    rows = spark.createDataFrame([(1, "f", 1, 1, 0.5)], "s int, imp string, kind int, pos int, raw double")
+    with pytest.raises(Exception, match="below 1"):
+        solve.hyperscores(rows, ["s"], "imp", F.col("kind") == 1, "raw").collect()
+    with pytest.raises(Exception, match="more than 1000"):
+        solve.hyperscores(spark.range(1001).select(F.lit(1).alias("s"), F.lit("f").alias("imp"), F.lit(2.0).alias("raw")), ["s"], "imp", F.lit(True), "raw").collect()
+    theory = spark.createDataFrame([(1, k, p) for k in (1, 2) for p in range(1, 5)], "s int, kind int, pos int")
+    got = solve.ksdp_scores(rows, ["s"], "imp", "kind", "pos", "raw", theory=theory).first()["score"]
+    # of kind 1 the place 1 is hit: windows of 1..3, 1..4, 1..4, 2..4 places; of kind 2 nothing
+    misses = [2, 3, 3, 3] + [3, 4, 4, 3]
+    assert got == pytest.approx(0.5 * sum(np.exp(-0.9 * m) for m in misses) ** 0.5 / 8)
