@@ -191,20 +191,27 @@ def filter_peak_ratios(xic: DataFrame, ranges: DataFrame, keys: list[str], imps:
 
 
 def quantify(xic: DataFrame, psms: DataFrame, keys: list[str], imps: list[str], share: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """The peaks of each trace and, of each form, its best peak with a nonzero area.
+    """The peaks of each trace and, of each form, its best peak with a nonzero area (``quantified``)."""
+    found, _, best = quantified(xic, psms, keys, imps, share)
+    return found, best
+
+
+def quantified(xic: DataFrame, psms: DataFrame, keys: list[str], imps: list[str], share: float = 0.1, seeds: DataFrame | None = None, alpha: float = 0.1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The peaks of each trace, the features of each form in each peak and, of each form, its best peak with a nonzero area.
 
     ``xic``: keys, i, rt, raw, smooth; ``psms``: keys, psm, rt and ratios.  The
-    matches' ratios are spread over the peaks found around them.  What is read
-    several times is persisted.
+    matches' ratios are spread over the peaks found around them, or around
+    ``seeds`` (keys, rt).  What is read several times is stored.
     """
+    from modspec.operators.placements import stored
     from modspec.operators.windows import best_of
 
-    found = detect_xic_peaks(xic, psms.select(*keys, "rt"), keys).persist()
+    found = stored(detect_xic_peaks(xic, (psms if seeds is None else seeds).select(*keys, "rt"), keys, alpha))
     ratios = kernel_ratio(xic, found, psms, keys, imps)
     shaped = xic.join(ratios, [*keys, "i"], "left").fillna(0.0, [f"r_{p}" for p in imps])
-    features = peak_features(filter_peak_ratios(shaped, found, keys, imps, share).persist(), found, keys, imps)
+    features = stored(peak_features(stored(filter_peak_ratios(shaped, found, keys, imps, share)), found, keys, imps))
     best = best_of(features, [*keys, "imp"], [(F.col("area") * F.col("max_ratio")).desc(), F.col("peak_no")])
-    return found, best.where("area <> 0")
+    return found, features, best.where("area <> 0")
 
 
 def requantify(xic: DataFrame, psms: DataFrame, checked: DataFrame, keys: list[str], imps: list[str], max_err: float = 1e9) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from modspec.functions.constants import isotope_pattern
+from modspec.functions.constants import AVERAGINE, AVERAGINE_MASS, isotope_pattern
 from modspec.operators import chrom, windows
 from modspec.plans.adapters import TRACE_SQL, ions, peaks, table, trace
 from modspec.plans.registry import query
@@ -222,3 +222,33 @@ def job_quantify(spark, folder):
     _, chosen = chrom.quantify(grid(spark, folder), hits(spark, folder), KEYS, ["A", "B"])
     share = F.coalesce(F.col("area") / F.nullif(F.sum("area").over(Window.partitionBy("grp")), F.lit(0.0)), F.lit(0.0))
     return chosen.select("grp", "imp", F.round("area", 4).alias("area"), F.round(share, 6).alias("share"))
+
+
+_HEIGHTS = """[1, l1, l1 * l1 / 2 + l2, l1 * l1 * l1 / 6 + l1 * l2, l1 * l1 * l1 * l1 / 24 + l1 * l1 * l2 / 2 + l2 * l2 / 2]"""
+_MEANS = [sum(a[0] * a[k] for a in AVERAGINE.values()) / AVERAGINE_MASS for k in (1, 2)]
+
+
+@query("xic_traces", f"""WITH pk AS (SELECT l_orderkey AS scan, l_linenumber AS pos, 900 + 5 * (l_orderkey % 40) + (l_linenumber - 2) * 0.501675::DOUBLE AS mz, max(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY ALL),
+g AS (SELECT scan, scan % 7 AS run, scan / 1000.0::DOUBLE AS rt, row_number() OVER (PARTITION BY scan % 7 ORDER BY scan) AS i, count(*) OVER (PARTITION BY scan % 7) AS n FROM (SELECT DISTINCT scan FROM pk)),
+w AS (SELECT s_suppkey AS grp, s_nationkey % 7 AS run, 900 + 5 * (s_suppkey % 40) - 0.05 - 0.3 * (s_suppkey % 3) AS low, 900 + 5 * (s_suppkey % 40) + 0.05 + 0.3 * (s_suppkey % 3) AS high FROM supplier),
+fan AS (SELECT grp, run, round((low::DOUBLE + high::DOUBLE) / 2) AS mid, k, low::DOUBLE + k * 1.00335::DOUBLE / 2 AS low, high::DOUBLE + k * 1.00335::DOUBLE / 2 AS high FROM w, range(-1, 5) t(k)),
+hit AS (SELECT grp, f.run, scan, any_value(mid) AS mid, {", ".join(f"coalesce(arg_max(v, pos) FILTER (k = {k}), 0) AS c{k + 1}" for k in range(-1, 5))} FROM fan f JOIN g ON g.run = f.run JOIN pk USING (scan) WHERE mz > low AND mz < high GROUP BY 1, 2, 3),
+l AS (SELECT *, mid * {_MEANS[0]!r}::DOUBLE AS l1, mid * {_MEANS[1]!r}::DOUBLE AS l2 FROM hit), h AS (SELECT *, {_HEIGHTS} AS h, [c1, c2, c3, c4, c5] AS c FROM l),
+raw AS (SELECT grp, run, scan, CASE WHEN c0 <= c1 AND list_dot_product(c::DOUBLE[], h::DOUBLE[]) >= 0.6 * sqrt(list_dot_product(c::DOUBLE[], c::DOUBLE[])) * sqrt(list_dot_product(h::DOUBLE[], h::DOUBLE[])) THEN c1 ELSE 0 END AS raw FROM h WHERE greatest(c1, c2, c3, c4, c5) > 0),
+dense AS (SELECT w.grp, g.run, g.i, g.rt, coalesce(raw.raw, 0) AS raw FROM w JOIN g USING (run) LEFT JOIN raw ON raw.grp = w.grp AND raw.run = w.run AND raw.scan = g.scan),
+s AS (SELECT *, avg(raw) OVER (PARTITION BY grp ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smooth, max(raw) OVER (PARTITION BY grp ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM dense)
+SELECT grp, run, i, round(rt, 6) AS rt, raw, round(smooth, 6) AS smooth FROM s WHERE near > 0""")
+def xic_traces(spark, folder):
+    """Orders as survey scans of seven runs, their lines as isotope ladders of charge 2; each supplier a window, whose trace the SQL makes on the dense grid."""
+    from modspec.operators.traces import scan_grid
+    from modspec.operators.traces import xic_traces as traces
+
+    order, slot = F.col("spectrum"), F.col("s_suppkey") % 40
+    lines = peaks(spark, folder).groupBy("spectrum", "pos").agg(F.max("intensity").cast("double").alias("v"))
+    mz = 900 + 5 * (order % 40) + (F.col("pos") - 2) * 0.501675
+    each = lines.groupBy("spectrum").agg(F.sort_array(F.collect_list(F.struct("pos", mz.alias("mz"), F.col("v").alias("intensity")))).alias("peaks"))
+    scans = each.select((order % 7).alias("run"), order.alias("scan"), (order / 1000.0).alias("rt_min"), F.transform("peaks", lambda p: F.struct(p["mz"].alias("mz"), p["intensity"].alias("intensity"))).alias("peaks"))
+    wide = 0.05 + 0.3 * (F.col("s_suppkey") % 3)
+    fans = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("grp"), (F.col("s_nationkey") % 7).alias("run"), F.lit(2).alias("charge"), (900 + 5 * slot - wide).alias("low"), (900 + 5 * slot + wide).alias("high"))
+    got = traces(scans, scan_grid(scans), fans, ["grp"], 0.2)
+    return got.select("grp", "run", "i", F.round("rt", 6).alias("rt"), "raw", F.round("smooth", 6).alias("smooth"))

@@ -206,11 +206,13 @@ def read_peptide_report(spark: SparkSession, path: str) -> tuple[DataFrame, Data
 
     Protein lines, ``*`` rows (form, charge, run, three m/z, area) and ``@`` rows
     (start, end, ratio, label); of a repeated form, charge and run the last row
-    stands, and one without ``@`` rows drops out.
+    stands, and one without ``@`` rows drops out.  Title lines are told by what
+    they say, so a report may come in one file or in many.
     """
     from modspec.operators.windows import forward_fill
 
-    rows = _lines(spark, path).where("line_no >= 3").where(F.trim("line") != "").withColumn("t", F.split("line", "\t"))
+    titles = F.rlike("line", F.lit(r"^(Protein_name,Peptide_start_position_on_protein|\*\tIMP\t|@\tRT_start\t)"))
+    rows = _lines(spark, path).where(~titles & (F.trim("line") != "")).withColumn("t", F.split("line", "\t"))
     kind = F.col("t")[0]
     star = F.when(kind == "*", F.struct("line_no", "t"))
     filled = forward_fill(rows, ["file"], ["line_no"], {"protein_line": F.when(~kind.isin("*", "@"), F.col("line")), "star": star})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,7 +28,7 @@ def msms_lines(msms: DataFrame) -> DataFrame:
 
 def write_lines(lines: DataFrame, keys: list[str], path: str) -> None:
     """Writes the lines in the order of their keys; the first key never crosses files."""
-    ranged = lines.repartitionByRange(keys[0]).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys], "level")
+    ranged = lines.repartitionByRange(F.col(keys[0]).asc_nulls_first()).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys], "level")
     ranged.select("line").write.text(path)
 
 
@@ -85,20 +85,38 @@ def write_merged_pairs(wide: DataFrame, path: str) -> None:
     wide.sortWithinPartitions("site", "imp", "charge").write.option("sep", "\t").option("header", True).csv(path)
 
 
-def merged_lines(wide: DataFrame, names: list[str]) -> DataFrame:
-    """site, imp, charge, level, line of a merged table: per pair left, right and two blank columns; a SUM row ends each site."""
+def merged_lines(wide: DataFrame, names: list[str], titles: list[tuple[str, str]] | None = None) -> DataFrame:
+    """site, imp, charge, level, line of a merged table: a title line, then by site its rows and a SUM row.
+
+    A pair has four columns: left, right and two for ratios, which only a SUM
+    row fills, with left over right; it is blank where the left sum is 0.  The
+    site stands on the first row of its block.  ``titles``: of left and right of
+    each pair, else made from its name.
+    """
     cell = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%f", c)).otherwise("")
     columns = [f"{n}_{side}" for n in names for side in ("left", "right")]
-    line = lambda head: F.concat_ws("\t", *head, *[x for n in names for x in (cell(f"{n}_left"), cell(f"{n}_right"), F.lit(""), F.lit(""))])
-    rows = wide.select("site", "imp", "charge", F.lit(0).alias("level"), line([F.col("site"), F.col("imp"), F.col("charge")]).alias("line"))
+    first = F.row_number().over(Window.partitionBy("site").orderBy("imp", "charge")) == 1
+    row = F.concat_ws("\t", F.when(first, F.col("site")).otherwise(""), "imp", "charge", *[x for n in names for x in (cell(f"{n}_left"), cell(f"{n}_right"), F.lit(""), F.lit(""))])
+    rows = wide.select("site", "imp", "charge", F.lit(1).alias("level"), row.alias("line"))
     sums = wide.groupBy("site").agg(*[F.sum(c).alias(c) for c in columns])
+
+    def total(n: str) -> list[Column]:
+        left, right = F.coalesce(f"{n}_left", F.lit(0.0)), F.coalesce(f"{n}_right", F.lit(0.0))
+        shown = lambda text: F.when(left != 0, text).otherwise("")
+        ratio = F.when(right == 0, "Inf").otherwise(F.format_string("%f", left / F.nullif(right, F.lit(0.0))))
+        return [shown(F.format_string("%f", left)), shown(F.format_string("%f", right)), shown(ratio), F.lit("")]
+
     none = F.lit(None).cast("string")
-    return rows.unionByName(sums.select("site", none.alias("imp"), none.alias("charge"), F.lit(1).alias("level"), line([F.col("site"), F.lit("SUM"), F.lit("")]).alias("line")))
+    line = F.concat_ws("\t", F.lit(""), F.lit("SUM"), F.lit(""), *[x for n in names for x in total(n)])
+    head = "\t".join(["Sites", "Sequence", "Charge", *[x for pair in titles or [(f"{n}_left", f"{n}_right") for n in names] for x in (*pair, "Ratio", "Normalized ratio")]])
+    top = wide.sparkSession.createDataFrame([(None, None, None, 0, head)], "site string, imp string, charge string, level int, line string")
+    return top.unionByName(rows).unionByName(sums.select("site", none.alias("imp"), none.alias("charge"), F.lit(2).alias("level"), line.alias("line")))
 
 
-def write_merged_report(wide: DataFrame, names: list[str], path: str) -> None:
-    """The rows of each site in order and then its sums; a site never crosses files."""
-    merged_lines(wide, names).repartitionByRange("site").sortWithinPartitions("site", "level", "imp", "charge").select("line").write.text(path)
+def write_merged_report(wide: DataFrame, names: list[str], path: str, titles: list[tuple[str, str]] | None = None) -> None:
+    """The titles, then the rows of each site in order and its sums; a site never crosses files."""
+    ranged = merged_lines(wide, names, titles).repartitionByRange(F.col("site").asc_nulls_first())
+    ranged.sortWithinPartitions(F.col("site").asc_nulls_first(), "level", "imp", "charge").select("line").write.text(path)
 
 
 def write_sites(sited: DataFrame, others: DataFrame, path: str, others_path: str) -> None:
@@ -115,15 +133,29 @@ def write_top1_msms(psms: DataFrame, path: str) -> None:
 def write_requant_report(imp_rows: DataFrame, rt_ranges: DataFrame, path: str) -> None:
     """As the peptide report, with one ``@`` row of each form, that with the largest check label."""
     key = ["imp", "charge", "run"]
+    key = [*key, "protein_line"] if "protein_line" in rt_ranges.columns else key
     best = rt_ranges.where("ratio <> 0").groupBy(*key).agg(F.max(F.struct("check_label", "rt_start", "rt_end", "ratio")).alias("b"))
     write_peptide_report(imp_rows, best.select(*key, "b.*"), path)
 
 
+#: The title lines of a peptide report.
+PEPTIDE_TITLES = ("Protein_name,Peptide_start_position_on_protein;", "*\tIMP\tCharge\tDataset\tMass_center\tLow_mass_bound\tHigh_mass_bound\tPeak_area", "@\tRT_start\tRT_end\tProportion\tCheck_label")
+
+
 def write_peptide_report(imp_rows: DataFrame, rt_ranges: DataFrame, path: str) -> None:
-    """Protein lines, ``*`` rows and the ``@`` rows whose ratio isn't 0, in nested order."""
+    """Title lines, then protein lines, ``*`` rows and the ``@`` rows whose ratio isn't 0, in nested order.
+
+    The title lines open the first of the ordered files.  ``rt_ranges`` may have
+    the protein line; without it a form's ranges go to its rows of all proteins.
+    """
     keys = ["protein_line", "imp", "charge", "run"]
     none = lambda names: [F.lit(None).cast("string").alias(n) for n in names]
+    spark = imp_rows.sparkSession
+    # levels count up from the titles, whose protein line is null and comes first
+    head = spark.createDataFrame([(None, None, None, str(k), t) for k, t in enumerate(PEPTIDE_TITLES)], "protein_line string, imp string, charge string, run string, line string")
     top = imp_rows.select("protein_line").distinct().select("protein_line", *none(keys[1:]), F.col("protein_line").alias("line"))
-    mid = imp_rows.select(*keys, F.format_string("*\t%s\t%s\t%s\t%.4f\t%.4f\t%.4f\t%f", "imp", "charge", "run", "mz_mid", "mz_lo", "mz_hi", "area").alias("line"))
-    low = rt_ranges.where("ratio <> 0").join(imp_rows.select(*keys), keys[1:]).select(*keys, F.format_string("@\t%f\t%f\t%f\t%d", "rt_start", "rt_end", "ratio", "check_label").alias("line"))
-    write_lines(sectioned_lines([top, mid, low], keys), keys, path)
+    mid = imp_rows.select(*keys, F.format_string("*\t%s\t%s\t%s\t%.4f\t%f\t%f\t%f", "imp", "charge", "run", "mz_mid", "mz_lo", "mz_hi", "area").alias("line"))
+    some = rt_ranges.where("ratio <> 0")
+    placed = some if "protein_line" in some.columns else some.join(imp_rows.select(*keys), keys[1:])
+    low = placed.select(*keys, F.format_string("@\t%f\t%f\t%f\t%d", "rt_start", "rt_end", "ratio", "check_label").alias("line"))
+    write_lines(sectioned_lines([head, top, mid, low], keys), keys, path)

@@ -150,7 +150,11 @@ def test_reports_with_sums_and_largest_labels(spark, tmp_path):
     wide = spark.createDataFrame([("s1", "i1", "+2", 1.0, 2.0, None, None), ("s1", "i2", "+2", 3.0, 4.0, 5.0, 6.0)], "site string, imp string, charge string, p_left double, p_right double, q_left double, q_right double")
     writers.write_merged_report(wide, ["p", "q"], f"{tmp_path}/merged")
     lines = [r["value"] for r in spark.read.text(f"{tmp_path}/merged").collect()]
-    assert lines == ["s1\ti1\t+2\t1.000000\t2.000000\t\t\t\t\t\t", "s1\ti2\t+2\t3.000000\t4.000000\t\t\t5.000000\t6.000000\t\t", "s1\tSUM\t\t4.000000\t6.000000\t\t\t5.000000\t6.000000\t\t"]
+    title = "Sites\tSequence\tCharge\tp_left\tp_right\tRatio\tNormalized ratio\tq_left\tq_right\tRatio\tNormalized ratio"
+    assert lines == [title, "s1\ti1\t+2\t1.000000\t2.000000\t\t\t\t\t\t", "\ti2\t+2\t3.000000\t4.000000\t\t\t5.000000\t6.000000\t\t", "\tSUM\t\t4.000000\t6.000000\t0.666667\t\t5.000000\t6.000000\t0.833333\t"]
+    none = wide.select("site", "imp", "charge", F.lit(0.0).alias("p_left"), "p_right", "q_left", F.lit(0.0).alias("q_right"))
+    writers.write_merged_report(none, ["p", "q"], f"{tmp_path}/blank")
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/blank").collect()][-1] == "\tSUM\t\t\t\t\t\t5.000000\t0.000000\tInf\t"
     imps = spark.createDataFrame([("P", "_A_", "+2", "r", 1.0, 1.0, 1.0, 9.0)], "protein_line string, imp string, charge string, run string, mz_mid double, mz_lo double, mz_hi double, area double")
     ranges = spark.createDataFrame([("_A_", "+2", "r", 1.0, 2.0, 0.5, 0), ("_A_", "+2", "r", 3.0, 4.0, 0.5, 2)], "imp string, charge string, run string, rt_start double, rt_end double, ratio double, check_label int")
     writers.write_requant_report(imps, ranges, f"{tmp_path}/requant")
