@@ -18,17 +18,24 @@ with both sides:
 Texts of up to ``leaf`` characters are one leaf.  Texts of over ``spread``
 characters are cut into parts, rows of their own dealt to the tasks; each part
 is a tree in a task, and further rounds join FAN neighbouring parts at a time.
+
+Leaves are split by the public pattern and the tokens of a pre-token remembered;
+those with characters that versions of Unicode may class differently, or with
+special tokens, are the library's own to encode.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +50,11 @@ FAN = 8
 #: Characters that are encoded in one call.
 BATCH = 1 << 20
 
+#: Pre-tokens whose tokens a process remembers.
+KNOWN = 1 << 17
+#: Characters outside blocks that have been full for long: Latin, Cyrillic, quotes and dashes, common Han.
+UNSURE = re.compile("[^\x00-\u024f\u0400-\u045f\u2010-\u2027\u4e00-\u9fa5]")
+
 Node = tuple[np.ndarray, np.ndarray]  # ids, and whether a token opens a pre-token
 
 
@@ -51,6 +63,7 @@ class Codec:
 
     def __init__(self, content: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
+        import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
@@ -61,20 +74,51 @@ class Codec:
         n = max(self.tokenizer.get_vocab().values()) + 1
         self.marks = [self.tokenizer.id_to_token(i) or "" for i in range(n)]  # in the byte alphabet: a character is a byte
         self.length = np.array([len(m) for m in self.marks], np.int64)
-        self.byte = {c: b for b, c in enumerate(_byte_alphabet())}
+        self.alphabet = _byte_alphabet()
+        self.byte = {c: b for b, c in enumerate(self.alphabet)}
+        made = json.loads(content)
+        kind = made["pre_tokenizer"] or {}
+        self.by_pattern = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and not made["normalizer"]
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.known: dict[str, list[int]] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        plain = [self.plain(t) for t in texts]
+        rest = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
+        return [np.array([i for w in self.split(t) for i in self.word(w)] if p else next(rest).ids, np.uint32) for t, p in zip(texts, plain)]
 
     def leaves(self, texts: list[str]) -> list[Node]:
-        out = []
-        for e in self.tokenizer.encode_batch(texts, add_special_tokens=False):  # the fast one doesn't number pre-tokens
-            words = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
-            ids = np.array(e.ids, np.uint32)
-            opens = np.ones(len(ids), bool)
-            opens[1:] = (words[1:] != words[:-1]) | self.is_special(ids[1:]) | self.is_special(ids[:-1])
-            out.append((ids, opens))
-        return out
+        plain = [self.plain(t) for t in texts]
+        rest = iter(self.tokenizer.encode_batch([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))  # the fast one doesn't number pre-tokens
+        return [self._leaf([self.word(w) for w in self.split(t)]) if p else self._numbered(next(rest)) for t, p in zip(texts, plain)]
+
+    def _leaf(self, words: list[list[int]]) -> Node:
+        ids = np.array([i for w in words for i in w], np.uint32)
+        opens = np.zeros(len(ids), bool)
+        opens[np.cumsum([0, *map(len, words[:-1])])[: len(ids)]] = True
+        return ids, opens
+
+    def _numbered(self, encoding) -> Node:
+        words = np.array([-1 if w is None else w for w in encoding.word_ids], np.int64)
+        ids = np.array(encoding.ids, np.uint32)
+        opens = np.ones(len(ids), bool)
+        opens[1:] = (words[1:] != words[:-1]) | self.is_special(ids[1:]) | self.is_special(ids[:-1])
+        return ids, opens
+
+    def plain(self, text: str) -> bool:
+        """Whether the public pattern splits ``text`` as the library does, whatever their versions of Unicode."""
+        return self.by_pattern and (text.isascii() or not UNSURE.search(text)) and not any(s in text for s in self.special)
+
+    def word(self, text: str) -> list[int]:
+        """Tokens of one pre-token; distinct ones are merged once."""
+        ids = self.known.get(text)
+        if ids is None:
+            ids = self.merge("".join(self.alphabet[b] for b in text.encode()))
+            if len(text) <= 64:
+                if len(self.known) >= KNOWN:
+                    self.known.clear()
+                self.known[text] = ids
+        return ids
 
     def is_special(self, ids: np.ndarray) -> np.ndarray:
         return ids >= self.least_special if self.least_special == len(self.marks) - len(self.special) else np.isin(ids, list(self.special.values()))
