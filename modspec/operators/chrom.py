@@ -101,15 +101,32 @@ def isotope_gate(df: DataFrame, columns: list[str], pattern: list[float], least:
     return df.withColumn("mono", F.when((before > rest[0]) | (size == 0) | (dot / F.nullif(size, F.lit(0.0)) < least), 0.0).otherwise(rest[0]))
 
 
-def detect_xic_peaks(xic: DataFrame, psms: DataFrame, keys: list[str], alpha: float = 0.1) -> DataFrame:
-    """(keys, peak_no, left_i, right_i): peaks around matches, walked point by point in each trace.
+def trace_segments(xic: DataFrame, keys: list[str], hot: bool | None = None) -> DataFrame:
+    """Points by the segment (_seg: the index of the zero before it, 0 at a trace's start) of nonzero smooth intensity that they are in or border.
 
-    ``xic``: keys, i, rt, raw, smooth; ``psms``: keys, rt.  The walk depends on
-    its own past, so each trace goes to one grouped function; traces are small.
+    A zero borders the segments on both sides.  Large traces are cut in runs of
+    the index to find the zeros before.
+    """
+    from modspec.operators.windows import carried
+
+    zero = F.when(F.col("smooth") == 0, F.col("i"))
+    told = carried(xic, keys, "i", ["i"], {"_seg": zero}, strict=True, hot=hot).withColumn("_seg", F.coalesce("_seg", F.lit(0)))
+    return told.unionByName(told.where("smooth = 0").withColumn("_seg", F.col("i")))
+
+
+def detect_xic_peaks(xic: DataFrame, psms: DataFrame, keys: list[str], alpha: float = 0.1, hot: bool | None = None) -> DataFrame:
+    """(keys, peak_no, left_i, right_i): peaks around matches, numbered by time, walked point by point.
+
+    ``xic``: keys, i, rt, raw, smooth; ``psms``: keys, rt.  A walk depends on its
+    own past but ends at a zero, so a trace is cut there and each segment that a
+    match is in is walked on its own (``alpha`` is above 0).  A match whose
+    nearest point is 0 opens no peak.
     """
     import numpy as np
     import pandas as pd
 
+    from modspec.operators.joins import nearest_join
+
     def walk(y, at, step, top, low_at, stop_at):
         """Bound found from ``at`` in direction ``step`` (None if the trace ends first), the top seen and the last point visited."""
         low = y[at]
@@ -129,15 +146,12 @@ def detect_xic_peaks(xic: DataFrame, psms: DataFrame, keys: list[str], alpha: fl
         return None, top
 
     def find(key, points: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
-        points = points.sort_values("i")
-        rt, y, raw = (points[c].to_numpy() for c in ("rt", "smooth", "raw"))
-        times = np.sort(hits["rt"].to_numpy())
+        points, hits = points.sort_values("i"), hits.sort_values(["rt", "_at"])
+        index, rt, y, raw = (points[c].to_numpy() for c in ("i", "rt", "smooth", "raw"))
+        times, seeds = hits["rt"].to_numpy(), np.searchsorted(index, hits["_at"].to_numpy())
         found, n = [], 0
         while n < len(times) and len(rt):
-            seed = int(np.abs(rt - times[n]).argmin())
-            if y[seed] == 0:
-                n += 1
-                continue
+            seed = int(seeds[n])
             state = {"n": n, "right": seed}
 
             def absorb(i, state=state):
@@ -150,24 +164,34 @@ def detect_xic_peaks(xic: DataFrame, psms: DataFrame, keys: list[str], alpha: fl
             found.append((seed if left is None else left, state["right"] if right is None else right))
             n = state["n"] + 1
         found = [f for f in found if (raw[f[0] : f[1] + 1] != 0).sum() >= 5]
-        first = points["i"].to_numpy()
-        return pd.DataFrame([(*key, k + 1, first[a], first[b]) for k, (a, b) in enumerate(found)], columns=[*keys, "peak_no", "left_i", "right_i"])
+        return pd.DataFrame([(*key, k, index[a], index[b]) for k, (a, b) in enumerate(found)], columns=[*within, "_k", "left_i", "right_i"])
 
-    kinds = dict(xic.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "peak_no int", "left_i int", "right_i int"])
-    return xic.groupBy(*keys).cogroup(psms.groupBy(*keys)).applyInPandas(find, schema)
+    within = [*keys, "_seg"]
+    segments = trace_segments(xic.select(*keys, "i", "rt", "raw", "smooth"), keys, hot)
+    placed = nearest_join(psms.select(*keys, "rt"), xic.select(*keys, "rt", F.col("i").alias("_at")), keys, "rt", "_at", float("inf"), hot).where("_at is not null")
+    inner = segments.where("smooth <> 0").select(*within, F.col("i").alias("_at"))
+    hits = placed.join(inner, [*keys, "_at"])
+    walked = segments.join(hits.select(*[F.col(c).alias(f"_hit{n}") for n, c in enumerate(within)]).distinct(), [F.col(c).eqNullSafe(F.col(f"_hit{n}")) for n, c in enumerate(within)], "left_semi")
+    kinds = dict(segments.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in within), "_k int", "left_i int", "right_i int"])
+    hits = hits.select(*[F.col(c).alias(c) for c in within], "rt", "_at")
+    found = walked.select(*[F.col(c).alias(c) for c in within], "i", "rt", "raw", "smooth").groupBy(*within).cogroup(hits.groupBy(*within)).applyInPandas(find, schema)
+    return found.withColumn("peak_no", F.row_number().over(Window.partitionBy(*keys).orderBy("_seg", "_k")).cast("int")).select(*keys, "peak_no", "left_i", "right_i")
 
 
 def filter_peak_ratios(xic: DataFrame, ranges: DataFrame, keys: list[str], imps: list[str], share: float) -> DataFrame:
     """``xic`` (keys, i, rt, smooth, r_<imp>...) whose ratios, peak by peak, are 0 for forms below ``share`` of the peak's largest area and sum to 1 over the others.
 
-    Peaks may share points, and a later one sees what an earlier one left, so
-    each trace goes to one grouped function, as in ``detect_xic_peaks``.
+    Peaks may share points, and a later one sees what an earlier one left; so
+    each island of overlapping peaks goes to one grouped function.
     """
     import numpy as np
     import pandas as pd
 
+    from modspec.operators.windows import islands
+
     names = [f"r_{p}" for p in imps]
+    within = [*keys, "_island"]
 
     def filtered(key, points: pd.DataFrame, peaks: pd.DataFrame) -> pd.DataFrame:
         points = points.sort_values("i").reset_index(drop=True)
@@ -183,11 +207,19 @@ def filter_peak_ratios(xic: DataFrame, ranges: DataFrame, keys: list[str], imps:
             whole = ratios[a:b].sum(axis=1, keepdims=True)
             ratios[a:b] /= np.where(whole == 0, 1, whole)
         points[names] = ratios
-        return points
+        inside = (i >= peaks["left_i"].min()) & (i <= peaks["right_i"].max())
+        return points.loc[inside, cols]
 
-    cols = [*keys, "i", "rt", "smooth", *names]
+    cols = [*keys, "i", *names]
     kinds = dict(xic.dtypes)
-    return xic.select(*cols).groupBy(*keys).cogroup(ranges.groupBy(*keys)).applyInPandas(filtered, ", ".join(f"{c} {kinds[c]}" for c in cols))
+    placed = islands(ranges.select(*keys, "peak_no", "left_i", "right_i"), keys, "left_i", "right_i", "_island")
+    spans = placed.groupBy(*within).agg(F.min("left_i").alias("left_i"), F.max("right_i").alias("right_i"))
+    held = points_of(xic.select(*keys, "i", "rt", "smooth", *names), spans, keys, 1)
+    held = held.select(*[F.col(c).alias(c) for c in (*within, "i", "rt", "smooth", *names)])  # columns of its own, told apart from those of ``placed``
+    done = held.groupBy(*within).cogroup(placed.groupBy(*within)).applyInPandas(filtered, ", ".join(f"{c} {kinds[c]}" for c in cols))
+    rest = xic.select(*keys, "i", "rt", "smooth", *names)
+    new = done.select(*keys, "i", *[F.col(n).alias(f"_{n}") for n in names])
+    return rest.join(new, [*keys, "i"], "left").select(*keys, "i", "rt", "smooth", *[F.coalesce(f"_{n}", n).alias(n) for n in names])
 
 
 def quantify(xic: DataFrame, psms: DataFrame, keys: list[str], imps: list[str], share: float = 0.1) -> tuple[DataFrame, DataFrame]:
@@ -206,6 +238,7 @@ def quantified(xic: DataFrame, psms: DataFrame, keys: list[str], imps: list[str]
     from modspec.operators.placements import stored
     from modspec.operators.windows import best_of
 
+    xic, psms = stored(xic.select(*keys, "i", "rt", "raw", "smooth")), stored(psms)
     found = stored(detect_xic_peaks(xic, (psms if seeds is None else seeds).select(*keys, "rt"), keys, alpha))
     ratios = kernel_ratio(xic, found, psms, keys, imps)
     shaped = xic.join(ratios, [*keys, "i"], "left").fillna(0.0, [f"r_{p}" for p in imps])

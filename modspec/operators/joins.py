@@ -28,17 +28,19 @@ def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high:
     return a.join(b, ["_bucket", *keys]).where(inside).drop("_bucket")
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], on: str, take: dict[str, str], tie: str) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], on: str, take: dict[str, str], tie: str, hot: bool | None = None) -> DataFrame:
     """Each left row with the columns ``take`` (name in right to new name) of the last right row at or before it; without one it is dropped.
 
-    Union and last non-null value: one shuffle on the keys, no range join.
+    Union and last non-null value: one shuffle on the keys, no range join; large
+    groups go in runs of ``on`` (``windows.carried``).
     """
+    from modspec.operators.windows import carried
+
     side = F.struct(*[F.col(c).alias(n) for c, n in take.items()])
     rows = left.select(*left.columns, F.lit(None).cast(right.select(side.alias("s")).schema["s"].dataType).alias("_right"), F.lit(1).alias("_side"))
     others = right.select(*[F.col(c) if c in keys or c == on else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], side.alias("_right"), F.lit(0).alias("_side"))
-    w = Window.partitionBy(*keys).orderBy(on, "_side", tie).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.unionByName(others).withColumn("_right", F.last("_right", ignorenulls=True).over(w)).where("_side = 1 and _right is not null")
-    return joined.select(*left.columns, *[F.col(f"_right.{n}").alias(n) for n in take.values()])
+    joined = carried(rows.unionByName(others), keys, on, [on, "_side", tie], {"_last": F.col("_right")}, hot=hot).where("_side = 1 and _last is not null")
+    return joined.select(*left.columns, *[F.col(f"_last.{n}").alias(n) for n in take.values()])
 
 
 def precursor_profile(spectra: DataFrame, peaks: DataFrame, key: str, keys: list[str], precursor: str, mz: str, intensity: str, tol: float) -> DataFrame:
@@ -51,19 +53,23 @@ def precursor_profile(spectra: DataFrame, peaks: DataFrame, key: str, keys: list
     return spectra.join(top, key, "left").withColumn("intensity", F.coalesce("intensity", F.lit(0.0)))
 
 
-def nearest_join(points: DataFrame, grid: DataFrame, keys: list[str], on: str, index: str, max_err: float) -> DataFrame:
+def nearest_join(points: DataFrame, grid: DataFrame, keys: list[str], on: str, index: str, max_err: float, hot: bool | None = None) -> DataFrame:
     """Index of the grid value nearest to each point, the first on ties; null beyond ``max_err``.
 
     ``grid`` has keys, ``on`` and ``index``.  The last grid value at or before
-    the point and the first after it come from one pass in each direction.
+    the point and the first after it come from one pass in each direction, in
+    runs of ``on`` for large groups.
     """
+    from modspec.operators.windows import RUN_ROWS, carried, is_hot
+
     at = F.struct(F.col(on).alias("v"), F.col(index).alias("i"))
     rows = points.select(*points.columns, F.lit(None).cast(grid.select(at.alias("s")).schema["s"].dataType).alias("_g"), F.lit(1).alias("_side"))
     others = grid.select(*[F.col(c) if c in keys or c == on else F.lit(None).cast(points.schema[c].dataType).alias(c) for c in points.columns], at.alias("_g"), F.lit(0).alias("_side"))
-    w = Window.partitionBy(*keys).orderBy(on, "_side", F.col("_g.i"))
-    both = rows.unionByName(others)
-    both = both.withColumn("_value", F.max(F.when(F.col("_side") == 0, F.col("_g.v"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_after", F.first("_g", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    both = rows.unionByName(others).withColumn("_gi", F.col("_g.i"))
+    hot = is_hot(both, keys, RUN_ROWS) if hot is None else hot
+    order = [on, "_side", "_gi"]
+    both = carried(both, keys, on, order, {"_value": F.col("_g.v")}, hot=hot)
+    both = carried(both, keys, on, order, {"_after": F.col("_g")}, back=True, hot=hot)
     # of equal grid values the first index stands
     firsts = grid.groupBy(*keys, F.col(on).alias("_value")).agg(F.min(index).alias("_before_i"))
     found = both.where("_side = 1").join(firsts, [*keys, "_value"], "left")

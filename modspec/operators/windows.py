@@ -27,8 +27,40 @@ def _with_runs(df: DataFrame, value: str, runs: int | None = None) -> DataFrame:
     cuts = sorted(set(df.approxQuantile(value, [i / runs for i in range(1, runs)], 0.25 / runs)))
     if not cuts:
         return df.withColumn("_run", F.lit(0))
-    placed = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_value", outputCol="_run", handleInvalid="keep").transform(df.withColumn("_value", F.col(value).cast("double")))
-    return placed.drop("_value").withColumn("_run", F.coalesce(F.col("_run").cast("int"), F.lit(-1)))
+    placed = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_ranged", outputCol="_run", handleInvalid="keep").transform(df.withColumn("_ranged", F.col(value).cast("double")))
+    return placed.drop("_ranged").withColumn("_run", F.coalesce(F.col("_run").cast("int"), F.lit(-1)))
+
+
+def is_hot(df: DataFrame, keys: list[str], rows: int) -> bool:
+    """Whether some group of ``keys`` has more than ``rows`` rows."""
+    return (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > rows
+
+
+def carried(df: DataFrame, keys: list[str], value: str, order: list[str], fills: dict[str, Column], back: bool = False, strict: bool = False, rows: int = RUN_ROWS, hot: bool | None = None) -> DataFrame:
+    """For each name, the last non-null value of its expression at or before the row in ``order``, which begins with ``value``.
+
+    ``back``: the first one at or after it; ``strict``: not the row's own.  Where
+    a group has more than ``rows`` rows (or ``hot`` says so), it is cut into runs
+    of the value: each run is filled on its own, and what its rows lack comes
+    over the run's edge, from a row for each run.  ``df`` is read twice then.
+    """
+    frame = (Window.unboundedPreceding, -1 if strict else 0) if not back else (1 if strict else 0, Window.unboundedFollowing)
+    pick = F.first if back else F.last
+    if not (is_hot(df, keys, rows) if hot is None else hot):
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)
+        return df.select("*", *[pick(e, ignorenulls=True).over(w).alias(n) for n, e in fills.items()])
+    placed = _with_runs(df, value, max(LEAST_RUNS, df.count() // rows))
+    inside = Window.partitionBy(*keys, "_run").orderBy(*order).rowsBetween(*frame)
+    local = placed.select("*", *[pick(e, ignorenulls=True).over(inside).alias(n) for n, e in fills.items()])
+    at = F.struct(*order)
+    edge = [(F.min_by if back else F.max_by)(e, F.when(e.isNotNull(), at)).alias(n) for n, e in fills.items()]
+    ends = placed.groupBy(*keys, "_run").agg(*edge)
+    over = Window.partitionBy(*keys).orderBy("_run").rowsBetween(*((1, Window.unboundedFollowing) if back else (Window.unboundedPreceding, -1)))
+    ends = ends.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_run").alias("_of"), *[pick(n, ignorenulls=True).over(over).alias(f"_edge_{n}") for n in fills])
+    same = F.col("_run") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return local.join(ends, same).select(*df.columns, *[F.coalesce(n, f"_edge_{n}").alias(n) for n in fills])
 
 
 def running_sums(df: DataFrame, score: str, tie: str, flags: dict[str, Column], runs: int | None = None, keys: list[str] | None = None) -> DataFrame:
@@ -108,13 +140,18 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, stop: str, widen
     """Merged intervals after widening each by a share of its length on both sides; touching ones merge."""
     pad = (F.col(stop) - F.col(start)) * widen
     wide = df.select(*keys, (F.col(start) - pad).alias("_a"), (F.col(stop) + pad).alias("_b"))
-    w = Window.partitionBy(*keys).orderBy("_a", "_b")
-    reach = F.max("_b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = wide.withColumn("_reach", reach).withColumn("_new", (F.col("_reach").isNull() | (F.col("_a") > F.col("_reach"))).cast("long"))
-    island = island.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    island = islands(wide, keys, "_a", "_b", "island")
     return island.groupBy(*keys, "island").agg(F.min("_a").alias("lo"), F.max("_b").alias("hi"), F.count("*").alias("n_members"))
 
 
+def islands(df: DataFrame, keys: list[str], start: str, stop: str, name: str) -> DataFrame:
+    """``df`` with the number of the island of overlapping or touching intervals that a row is in."""
+    w = Window.partitionBy(*keys).orderBy(start, stop)
+    reach = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opened = df.withColumn("_reach", reach).withColumn("_new", (F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))).cast("long"))
+    return opened.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_reach", "_new")
+
+
 def best_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in the given order."""
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
