@@ -78,16 +78,23 @@ def kernel_ratio(xic: DataFrame, ranges: DataFrame, psms: DataFrame, keys: list[
     """
     points = points_of(xic.select(*keys, "i", "rt"), ranges, keys).select(*keys, "peak_no", "i", "rt")
     ends = points.groupBy(*keys, "peak_no").agg(F.min("rt").alias("lo"), F.max("rt").alias("hi"))
-    near = psms.withColumnRenamed("rt", "t").join(ends, keys).where((F.col("t") >= F.col("lo") - 1e-4) & (F.col("t") <= F.col("hi") + 1e-4))
-    total = psms.groupBy(*keys).agg(F.count("*").alias("n_all"))
-    stats = near.groupBy(*keys, "peak_no").agg((F.pow(4 / (3 * F.count("*")), F.lit(0.2)) * F.coalesce(F.stddev_samp("t"), F.lit(0.0))).alias("bw"))
-    gauss = lambda bw: F.exp(-0.5 * F.pow((F.col("rt") - F.col("t")) / bw, F.lit(2))) / (2 * 3.141592653589793) ** 0.5
-    pairs = points.join(near, [*keys, "peak_no"]).join(stats, [*keys, "peak_no"]).join(total, keys)
-    seen = pairs.groupBy(*keys, "peak_no", "i").agg(F.max(F.when(F.col("bw") > 0, gauss(F.nullif(F.col("bw"), F.lit(0.0))))).alias("most"), F.first("n_all").alias("n_all"))
-    poor = seen.groupBy(*keys, "peak_no").agg(F.max(F.coalesce(F.col("most") < 1e-15 / F.col("n_all"), F.lit(True))).alias("poor"))
-    final = pairs.join(poor, [*keys, "peak_no"]).withColumn("bw", F.when(F.col("poor"), F.least(F.col("hi") - F.col("lo"), F.lit(1.0))).otherwise(F.col("bw")))
-    weighted = final.withColumn("w", gauss(F.nullif(F.col("bw"), F.lit(0.0))))
-    one = weighted.groupBy(*keys, "peak_no", "i").agg(*[(F.sum(F.col("w") * F.col(f"r_{p}")) / (F.sum("w") + EPS)).alias(f"r_{p}") for p in imps])
+    counted = psms.withColumn("_all", F.count("*").over(Window.partitionBy(*keys))).withColumnRenamed("rt", "t")
+    near = counted.join(ends, keys).where((F.col("t") >= F.col("lo") - 1e-4) & (F.col("t") <= F.col("hi") + 1e-4))
+    peak = Window.partitionBy(*keys, "peak_no")
+    own = F.pow(4 / (3 * F.count("*").over(peak)), F.lit(0.2)) * F.coalesce(F.stddev_samp("t").over(peak), F.lit(0.0))
+    near = near.withColumn("_own", own).withColumn("_wide", F.least(F.col("hi") - F.col("lo"), F.lit(1.0)))
+    pairs = points.join(near.select(*keys, "peak_no", "t", "_all", "_own", "_wide", *[f"r_{p}" for p in imps]), [*keys, "peak_no"])
+
+    def gauss(width: str):
+        return F.exp(-0.5 * F.pow((F.col("rt") - F.col("t")) / F.nullif(F.col(width), F.lit(0.0)), F.lit(2))) / (2 * 3.141592653589793) ** 0.5
+
+    # sums with either bandwidth in one pass; which one holds is the whole peak's
+    weighted = pairs.withColumn("_w0", gauss("_own")).withColumn("_w1", gauss("_wide"))
+    sums = [F.sum(w).alias(f"{w}_sum") for w in ("_w0", "_w1")] + [F.sum(F.col(w) * F.col(f"r_{p}")).alias(f"{w}_{p}") for w in ("_w0", "_w1") for p in imps]
+    each = weighted.groupBy(*keys, "peak_no", "i").agg(F.max("_w0").alias("_most"), F.first("_all").alias("_all"), *sums)
+    poor = F.max(F.coalesce(F.col("_most") < 1e-15 / F.col("_all"), F.lit(True))).over(peak)
+    share = lambda w, p: F.col(f"{w}_{p}") / (F.col(f"{w}_sum") + EPS)
+    one = each.withColumn("_poor", poor).select(*keys, "i", *[F.when(F.col("_poor"), share("_w1", p)).otherwise(share("_w0", p)).alias(f"r_{p}") for p in imps])
     added = one.groupBy(*keys, "i").agg(*[F.sum(f"r_{p}").alias(f"r_{p}") for p in imps])
     whole = sum((F.col(f"r_{p}") for p in imps), F.lit(EPS))
     return added.select(*keys, "i", *[(F.col(f"r_{p}") / whole).alias(f"r_{p}") for p in imps])
@@ -256,8 +263,10 @@ def requantify(xic: DataFrame, psms: DataFrame, checked: DataFrame, keys: list[s
     in its own range.  Ends go to the nearest points of the trace.
     """
     from modspec.operators.joins import nearest_join
+    from modspec.operators.placements import stored
     from modspec.operators.sites import attach_checked
 
+    xic, psms = stored(xic), stored(psms)
     forms = xic.select(*keys).distinct().withColumn("imp", F.explode(F.array(*[F.lit(i) for i in imps])))
     known = forms.join(checked.select(*keys).distinct(), keys, "left_semi")
     ranges = attach_checked(known.withColumn("_group", F.struct(*keys)), checked, [*keys, "imp"], "_group").drop("_group").where("rt_start is not null")
@@ -265,7 +274,7 @@ def requantify(xic: DataFrame, psms: DataFrame, checked: DataFrame, keys: list[s
     for end, index in (("rt_start", "left_i"), ("rt_end", "right_i")):
         ranges = nearest_join(ranges.withColumn("rt", F.col(end)), points.withColumnRenamed("i", index), keys, "rt", index, max_err).drop("rt")
     by = [*keys, "imp"]
-    ranges = ranges.where("left_i is not null and right_i is not null").select(*by, F.lit(1).alias("peak_no"), "left_i", "right_i").persist()
+    ranges = stored(ranges.where("left_i is not null and right_i is not null").select(*by, F.lit(1).alias("peak_no"), "left_i", "right_i"))
     each = ranges.select(*by)
     traces = xic.join(each, keys)
     ratios = kernel_ratio(traces, ranges, psms.join(each, keys), by, imps)
