@@ -51,7 +51,7 @@ FAN = 8
 BATCH = 1 << 20
 
 #: Pre-tokens whose tokens a process remembers.
-KNOWN = 1 << 17
+KNOWN = 1 << 19
 #: Characters outside blocks that have been full for long: Latin, Cyrillic, quotes and dashes, common Han.
 UNSURE = re.compile("[^\x00-\u024f\u0400-\u045f\u2010-\u2027\u4e00-\u9fa5]")
 
@@ -85,7 +85,8 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = [self.plain(t) for t in texts]
         rest = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
-        return [np.array([i for w in self.split(t) for i in self.word(w)] if p else next(rest).ids, np.uint32) for t, p in zip(texts, plain)]
+        known, word = self.known.get, self.word
+        return [np.array([i for w in self.split(t) for i in known(w) or word(w)] if p else next(rest).ids, np.uint32) for t, p in zip(texts, plain)]
 
     def leaves(self, texts: list[str]) -> list[Node]:
         plain = [self.plain(t) for t in texts]
