@@ -242,7 +242,7 @@ def quantified(xic: DataFrame, psms: DataFrame, keys: list[str], imps: list[str]
     matches' ratios are spread over the peaks found around them, or around
     ``seeds`` (keys, rt).  What is read several times is stored.
     """
-    from modspec.operators.placements import stored
+    from modspec.sources.store import stored
     from modspec.operators.windows import best_of
 
     xic, psms = stored(xic.select(*keys, "i", "rt", "raw", "smooth")), stored(psms)
@@ -263,7 +263,7 @@ def requantify(xic: DataFrame, psms: DataFrame, checked: DataFrame, keys: list[s
     in its own range.  Ends go to the nearest points of the trace.
     """
     from modspec.operators.joins import nearest_join
-    from modspec.operators.placements import stored
+    from modspec.sources.store import stored
     from modspec.operators.sites import attach_checked
 
     xic, psms = stored(xic), stored(psms)

@@ -5,39 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modspec.operators.windows import monotone_q, running_sums
+from modspec.operators import windows
 
 #: Stands for no target yet in a ratio's denominator.
 NO_TARGET = 1e-6
 
 
+def _counts(placed: DataFrame, score: str, tie: str, decoy: str, group: str | None = None) -> DataFrame:
+    """Running targets and decoys of a table in ranges: n_ of all rows, g_ of a group's."""
+    head, keys = ("g", [group]) if group else ("n", [])
+    return windows.sums_of_runs(placed, score, tie, {f"{head}_targets": ~F.col(decoy), f"{head}_decoys": F.col(decoy)}, keys)
+
+
 def target_decoy_counts(psms: DataFrame, score: str = "score", tie: str = "id", decoy: str = "decoy", group: str = "grp") -> DataFrame:
     """Running targets and decoys by falling score: over all rows (n_targets, n_decoys) and in the group (g_targets, g_decoys)."""
-    everywhere = running_sums(psms, score, tie, {"n_targets": ~F.col(decoy), "n_decoys": F.col(decoy)})
-    return running_sums(everywhere, score, tie, {"g_targets": ~F.col(decoy), "g_decoys": F.col(decoy)}, keys=[group])
+    return _counts(_counts(windows.falling(psms, score, tie), score, tie, decoy), score, tie, decoy, group).drop("_run")
 
 
 def accept(rated: DataFrame, limit: float, score: str = "score", decoy: str = "decoy", keys: list[str] | None = None) -> DataFrame:
     """threshold: the lowest score whose own ratio is within the limit; accepted: targets at or above it; final_fdr: the least ratio at it, else 1."""
     keys = keys or []
-    low = rated.where(F.col("ratio") <= limit).groupBy(*keys).agg(F.min(score).alias("threshold"))
-    marked = rated.join(low, keys, "left") if keys else rated.crossJoin(F.broadcast(low))  # one row
-    at = marked.where(F.col(score) == F.col("threshold")).groupBy(*keys).agg(F.min("ratio").alias("final_fdr"))
-    marked = marked.join(at, keys, "left") if keys else marked.crossJoin(F.broadcast(at))
-    return marked.withColumn("accepted", F.coalesce(~F.col(decoy) & (F.col(score) >= F.col("threshold")), F.lit(False))).withColumn("final_fdr", F.coalesce("final_fdr", F.lit(1.0)))
+    # of the rows at the lowest score the least ratio is within the limit, so one aggregate has both
+    low = rated.where(F.col("ratio") <= limit).where(F.col(score).isNotNull()).groupBy(*keys).agg(F.min(F.struct(F.col(score).alias("s"), F.col("ratio").alias("r"))).alias("_low"))
+    low = low.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_low")
+    marked = rated.join(low, [F.col(k) == F.col(f"_key_{k}") for k in keys], "left") if keys else rated.crossJoin(F.broadcast(low))  # one row
+    accepted = F.coalesce(~F.col(decoy) & (F.col(score) >= F.col("_low.s")), F.lit(False))
+    return marked.select(*rated.columns, F.col("_low.s").alias("threshold"), accepted.alias("accepted"), F.coalesce("_low.r", F.lit(1.0)).alias("final_fdr"))
 
 
 def global_fdr(psms: DataFrame, limit: float, score: str = "score", tie: str = "id", decoy: str = "decoy") -> DataFrame:
     """Decoys over targets among all rows."""
-    counts = running_sums(psms, score, tie, {"n_targets": ~F.col(decoy), "n_decoys": F.col(decoy)})
+    counts = _counts(windows.falling(psms, score, tie), score, tie, decoy).drop("_run")
     return accept(counts.withColumn("ratio", F.col("n_decoys") / F.greatest(F.col("n_targets").cast("double"), F.lit(NO_TARGET))), limit, score, decoy)
 
 
 def separate_fdr(psms: DataFrame, limit: float, group: str = "grp", score: str = "score", tie: str = "id", decoy: str = "decoy") -> DataFrame:
-    """Decoys over targets within each group, with monotone q."""
-    counts = running_sums(psms, score, tie, {"g_targets": ~F.col(decoy), "g_decoys": F.col(decoy)}, keys=[group])
+    """Decoys over targets within each group, with monotone q.
+
+    The matches are stored once, in ranges of the score; counts go forwards over
+    the ranges, least ratios backwards.
+    """
+    counts = _counts(windows.falling(psms, score, tie), score, tie, decoy, group)
     rated = counts.withColumn("ratio", F.col("g_decoys") / F.greatest(F.col("g_targets").cast("double"), F.lit(NO_TARGET)))
-    return accept(monotone_q(rated, [group], score, tie, "ratio"), limit, score, decoy, [group])
+    return accept(windows.least_of_runs(rated, [group], score, tie, "ratio").drop("_run"), limit, score, decoy, [group])
 
 
 def robust_line(df: DataFrame, x: str, y: str, passes: int = 10) -> tuple[float, float]:
@@ -75,7 +85,8 @@ def _reweighted(base: DataFrame, n: int, passes: int) -> tuple[float, float]:
 
 def transfer_fdr(psms: DataFrame, limit: float, wanted: str, group: str = "grp", score: str = "score", tie: str = "id", decoy: str = "decoy") -> DataFrame:
     """Rates of one group from all decoys, by the group's share of decoys as a line over the score; monotone q, capped at 1."""
-    counts = target_decoy_counts(psms, score, tie, decoy, group).where(F.col(group) == wanted)
+    counts = _counts(_counts(windows.falling(psms, score, tie), score, tie, decoy), score, tie, decoy, group).where(F.col(group) == wanted)
     slope, intercept = robust_line(counts.where(decoy).withColumn("share", F.col("g_decoys") / F.col("n_decoys")), score, "share")
     ratio = F.greatest(F.lit(0.0), F.col("n_decoys") / F.greatest(F.col("g_targets").cast("double"), F.lit(NO_TARGET)) * (slope * F.col(score) + intercept))
-    return accept(monotone_q(counts.withColumn("ratio", ratio), [group], score, tie, "ratio"), limit, score, decoy, [group])
+    rated = windows.least_of_runs(counts.withColumn("ratio", ratio), [group], score, tie, "ratio").drop("_run")
+    return accept(rated, limit, score, decoy, [group])

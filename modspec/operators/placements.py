@@ -8,7 +8,6 @@ that, and ``Protein `` before it if it must be a protein's end.
 from __future__ import annotations
 
 import re
-import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ from modspec.functions.scalars import max_fragment_charge, render_imp
 from modspec.operators import enumerate as E
 from modspec.operators import filters, joins, solve
 from modspec.operators.compositions import find_compositions
+from modspec.sources.store import stored
 
 Rule = tuple[str, str, float]
 TERMINUS = re.compile(r"^(Protein )?([NC]-term)(.?)$")
@@ -122,21 +122,6 @@ def trypsin_cterm(length: Column, tol: float, limits: list[float], masses: Colum
     return ~F.exists(at, lambda x: (x["m"] >= tol) & ~F.exists(F.array(*[F.lit(float(v)) for v in limits]), lambda v: F.abs(x["m"] - v) < tol))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder: the job's later steps read it more than once.
-
-    The folder is ``spark.checkpoint.dir``; only in local mode a temporary one stands in.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def candidate_forms(spectra: DataFrame, rules: list[Rule], ms1_tol: float, fixed: dict[str, float] | None = None, limits: list[float] | None = None, cap: int = E.MAX_CANDIDATES, fixed_names: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """((spectrum, peptide, imp, slots, placement), (spectrum, status)): forms whose mass is that of the spectrum.
 

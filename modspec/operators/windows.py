@@ -8,27 +8,27 @@ then rows within a run) and never put all rows of a group in one task.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from modspec.sources.store import stored
 
-#: Rows of a run that one task puts in order; there are at least LEAST_RUNS.
+
+#: Rows of a group that one task puts in order without cutting it into runs.
 RUN_ROWS = 100_000
 LEAST_RUNS = 16
 
 
-def _with_runs(df: DataFrame, value: str, runs: int | None = None) -> DataFrame:
-    """``df`` with _run: ranges of ``value`` with about as many rows each, by rising value; their number grows with the table.
+def ranged(df: DataFrame, order: list[Column], runs: int | None = None) -> DataFrame:
+    """``df`` stored with _run, the number of its range in ``order``; ranges have about as many rows each.
 
-    Equal values share a run.  Null is before all runs.
+    Ranges are of the whole order, so rows with one value of its first
+    expression are spread over as many as they fill.  By default there are as
+    many as ``spark.sql.shuffle.partitions``, and LEAST_RUNS at least; a task
+    sorts one, and spills where it is larger than memory.
     """
-    runs = runs or max(LEAST_RUNS, df.count() // RUN_ROWS)
-    cuts = sorted(set(df.approxQuantile(value, [i / runs for i in range(1, runs)], 0.25 / runs)))
-    if not cuts:
-        return df.withColumn("_run", F.lit(0))
-    placed = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_ranged", outputCol="_run", handleInvalid="keep").transform(df.withColumn("_ranged", F.col(value).cast("double")))
-    return placed.drop("_ranged").withColumn("_run", F.coalesce(F.col("_run").cast("int"), F.lit(-1)))
+    runs = runs or max(LEAST_RUNS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return stored(df.repartitionByRange(runs, *order).withColumn("_run", F.spark_partition_id()))
 
 
 def is_hot(df: DataFrame, keys: list[str], rows: int) -> bool:
@@ -36,20 +36,22 @@ def is_hot(df: DataFrame, keys: list[str], rows: int) -> bool:
     return (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > rows
 
 
-def carried(df: DataFrame, keys: list[str], value: str, order: list[str], fills: dict[str, Column], back: bool = False, strict: bool = False, rows: int = RUN_ROWS, hot: bool | None = None) -> DataFrame:
-    """For each name, the last non-null value of its expression at or before the row in ``order``, which begins with ``value``.
+def _joined(rows: DataFrame, of_runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what ``of_runs`` (_key_ columns, _of) says of their group and run."""
+    same = F.col("_run") == F.col("_of")
+    for k in keys:
+        # plain equality keeps the partitioning of the rows
+        same = same & (F.col(k).eqNullSafe(F.col(f"_key_{k}")) if rows.schema[k].nullable else F.col(k) == F.col(f"_key_{k}"))
+    return rows.join(of_runs, same)
 
-    ``back``: the first one at or after it; ``strict``: not the row's own.  Where
-    a group has more than ``rows`` rows (or ``hot`` says so), it is cut into runs
-    of the value: each run is filled on its own, and what its rows lack comes
-    over the run's edge, from a row for each run.  ``df`` is read twice then.
+
+def over_runs(placed: DataFrame, keys: list[str], order: list[str], fills: dict[str, Column], back: bool = False, strict: bool = False) -> DataFrame:
+    """As ``carried``, for rows that say which run of their group they are in (_run, any type whose order is that of the runs).
+
+    Each run is filled on its own; what its rows lack comes over the run's edge, from a row for each run.
     """
     frame = (Window.unboundedPreceding, -1 if strict else 0) if not back else (1 if strict else 0, Window.unboundedFollowing)
     pick = F.first if back else F.last
-    if not (is_hot(df, keys, rows) if hot is None else hot):
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)
-        return df.select("*", *[pick(e, ignorenulls=True).over(w).alias(n) for n, e in fills.items()])
-    placed = _with_runs(df, value, max(LEAST_RUNS, df.count() // rows))
     inside = Window.partitionBy(*keys, "_run").orderBy(*order).rowsBetween(*frame)
     local = placed.select("*", *[pick(e, ignorenulls=True).over(inside).alias(n) for n, e in fills.items()])
     at = F.struct(*order)
@@ -57,43 +59,57 @@ def carried(df: DataFrame, keys: list[str], value: str, order: list[str], fills:
     ends = placed.groupBy(*keys, "_run").agg(*edge)
     over = Window.partitionBy(*keys).orderBy("_run").rowsBetween(*((1, Window.unboundedFollowing) if back else (Window.unboundedPreceding, -1)))
     ends = ends.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_run").alias("_of"), *[pick(n, ignorenulls=True).over(over).alias(f"_edge_{n}") for n in fills])
-    same = F.col("_run") == F.col("_of")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    return local.join(ends, same).select(*df.columns, *[F.coalesce(n, f"_edge_{n}").alias(n) for n in fills])
+    return _joined(local, ends, keys).select(*placed.columns, *[F.coalesce(n, f"_edge_{n}").alias(n) for n in fills])
 
 
-def running_sums(df: DataFrame, score: str, tie: str, flags: dict[str, Column], runs: int | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Running sums of ``flags`` by falling score, then tie, over the whole table or within the groups of ``keys``.
+def carried(df: DataFrame, keys: list[str], value: str, order: list[str], fills: dict[str, Column], back: bool = False, strict: bool = False, rows: int = RUN_ROWS, hot: bool | None = None) -> DataFrame:
+    """For each name, the last non-null value of its expression at or before the row in ``order``, which begins with ``value``.
 
-    Sums within a run of the score and totals of the runs before it add up, so
-    a group of any size is spread over its runs.
+    ``back``: the first one at or after it; ``strict``: not the row's own.  Where
+    a group has more than ``rows`` rows (or ``hot`` says so), the table is stored
+    in ranges of the order, which cut groups into runs (``over_runs``).
     """
+    if is_hot(df, keys, rows) if hot is None else hot:
+        return over_runs(ranged(df, [F.col(c) for c in order]), keys, order, fills, back, strict).drop("_run")
+    frame = (Window.unboundedPreceding, -1 if strict else 0) if not back else (1 if strict else 0, Window.unboundedFollowing)
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)
+    return df.select("*", *[(F.first if back else F.last)(e, ignorenulls=True).over(w).alias(n) for n, e in fills.items()])
+
+
+def falling(df: DataFrame, score: str, tie: str, runs: int | None = None) -> DataFrame:
+    """``df`` stored in ranges of falling score, then tie: what ``sums_of_runs`` and ``least_of_runs`` take."""
+    return ranged(df, [F.desc(score), F.asc(tie)], runs)
+
+
+def sums_of_runs(placed: DataFrame, score: str, tie: str, flags: dict[str, Column], keys: list[str] | None = None) -> DataFrame:
+    """``placed`` with running sums of ``flags``: those within a run and the totals of the runs before it."""
     keys = keys or []
-    placed = _with_runs(df, score, runs)
-    before = Window.partitionBy(*keys).orderBy(F.desc("_run")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(*keys, "_run").agg(*[F.sum(f.cast("long")).alias(f"_{n}") for n, f in flags.items()])
     offsets = totals.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_run").alias("_of"), *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in flags])
     inside = Window.partitionBy(*keys, "_run").orderBy(F.col(score).desc(), tie).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.select("*", *[F.sum(f.cast("long")).over(inside).alias(n) for n, f in flags.items()])
-    same = F.col("_run") == F.col("_of")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    return local.join(offsets, same).select(*df.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in flags])
+    return _joined(local, offsets, keys).select(*placed.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in flags])
 
 
-def monotone_q(df: DataFrame, keys: list[str], score: str, tie: str, ratio: str, cap: float | None = 1.0) -> DataFrame:
-    """q: the smallest ratio at this or any lower score, capped; minima of runs of the score and of the rows within a run."""
-    placed = _with_runs(df, score)
+def least_of_runs(placed: DataFrame, keys: list[str], score: str, tie: str, ratio: str, cap: float | None = 1.0) -> DataFrame:
+    """``placed`` with q: the least ratio of the row, those after it in its run and the runs after it, capped."""
     lows = placed.groupBy(*keys, "_run").agg(F.min(ratio).alias("_low"))
-    after = Window.partitionBy(*keys).orderBy(F.desc("_run")).rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy("_run").rowsBetween(1, Window.unboundedFollowing)
     lows = lows.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_run").alias("_of"), F.min("_low").over(after).alias("_low"))
     inside = Window.partitionBy(*keys, "_run").orderBy(F.col(score).desc(), tie).rowsBetween(0, Window.unboundedFollowing)
-    same = F.col("_run") == F.col("_of")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
     q = F.least(F.col("_q"), F.col("_low")) if cap is None else F.least(F.col("_q"), F.col("_low"), F.lit(cap))
-    return placed.withColumn("_q", F.min(ratio).over(inside)).join(lows, same).withColumn("q", q).select(*df.columns, "q")
+    return _joined(placed.withColumn("_q", F.min(ratio).over(inside)), lows, keys).withColumn("q", q).select(*placed.columns, "q")
+
+
+def running_sums(df: DataFrame, score: str, tie: str, flags: dict[str, Column], runs: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Running sums of ``flags`` by falling score, then tie, over the whole table or within the groups of ``keys``; any group is spread over runs."""
+    return sums_of_runs(falling(df, score, tie, runs), score, tie, flags, keys).drop("_run")
+
+
+def monotone_q(df: DataFrame, keys: list[str], score: str, tie: str, ratio: str, cap: float | None = 1.0) -> DataFrame:
+    """q: the smallest ratio at this or any later row by falling score, then tie, capped."""
+    return least_of_runs(falling(df, score, tie), keys, score, tie, ratio, cap).drop("_run")
 
 
 def gap_clusters(df: DataFrame, keys: list[str], value: str, tie: str, tol: Column) -> DataFrame:
@@ -103,20 +119,17 @@ def gap_clusters(df: DataFrame, keys: list[str], value: str, tie: str, tol: Colu
     before standing in front of a run's first row; counts of cuts add up over
     the runs.
     """
-    placed = _with_runs(df, value)
+    placed = ranged(df, [F.asc(value), F.asc(tie)])
     order = Window.partitionBy(*keys).orderBy("_run")
     tops = placed.groupBy(*keys, "_run").agg(F.max(value).alias("_top")).select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_run").alias("_of"), "_top")
     tops = tops.withColumn("_edge", F.lag("_top").over(Window.partitionBy(*[f"_key_{k}" for k in keys]).orderBy("_of"))).drop("_top")
-    same = F.col("_run") == F.col("_of")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
     w = Window.partitionBy(*keys, "_run").orderBy(value, tie)
-    stepped = placed.join(tops, same).withColumn("_prev", F.coalesce(F.lag(value).over(w), F.col("_edge")))
+    stepped = _joined(placed, tops, keys).withColumn("_prev", F.coalesce(F.lag(value).over(w), F.col("_edge")))
     stepped = stepped.withColumn("_cut", F.coalesce((F.col(value) - F.col("_prev") > tol).cast("long"), F.lit(1))).drop("_of", "_edge", *[f"_key_{k}" for k in keys])
     cuts = stepped.groupBy(*keys, "_run").agg(F.sum("_cut").alias("_cuts"))
     cuts = cuts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_run").alias("_of"), F.coalesce(F.sum("_cuts").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     local = stepped.withColumn("_in", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return local.join(cuts, same).withColumn("cluster", F.col("_in") + F.col("_before")).select(*df.columns, "cluster")
+    return _joined(local, cuts, keys).withColumn("cluster", F.col("_in") + F.col("_before")).select(*df.columns, "cluster")
 
 
 def forward_fill(df: DataFrame, keys: list[str], order: list[str], fills: dict[str, Column]) -> DataFrame:

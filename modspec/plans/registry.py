@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-from modspec.plans import q_chrom, q_jobs, q_joins, q_sequences, q_sites, q_spectra, q_windows  # noqa: E402, F401
+from modspec.plans import q_chrom, q_jobs, q_joins, q_reports, q_sequences, q_sites, q_spectra, q_windows  # noqa: E402, F401

@@ -1,8 +1,9 @@
 """Readers of the text formats: each gives a table; files of a folder are read together.
 
 Self-contained blocks (spectra, scans, sequences) are cut by Spark's own line
-separator, so large files split.  Sectioned reports, where a line inherits
-from lines above, are small and read whole, one file in a row.
+separator, so large files split.  So do sectioned reports, where a line
+inherits from lines above: each split is filled on its own, and the last
+headings of the splits before it come over its edge.
 """
 
 from __future__ import annotations
@@ -116,8 +117,19 @@ def read_fasta(spark: SparkSession, path: str, name_regex: str | None = None) ->
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    """(file, _run, n, line): the lines of files; _run is the byte where a line's split begins, n rises within a split."""
+    text = spark.read.option("lineSep", "\n").text(path)
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_run"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", r"\r$", "").alias("line"))
+
+
+def _sections(lines: DataFrame, fills: dict[str, Column]) -> DataFrame:
+    """Lines with the last non-null value of each expression at or before them in their file.
+
+    No task has more than one split of a file; a compressed file is one split.
+    """
+    from modspec.operators.windows import over_runs
+
+    return over_runs(lines, ["file"], ["n"], fills)
 
 
 def read_pep_spec(spark: SparkSession, path: str) -> DataFrame:
@@ -125,29 +137,23 @@ def read_pep_spec(spark: SparkSession, path: str) -> DataFrame:
 
     Tokens of a line with tabs are parted by tabs, so that titles may hold blanks.
     """
-    from modspec.operators.windows import forward_fill
-
     rows = _lines(spark, path).where(F.trim("line") != "").withColumn("t", F.when(F.contains("line", F.lit("\t")), F.split(F.trim("line"), r"\t+")).otherwise(F.split(F.trim("line"), r"\s+")))
-    filled = forward_fill(rows, ["file"], ["line_no"], {"peptide": F.when(F.size("t") == 1, F.col("t")[0])})
+    filled = _sections(rows, {"peptide": F.when(F.size("t") == 1, F.col("t")[0])})
     return filled.where("size(t) = 2").select("peptide", F.col("t")[0].alias("dataset"), F.col("t")[1].alias("title"))
 
 
 def read_msms_report(spark: SparkSession, path: str) -> DataFrame:
     """peptide, dataset, title, imp, abundance; peptides and spectra without forms vanish."""
-    from modspec.operators.windows import forward_fill
-
     rows = _lines(spark, path).where(F.trim("line") != "").withColumn("t", F.split("line", "\t"))
     kind = F.col("t")[0]
-    filled = forward_fill(rows, ["file"], ["line_no"], {"peptide": F.when(kind == "P", F.get("t", F.lit(1))), "spec": F.when(kind == "S", F.struct(F.get("t", F.lit(1)).alias("d"), F.get("t", F.lit(2)).alias("n")))})
+    filled = _sections(rows, {"peptide": F.when(kind == "P", F.get("t", F.lit(1))), "spec": F.when(kind == "S", F.struct(F.get("t", F.lit(1)).alias("d"), F.get("t", F.lit(2)).alias("n")))})
     return filled.where(~kind.isin("P", "S")).select("peptide", F.col("spec.d").alias("dataset"), F.col("spec.n").alias("title"), kind.alias("imp"), F.get("t", F.lit(1)).cast("double").alias("abundance"))
 
 
 def read_site_report(spark: SparkSession, path: str) -> DataFrame:
     """site, imp, charge, run, area of the ``*`` lines under each site line."""
-    from modspec.operators.windows import forward_fill
-
     rows = _lines(spark, path).where(F.trim("line") != "").withColumn("t", F.split("line", "\t"))
-    filled = forward_fill(rows, ["file"], ["line_no"], {"site": F.when(F.col("t")[0] != "*", F.col("t")[0])})
+    filled = _sections(rows, {"site": F.when(F.col("t")[0] != "*", F.col("t")[0])})
     return filled.where(F.col("t")[0] == "*").select("site", F.col("t")[1].alias("imp"), F.col("t")[2].alias("charge"), F.col("t")[3].alias("run"), F.element_at("t", -1).cast("double").alias("area"))
 
 
@@ -209,14 +215,12 @@ def read_peptide_report(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     stands, and one without ``@`` rows drops out.  Title lines are told by what
     they say, so a report may come in one file or in many.
     """
-    from modspec.operators.windows import forward_fill
-
     titles = F.rlike("line", F.lit(r"^(Protein_name,Peptide_start_position_on_protein|\*\tIMP\t|@\tRT_start\t)"))
     rows = _lines(spark, path).where(~titles & (F.trim("line") != "")).withColumn("t", F.split("line", "\t"))
     kind = F.col("t")[0]
-    star = F.when(kind == "*", F.struct("line_no", "t"))
-    filled = forward_fill(rows, ["file"], ["line_no"], {"protein_line": F.when(~kind.isin("*", "@"), F.col("line")), "star": star})
-    named = filled.where(kind.isin("*", "@") & F.col("star").isNotNull()).withColumn("s", F.col("star.t")).select("file", "line_no", "protein_line", kind.alias("kind"), "t", F.col("star.line_no").alias("at"), F.col("s")[1].alias("imp"), F.col("s")[2].alias("charge"), F.col("s")[3].alias("run"), "s")
+    star = F.when(kind == "*", F.struct(F.struct("_run", "n").alias("at"), "t"))
+    filled = _sections(rows, {"protein_line": F.when(~kind.isin("*", "@"), F.col("line")), "star": star})
+    named = filled.where(kind.isin("*", "@") & F.col("star").isNotNull()).withColumn("s", F.col("star.t")).select("file", "protein_line", kind.alias("kind"), "t", F.col("star.at").alias("at"), F.col("s")[1].alias("imp"), F.col("s")[2].alias("charge"), F.col("s")[3].alias("run"), "s")
     key = ["imp", "charge", "run"]
     last = named.where("kind = '@'").groupBy(*key).agg(F.max(F.struct("file", "at")).alias("last"))
     kept = named.join(last, key).where("file = last.file and at = last.at")
@@ -228,10 +232,9 @@ def read_peptide_report(spark: SparkSession, path: str) -> tuple[DataFrame, Data
 
 def read_pair_report(spark: SparkSession, path: str) -> DataFrame:
     """pair, site, imp, charge, q_left, q_right; the site stands on the first row of its block only, the file's name is the pair."""
-    from modspec.operators.windows import forward_fill
-
-    rows = _lines(spark, path).where("line_no > 0").where(F.trim("line") != "").withColumn("t", F.split("line", "\t"))
-    filled = forward_fill(rows, ["file"], ["line_no"], {"site": F.nullif(F.col("t")[0], F.lit(""))})
+    nth = F.row_number().over(Window.partitionBy("file", "_run").orderBy("n"))
+    rows = _lines(spark, path).withColumn("_nth", nth).where("not (_run = 0 and _nth = 1)").where(F.trim("line") != "").withColumn("t", F.split("line", "\t"))
+    filled = _sections(rows, {"site": F.nullif(F.col("t")[0], F.lit(""))})
     return filled.select(F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("pair"), "site", F.col("t")[1].alias("imp"), F.col("t")[2].alias("charge"), F.col("t")[3].cast("double").alias("q_left"), F.col("t")[4].cast("double").alias("q_right"))
 
 
@@ -250,12 +253,11 @@ def search_dat_rows(lines: DataFrame) -> DataFrame:
     any both columns are ``-``.  A match whose query has no section drops out.
 
     Match rows need no context.  Only headings, titles and charges, three short
-    lines a spectrum, are put in order, file by file.
+    lines a spectrum, are put in order, file by file, or split by split where
+    the lines say their split (_run).
     """
     from modspec.functions.scalars import decode_title, scan_of_title
-    from modspec.operators.windows import forward_fill
-
-    lines = lines.select("file", "ord", F.regexp_replace("line", r"\r$", "").alias("line"))
+    lines = lines.select("file", F.col("_run") if "_run" in lines.columns else F.lit(0).alias("_run"), "ord", F.regexp_replace("line", r"\r$", "").alias("line"))
     named = lambda name: F.min_by(F.substr("line", F.lit(len(name) + 2)), F.when(F.startswith("line", F.lit(f"{name}=")), F.col("ord")))
     heads = lines.where(F.rlike("line", F.lit("^(MODS|FILE|IT_MODS)="))).groupBy("file").agg(named("MODS").alias("_fixed"), named("FILE").alias("_source"), named("IT_MODS").alias("_variable"))
     heads = heads.select("file", F.split(F.coalesce("_fixed", F.lit("")), ",").alias("_fixed"), F.substring_index(F.substring_index("_source", "=", -1), "\\", -1).alias("dataset"), F.split(F.coalesce("_variable", F.lit("")), ",").alias("_variable"))
@@ -268,8 +270,8 @@ def search_dat_rows(lines: DataFrame) -> DataFrame:
 
     marked = lines.where(F.rlike("line", F.lit('^(Content-Type:.*name="|title=|charge=)')))
     # any heading ends the section of a query
-    filled = forward_fill(marked, ["file"], ["ord"], {"_query": F.when(F.startswith("line", F.lit("Content-Type:")), F.coalesce(query('name="query([0-9]+)"'), F.lit(-1)))})
-    spectra = filled.where("_query >= 0").groupBy("file", "_query").agg(decode_title(named("title")).alias("spectrum"), query_charge(named("charge")).alias("charge"))
+    filled = _sections(marked.withColumnRenamed("ord", "n"), {"_query": F.when(F.startswith("line", F.lit("Content-Type:")), F.coalesce(query('name="query([0-9]+)"'), F.lit(-1)))})
+    spectra = filled.withColumnRenamed("n", "ord").where("_query >= 0").groupBy("file", "_query").agg(decode_title(named("title")).alias("spectrum"), query_charge(named("charge")).alias("charge"))
 
     m = match.join(heads, "file", "left").join(spectra, ["file", "_query"])
     each = lambda text: F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: i <= F.length(text))
@@ -292,4 +294,4 @@ def query_charge(text: Column) -> Column:
 
 def read_search_dat(spark: SparkSession, path: str) -> DataFrame:
     """Matches of a folder of search-engine result files; see ``search_dat_rows``."""
-    return search_dat_rows(blocks(spark, path, "\n").withColumnRenamed("block", "line"))
+    return search_dat_rows(_lines(spark, path).withColumn("ord", F.struct("_run", "n")))
