@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modspec.operators import windows
+from modspec.operators.selection import ranked_values
 
 #: Stands for no target yet in a ratio's denominator.
 NO_TARGET = 1e-6
@@ -50,12 +51,23 @@ def separate_fdr(psms: DataFrame, limit: float, group: str = "grp", score: str =
     return accept(windows.least_of_runs(rated, [group], score, tie, "ratio").drop("_run"), limit, score, decoy, [group])
 
 
-def robust_line(df: DataFrame, x: str, y: str, passes: int = 10) -> tuple[float, float]:
-    """(slope, intercept) by bisquare reweighting; each pass sends six sums and one median to the driver.
+#: Fixed values of the bisquare fit: tuning constant, normal consistency of the median, largest leverage, least scale over the spread of y.
+TUNE, CONSISTENT, MOST_LEVERAGE, LEAST_SCALE = 4.685, 0.6745, 0.9999, 1e-6
+#: A change of both coefficients below this share ends the passes.
+STEADY = 2.0**-26
 
-    Two rows or fewer give (0, 0).  Leverages adjust the residuals' scale.
+
+def robust_line(df: DataFrame, x: str, y: str, passes: int = 50) -> tuple[float, float]:
+    """(slope, intercept) by bisquare reweighting until neither changes, in at most ``passes`` passes.
+
+    Residuals are adjusted by leverage; their scale is the exact median of their
+    absolute values but the least one (``selection.ranked_values``).  A pass
+    sends five sums and the values of one narrow range to the driver.  Rows
+    with a null or NaN don't count; two rows or fewer give (0, 0), and rows of
+    one x a slope of 0.
     """
-    base = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).persist()
+    base = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    base = base.where("x is not null and y is not null and not isnan(x) and not isnan(y)").persist()
     try:
         return _reweighted(base, base.count(), passes)
     finally:
@@ -65,22 +77,27 @@ def robust_line(df: DataFrame, x: str, y: str, passes: int = 10) -> tuple[float,
 def _reweighted(base: DataFrame, n: int, passes: int) -> tuple[float, float]:
     if n <= 2:
         return 0.0, 0.0
-    mean, var = base.agg(F.avg("x"), F.var_pop("x")).first()
-    lever = F.least(F.lit(0.9999), F.lit(1.0 / n) + (F.col("x") - mean) ** 2 / (n * max(var, 1e-300)))
-    weight, slope, intercept = F.lit(1.0), 0.0, 0.0
+    mean, level, var, spread = base.agg(F.avg("x"), F.avg("y"), F.var_pop("x"), F.stddev_samp("y")).first()
+    dx, dy = F.col("x") - mean, F.col("y") - level
+    lever = F.least(F.lit(MOST_LEVERAGE), F.lit(1.0 / n) + (dx * dx / (n * var) if var else F.lit(0.0)))
+    least = LEAST_SCALE * spread or 1.0
+    weight, slope, offset = F.lit(1.0), 0.0, 0.0
     for i in range(passes + 1):
-        w = weight
-        s = base.agg(F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("y")), F.sum(w * F.col("x") ** 2), F.sum(w * F.col("x") * F.col("y"))).first()
-        det = s[0] * s[3] - s[1] * s[1]
-        if not s[0] or abs(det) < 1e-300:
+        w, wx, wy, wxx, wxy = base.agg(*[F.sum(weight * c) for c in (F.lit(1.0), dx, dy, dx * dx, dx * dy)]).first()
+        det = w * wxx - wx * wx
+        before = slope, offset
+        slope = (w * wxy - wx * wy) / det if var and det > 0 else 0.0
+        offset = (wy - slope * wx) / w  # at the means
+        now, then = (slope, offset + level - slope * mean), (before[0], before[1] + level - before[0] * mean)
+        if i and all(abs(a - b) <= STEADY * max(abs(a), abs(b)) for a, b in zip(now, then)):
             break
-        slope, intercept = (s[0] * s[4] - s[1] * s[2]) / det, (s[3] * s[2] - s[1] * s[4]) / det
-        residual = (F.col("y") - slope * F.col("x") - intercept) / F.sqrt(1 - lever)
-        mad = base.agg(F.percentile_approx(F.abs(residual), 0.5, 100_000)).first()[0]
-        scale = max(mad / 0.6745, 1e-12) * 4.685
-        u = residual / scale
-        weight = F.when(F.abs(u) < 1, (1 - u * u) ** 2).otherwise(0.0)
-    return slope, intercept
+        residual = (dy - slope * dx - offset) / F.sqrt(1 - lever)
+        # the median of all but the least
+        ranks = sorted({1 + (n - 2) // 2, 1 + (n - 1) // 2})
+        median = sum(ranked_values(base, F.abs(residual), ranks)) / len(ranks)
+        u = residual / (max(median / CONSISTENT, least) * TUNE)
+        weight = F.when(F.abs(u) < 1, (1 - u * u) * (1 - u * u)).otherwise(0.0)
+    return slope, offset + level - slope * mean
 
 
 def transfer_fdr(psms: DataFrame, limit: float, wanted: str, group: str = "grp", score: str = "score", tie: str = "id", decoy: str = "decoy") -> DataFrame:

@@ -7,8 +7,12 @@ buckets is the smaller one) and the exact predicate filters what meets.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 
 def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, tol: float, keys: tuple[str, ...] = (), inclusive: bool = True) -> DataFrame:
@@ -88,14 +92,96 @@ def _grams(text: str, k: int) -> Column:
     return F.when(F.rlike(F.col(text), F.lit(r"[\x{10000}-\x{10FFFF}]")), cut).otherwise(at_once)
 
 
-def locate_substrings(needles: DataFrame, texts: DataFrame, needle_key: str, needle: str, text_key: str, text: str, seeds: tuple[int, ...] = (1, 2, 3, 4, 6, 8, 12)) -> DataFrame:
-    """(needle_key, text_key, pos): all occurrences, overlapping ones too, 1-based.
+#: Characters of needles, and needles, up to which they are sent to every task; an automaton takes some 100 bytes a character.
+BROADCAST_CHARACTERS = 1_000_000
+
+
+def locate_substrings(needles: DataFrame, texts: DataFrame, needle_key: str, needle: str, text_key: str, text: str, seeds: tuple[int, ...] = (1, 2, 3, 4, 6, 8, 12), small: int = BROADCAST_CHARACTERS) -> DataFrame:
+    """(needle_key, text_key, pos): all occurrences, overlapping ones too, 1-based in characters.
+
+    Needles of up to ``small`` characters together, counted first, are an
+    automaton that reads each text once where it lies; of more, seeds meet in an
+    equi-join (``seeded_substrings``).  Null and empty needles are found nowhere.
+    """
+    some = needles.where(F.length(needle) > 0)
+    n, characters = some.agg(F.count("*"), F.sum(F.length(needle))).first()
+    if n and max(n, characters) <= small:
+        return _by_automaton(some, texts, needle_key, needle, text_key, text)
+    return seeded_substrings(some, texts, needle_key, needle, text_key, text, seeds)
+
+
+def occurrences(words: list[str]):
+    """A column function of a text: array of (number of the word) * 2^32 + its place from 1, for all occurrences."""
+
+    @F.pandas_udf("array<long>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for k, word in enumerate(words):
+            automaton.add_word(word, (k, len(word)))
+        automaton.make_automaton()
+        for batch in batches:
+            yield pd.Series([[(k << 32) + end - size + 2 for end, (k, size) in automaton.iter(text)] if text else [] for text in batch])
+
+    return find
+
+
+def _by_automaton(needles: DataFrame, texts: DataFrame, needle_key: str, needle: str, text_key: str, text: str) -> DataFrame:
+    """``locate_substrings`` for needles that fit the driver and every task."""
+    listed = needles.select(F.col(needle_key).alias("key"), F.col(needle).alias("word")).collect()
+    number = {w: k for k, w in enumerate(sorted({r["word"] for r in listed}))}
+    kind = needles.schema[needle_key].dataType
+    keys = needles.sparkSession.createDataFrame([(number[r["word"]], r["key"]) for r in listed], StructType([StructField("_number", LongType()), StructField(needle_key, kind)]))
+    found = texts.select(text_key, F.explode(occurrences(list(number))(F.col(text))).alias("_hit"))
+    placed = found.select(text_key, F.shiftright("_hit", 32).alias("_number"), F.col("_hit").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
+    return placed.join(F.broadcast(keys), "_number").select(needle_key, text_key, "pos")  # at most BROADCAST_CHARACTERS keys
+
+
+def locate_peptides(peptides: DataFrame, proteins: DataFrame, peptide: str = "peptide", names: str = "proteins", protein: str = "protein", sequence: str = "sequence") -> tuple[DataFrame, DataFrame]:
+    """((peptide, protein, pos), (protein)): places of peptides in the proteins that they are listed with, and listed names without a sequence.
+
+    ``peptides`` has an array of names a row; names meet sequences in an
+    equi-join, and only such pairs are searched.  All occurrences count,
+    overlapping ones too, 1-based.
+    """
+    listed = peptides.where(F.length(peptide) > 0).select(peptide, F.explode(names).alias(protein)).distinct()
+    unknown = listed.select(protein).distinct().join(proteins.select(protein), protein, "left_anti")
+    pairs = listed.join(proteins.select(protein, sequence), protein)
+    return pairs.select(peptide, protein, F.explode(_places(F.col(sequence), F.col(peptide))).alias("pos")), unknown
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _places(texts: pd.Series, words: pd.Series) -> pd.Series:
+    def of(text: str | None, word: str) -> list[int]:
+        found, at = [], (text or "").find(word)
+        while at >= 0:
+            found.append(at + 1)
+            at = text.find(word, at + 1)
+        return found
+
+    return pd.Series([of(t, w) for t, w in zip(texts, words)])
+
+
+def terminus_flags(found: DataFrame, texts: DataFrame, needle_key: str, size: str, text_key: str, text: str) -> DataFrame:
+    """needle_key, text_key, is_n, is_c of each needle's first place (least text key, then place): whether it begins or ends the text.
+
+    ``found`` has the place as pos and the needle's length as ``size``.  A
+    needle at the second character is at the beginning where the first is the
+    initiator M.
+    """
+    ends = texts.select(text_key, F.length(text).alias("_len"), F.coalesce(F.startswith(text, F.lit("M")), F.lit(False)).alias("_m"))
+    first = found.groupBy(needle_key).agg(F.min(F.struct(text_key, "pos", size)).alias("f")).select(needle_key, "f.*").join(ends, text_key)
+    return first.select(needle_key, text_key, ((F.col("pos") == 1) | ((F.col("pos") == 2) & F.col("_m"))).alias("is_n"), (F.col("pos") + F.col(size) - 1 == F.col("_len")).alias("is_c"))
+
+
+def seeded_substrings(needles: DataFrame, texts: DataFrame, needle_key: str, needle: str, text_key: str, text: str, seeds: tuple[int, ...] = (1, 2, 3, 4, 6, 8, 12)) -> DataFrame:
+    """``locate_substrings`` for any number of needles.
 
     Needles are classed by the longest seed that they can have; for each class
     that occurs, every place of a text meets the beginnings of the class's
     needles in an equi-join, so a short needle doesn't loosen the others'
-    seeds.  Candidates longer than their seed are compared in full.  Empty
-    needles are found nowhere.
+    seeds.  Candidates longer than their seed are compared in full.
     """
     size = F.length(needle)
     seed = F.greatest(*[F.when(size >= k, k).otherwise(0) for k in seeds]) if len(seeds) > 1 else F.when(size >= seeds[0], seeds[0]).otherwise(0)

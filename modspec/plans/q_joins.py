@@ -65,9 +65,24 @@ SELECT item_id, doc_id, pos = 1 OR (pos = 2 AND m) AS is_n, pos + n - 1 = len AS
 def terminus_flags(spark, folder):
     items = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("needle")).where("length(needle) > 0")
     docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("hay"))
-    found = joins.locate_substrings(items, docs, "item_id", "needle", "doc_id", "hay").join(items, "item_id").join(docs, "doc_id")
-    first = found.groupBy("item_id").agg(F.min(F.struct("doc_id", "pos", F.length("needle").alias("n"), F.length("hay").alias("len"), F.col("hay").startswith("M").alias("m"))).alias("f"))
-    return first.select("item_id", "f.doc_id", ((F.col("f.pos") == 1) | ((F.col("f.pos") == 2) & F.col("f.m"))).alias("is_n"), (F.col("f.pos") + F.col("f.n") - 1 == F.col("f.len")).alias("is_c"))
+    found = joins.locate_substrings(items, docs, "item_id", "needle", "doc_id", "hay").join(items.select("item_id", F.length("needle").alias("n")), "item_id")
+    return joins.terminus_flags(found, docs, "item_id", "n", "doc_id", "hay")
+
+
+@query("locate_peptides", """WITH pep AS (SELECT DISTINCT split_part(p_name, ' ', 1)[1:2] AS peptide, p_brand AS protein FROM part UNION SELECT DISTINCT 'a', 'Brand#' || p_size FROM part),
+prot AS (SELECT p_brand AS protein, string_agg(p_name, '' ORDER BY p_partkey) AS sequence FROM part GROUP BY 1),
+j AS (SELECT pep.protein, peptide, sequence FROM pep LEFT JOIN prot USING (protein) WHERE length(peptide) > 0)
+SELECT protein, peptide, unnest(list_filter(range(1, length(sequence) - length(peptide) + 2), lambda p: substr(sequence, p, length(peptide)) = peptide)) AS pos FROM j WHERE sequence IS NOT NULL
+UNION ALL SELECT DISTINCT protein, NULL, NULL FROM j WHERE sequence IS NULL""")
+def locate_peptides(spark, folder):
+    """Beginnings of part names in the joined names of their brand, and listed brands that no part has (peptide and pos null)."""
+    part = table(spark, folder, "part")
+    listed = part.select(F.substring(F.substring_index("p_name", " ", 1), 1, 2).alias("peptide"), F.col("p_brand").alias("protein"))
+    listed = listed.union(part.select(F.lit("a"), F.concat(F.lit("Brand#"), F.col("p_size").cast("string"))))
+    peptides = listed.groupBy("peptide").agg(F.collect_set("protein").alias("proteins"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]), "")
+    found, unknown = joins.locate_peptides(peptides, part.groupBy(F.col("p_brand").alias("protein")).agg(joined.alias("sequence")))
+    return found.select("protein", "peptide", F.col("pos").cast("long").alias("pos")).union(unknown.select("protein", F.lit(None).cast("string"), F.lit(None).cast("long")))
 
 
 @query("target_semi", "SELECT o_orderkey AS id, o_custkey AS scan FROM orders WHERE o_orderstatus = 'F' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
