@@ -297,3 +297,28 @@ def filter_peak_shares(areas: DataFrame, keys: list[str], share: float) -> DataF
     w = Window.partitionBy(*keys, "peak_no")
     kept = areas.withColumn("_a", F.when(F.col("area") >= share * F.max("area").over(w), F.col("area")).otherwise(0.0))
     return kept.withColumn("share", F.coalesce(F.col("_a") / F.nullif(F.sum("_a").over(w), F.lit(0.0)), F.lit(0.0))).drop("_a")
+
+
+def final_areas(features: DataFrame, best: DataFrame, keys: list[str], imp: str = "imp") -> DataFrame:
+    """(keys, imp, area): the area of each form in its selected peak."""
+    at = [*keys, imp, "peak_no"]
+    return features.select(*at, "area").join(best.select(*at), at).select(*keys, imp, "area")
+
+
+def nonzero_forms(features: DataFrame, best: DataFrame, keys: list[str], imp: str = "imp", digits: int = 6) -> DataFrame:
+    """Rows of forms whose area in the selected peak isn't 0 after rounding."""
+    kept = best.where(F.round("area", digits) != 0).select(*keys, imp)
+    return features.join(kept, [*keys, imp], "left_semi")
+
+
+def keep_selected_peak(points: DataFrame, best: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Points within peaks, with ``value`` 0 outside the selected one (``best``: keys, peak_no)."""
+    chosen = best.select(*keys, "peak_no", F.lit(True).alias("_chosen"))
+    return points.join(chosen, [*keys, "peak_no"], "left").withColumn(value, F.when(F.col("_chosen"), F.col(value)).otherwise(0.0)).drop("_chosen")
+
+
+def reconstruct_xic(xic: DataFrame, ranges: DataFrame, best: DataFrame, keys: list[str], ratio: str) -> DataFrame:
+    """xic rows of the selected peak and one at each side with y: trace times ratio within the peak, 0 beside it."""
+    chosen = ranges.join(best.select(*keys, "peak_no"), [*keys, "peak_no"])
+    y = F.when(F.col("i").between(F.col("left_i"), F.col("right_i")), F.col("smooth") * F.col(ratio)).otherwise(0.0)
+    return points_of(xic, chosen, keys, 1).withColumn("y", y)

@@ -94,7 +94,7 @@ def _reweighted(base: DataFrame, n: int, passes: int) -> tuple[float, float]:
         residual = (dy - slope * dx - offset) / F.sqrt(1 - lever)
         # the median of all but the least
         ranks = sorted({1 + (n - 2) // 2, 1 + (n - 1) // 2})
-        median = sum(ranked_values(base, F.abs(residual), ranks)) / len(ranks)
+        median = sum(ranked_values(base, F.abs(residual), ranks, count=n)) / len(ranks)
         u = residual / (max(median / CONSISTENT, least) * TUNE)
         weight = F.when(F.abs(u) < 1, (1 - u * u) * (1 - u * u)).otherwise(0.0)
     return slope, offset + level - slope * mean
@@ -107,3 +107,8 @@ def transfer_fdr(psms: DataFrame, limit: float, wanted: str, group: str = "grp",
     ratio = F.greatest(F.lit(0.0), F.col("n_decoys") / F.greatest(F.col("g_targets").cast("double"), F.lit(NO_TARGET)) * (slope * F.col(score) + intercept))
     rated = windows.least_of_runs(counts.withColumn("ratio", ratio), [group], score, tie, "ratio").drop("_run")
     return accept(rated, limit, score, decoy, [group])
+
+
+def summary(rated: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows and accepted rows of each group."""
+    return rated.groupBy(*keys).agg(F.count("*").alias("n_in_group"), F.count_if("accepted").alias("n_accepted"))

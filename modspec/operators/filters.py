@@ -62,3 +62,14 @@ def select_standard(psms: DataFrame, peptide: tuple[str, str], mass: tuple[str,
     kept = psms.where((F.col(peptide[0]) == peptide[1]) & (F.abs(F.col(mass[0]) - mass[1]) < tol))
     kept = kept.where(F.col(charge[0]) == charge[1]) if charge else kept
     return kept.where(F.col(min_ions[0]) >= min_ions[1]) if min_ions else kept
+
+
+def of_targets(psms: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
+    """Rows whose ``on`` is one of ``wanted``."""
+    return psms.join(wanted.select(on), on, "left_semi")
+
+
+def gather(rows: DataFrame, keys: list[str], value: str, own: Column) -> DataFrame:
+    """Rows of groups in which the values of the rows that are ``own`` sum to more than 0."""
+    total = rows.groupBy(*keys).agg(F.sum(F.when(own, F.col(value)).otherwise(0.0)).alias("_total")).where("_total > 0")
+    return rows.join(total, keys, "left_semi")

@@ -10,16 +10,17 @@ BINS = 4096
 IN_DRIVER = 10_000
 
 
-def ranked_values(df: DataFrame, value: Column, ranks: list[int], bins: int = BINS, in_driver: int = IN_DRIVER) -> list[float]:
+def ranked_values(df: DataFrame, value: Column, ranks: list[int], bins: int = BINS, in_driver: int = IN_DRIVER, count: int | None = None) -> list[float]:
     """The values of the given ranks (from 0, rising order) of a finite double, exactly; ties count as often as they occur.
 
     A histogram of equal bins tells which bin has a rank; the least and largest
     value of that bin are the next histogram's range, until a range has one
     value or at most ``in_driver`` rows, which go to the driver.  A pass sends
-    ``bins`` counts at most.  ``df`` is read once a pass.
+    ``bins`` counts at most.  ``df`` is read once a pass, and once before if
+    ``count``, the number of values that aren't null, isn't given or is large.
     """
     rows = df.select(value.cast("double").alias("v")).where("v is not null")
-    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    n, low, high = (count, None, None) if count is not None and count <= in_driver else rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
     if any(not 0 <= r < n for r in ranks):
         raise ValueError(f"ranks {ranks} of {n} values")
     found: dict[int, float] = {}
@@ -27,12 +28,12 @@ def ranked_values(df: DataFrame, value: Column, ranks: list[int], bins: int = BI
     return [found[r] for r in ranks]
 
 
-def _narrow(rows: DataFrame, ranks: list[int], below: int, n: int, low: float, high: float, bins: int, in_driver: int, found: dict[int, float]) -> None:
+def _narrow(rows: DataFrame, ranks: list[int], below: int, n: int, low: float | None, high: float | None, bins: int, in_driver: int, found: dict[int, float]) -> None:
     """Finds ``ranks`` among the ``n`` values from ``low`` to ``high``, with ``below`` values under them."""
-    if low == high:
+    if low is not None and low == high:
         found.update(dict.fromkeys(ranks, low))
         return
-    inside = rows.where(F.col("v").between(low, high))
+    inside = rows if low is None else rows.where(F.col("v").between(low, high))
     if n <= in_driver:
         values = sorted(r[0] for r in inside.collect())
         found.update({r: values[r - below] for r in ranks})

@@ -23,7 +23,7 @@ def parse_sites(imp_rows: DataFrame, proteins: DataFrame, mods: DataFrame, imp:
     closed = F.transform(groups, lambda m, i: F.rlike(F.array_join(F.slice(pieces, F.lit(1), i + 1), ""), F.lit("[^_]_$")))
     letters = F.regexp_replace(F.regexp_replace(F.col(imp), r"\{[^}]*\}", ""), "_", "")
     walked = imp_rows.withColumn("_letters", letters).withColumn("_at", F.explode(F.arrays_zip(groups.alias("mod"), residues.alias("before"), closed.alias("closed")))).select("*", "_at.mod", "_at.before", F.col("_at.closed").alias("_closed")).drop("_at")
-    known = walked.join(F.broadcast(mods), "mod").join(F.broadcast(proteins), protein)  # names asked for by the user
+    known = walked.join(mods, "mod").join(proteins, protein)  # Spark broadcasts what is small enough
     place = (F.col(start) + F.col("before") - 2).cast("string")
     site = F.when(F.col("_closed"), F.concat("prot_abbr", F.lit("C-term_"), "mod_abbr")).when(F.col("before") == 0, F.concat("prot_abbr", F.lit("N-term_"), "mod_abbr")).otherwise(F.concat("prot_abbr", F.substr("_letters", F.greatest(F.col("before"), F.lit(1)), F.lit(1)), place, "mod_abbr"))
     return known.withColumn("site", site).drop("_letters", "before", "_closed")

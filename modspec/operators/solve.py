@@ -259,3 +259,8 @@ def estimate_abundance(terms: DataFrame, targets: DataFrame, key: str, row: str,
 
     kind = dict(terms.dtypes)
     return h.join(xy, key).mapInPandas(solve, f"{key} {kind[key]}, {col} {kind[col]}, abundance double, xy double, kkt double, rank_deficient boolean, status string")
+
+
+def fragment_matrix(rows: DataFrame, ion: list[str], spectrum: str, spectra: list[str], value: str) -> DataFrame:
+    """Ion by spectrum: a row an ion and a column a spectrum, of intensities or of efficiencies; 0 where nothing was seen."""
+    return rows.groupBy(*ion).pivot(spectrum, spectra).agg(F.sum(value)).fillna(0.0, subset=list(spectra))

@@ -95,15 +95,12 @@ def best_peak(spark, folder):
 
 @query("final_area", f"WITH {BEST_SQL} SELECT grp, imp, round(area, 4) AS area FROM best")
 def final_area(spark, folder):
-    """Areas of the forms in their selected peaks: an equi-join of the cached areas with the choice."""
-    cached = features(spark, folder).select("grp", "imp", "peak_no", "area")
-    return cached.join(best(spark, folder).select("grp", "imp", "peak_no"), ["grp", "imp", "peak_no"]).select("grp", "imp", F.round("area", 4).alias("area"))
+    return chrom.final_areas(features(spark, folder), best(spark, folder), KEYS).select("grp", "imp", F.round("area", 4).alias("area"))
 
 
 @query("nonzero_area", f"WITH {BEST_SQL} SELECT grp, imp, peak_no FROM features WHERE (grp, imp) IN (SELECT (grp, imp) FROM best WHERE round(area, 6) <> 0)")
 def nonzero_area(spark, folder):
-    kept = best(spark, folder).where("round(area, 6) <> 0").select("grp", "imp")
-    return features(spark, folder).join(kept, ["grp", "imp"], "left_semi").select("grp", "imp", "peak_no")
+    return chrom.nonzero_forms(features(spark, folder), best(spark, folder), KEYS).select("grp", "imp", "peak_no")
 
 
 @query("area_share", f"WITH {XIC_SQL}, {areas_sql('smooth * r_A', 'aa')}, {areas_sql('smooth', 't')} SELECT aa.grp, aa.peak_no, round(aa.area, 4) AS area, round(aa.area / nullif(t.area, 0), 6) AS share FROM aa JOIN t USING (grp, peak_no)")
@@ -121,18 +118,15 @@ def peak_filter(spark, folder):
 @query("selected_only", f"WITH {BEST_SQL} SELECT x.grp, x.i, round(CASE WHEN b.peak_no IS NOT NULL THEN r_A ELSE 0 END, 6) AS r_A FROM inside x LEFT JOIN best b ON b.grp = x.grp AND b.imp = 'A' AND b.peak_no = x.peak_no")
 def selected_only(spark, folder):
     x = xic(spark, folder)
-    chosen = best(spark, folder).where("imp = 'A'").select("grp", "peak_no", F.lit(True).alias("chosen"))
-    inside = chrom.points_of(x, ranges(x), KEYS)
-    return inside.join(chosen, ["grp", "peak_no"], "left").select("grp", "i", F.round(F.when(F.col("chosen"), F.col("r_A")).otherwise(0.0), 6).alias("r_A"))
+    kept = chrom.keep_selected_peak(chrom.points_of(x, ranges(x), KEYS), best(spark, folder).where("imp = 'A'"), KEYS, "r_A")
+    return kept.select("grp", "i", F.round("r_A", 6).alias("r_A"))
 
 
 @query("imp_traces", f"WITH {BEST_SQL} SELECT x.grp, x.i, x.rt, round(CASE WHEN x.i BETWEEN r.left_i AND r.right_i THEN smooth * r_A ELSE 0 END, 6) AS y FROM best b JOIN ranges r ON r.grp = b.grp AND r.peak_no = b.peak_no JOIN xic x ON x.grp = b.grp AND x.i BETWEEN left_i - 1 AND right_i + 1 WHERE b.imp = 'A'")
 def imp_traces(spark, folder):
     """The deconvolved trace of form A in its selected peak, closed by zeros."""
     x = xic(spark, folder)
-    chosen = ranges(x).join(best(spark, folder).where("imp = 'A'").select("grp", "peak_no"), ["grp", "peak_no"])
-    y = F.when(F.col("i").between(F.col("left_i"), F.col("right_i")), F.col("smooth") * F.col("r_A")).otherwise(0.0)
-    return chrom.points_of(x, chosen, KEYS, 1).select("grp", "i", "rt", F.round(y, 6).alias("y"))
+    return chrom.reconstruct_xic(x, ranges(x), best(spark, folder).where("imp = 'A'"), KEYS, "r_A").select("grp", "i", "rt", F.round("y", 6).alias("y"))
 
 
 @query("kernel_ratio", f"""WITH {XIC_SQL}, psm AS (SELECT grp, id, rt AS t, (id % 10) / 10.0::DOUBLE AS r_A, 1 - (id % 10) / 10.0::DOUBLE AS r_B FROM trace WHERE run = 'purchase'),

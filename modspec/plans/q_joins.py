@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from modspec.operators import joins
+from modspec.operators import filters, joins
 from modspec.plans.adapters import PEPTIDES_SQL, TRACE_SQL, ions, peaks, peptides, psms, table, trace
 from modspec.plans.registry import query
+from modspec.sources.runs import pair_files
 
 
 @query("band_join", """SELECT l_orderkey AS spectrum, p_partkey AS ion, sum(l_quantity) AS intensity, count(*) AS n_peaks
@@ -88,7 +89,7 @@ def locate_peptides(spark, folder):
 @query("target_semi", "SELECT o_orderkey AS id, o_custkey AS scan FROM orders WHERE o_orderstatus = 'F' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def target_semi(spark, folder):
     wanted = table(spark, folder, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("scan"))
-    return psms(spark, folder).where("grp = 'F'").join(wanted, "scan", "left_semi").select("id", "scan")
+    return filters.of_targets(psms(spark, folder).where("grp = 'F'"), wanted, "scan").select("id", "scan")
 
 
 @query("pair_keys", f"""WITH {PEPTIDES_SQL}, files AS (SELECT peptide, peptide || CASE length(peptide) % 3 WHEN 0 THEN '_HCDFT' WHEN 1 THEN '_CIDIT' ELSE '' END AS stem FROM peptides),
@@ -98,6 +99,4 @@ def pair_keys(spark, folder):
     suffix = F.when(F.length("peptide") % 3 == 0, "_HCDFT").when(F.length("peptide") % 3 == 1, "_CIDIT").otherwise("")
     files = peptides(spark, folder).select("peptide", F.concat("peptide", suffix).alias("stem"))
     runs = files.where("length(peptide) % 2 = 0").select(F.col("peptide").alias("run")).union(files.where("length(peptide) % 2 = 1").select("stem")).distinct()
-    clean = F.regexp_replace("stem", "_(HCDFT|HCDIT|CIDFT|CIDIT)$", "")
-    keyed = files.select("stem", F.explode(F.array_distinct(F.array(F.col("stem"), clean))).alias("run")).join(runs.withColumn("found", F.col("run")), "run", "left")
-    return keyed.groupBy("stem").agg(F.min("found").alias("run"), F.countDistinct("found").alias("n_found"))
+    return pair_files(files, runs)

@@ -95,7 +95,7 @@ def histogram_mode(spark, folder):
 
 @query("fragment_pivot", """SELECT l_linenumber AS pos, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS A, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS N, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS R FROM lineitem GROUP BY 1""")
 def fragment_pivot(spark, folder):
-    return peaks(spark, folder).groupBy("pos").pivot("l_returnflag", ["A", "N", "R"]).agg(F.sum("intensity")).fillna(0.0)
+    return solve.fragment_matrix(peaks(spark, folder), ["pos"], "l_returnflag", ["A", "N", "R"], "intensity")
 
 
 @query("penalty_sdp", f"WITH {MATCH_SQL}, s AS (SELECT spectrum, imp, sum(norm) AS a, sum(ln(raw)) AS b, sum(sqrt(raw)) AS c, sum(exp(norm)) AS d FROM m GROUP BY 1, 2) SELECT spectrum, imp, round(a, 6) AS s_norm, round(b, 6) AS s_log, round(c, 6) AS s_sqrt, round(d, 6) AS s_exp, round(0.5 * (1 / a) / min(1 / a) OVER (PARTITION BY spectrum), 6) AS penalty FROM s")
@@ -210,7 +210,4 @@ def rank_deficient(spark, folder):
 
 @query("gather_psms", f"WITH {MATCH_SQL} SELECT spectrum, ion, imp, raw FROM m QUALIFY sum(CASE WHEN imp % 2 = 0 THEN raw ELSE 0 END) OVER (PARTITION BY spectrum, ion) > 0")
 def gather_psms(spark, folder):
-    from pyspark.sql import Window
-
-    total = F.sum(F.when(F.col("imp") % 2 == 0, F.col("raw")).otherwise(0.0)).over(Window.partitionBy("spectrum", "ion"))
-    return matches(spark, folder).withColumn("_t", total).where("_t > 0").select("spectrum", "ion", "imp", "raw")
+    return filters.gather(matches(spark, folder), ["spectrum", "ion"], "raw", F.col("imp") % 2 == 0).select("spectrum", "ion", "imp", "raw")

@@ -56,8 +56,7 @@ def robust_line(spark, folder):
 low AS (SELECT grp, min(score) AS threshold FROM rated WHERE ratio <= 0.1 GROUP BY 1)
 SELECT dataset, grp, count(*) AS n_in_group, count(*) FILTER (NOT decoy AND score >= threshold) AS n_accepted FROM rated LEFT JOIN low USING (grp) GROUP BY 1, 2""")
 def fdr_summary(spark, folder):
-    rated = fdr.separate_fdr(psms(spark, folder), 0.1)
-    return rated.groupBy("dataset", "grp").agg(F.count("*").alias("n_in_group"), F.count_if("accepted").alias("n_accepted"))
+    return fdr.summary(fdr.separate_fdr(psms(spark, folder), 0.1), ["dataset", "grp"])
 
 
 @query("gap_cluster", f"""WITH {PSMS_SQL}, stepped AS (SELECT id, dataset, score, CASE WHEN score - lag(score) OVER w > lag(score) OVER w * 1e-5 THEN 1 WHEN lag(score) OVER w IS NULL THEN 1 ELSE 0 END AS cut FROM psms WINDOW w AS (PARTITION BY dataset ORDER BY score, id))

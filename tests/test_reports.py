@@ -89,3 +89,15 @@ def test_no_score_within_the_limit(spark):
     assert fdr.separate_fdr(df.where("false"), 0.1).count() == 0
     everywhere = {r["id"]: r["accepted"] for r in fdr.global_fdr(df, 10.0).collect()}
     assert everywhere[4] and not everywhere[1]
+
+
+def test_spectrum_files_find_their_survey_files(spark):
+    from modspec.sources.runs import pair_files, paired
+
+    files = spark.createDataFrame([("a_HCDFT",), ("b",), ("c_CIDIT_HCDFT",), ("d_HCDFT",), ("e_ETDFT",)], "stem string")
+    runs = spark.createDataFrame([("a",), ("b",), ("b",), ("c_CIDIT",), ("c",), ("d_HCDFT",), ("d",)], "run string")
+    got = {r["stem"]: (r["run"], r["n_found"]) for r in pair_files(files, runs).collect()}
+    assert got == {"a_HCDFT": ("a", 1), "b": ("b", 1), "c_CIDIT_HCDFT": ("c_CIDIT", 1), "d_HCDFT": ("d", 2), "e_ETDFT": (None, 0)}
+    with pytest.raises(ValueError, match="e_ETDFT"):
+        paired(files, runs)
+    assert paired(files.where("stem like '%HCDFT'"), runs).count() == 3
