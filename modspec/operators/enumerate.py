@@ -19,13 +19,14 @@ MAX_CANDIDATES = 5000
 def parse_mod_spec(specs: DataFrame, spec: str, mods: DataFrame) -> DataFrame:
     """(ord, mod, specificity, alias, full_name, mono_mass) for each ``Name[Spec]`` or ``Name[Spec](Alias[Spec])`` of a ``;`` list.
 
-    ``mods``: full_name, mono_mass.  More than two brackets in an entry are an error.
+    ``mods``: full_name, mono_mass.  Names may hold parentheses.  More than two
+    brackets in an entry are an error.
     """
     one = specs.select("*", F.posexplode(F.split(spec, ";")).alias("ord", "entry")).withColumn("entry", F.trim("entry")).where("entry <> ''")
     brackets = F.size(F.split("entry", r"\[")) - 1
     checked = one.withColumn("entry", F.when(brackets > 2, F.raise_error(F.concat(F.lit("bad modification "), "entry")).cast("string")).otherwise(F.col("entry")))
-    name, where = F.regexp_extract("entry", r"^([^\[(]+)\[", 1), F.regexp_extract("entry", r"^[^\[(]+\[([^\]]*)\]", 1)
-    alias = F.nullif(F.regexp_extract("entry", r"\(([^\[]+)\[", 1), F.lit(""))
+    name, where = F.regexp_extract("entry", r"^([^\[]+)\[", 1), F.regexp_extract("entry", r"^[^\[]+\[([^\]]*)\]", 1)
+    alias = F.nullif(F.regexp_extract("entry", r"\]\(([^\[]+)\[", 1), F.lit(""))
     parsed = checked.withColumn("mod", name).withColumn("specificity", where).withColumn("alias", alias)
     parsed = parsed.withColumn("full_name", F.concat(F.coalesce("alias", "mod"), F.lit("["), "specificity", F.lit("]")))
     return parsed.join(F.broadcast(mods), "full_name", "left")  # a modification library
@@ -98,13 +99,13 @@ def render_placement(sequence: Column, sites: Column, placement: Column) -> Colu
     return F.concat(F.lit("_"), F.array_join(letters, ""), F.lit("_"))
 
 
-def fragment_ions(peptides: DataFrame, charges: list[int], mass_of: Column, proton: float, water: float, peptide: str = "peptide") -> DataFrame:
-    """(peptide, type, pos, z, mz): b ions from the left (1) and y ions from the right (2); ``mass_of`` is an array of residue masses by place."""
-    rows = peptides.select(peptide, mass_of.alias("_m")).select(peptide, "_m", F.explode(F.sequence(F.lit(1), F.size("_m") - 1)).alias("pos")).where("size(_m) > 1")
+def fragment_ions(peptides: DataFrame, charges: list[int], mass_of: Column, proton: float, water: float, peptide: str = "peptide", also: tuple[str, ...] = ()) -> DataFrame:
+    """(peptide, also, type, pos, z, mz): b ions from the left (1) and y ions from the right (2); ``mass_of`` is an array of residue masses by place."""
+    rows = peptides.select(peptide, *also, mass_of.alias("_m")).select(peptide, *also, "_m", F.explode(F.sequence(F.lit(1), F.size("_m") - 1)).alias("pos")).where("size(_m) > 1")
     add = lambda part: F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x)
     b, y = add(F.slice("_m", F.lit(1), F.col("pos"))), add(F.slice("_m", F.size("_m") - F.col("pos") + 1, F.col("pos"))) + water
-    both = rows.select(peptide, "pos", F.explode(F.array(F.struct(F.lit(1).alias("type"), b.alias("m")), F.struct(F.lit(2).alias("type"), y.alias("m")))).alias("i"))
-    return both.withColumn("z", F.explode(F.array(*[F.lit(z) for z in charges]))).select(peptide, "i.type", "pos", "z", ((F.col("i.m") + F.col("z") * proton) / F.col("z")).alias("mz"))
+    both = rows.select(peptide, *also, "pos", F.explode(F.array(F.struct(F.lit(1).alias("type"), b.alias("m")), F.struct(F.lit(2).alias("type"), y.alias("m")))).alias("i"))
+    return both.withColumn("z", F.explode(F.array(*[F.lit(z) for z in charges]))).select(peptide, *also, "i.type", "pos", "z", ((F.col("i.m") + F.col("z") * proton) / F.col("z")).alias("mz"))
 
 
 #: The nine ion types by number, each with the series whose places it has (1 b, 2 y) and the mass that it lacks (CO, NH3, H2O).
@@ -119,20 +120,23 @@ def ion_types(ions: DataFrame, types: tuple[int, ...]) -> DataFrame:
     return each.withColumn("mz", F.round(F.col("mz") - F.col("_lost") / F.col("z"), 8)).withColumn("type", F.col("_type")).drop("_series", "_type", "_lost")
 
 
-def discriminating_ions(placed: DataFrame, fragments: DataFrame, masses: dict[str, float], sites: str = "sites", placement: str = "placement", peptide: str = "peptide") -> DataFrame:
-    """(peptide, imp, type, pos, z, mz, n_mods): ions between neighbouring sites, shifted by what lies on their side."""
+def discriminating_ions(placed: DataFrame, fragments: DataFrame, masses: dict[str, float], sites: str = "sites", placement: str = "placement", peptide: str = "peptide", also: tuple[str, ...] = ()) -> DataFrame:
+    """(peptide, also, imp, type, pos, z, mz, n_mods): ions between neighbouring sites, shifted by what lies on their side.
+
+    ``also`` are columns of both tables that tell equal peptides apart.
+    """
     table = F.create_map(F.lit(""), F.lit(0.0), *[F.lit(x) for p in masses.items() for x in p])
     shift = lambda part: F.aggregate(part, F.lit(0.0), lambda acc, m: acc + F.element_at(table, m))
     occupied = lambda part: F.size(F.filter(part, lambda m: m != ""))
-    gaps = placed.select(peptide, "imp", sites, placement, F.explode(F.sequence(F.lit(1), F.size(sites) - 1)).alias("gap")).where(f"size({sites}) > 1")
+    gaps = placed.select(peptide, *also, "imp", sites, placement, F.explode(F.sequence(F.lit(1), F.size(sites) - 1)).alias("gap")).where(f"size({sites}) > 1")
     left, right = F.slice(placement, F.lit(1), F.col("gap")), F.slice(placement, F.col("gap") + 1, F.size(placement))
     lo, hi = F.element_at(sites, F.col("gap")), F.element_at(sites, F.col("gap") + 1) - 1
-    spans = gaps.select(peptide, "imp", F.explode(F.array(
+    spans = gaps.select(peptide, *also, "imp", F.explode(F.array(
         F.struct(F.lit(1).alias("type"), lo.alias("from"), hi.alias("to"), shift(left).alias("shift"), occupied(left).alias("n_mods")),
         F.struct(F.lit(2).alias("type"), (F.length(peptide) - hi).alias("from"), (F.length(peptide) - lo).alias("to"), shift(right).alias("shift"), occupied(right).alias("n_mods")))).alias("s"))
-    rows = spans.select(peptide, "imp", "s.type", "s.shift", "s.n_mods", F.explode(F.sequence("s.from", "s.to")).alias("pos"))
-    met = rows.join(fragments, [peptide, "type", "pos"])
-    return met.select(peptide, "imp", "type", "pos", "z", F.round(F.col("mz") + F.col("shift") / F.col("z"), 8).alias("mz"), "n_mods")
+    rows = spans.select(peptide, *also, "imp", "s.type", "s.shift", "s.n_mods", F.explode(F.sequence("s.from", "s.to")).alias("pos"))
+    met = rows.join(fragments, [peptide, *also, "type", "pos"])
+    return met.select(peptide, *also, "imp", "type", "pos", "z", F.round(F.col("mz") + F.col("shift") / F.col("z"), 8).alias("mz"), "n_mods")
 
 
 def distinct_ions(ions: DataFrame, peptide: str = "peptide") -> DataFrame:

@@ -100,11 +100,29 @@ def site_arrangements(compositions: DataFrame, rules: list[Rule], name: str = "p
     return placed.withColumn(name, F.transform("_codes", lambda c: F.when(c < 0, "").otherwise(F.get(names, c)))).drop("_codes", "_choices")
 
 
+def fixed_ends(peptide: Column, fixed: dict[str, float] | None) -> list[tuple[Column, Column, str]]:
+    """(whether it stands, its site, specificity) of each terminal fixed modification; of those of one end the last that applies stands.
+
+    One that asks for a residue lies on that residue, the others outside of it.
+    """
+    out = []
+    specs = [s for s in fixed or {} if TERMINUS.match(s)]
+    for i, spec in enumerate(specs):
+        later = [applies(s, peptide) for s in specs[i + 1 :] if slot_class(s) == slot_class(spec)]
+        stands = applies(spec, peptide)
+        for other in later:
+            stands = stands & ~other
+        first, residue = slot_class(spec) == "N-term", TERMINUS.match(spec).group(3)
+        out.append((stands, F.lit(1 if residue else 0) if first else F.length(peptide) + (0 if residue else 1), spec))
+    return out
+
+
 def base_masses(peptide: Column, fixed: dict[str, float] | None = None) -> Column:
-    """Masses by place of the residues with their fixed modifications (a residue, N-term or C-term to its mass); null for a letter that is no residue."""
+    """Masses by place of the residues with their fixed modifications (a specificity as in rules to its mass); null for a letter that is no residue."""
     fixed = fixed or {}
     table = F.create_map(*[F.lit(x) for r, m in RESIDUES.items() for x in (r, m + fixed.get(r, 0.0))])
-    ends = lambda i: F.when(i == 0, fixed.get("N-term", 0.0)).otherwise(0.0) + F.when(i == F.length(peptide) - 1, fixed.get("C-term", 0.0)).otherwise(0.0)
+    of = lambda kind: sum((F.when(stands, fixed[s]).otherwise(0.0) for stands, _, s in fixed_ends(peptide, fixed) if slot_class(s) == kind), F.lit(0.0))
+    ends = lambda i: F.when(i == 0, of("N-term")).otherwise(0.0) + F.when(i == F.length(peptide) - 1, of("C-term")).otherwise(0.0)
     return F.transform(F.split(peptide, ""), lambda r, i: F.try_element_at(table, r) + ends(i))
 
 
@@ -112,8 +130,9 @@ def fixed_places(peptide: Column, fixed: dict[str, float] | None, names: dict[st
     """Array of (site, name) of the fixed modifications of a peptide, sites as in ``slots``."""
     none = F.array().cast("array<struct<site:int,name:string>>")
     at = lambda sites, spec: F.transform(sites, lambda i: F.struct(i.cast("int").alias("site"), F.lit((names or {}).get(spec, spec)).alias("name")))
-    one = {"N-term": F.array(F.lit(0)), "C-term": F.array(F.length(peptide) + 1)}
-    return F.concat(none, *[at(one[s] if s in one else E.sites_of(peptide, s), s) for s in fixed or {}])
+    inner = [at(E.sites_of(peptide, s), s) for s in fixed or {} if not TERMINUS.match(s)]
+    ends = lambda kind: [F.when(stands, at(F.array(site), s)).otherwise(none) for stands, site, s in fixed_ends(peptide, fixed) if slot_class(s) == kind]
+    return F.concat(none, *ends("N-term"), *inner, *ends("C-term"))
 
 
 def trypsin_cterm(length: Column, tol: float, limits: list[float], masses: Column) -> Column:
@@ -123,10 +142,10 @@ def trypsin_cterm(length: Column, tol: float, limits: list[float], masses: Colum
 
 
 def candidate_forms(spectra: DataFrame, rules: list[Rule], ms1_tol: float, fixed: dict[str, float] | None = None, limits: list[float] | None = None, cap: int = E.MAX_CANDIDATES, fixed_names: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """((spectrum, peptide, imp, slots, placement), (spectrum, status)): forms whose mass is that of the spectrum.
+    """((spectrum, peptide, prot_n, prot_c, imp, slots, placement), (spectrum, status)): forms whose mass is that of the spectrum.
 
     ``spectra``: spectrum, peptide, precursor_mz, charge, and prot_n and prot_c
-    where a rule needs them.  Placements are made once for each composition
+    where a rule or a fixed modification needs them.  Placements are made once for each composition
     of a distinct peptide, after their number is known; a spectrum whose candidates
     are too many, or that may be unmodified, has none, and its status says so.
     Names of forms have the fixed modifications, each named by ``fixed_names``
@@ -157,11 +176,19 @@ def candidate_forms(spectra: DataFrame, rules: list[Rule], ms1_tol: float, fixed
     occupied = F.filter(F.arrays_zip(F.col("slots").alias("s"), F.col("placement").alias("m")), lambda x: x["m"] != "")
     named = F.concat(fixed_places(F.col("peptide"), fixed, fixed_names), F.transform(occupied, lambda x: F.struct(x["s"]["site"].alias("site"), x["m"].alias("name"))))
     placed = placed.withColumn("_named", named).withColumn("imp", render_imp(F.col("peptide"), F.col("_named.site"), F.col("_named.name")))
-    return stored(fit.drop("slots").join(placed.select(*peptide, "counts", "imp", "slots", "placement"), [*peptide, "counts"]).select("spectrum", "peptide", "imp", "slots", "placement")), told
+    return stored(fit.drop("slots").join(placed.select(*peptide, "counts", "imp", "slots", "placement"), [*peptide, "counts"]).select("spectrum", *peptide, "imp", "slots", "placement")), told
 
 
-def deconvolve_msms(spectra: DataFrame, peaks: DataFrame, rules: list[Rule], ms1_tol: float, ms2_tol: float, fixed: dict[str, float] | None = None, limits: list[float] | None = None, alpha: float = 0.01, lam: float = 0.0, least: float = 0.01, model: str = "constant", types: tuple[int, ...] = (1, 2), fixed_names: dict[str, str] | None = None) -> DataFrame:
-    """(spectrum, imp, abundance, status, rank_deficient): the forms of each spectrum and their shares.
+def deconvolve_msms(spectra: DataFrame, peaks: DataFrame, rules: list[Rule], ms1_tol: float, ms2_tol: float, **options) -> DataFrame:
+    """(spectrum, imp, abundance, rank_deficient, status): the forms of each spectrum and their shares; see ``deconvolution``."""
+    return deconvolution(spectra, peaks, rules, ms1_tol, ms2_tol, **options)[0]
+
+
+def deconvolution(
+    spectra: DataFrame, peaks: DataFrame, rules: list[Rule], ms1_tol: float, ms2_tol: float, fixed: dict[str, float] | None = None, limits: list[float] | None = None, alpha: float = 0.01, lam: float = 0.0, least: float = 0.01,
+    model: str = "constant", types: tuple[int, ...] = (1, 2), fixed_names: dict[str, str] | None = None, penalty: str | None = None, grid: str = "intens_sum", weights: str | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """((spectrum, imp, abundance, rank_deficient, status), (spectrum, type, pos, z, intensity, efficiency)).
 
     ``spectra`` as in ``candidate_forms``; ``peaks``: spectrum, mz, intensity.
     Only ions that tell forms apart count, those within ``ms2_tol`` of a peak and
@@ -169,18 +196,31 @@ def deconvolve_msms(spectra: DataFrame, peaks: DataFrame, rules: list[Rule], ms1
     matched ions are among another's drops out; one form left has abundance 1.
     ``model`` is ``constant`` (shares in a class of ions), ``equal`` (shares of
     the largest intensity) or ``variable`` (an efficiency for each class).
+    ``lam`` weighs a penalty that is the same for all forms (half of it is the
+    linear term), or with ``penalty`` (a mode of ``solve.form_scores``, its sums by
+    ``grid``) each form's own, all of which is the linear term.  ``weights``
+    (``solve.WEIGHTS``) are those of the variable model's rows, 0 where they would
+    be negative.
     Abundances below ``least`` of the largest become 0.  A spectrum without a
     result has one row with its status and null form.
+
+    The second table has the classes of ions that the variable model solved for,
+    each with its summed, weighted intensity; other models have none.
     """
+    if penalty is not None and model == "equal":
+        raise ValueError("the model of equal efficiencies has no penalties of forms")
+    if weights is not None and (model != "variable" or weights not in solve.WEIGHTS):
+        raise ValueError(f"no weights {weights} in the {model} model")
     forms, told = candidate_forms(spectra, rules, ms1_tol, fixed, limits, fixed_names=fixed_names)
+    ends = tuple(c for c in ("prot_n", "prot_c") if c in spectra.columns)
     masses = {m: mass for m, _, mass in rules}
-    once = forms.select("peptide", "imp", F.transform("slots", lambda s: s["site"]).alias("sites"), "placement").distinct()
-    fragments = E.fragment_ions(once.select("peptide").distinct(), [1, 2, 3], base_masses(F.col("peptide"), fixed), PROTON, WATER)
-    ions = E.ion_types(E.discriminating_ions(once, fragments, masses), types)
+    once = forms.select("peptide", *ends, "imp", F.transform("slots", lambda s: s["site"]).alias("sites"), "placement").distinct()
+    fragments = E.fragment_ions(once.select("peptide", *ends).distinct(), [1, 2, 3], base_masses(F.col("peptide"), fixed), PROTON, WATER, also=ends)
+    ions = E.ion_types(E.discriminating_ions(once, fragments, masses, also=ends), types)
     charged = spectra.select("spectrum", max_fragment_charge(F.col("charge")).alias("_most"))
     key = F.concat_ws("/", "type", "pos", "z", F.format_string("%.6f", "mz"))
-    theory = forms.select("spectrum", "peptide", "imp").join(charged, "spectrum").join(ions, ["peptide", "imp"]).where("z <= _most")
-    theory = stored(theory.select("spectrum", "imp", F.concat_ws("/", "type", "pos", "z").alias("cls"), key.alias("ion"), F.col("mz").alias("ion_mz")))
+    theory = forms.select("spectrum", "peptide", *ends, "imp").join(charged, "spectrum").join(ions, ["peptide", *ends, "imp"]).where("z <= _most")
+    theory = stored(theory.select("spectrum", "imp", F.concat_ws("/", "type", "pos", "z").alias("cls"), key.alias("ion"), F.col("mz").alias("ion_mz"), "type", "pos", "z"))
     each = theory.groupBy("spectrum", "ion", "cls").agg(F.min("ion_mz").alias("ion_mz"))
     matched = joins.band_join(peaks, each, "mz", "ion_mz", ms2_tol, ("spectrum",)).groupBy("spectrum", "ion", "cls").agg(F.sum("intensity").alias("raw")).where("raw > 0")
     observed = stored(filters.relative_intensity(matched, ["spectrum"], "raw", alpha).drop("cls"))
@@ -189,12 +229,26 @@ def deconvolve_msms(spectra: DataFrame, peaks: DataFrame, rules: list[Rule], ms1
     n_left = left.groupBy("spectrum").agg(F.count("*").alias("_left"))
     some = left.join(n_left.where("_left > 1"), "spectrum", "left_semi")
     design = theory.join(some, ["spectrum", "imp"], "left_semi")
+    own = None
+    if penalty is not None:
+        kind = F.concat_ws("/", "type", "z")
+        met = design.join(observed.select("spectrum", "ion", "norm", "raw"), ["spectrum", "ion"]).withColumn("kind", kind)
+        every = theory.join(some.select("spectrum").distinct(), "spectrum", "left_semi").select("spectrum", kind.alias("kind"), "pos")
+        scores = solve.form_scores(met, ["spectrum"], "imp", penalty, "ion", "kind", "type", "pos", "norm", "raw", grid, every)
+        # the solver halves what it is given
+        own = stored(solve.penalty(scores, ["spectrum"], "score", 2.0).select("spectrum", "imp", "penalty"))
+    parts = None
     if model == "variable":
-        solved, _ = solve.variable_efficiency(design, design.select("spectrum", "ion", "cls").distinct(), observed, "spectrum", "ion", "imp", "cls", "norm", lam)
+        weighed = None if weights is None else stored(solve.row_weights(each.join(some.select("spectrum").distinct(), "spectrum", "left_semi"), observed, "spectrum", "ion", "cls", "norm", "raw", weights).withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0))))
+        solved, inverse = solve.variable_efficiency(design, design.select("spectrum", "ion", "cls").distinct(), observed, "spectrum", "ion", "imp", "cls", "norm", lam, own, weights=weighed)
+        sums = design.select("spectrum", "ion", "cls", "type", "pos", "z").distinct().join(observed.select("spectrum", "ion", "norm"), ["spectrum", "ion"])
+        if weighed is not None:
+            sums = sums.join(weighed, ["spectrum", "ion"]).withColumn("norm", F.col("norm") * F.sqrt("weight"))
+        parts = sums.groupBy("spectrum", "cls", "type", "pos", "z").agg(F.sum("norm").alias("intensity")).join(inverse, ["spectrum", "cls"]).drop("cls")
     else:
         shares = solve.class_shares(observed, each, "spectrum", "ion", "cls", "norm") if model == "constant" else observed.select("spectrum", "ion", F.col("norm").alias("y"))
         rows = design.select("spectrum", "ion").distinct().join(shares, ["spectrum", "ion"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
-        solved = solve.estimate_abundance(design.select("spectrum", "ion", "imp", F.lit(1.0).alias("x")), rows, "spectrum", "ion", "imp", "x", "y", lam)
+        solved = solve.estimate_abundance(design.select("spectrum", "ion", "imp", F.lit(1.0).alias("x")), rows, "spectrum", "ion", "imp", "x", "y", lam, own)
     solved = stored(solved.select("spectrum", "imp", "abundance", "rank_deficient"))
     cut = filters.abundance_cut(solved.select("spectrum", "imp", F.col("abundance").alias("_a"), "rank_deficient"), ["spectrum"], "_a", least)
     many = cut.where("abundance > 0").select("spectrum", "imp", "abundance", "rank_deficient")
@@ -205,4 +259,4 @@ def deconvolve_msms(spectra: DataFrame, peaks: DataFrame, rules: list[Rule], ms1
     got = many.unionByName(one(lone)).unionByName(one(only))
     failed = told.withColumn("status", F.when(F.col("status") == "ok", "failed").otherwise(F.col("status")))
     rest = failed.join(got, "spectrum", "left_anti").select("spectrum", F.lit(None).cast("string").alias("imp"), F.lit(None).cast("double").alias("abundance"), F.lit(None).cast("boolean").alias("rank_deficient"), "status")
-    return got.withColumn("status", F.lit("ok")).unionByName(rest)
+    return got.withColumn("status", F.lit("ok")).unionByName(rest), parts

@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 EPS = 2.220446049250313e-16
 
 
+#: The penalty of a form whose score is 0 beside one whose score isn't.
+BARRED = 1e30
+
+
 def penalty(scored: DataFrame, keys: list[str], score: str, lam: float) -> DataFrame:
-    """penalty = lam * (1 / score) / min(1 / score) over the group."""
-    inverse = 1 / F.col(score)
-    return scored.withColumn("penalty", lam * inverse / F.min(inverse).over(Window.partitionBy(*keys)))
+    """penalty = lam * (1 / score) / min(1 / score) over the group; BARRED where the score is 0, lam where all of them are."""
+    inverse = 1 / F.nullif(F.col(score), F.lit(0.0))
+    least = F.min(inverse).over(Window.partitionBy(*keys))
+    return scored.withColumn("penalty", F.when(inverse.isNotNull(), lam * inverse / least).when(least.isNotNull(), BARRED).otherwise(float(lam)))
 
 
 def sdp_scores(matches: DataFrame, keys: list[str], imp: str, norm: str, raw: str) -> DataFrame:
@@ -55,6 +60,47 @@ def hyperscores(matches: DataFrame, keys: list[str], imp: str, is_b: Column, raw
     return sums.select(*keys, imp, (term("nb", "ib") + term("ny", "iy") + F.col("_ok")).alias("score"))
 
 
+#: Scores that penalties come from: four sums over a form's matches, four with the ladder (the first names how its
+#: intensities are summed, see GRIDS), and the hyperscore.
+SUMS = {"intens_sum": "s_norm", "log_intens_sum": "s_log", "sqrt_intens_sum": "s_sqrt", "exp_intens_sum": "s_exp"}
+LADDERS = ("log_intens_ksdp", "sqrt_intens_ksdp", "exp_intens_ksdp", "sqrt_intens_ksdp_sqrt")
+HYPERSCORE = "intens_hyperscore"
+GRIDS = ("intens_sum", "log_intens_sum", "sqrt_intens_sum", "exp_intens_sum")
+
+
+def form_scores(matches: DataFrame, keys: list[str], imp: str, mode: str, ion: str, kind: str, series: str, pos: str, norm: str, raw: str, grid: str = "intens_sum", theory: DataFrame | None = None) -> DataFrame:
+    """(keys, imp, score) of every form with a match, by one of the nine modes.
+
+    ``matches`` has a row for each form and matched ion: the ion, its kind (type
+    and charge together), series (1 for b, 2 for y, others for neither), place,
+    normalised and raw intensity.  ``theory`` (keys, kind, pos) are all ions.  The three first ladder modes only differ in
+    their names, ``grid`` says how their normalised intensities are summed;
+    ``sqrt_intens_ksdp_sqrt`` is the root of the score.  Summing exponentials,
+    each match of the group that isn't the form's own counts 1, as exp(0);
+    summing logarithms, it counts nothing.  The hyperscore counts b and y ions
+    only, a form without any has the score 0.
+    """
+    if mode in SUMS:
+        return sdp_scores(matches, keys, imp, norm, raw).select(*keys, imp, F.col(SUMS[mode]).alias("score"))
+    if mode in LADDERS:
+        if grid not in GRIDS:
+            raise ValueError(f"unknown sum of intensities {grid}")
+        if mode == "sqrt_intens_ksdp_sqrt" and grid == "log_intens_sum":
+            raise ValueError("sums of logarithms are negative and have no root")
+        value = {"log_intens_sum": F.log(norm), "sqrt_intens_sum": F.sqrt(norm), "exp_intens_sum": F.exp(norm)}.get(grid, F.col(norm))
+        valued = matches.withColumn("_value", value)
+        scored = ksdp_scores(valued, keys, imp, kind, pos, "_value", theory=theory)
+        if grid == "exp_intens_sum":
+            own = valued.groupBy(*keys, imp).agg(F.sum("_value").alias("_own"), F.count("*").alias("_n"))
+            every = matches.groupBy(*keys).agg(F.countDistinct(ion).alias("_all"))
+            scored = scored.join(own, [*keys, imp]).join(every, keys).withColumn("score", F.col("score") * (F.col("_own") + F.col("_all") - F.col("_n")) / F.col("_own")).drop("_own", "_n", "_all")
+        return scored.withColumn("score", F.sqrt("score")) if mode == "sqrt_intens_ksdp_sqrt" else scored
+    if mode != HYPERSCORE:
+        raise ValueError(f"unknown penalty {mode}")
+    both = hyperscores(matches.where(F.col(series).isin(1, 2)), keys, imp, F.col(series) == 1, raw)
+    return matches.select(*keys, imp).distinct().join(both, [*keys, imp], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def gram_matrix(terms: DataFrame, keys: list[str], row: str, col: str, value: str) -> DataFrame:
     """(keys, i, j, h): X'X of sparse rows (keys, row, col, value), i <= j; the join is within a row of one spectrum."""
     a = terms.select(*keys, row, F.col(col).alias("i"), F.col(value).alias("_x"))
@@ -81,7 +127,7 @@ def row_weights(ions: DataFrame, observed: DataFrame, key: str, ion: str, cls: s
         value = F.coalesce(F.nullif(F.col("_norm"), F.lit(0.0)), F.lit(1.0))
     else:
         scaled = {"log": F.log("_raw"), "sqrt": F.sqrt("_raw")}.get(mode)
-        each = F.col("_norm") if scaled is None else scaled / F.max(scaled).over(Window.partitionBy(key))
+        each = F.col("_norm") if scaled is None else scaled / F.nullif(F.max(scaled).over(Window.partitionBy(key)), F.lit(0.0))
         rows = rows.withColumn("_each", each)
         whole = Window.partitionBy(key, cls)
         value = F.sum("_each").over(whole) / F.count("_norm" if mode == "observed" else F.lit(1)).over(whole)
@@ -94,14 +140,15 @@ def class_shares(observed: DataFrame, classes: DataFrame, key: str, ion: str, cl
     return rows.select(key, ion, F.coalesce(F.col(norm) / F.nullif(F.sum(norm).over(Window.partitionBy(key, cls)), F.lit(0.0)), F.lit(0.0)).alias("y"))
 
 
-def variable_efficiency(incidence: DataFrame, ions: DataFrame, observed: DataFrame, key: str, ion: str, imp: str, cls: str, norm: str, lam: float = 0.0, **options) -> tuple[DataFrame, DataFrame]:
+def variable_efficiency(incidence: DataFrame, ions: DataFrame, observed: DataFrame, key: str, ion: str, imp: str, cls: str, norm: str, lam: float = 0.0, penalties: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """((key, imp, abundance, kkt, rank_deficient), (key, cls, efficiency)): abundances with an efficiency of each ion class.
 
     The design has, beside the forms of an ion (``incidence``: key, ion, imp), a
     column for each matched class with minus the ion's intensity; its unknowns,
     inverse efficiencies, are 1 at least, those of forms 0; the right side is 0.
     Rows of classes that nothing matches are left out.  Efficiencies are scaled
-    to a largest of 1; the penalty is on forms only.
+    to a largest of 1; the penalty is on forms only, ``lam`` times 1 or times a
+    form's own in ``penalties`` (key, imp, penalty).
     """
     rows = ions.select(key, ion, cls).join(observed.select(key, ion, F.col(norm).alias("_norm")), [key, ion], "left")
     rows = rows.withColumn("_seen", F.coalesce(F.sum("_norm").over(Window.partitionBy(key, cls)), F.lit(0.0)) > 0).where("_seen")
@@ -110,7 +157,7 @@ def variable_efficiency(incidence: DataFrame, ions: DataFrame, observed: DataFra
     classes = rows.where("_norm > 0").select(key, ion, name("c", cls), (-F.col("_norm")).alias("_x"))
     zeros = rows.select(key, ion, F.lit(0.0).alias("_y"))
     lows = classes.select(key, "_col").distinct().withColumn("low", F.lit(1.0))
-    penalties = forms.select(key, "_col").distinct().withColumn("penalty", F.lit(1.0))
+    penalties = forms.select(key, "_col").distinct().withColumn("penalty", F.lit(1.0)) if penalties is None else penalties.select(key, name("f", imp), "penalty")
     got = estimate_abundance(forms.unionByName(classes), zeros, key, ion, "_col", "_x", "_y", lam, penalties, lows=lows, **options)
     kinds = dict(incidence.dtypes)
     imps = got.where("_col like 'f%'").select(key, F.substring("_col", 2, 1000).cast(kinds[imp]).alias(imp), "abundance", "kkt", "rank_deficient")
