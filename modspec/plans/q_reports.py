@@ -112,3 +112,52 @@ def file_fasta(spark, folder):
     block = F.concat(F.lit(">sp|P"), F.col("p_partkey").cast("string"), F.lit("| a part\n"), letters, F.lit("\n"), F.upper(F.substring("p_type", 1, 3)))
     _text(table(spark, folder, "part").select(F.col("p_partkey").alias("key"), block.alias("block")), path)
     return readers.read_fasta(spark, path, r"^>sp\|(\w+)\|")
+
+
+_PEPTIDE_SQL = "translate(o_custkey::VARCHAR, '0123456789', 'AGVLAGVLAG')"
+
+
+@query("job_deconvolve_files", f"""WITH o AS (SELECT o_orderkey AS k, {_PEPTIDE_SQL} AS mid, replace({_PEPTIDE_SQL}, 'V', 'V{{Label_13C(5)}}') AS shown, (o_orderkey % 9 + 1) / 10.0 AS share FROM orders)
+SELECT 'AK' || mid || 'KG' AS peptide, 'run.' || k || '.' || k || '.2.0.dta' AS title, '_AK{{Acetyl}}' || shown || 'KG_' AS imp, round(share::DOUBLE, 3) AS abundance FROM o
+UNION ALL SELECT 'AK' || mid || 'KG', 'run.' || k || '.' || k || '.2.0.dta', '_AK' || shown || 'K{{Acetyl}}G_', round(1 - share::DOUBLE, 3) FROM o""")
+def job_deconvolve_files(spark, folder):
+    """Spectra, proteins, a library and a list as files, to the deconvolution report read again.
+
+    Each order is a spectrum of two forms of the peptide that its customer
+    spells, in shares that its key says; every second peptide begins its
+    protein, where a third form has the same mass, but fewer of the ions.  The
+    letters are such that no b ion has the mass of a y ion.
+    """
+    from modspec.functions.constants import PROTON, WATER
+    from modspec.operators import enumerate as E
+    from modspec.operators.jobs import deconvolve_files
+    from modspec.operators.placements import base_masses
+    from modspec.sources.store import stored
+
+    acetyl, label = 42.010565, 5.016774
+    out = shared_path(spark, "deconvolution")
+    k = F.col("key").cast("string")
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("key"), F.concat(F.lit("AK"), F.translate(F.col("o_custkey").cast("string"), "0123456789", "AGVLAGVLAG"), F.lit("KG")).alias("peptide"), (F.col("o_orderkey") % 9 + 1).alias("tenths"))
+    orders = orders.withColumn("title", F.concat_ws(".", F.lit("run"), k, k, F.lit("2.0.dta")))
+    masses = base_masses(F.col("peptide"), {"V": label})
+    once = orders.select("peptide").distinct()
+    mass = F.aggregate(masses, F.lit(WATER + acetyl), lambda acc, m: acc + m)
+    size = F.length("peptide")
+    ions = E.fragment_ions(once, [1], masses, PROTON, WATER)
+    forms = F.array(F.struct(F.lit(2).alias("site"), F.lit(True).alias("first")), F.struct((size - 1).alias("site"), F.lit(False).alias("first")))
+    shifted = ions.select("*", F.inline(forms)).withColumn("mz", F.col("mz") + F.when(F.col("pos") >= F.when(F.col("type") == 1, F.col("site")).otherwise(size - F.col("site") + 1), acetyl).otherwise(0.0))
+    lists = shifted.groupBy("peptide").agg(F.sort_array(F.collect_list(F.struct("mz", "first"))).alias("ions"))
+    line = lambda i: F.format_string("%.5f %d", i["mz"], F.when(i["first"], F.col("tenths")).otherwise(10 - F.col("tenths")) * 100)
+    block = F.concat(F.lit("BEGIN IONS\nTITLE="), "title", F.lit("\nCHARGE=2+\nPEPMASS="), F.format_string("%.6f", (mass + 2 * PROTON) / 2), F.lit("\n"), F.array_join(F.transform("ions", line), "\n"), F.lit("\nEND IONS"))
+    _text(orders.join(lists, "peptide").select("key", block.alias("block")), f"{out}/mgf")
+    begins = F.pmod(F.xxhash64("peptide"), F.lit(2)) == 0
+    proteins = F.concat(F.lit(">sp|"), "peptide", F.lit("| of one peptide\n"), F.when(begins, F.concat(F.lit("M"), "peptide", F.lit("GG"))).otherwise(F.concat(F.lit("GG"), "peptide")))
+    _text(once.select(F.col("peptide").alias("key"), proteins.alias("block")), f"{out}/fasta")
+    library = [f"Acetyl[K]=K NORMAL {acetyl} 42.0367 0", f"Acetyl[Protein N-term]=AGVLK PRO_N {acetyl} 42.0367 0", f"Label_13C(5)[V]=V NORMAL {label} 4.9633 0"]
+    spark.createDataFrame([(x,) for x in library], "line string").write.text(f"{out}/library")
+    # Spark names the files, so the list takes the names of datasets from them
+    datasets = stored(readers.read_mgf(spark, f"{out}/mgf").select("dataset", "title"))
+    writers.write_pep_spec(orders.select("peptide", "title").join(datasets, "title").select("peptide", "dataset", "title"), f"{out}/list")
+    deconvolve_files(spark, f"{out}/mgf", f"{out}/fasta", f"{out}/library", f"{out}/list", out, "Acetyl[K];Acetyl[Protein N-term]", 0.01, 0.001, "Label_13C(5)[V]", r"^>sp\|(\w+)\|")
+    got = readers.read_msms_report(spark, f"{out}/report_msms")
+    return got.select("peptide", "title", "imp", F.round("abundance", 3).alias("abundance"))

@@ -98,10 +98,10 @@ def fragment_pivot(spark, folder):
     return solve.fragment_matrix(peaks(spark, folder), ["pos"], "l_returnflag", ["A", "N", "R"], "intensity")
 
 
-@query("penalty_sdp", f"WITH {MATCH_SQL}, s AS (SELECT spectrum, imp, sum(norm) AS a, sum(ln(raw)) AS b, sum(sqrt(raw)) AS c, sum(exp(norm)) AS d FROM m GROUP BY 1, 2) SELECT spectrum, imp, round(a, 6) AS s_norm, round(b, 6) AS s_log, round(c, 6) AS s_sqrt, round(d, 6) AS s_exp, round(0.5 * (1 / a) / min(1 / a) OVER (PARTITION BY spectrum), 6) AS penalty FROM s")
+@query("penalty_sdp", f"WITH {MATCH_SQL}, s AS (SELECT spectrum, imp, sum(norm) AS a, sum(ln(raw)) AS b, sum(sqrt(raw)) AS c, sum(exp(norm)) AS d FROM m GROUP BY 1, 2) SELECT spectrum, imp, round(a, 6) AS s_norm, round(b, 6) AS s_log, round(c, 6) AS s_sqrt, round(d, 6) AS s_exp, round(0.5 * (1 / a) / min(1 / a) OVER (PARTITION BY spectrum), 8) AS penalty FROM s")
 def penalty_sdp(spark, folder):
     scored = solve.penalty(solve.sdp_scores(matches(spark, folder), ["spectrum"], "imp", "norm", "raw"), ["spectrum"], "s_norm", 0.5)
-    return scored.select("spectrum", "imp", *[F.round(c, 6).alias(c) for c in ("s_norm", "s_log", "s_sqrt", "s_exp", "penalty")])
+    return scored.select("spectrum", "imp", *[F.round(c, 6).alias(c) for c in ("s_norm", "s_log", "s_sqrt", "s_exp")], F.round("penalty", 8).alias("penalty"))  # at 6 digits some are ties
 
 
 @query("penalty_ksdp", f"""WITH {MATCH_SQL}, q AS (SELECT *, ion % 2 AS kind, ion // 2 AS pos FROM m), i AS (SELECT spectrum, imp, sum(norm) AS s FROM q GROUP BY 1, 2),
@@ -119,6 +119,33 @@ def penalty_hyperscore(spark, folder):
     return solve.hyperscores(matches(spark, folder), ["spectrum"], "imp", F.col("ion") % 2 == 0, "raw").select("spectrum", "imp", F.round("score", 6).alias("score"))
 
 
+def _penalty_sql(score: str) -> str:
+    least = f"min(1 / nullif({score}, 0)) OVER (PARTITION BY spectrum)"
+    return f"round(CASE WHEN {score} <> 0 THEN 0.5 * (1 / nullif({score}, 0)) / {least} WHEN {least} IS NOT NULL THEN 1e30 ELSE 0.5 END, 8)"
+
+
+@query("penalty_modes", f"""WITH {MATCH_SQL}, q AS (SELECT *, ion % 2 AS kind, ion // 2 AS pos, ion % 3 AS series FROM m),
+f AS (SELECT spectrum, imp, sum(ln(raw)) AS logs, sum(sqrt(raw)) AS roots, sum(norm) AS norms, sum(sqrt(norm)) AS small_roots, sum(exp(norm)) AS exps, count(*) AS n,
+count(*) FILTER (series = 1) AS nb, count(*) FILTER (series = 2) AS ny, sum(raw) FILTER (series = 1) AS ib, sum(raw) FILTER (series = 2) AS iy FROM q GROUP BY 1, 2),
+a AS (SELECT spectrum, count(DISTINCT ion) AS n_all FROM q GROUP BY 1), g AS (SELECT f.spectrum, f.imp, k.kind, p.pos FROM f, range(2) k(kind), range(5) p(pos)),
+w AS (SELECT g.*, sum((q.ion IS NULL)::INT) OVER (PARTITION BY g.spectrum, g.imp, g.kind ORDER BY g.pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS miss FROM g LEFT JOIN q USING (spectrum, imp, kind, pos)),
+r AS (SELECT spectrum, imp, sqrt(sum(exp(-0.9 * miss))) / 10 AS root FROM w GROUP BY 1, 2),
+s AS (SELECT spectrum, imp, logs, roots, small_roots * root AS ladder, (exps + n_all - n) * root AS ladder_exp, sqrt(norms * root) AS ladder_root,
+CASE WHEN nb > 0 THEN log10(gamma(nb + 1)) + ln(ib) ELSE 0 END + CASE WHEN ny > 0 THEN log10(gamma(ny + 1)) + ln(iy) ELSE 0 END AS hyper FROM f JOIN r USING (spectrum, imp) JOIN a USING (spectrum))
+SELECT spectrum, imp, {_penalty_sql('logs')} AS p_log, {_penalty_sql('roots')} AS p_sqrt, {_penalty_sql('ladder')} AS p_ladder, {_penalty_sql('ladder_exp')} AS p_ladder_exp, {_penalty_sql('ladder_root')} AS p_ladder_root, {_penalty_sql('hyper')} AS p_hyper FROM s""")
+def penalty_modes(spark, folder):
+    """Penalties of each form by six of the nine modes, the ladder over ten ions of two kinds in every spectrum."""
+    rows = matches(spark, folder).withColumn("kind", F.col("ion") % 2).withColumn("pos", F.floor(F.col("ion") / 2)).withColumn("series", F.col("ion") % 3)
+    grid = rows.select("spectrum").distinct().withColumn("ion", F.explode(F.sequence(F.lit(0), F.lit(9)))).select("spectrum", (F.col("ion") % 2).cast("long").alias("kind"), F.floor(F.col("ion") / 2).alias("pos"))
+    modes = {"p_log": ("log_intens_sum",), "p_sqrt": ("sqrt_intens_sum",), "p_ladder": ("sqrt_intens_ksdp", "sqrt_intens_sum"), "p_ladder_exp": ("exp_intens_ksdp", "exp_intens_sum"), "p_ladder_root": ("sqrt_intens_ksdp_sqrt",), "p_hyper": (solve.HYPERSCORE,)}
+    out = None
+    for name, (mode, *sums) in modes.items():
+        scores = solve.form_scores(rows, ["spectrum"], "imp", mode, "ion", "kind", "series", "pos", "norm", "raw", *sums, theory=grid)
+        one = solve.penalty(scores, ["spectrum"], "score", 0.5).select("spectrum", "imp", F.round("penalty", 8).alias(name))
+        out = one if out is None else out.join(one, ["spectrum", "imp"])
+    return out
+
+
 @query("gram_matrix", f"WITH {MATCH_SQL} SELECT a.spectrum, a.imp AS i, b.imp AS j, round(sum(a.norm * b.norm), 6) AS h FROM m a JOIN m b ON a.spectrum = b.spectrum AND a.ion = b.ion AND a.imp <= b.imp GROUP BY 1, 2, 3")
 def gram_matrix(spark, folder):
     return solve.gram_matrix(matches(spark, folder), ["spectrum"], "ion", "imp", "norm").select("spectrum", "i", "j", F.round("h", 6).alias("h"))
@@ -141,7 +168,7 @@ def abundance_kkt(spark, folder):
 
 
 @query("abundance_penalty", f"""WITH {MATCH_SQL}, s AS (SELECT spectrum, imp, sum(norm) AS a FROM m GROUP BY 1, 2), p AS (SELECT spectrum, imp, 0.5 * (1 / a) / min(1 / a) OVER (PARTITION BY spectrum) AS penalty FROM s)
-SELECT spectrum, count(*) AS n_forms, round(max(penalty), 6) AS penalty, true AS kkt_ok, true AS sums_ok FROM p GROUP BY 1""")
+SELECT spectrum, count(*) AS n_forms, round(max(penalty), 8) AS penalty, true AS kkt_ok, true AS sums_ok FROM p GROUP BY 1""")
 def abundance_penalty(spark, folder):
     """Solutions whose penalty is each form's own, from its summed intensity, with their certificate."""
     rows = matches(spark, folder)
@@ -150,7 +177,7 @@ def abundance_penalty(spark, folder):
     p = solve.penalty(solve.sdp_scores(rows, ["spectrum"], "imp", "norm", "raw"), ["spectrum"], "s_norm", 0.5)
     got = solve.estimate_abundance(x, y, "spectrum", "ion", "imp", "x", "y", 1.0, p).join(p.select("spectrum", "imp", "penalty"), ["spectrum", "imp"])
     s = F.sum("abundance")
-    return got.groupBy("spectrum").agg(F.count("*").alias("n_forms"), F.round(F.max("penalty"), 6).alias("penalty"), (F.max("kkt") < 1e-6).alias("kkt_ok"), ((F.abs(s - 1) < 1e-9) | (s == 0)).alias("sums_ok"))
+    return got.groupBy("spectrum").agg(F.count("*").alias("n_forms"), F.round(F.max("penalty"), 8).alias("penalty"), (F.max("kkt") < 1e-6).alias("kkt_ok"), ((F.abs(s - 1) < 1e-9) | (s == 0)).alias("sums_ok"))
 
 
 @query("row_weights", f"""WITH {MATCH_SQL}, o AS (SELECT spectrum, ion, sum(norm) AS norm, sum(raw) AS raw FROM m GROUP BY 1, 2), t AS (SELECT DISTINCT spectrum, k AS ion, k % 3 AS cls FROM m, range(10) r(k)),
