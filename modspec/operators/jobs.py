@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modspec.functions.scalars import strip_tokens
 from modspec.operators import enumerate as E
-from modspec.operators import fdr, filters, joins, placements, windows
+from modspec.operators import fdr, filters, joins, placements, sites, windows
 from modspec.sources.store import stored
 
 
@@ -91,3 +92,38 @@ def deconvolve_files(
     writers.write_msms_report(solved, f"{out}/report_msms")
     writers.write_ambiguous_spectra(solved, f"{out}/report_spectra_may_FP")
     return told, None if parts is None else names.join(parts, "spectrum").drop("spectrum")
+
+
+def summarise_files(spark: SparkSession, report: str, out: str, proteins: DataFrame, mods: DataFrame, labels: tuple[str, ...] = ()) -> None:
+    """From a peptide report to ``out``/sites, the site report, and ``out``/others, the forms of lines without any of the proteins.
+
+    ``proteins``: protein, prot_abbr; ``mods``: mod, mod_abbr.  Of a line's
+    proteins the first that is wanted counts; ``labels`` are taken out of the
+    names of forms.
+    """
+    from modspec.sources import readers, writers
+
+    imps, _ = readers.read_peptide_report(spark, report)
+    placed = stored(sites.first_listed(imps.withColumn("imp", strip_tokens(F.col("imp"), labels)), proteins))
+    sited = sites.parse_sites(placed.where("protein is not null"), proteins, mods).select("site", "imp", "charge", "run", "area")
+    others = placed.where("protein is null").select("protein_line", "imp", "charge", "run", "area")
+    writers.write_sites(sited, others, f"{out}/sites", f"{out}/others")
+
+
+def compare_files(spark: SparkSession, left: str, right: str, out: str, labels: tuple[str, ...] = (), titles: tuple[str, str] = ("left", "right")) -> None:
+    """From two site reports to a pair report of what both have."""
+    from modspec.sources import readers, writers
+
+    rows = sites.pair_intersect(readers.read_site_report(spark, left), readers.read_site_report(spark, right), labels)
+    writers.write_pair_report(rows, out, titles)
+
+
+def merge_files(spark: SparkSession, reports: dict[str, str], out: str, titles: list[tuple[str, str]] | None = None) -> None:
+    """From pair reports (name to path, in order) to the merged report, with its sums by site."""
+    from modspec.sources import readers, writers
+
+    pairs = None
+    for name, path in reports.items():  # a list that a user writes
+        one = readers.read_pair_report(spark, path).withColumn("pair", F.lit(name))
+        pairs = one if pairs is None else pairs.unionByName(one)
+    writers.write_merged_report(sites.merge_pairs(pairs, list(reports)), list(reports), out, titles)

@@ -29,6 +29,15 @@ def parse_sites(imp_rows: DataFrame, proteins: DataFrame, mods: DataFrame, imp:
     return known.withColumn("site", site).drop("_letters", "before", "_closed")
 
 
+def first_listed(imp_rows: DataFrame, proteins: DataFrame, line: str = "protein_line") -> DataFrame:
+    """Rows with protein and start, of the first entry of their line (``name,start;`` each) that ``proteins`` has; null where none is."""
+    each = imp_rows.select(line).distinct().select(line, F.posexplode(F.split(line, ";")).alias("_nth", "_entry")).where("_entry <> ''")
+    named = each.select(line, "_nth", F.substring_index("_entry", ",", 1).alias("protein"), F.element_at(F.split("_entry", ","), -1).try_cast("int").alias("start"))
+    met = named.join(proteins.select("protein").distinct(), "protein", "left_semi")
+    first = met.groupBy(line).agg(F.min(F.struct("_nth", "protein", "start")).alias("_f")).select(line, "_f.protein", "_f.start")
+    return imp_rows.join(first, line, "left")
+
+
 def uninterested(imp_rows: DataFrame, proteins: DataFrame, protein: str = "protein") -> DataFrame:
     """Rows of proteins that nobody asked for."""
     return imp_rows.join(proteins, protein, "left_anti")
