@@ -45,20 +45,28 @@ def _joined(rows: DataFrame, of_runs: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(of_runs, same)
 
 
+def _ordered(order: list[str], back: bool, strict: bool) -> tuple[list[Column], tuple[int, int]]:
+    """``order``, turned round for ``back``, and the frame of the rows up to a row in it.
+
+    Frames that end at the group's last row are evaluated anew for each row, which is quadratic; those that begin at the first one run on.
+    """
+    return [F.col(c).desc() if back else F.col(c).asc() for c in order], (Window.unboundedPreceding, -1 if strict else 0)
+
+
 def over_runs(placed: DataFrame, keys: list[str], order: list[str], fills: dict[str, Column], back: bool = False, strict: bool = False) -> DataFrame:
     """As ``carried``, for rows that say which run of their group they are in (_run, any type whose order is that of the runs).
 
     Each run is filled on its own; what its rows lack comes over the run's edge, from a row for each run.
     """
-    frame = (Window.unboundedPreceding, -1 if strict else 0) if not back else (1 if strict else 0, Window.unboundedFollowing)
-    pick = F.first if back else F.last
-    inside = Window.partitionBy(*keys, "_run").orderBy(*order).rowsBetween(*frame)
-    local = placed.select("*", *[pick(e, ignorenulls=True).over(inside).alias(n) for n, e in fills.items()])
+    by, frame = _ordered(order, back, strict)
+    inside = Window.partitionBy(*keys, "_run").orderBy(*by).rowsBetween(*frame)
+    local = placed.select("*", *[F.last(e, ignorenulls=True).over(inside).alias(n) for n, e in fills.items()])
     at = F.struct(*order)
     edge = [(F.min_by if back else F.max_by)(e, F.when(e.isNotNull(), at)).alias(n) for n, e in fills.items()]
     ends = placed.groupBy(*keys, "_run").agg(*edge)
-    over = Window.partitionBy(*keys).orderBy("_run").rowsBetween(*((1, Window.unboundedFollowing) if back else (Window.unboundedPreceding, -1)))
-    ends = ends.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_run").alias("_of"), *[pick(n, ignorenulls=True).over(over).alias(f"_edge_{n}") for n in fills])
+    runs, before = _ordered(["_run"], back, True)
+    over = Window.partitionBy(*keys).orderBy(*runs).rowsBetween(*before)
+    ends = ends.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_run").alias("_of"), *[F.last(n, ignorenulls=True).over(over).alias(f"_edge_{n}") for n in fills])
     return _joined(local, ends, keys).select(*placed.columns, *[F.coalesce(n, f"_edge_{n}").alias(n) for n in fills])
 
 
@@ -71,9 +79,9 @@ def carried(df: DataFrame, keys: list[str], value: str, order: list[str], fills:
     """
     if is_hot(df, keys, rows) if hot is None else hot:
         return over_runs(ranged(df, [F.col(c) for c in order]), keys, order, fills, back, strict).drop("_run")
-    frame = (Window.unboundedPreceding, -1 if strict else 0) if not back else (1 if strict else 0, Window.unboundedFollowing)
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)
-    return df.select("*", *[(F.first if back else F.last)(e, ignorenulls=True).over(w).alias(n) for n, e in fills.items()])
+    by, frame = _ordered(order, back, strict)
+    w = Window.partitionBy(*keys).orderBy(*by).rowsBetween(*frame)
+    return df.select("*", *[F.last(e, ignorenulls=True).over(w).alias(n) for n, e in fills.items()])
 
 
 def falling(df: DataFrame, score: str, tie: str, runs: int | None = None) -> DataFrame:
@@ -95,9 +103,10 @@ def sums_of_runs(placed: DataFrame, score: str, tie: str, flags: dict[str, Colum
 def least_of_runs(placed: DataFrame, keys: list[str], score: str, tie: str, ratio: str, cap: float | None = 1.0) -> DataFrame:
     """``placed`` with q: the least ratio of the row, those after it in its run and the runs after it, capped."""
     lows = placed.groupBy(*keys, "_run").agg(F.min(ratio).alias("_low"))
-    after = Window.partitionBy(*keys).orderBy("_run").rowsBetween(1, Window.unboundedFollowing)
+    # from the last row backwards: a frame that ends at the last row is evaluated anew for each row
+    after = Window.partitionBy(*keys).orderBy(F.col("_run").desc()).rowsBetween(Window.unboundedPreceding, -1)
     lows = lows.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_run").alias("_of"), F.min("_low").over(after).alias("_low"))
-    inside = Window.partitionBy(*keys, "_run").orderBy(F.col(score).desc(), tie).rowsBetween(0, Window.unboundedFollowing)
+    inside = Window.partitionBy(*keys, "_run").orderBy(F.col(score).asc(), F.col(tie).desc()).rowsBetween(Window.unboundedPreceding, 0)
     q = F.least(F.col("_q"), F.col("_low")) if cap is None else F.least(F.col("_q"), F.col("_low"), F.lit(cap))
     return _joined(placed.withColumn("_q", F.min(ratio).over(inside)), lows, keys).withColumn("q", q).select(*placed.columns, "q")
 
