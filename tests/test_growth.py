@@ -23,3 +23,18 @@ def test_backward_windows_run_on(spark):
     every = rows.collect()
     for r in every:
         assert got[r["k"], r["t"]] == min(o["ratio"] for o in every if o["k"] == r["k"] and (-o["s"], o["t"]) >= (-r["s"], r["t"]))
+
+
+def test_equal_windows_have_one_trace(spark, monkeypatch):
+    """Peaks meet each window once, however many keys it has."""
+    from modspec.operators import traces
+
+    fans = spark.createDataFrame([(g, 1, 2, 100.0, 100.2) for g in range(30)] + [(99, 1, 2, 300.0, 300.2)], "g int, run int, charge int, low double, high double")
+    peaks = [(100.1 + k * 1.00335 / 2, v) for k, v in enumerate((10.0, 1.0, 0.1))]
+    scans = spark.createDataFrame([(1, n, n / 10, peaks) for n in range(1, 12)], "run int, scan int, rt_min double, peaks array<struct<mz:double,intensity:double>>")
+    met = []
+    points = traces.isotope_points
+    monkeypatch.setattr(traces, "isotope_points", lambda *a: met.append(a[1].count()) or points(*a))
+    got = traces.xic_traces(scans, traces.scan_grid(scans), fans, ["g"]).collect()
+    assert met == [2]
+    assert len(got) == 30 * 11 and {r["g"] for r in got} == set(range(30)) and all(r["raw"] == r["smooth"] == 10.0 for r in got)
