@@ -38,3 +38,34 @@ def test_equal_windows_have_one_trace(spark, monkeypatch):
     got = traces.xic_traces(scans, traces.scan_grid(scans), fans, ["g"]).collect()
     assert met == [2]
     assert len(got) == 30 * 11 and {r["g"] for r in got} == set(range(30)) and all(r["raw"] == r["smooth"] == 10.0 for r in got)
+
+
+def shuffles(df) -> int:
+    """Exchanges of a plan that move rows, without those that are used again."""
+    return sum("Exchange " in line and "Reused" not in line and "Broadcast" not in line for line in plan_of(df).splitlines())
+
+
+def test_scores_of_all_modes_move_no_rows(spark):
+    """Matches that lie by spectrum are scored by all modes where they are, in parts whose number goes by their rows."""
+    from modspec.operators import solve
+    from modspec.sources import store
+
+    rows = [(s, i, ion, ion % 2, ion % 3, ion // 2, (i + ion) / 10, 1.0 + ion) for s in range(6) for i in range(3) for ion in range(10) if (s + i * ion) % 3]
+    matches = store.spread(spark.createDataFrame(rows, "spectrum long, imp long, ion long, kind long, series long, pos long, norm double, raw double").where("norm > 0"), "spectrum")
+    modes = {f"m{n}": (mode, "sqrt_intens_sum") for n, mode in enumerate((*solve.SUMS, *solve.LADDERS, solve.HYPERSCORE))}
+    got = solve.mode_scores(matches, ["spectrum"], "imp", modes, "ion", "kind", "series", "pos", "norm", "raw")
+    for name in modes:
+        got = solve.penalty(got, ["spectrum"], name, 0.5, name)
+    assert shuffles(got) <= 2  # the same rows, read for forms and for grids
+    ladder = solve.ksdp_scores(matches.withColumn("v", F.sqrt("norm")), ["spectrum"], "imp", "kind", "pos", "v").collect()
+    plain = {(r["spectrum"], r["imp"]): r["score"] for r in ladder}
+    scored = solve.mode_scores(matches, ["spectrum"], "imp", {"x": ("sqrt_intens_ksdp", "sqrt_intens_sum")}, "ion", "kind", "series", "pos", "norm", "raw").collect()
+    assert len(scored) == len(plain) and all(abs(r["x"] - plain[r["spectrum"], r["imp"]]) < 1e-12 for r in scored)
+
+
+def test_spread_has_more_parts_for_more_rows(spark, monkeypatch):
+    from modspec.sources import store
+
+    monkeypatch.setattr(store, "SPREAD_ROWS", 10)
+    assert store.spread(spark.range(95), "id").rdd.getNumPartitions() == 10
+    assert store.spread(spark.range(5), "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
