@@ -69,3 +69,15 @@ def test_spread_has_more_parts_for_more_rows(spark, monkeypatch):
     monkeypatch.setattr(store, "SPREAD_ROWS", 10)
     assert store.spread(spark.range(95), "id").rdd.getNumPartitions() == 10
     assert store.spread(spark.range(5), "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_abundances_move_no_rows(spark):
+    """Terms and targets that lie by spectrum are solved where they are."""
+    from modspec.operators import solve
+    from modspec.sources import store
+
+    rows = spark.createDataFrame([(s, ion, i, 1.0) for s in range(6) for ion in range(5) for i in range(3) if (s + i * ion) % 3], "spectrum long, ion long, imp long, x double")
+    rows = store.spread(rows, "spectrum")
+    aims = rows.groupBy("spectrum", "ion").agg(F.sum("x").alias("y"))
+    got = solve.estimate_abundance(rows, aims, "spectrum", "ion", "imp", "x", "y", 0.5)
+    assert shuffles(got) <= 4  # the same rows, read for entries and right sides, of the two parts of the system
