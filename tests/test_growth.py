@@ -81,3 +81,26 @@ def test_abundances_move_no_rows(spark):
     aims = rows.groupBy("spectrum", "ion").agg(F.sum("x").alias("y"))
     got = solve.estimate_abundance(rows, aims, "spectrum", "ion", "imp", "x", "y", 0.5)
     assert shuffles(got) <= 4  # the same rows, read for entries and right sides, of the two parts of the system
+
+
+def test_traces_are_walked_many_at_a_time(spark):
+    """One call of a grouped function gets many traces, and gives each what it gets alone."""
+    from modspec.operators import chrom
+
+    points, matches = [], []
+    for g in range(40):
+        for i in range(1, 31):
+            smooth = 0.0 if i % 15 == g % 5 else float((i * (g + 3)) % 11 + 1)
+            points.append((f"t{g}", i, i / 10 + g, smooth, smooth, (i + g) % 4 / 3, 1 - (i + g) % 4 / 3))
+        matches += [(f"t{g}", g + k) for k in (0.52, 0.97, 2.31)]
+    xic = spark.createDataFrame(points, "g string, i int, rt double, raw double, smooth double, r_A double, r_B double")
+    psms = spark.createDataFrame(matches, "g string, rt double")
+    ranges = spark.createDataFrame([(f"t{g}", n, a, b) for g in range(40) for n, (a, b) in enumerate([(2, 9), (7, 12), (20, 26)], 1)], "g string, peak_no int, left_i int, right_i int")
+    shaped = xic.drop("raw")
+    found, kept = chrom.detect_xic_peaks(xic.drop("r_A", "r_B"), psms, ["g"], hot=False), chrom.filter_peak_ratios(shaped, ranges, ["g"], ["A", "B"], 0.5)
+    assert all("_batch" in plan_of(df).split("FlatMapCoGroupsInPandas")[1].split("\n")[0] for df in (found, kept))
+    assert found.count() > 40
+    for g in ("t0", "t7", "t39"):
+        own = F.col("g") == g
+        assert sorted(found.where(own).collect()) == sorted(chrom.detect_xic_peaks(xic.drop("r_A", "r_B").where(own), psms.where(own), ["g"], hot=False).collect())
+        assert sorted(kept.where(own).collect()) == sorted(chrom.filter_peak_ratios(shaped.where(own), ranges.where(own), ["g"], ["A", "B"], 0.5).collect())
