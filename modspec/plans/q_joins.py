@@ -22,8 +22,8 @@ FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extended
 SELECT l_orderkey AS spectrum, l_linenumber AS pos, l_partkey AS part, l_suppkey AS supp, p_partkey AS ion FROM m WHERE r = 1""")
 def first_match(spark, folder):
     key = ["spectrum", "pos", "part", "supp", "mz", "intensity"]
-    found = joins.first_match(peaks(spark, folder).select(*key).distinct(), ions(spark, folder), key, "mz", "ion_mz", 0.15, [F.col("type"), F.col("cls"), F.col("ion")])
-    return found.select("spectrum", "pos", "part", "supp", "ion")
+    found = joins.first_match(peaks(spark, folder).select(*key), ions(spark, folder), "mz", "ion_mz", 0.15, [F.col("type"), F.col("cls"), F.col("ion")])
+    return found.select(*key, "ion").distinct().select("spectrum", "pos", "part", "supp", "ion")
 
 
 @query("asof_join", f"""WITH {TRACE_SQL} SELECT v.id, c.id AS ms1_id, c.rt AS ms1_rt FROM (SELECT * FROM trace WHERE run = 'view') v ASOF JOIN (SELECT * FROM trace WHERE run = 'click') c ON v.grp = c.grp AND v.rt >= c.rt""")

@@ -104,3 +104,16 @@ def test_traces_are_walked_many_at_a_time(spark):
         own = F.col("g") == g
         assert sorted(found.where(own).collect()) == sorted(chrom.detect_xic_peaks(xic.drop("r_A", "r_B").where(own), psms.where(own), ["g"], hot=False).collect())
         assert sorted(kept.where(own).collect()) == sorted(chrom.filter_peak_ratios(shaped.where(own), ranges.where(own), ["g"], ["A", "B"], 0.5).collect())
+
+
+def test_equal_values_match_once(spark, monkeypatch):
+    """Repeats of ions and of peaks don't multiply: distinct values meet the first ion of each value."""
+    from modspec.operators import joins
+
+    met, band = [], joins.band_join
+    monkeypatch.setattr(joins, "band_join", lambda a, b, *rest, **named: met.append((a.count(), b.count())) or band(a, b, *rest, **named))
+    peaks = spark.createDataFrame([(n, 100.0 + n % 3) for n in range(60)], "peak int, mz double")
+    ions = spark.createDataFrame([(n, 100.1 + n % 2, 50 - n) for n in range(50)] + [(99, 100.0, 1)], "ion int, ion_mz double, cls int")
+    got = joins.first_match(peaks, ions, "mz", "ion_mz", 0.15, [F.col("cls"), F.col("ion")]).collect()
+    assert met == [(3, 3)]
+    assert sorted((r["peak"], r["ion"]) for r in got) == [(n, 99 if n % 3 == 0 else 49) for n in range(60) if n % 3 < 2]
