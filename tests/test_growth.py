@@ -117,3 +117,15 @@ def test_equal_values_match_once(spark, monkeypatch):
     got = joins.first_match(peaks, ions, "mz", "ion_mz", 0.15, [F.col("cls"), F.col("ion")]).collect()
     assert met == [(3, 3)]
     assert sorted((r["peak"], r["ion"]) for r in got) == [(n, 99 if n % 3 == 0 else 49) for n in range(60) if n % 3 < 2]
+
+
+def test_equal_windows_are_extracted_once(spark, monkeypatch):
+    from modspec.operators import chrom, joins
+
+    met, ranged = [], joins.range_join
+    monkeypatch.setattr(joins, "range_join", lambda a, b, *rest: met.append(b.count()) or ranged(a, b, *rest))
+    peaks = spark.createDataFrame([(1, s, 100.0 + k / 10, float(s + k)) for s in range(4) for k in range(6)], "run int, scan int, mz double, intensity double")
+    windows = spark.createDataFrame([(1, w, 99.95, 100.35) for w in range(20)] + [(1, 99, 100.25, 100.6), (2, 100, 99.95, 100.35)], "run int, window int, low double, high double")
+    got = chrom.xic_extract(peaks, windows, ["run"], "scan", "mz", "intensity", 1.0).collect()
+    assert met == [3]
+    assert sorted((r["window"], r["scan"], r["intensity"]) for r in got) == [(w, s, float(s + (5 if w == 99 else 3))) for w in (*range(20), 99) for s in range(4)]
