@@ -61,8 +61,8 @@ def pair_intersect(left: DataFrame, right: DataFrame, labels: tuple[str, ...] =
 
 def merge_pairs(pairs: DataFrame, names: list[str]) -> DataFrame:
     """Wide table of all (site, imp, charge): <pair>_left and <pair>_right; an absent pair is null."""
-    wide = pairs.groupBy("site", "imp", "charge").pivot("pair", names).agg(F.sum("q_left").alias("left"), F.sum("q_right").alias("right"))
-    return wide
+    cell = lambda n, side: F.sum(F.when(F.col("pair") == n, F.col(f"q_{side}"))).alias(f"{n}_{side}")
+    return pairs.groupBy("site", "imp", "charge").agg(*[cell(n, side) for n in names for side in ("left", "right")])
 
 
 def pair_totals(pairs: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from modspec.functions.constants import PROTON
 from modspec.functions.scalars import strip_tokens
 from modspec.operators import sites, windows
-from modspec.plans.adapters import SITES_SQL, site_rows, table
+from modspec.plans.adapters import SITES_SQL, n_lines, site_rows, table
 from modspec.plans.registry import query
+from modspec.sources.store import spread_beyond
 
 _WANTED = "CAST(replace(protein, 'Supplier#', '') AS INT) % 3 <> 0"
 _KNOWN = "CAST(replace(brand, 'Brand#', '') AS INT) % 5 <> 0"
@@ -66,7 +67,9 @@ PAIRS_SQL = f"""{SITES_SQL}, pairs AS (SELECT charge AS pair, protein AS site, i
 
 def pairs(spark, folder):
     side = lambda r: F.sum(F.when(F.col("run") == r, F.col("area")).otherwise(0.0))
-    return site_rows(spark, folder).groupBy(F.col("charge").alias("pair"), F.col("protein").alias("site"), "imp", F.col("brand").alias("charge")).agg(side("O").alias("q_left"), side("F").alias("q_right"))
+    # sums by these and more columns are made where the rows lie
+    rows = spread_beyond(site_rows(spark, folder), n_lines(spark, folder), "protein", "imp", "brand")
+    return rows.groupBy(F.col("charge").alias("pair"), F.col("protein").alias("site"), "imp", F.col("brand").alias("charge")).agg(side("O").alias("q_left"), side("F").alias("q_right"))
 
 
 @query("pairs_pivot", f"""WITH {PAIRS_SQL} SELECT site, imp, charge, {", ".join(f"sum(q_{s}) FILTER (pair = '{p}') AS {p}_{s}" for p in "ANR" for s in ("left", "right"))} FROM pairs GROUP BY ALL""")

@@ -129,3 +129,15 @@ def test_equal_windows_are_extracted_once(spark, monkeypatch):
     got = chrom.xic_extract(peaks, windows, ["run"], "scan", "mz", "intensity", 1.0).collect()
     assert met == [3]
     assert sorted((r["window"], r["scan"], r["intensity"]) for r in got) == [(w, s, float(s + (5 if w == 99 else 3))) for w in (*range(20), 99) for s in range(4)]
+
+
+def test_pairs_lie_in_parts_by_rows(spark, monkeypatch):
+    """Parts follow the rows, and both sums of a pair are made where its rows lie."""
+    from modspec.plans.registry import QUERIES
+    from modspec.sources import store
+
+    monkeypatch.setattr(store, "SPREAD_ROWS", 500)
+    plan = plan_of(QUERIES["pairs_pivot"](spark, "/root/testdata/sf0.001"))
+    parts = -(-spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 500)
+    assert parts > 4 and plan.count(f", {parts}), REPARTITION_BY_NUM") == 2
+    assert "pivotfirst" not in plan.lower() and plan.lower().split("repartition_by_num")[0].count("exchange") == 1
