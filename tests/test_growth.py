@@ -141,3 +141,21 @@ def test_pairs_lie_in_parts_by_rows(spark, monkeypatch):
     parts = -(-spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 500)
     assert parts > 4 and plan.count(f", {parts}), REPARTITION_BY_NUM") == 2
     assert "pivotfirst" not in plan.lower() and plan.lower().split("repartition_by_num")[0].count("exchange") == 1
+
+
+def test_review_goes_by_spectrum(spark):
+    """Scores need no shuffle of matches by more than their spectrum."""
+    import re
+
+    from modspec.operators import review
+
+    psms = spark.createDataFrame([(s, 0.5, 600.0) for s in range(5)], "spectrum long, score double, precursor_mz double")
+    forms = spark.createDataFrame([(s, 1, 8, [3], [42.0]) for s in range(5)] + [(1, 2, 8, [5], [42.0])], "spectrum long, imp int, length int, sites array<int>, masses array<double>")
+    peaks = spark.createDataFrame([(s, k, 400.0 + k, 5.0 + k) for s in range(5) for k in range(6)], "spectrum long, peak int, mz double, intensity double")
+    # two hits at a place, and a form that isn't there
+    matches = spark.createDataFrame([(1, 1, 1, 2, 0), (1, 1, 1, 2, 1), (1, 1, 1, 3, 2), (1, 1, 1, 6, 3), (1, 1, 2, 7, 4), (1, 9, 2, 5, 5), (1, 1, 3, 1, 5)], "spectrum long, imp int, type int, pos int, peak int")
+    got = review.review_scores(psms, forms, peaks, matches, 0.0, 1.0)
+    assert {re.sub("#.*", "", k) for k in re.findall(r"hashpartitioning\((.*?), \d+\)", plan_of(got))} == {"spectrum"}
+    row = {r["spectrum"]: r for r in got.collect()}[1]
+    # 3 hits less 1.5 for gaps at 1, 4 and 7, one less 0.5 for that before it, over 14; the other form has none
+    assert row["ladder"] == ((3 - 1.5) + (1 - 0.5)) / 14 / 2 and row["unmatched"] == 1.0
