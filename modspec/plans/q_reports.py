@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from modspec.plans.adapters import SITES_SQL, peaks, site_rows, table
+from modspec.plans.adapters import SITES_SQL, n_lines, peaks, site_rows, table
 from modspec.plans.q_sites import PAIRS_SQL, SITED_SQL, pairs, sited
 from modspec.plans.q_spectra import MATCH_SQL, matches
 from modspec.plans.registry import query
 from modspec.sources import readers, writers
-from modspec.sources.store import shared_path
+from modspec.sources.store import shared_path, spread_beyond, written
 
 
 def _msms(spark, folder):
@@ -62,7 +62,9 @@ SELECT protein || ',10;' AS protein_line, imp, charge, run, area, lo AS mz_lo, h
 def report_peptides(spark, folder):
     """A peptide report: ranges of ratio 0 aren't written, a form without ranges drops out, of a repeated one the last stands."""
     path = shared_path(spark, "peptides")
-    forms = site_rows(spark, folder).groupBy(F.concat("protein", F.lit(",10;")).alias("protein_line"), "imp", "charge", "run").agg(F.sum("area").alias("area"), F.count("*").alias("n"), F.min("area").alias("mz_lo"), F.max("area").alias("mz_hi"))
+    lines = spread_beyond(site_rows(spark, folder), n_lines(spark, folder), "protein")
+    forms = lines.groupBy(F.concat("protein", F.lit(",10;")).alias("protein_line"), "imp", "charge", "run").agg(F.sum("area").alias("area"), F.count("*").alias("n"), F.min("area").alias("mz_lo"), F.max("area").alias("mz_hi"))
+    forms = written(forms)
     ranges = forms.select("protein_line", "imp", "charge", "run", F.col("mz_lo").alias("rt_start"), (F.col("mz_hi") + 1).alias("rt_end"), (F.col("n") % 3 / 4).alias("ratio"), (F.col("n") % 2).alias("check_label"))
     writers.write_peptide_report(forms.withColumn("mz_mid", F.col("mz_lo")), ranges, path)
     imps, told = readers.read_peptide_report(spark, path)

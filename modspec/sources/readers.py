@@ -213,20 +213,34 @@ def read_peptide_report(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     Protein lines, ``*`` rows (form, charge, run, three m/z, area) and ``@`` rows
     (start, end, ratio, label); of a repeated form, charge and run the last row
     stands, and one without ``@`` rows drops out.  Title lines are told by what
-    they say, so a report may come in one file or in many.
+    they say, so a report may come in one file or in many.  A ``*`` row has its
+    three keys at least, and a protein line no two tabs.
     """
-    titles = F.rlike("line", F.lit(r"^(Protein_name,Peptide_start_position_on_protein|\*\tIMP\t|@\tRT_start\t)"))
-    rows = _lines(spark, path).where(~titles & (F.trim("line") != "")).withColumn("t", F.split("line", "\t"))
-    kind = F.col("t")[0]
-    star = F.when(kind == "*", F.struct(F.struct("_run", "n").alias("at"), "t"))
-    filled = _sections(rows, {"protein_line": F.when(~kind.isin("*", "@"), F.col("line")), "star": star})
-    named = filled.where(kind.isin("*", "@") & F.col("star").isNotNull()).withColumn("s", F.col("star.t")).select("file", "protein_line", kind.alias("kind"), "t", F.col("star.at").alias("at"), F.col("s")[1].alias("imp"), F.col("s")[2].alias("charge"), F.col("s")[3].alias("run"), "s")
+    from modspec.operators.windows import over_runs
+    from modspec.sources.store import stored, written
+
+    # a block is a form's row without its star, its ranges, and what heads the next one
+    text = spark.read.option("lineSep", "\n*\t").text(path)
+    title = lambda x: F.rlike(x, F.lit(r"^(Protein_name,Peptide_start_position_on_protein|IMP\t|@\tRT_start\t)"))
+    lines = F.filter(F.split(F.regexp_replace("value", r"^\*\t", ""), r"\r?\n|\r$"), lambda x: (F.trim(x) != "") & ~title(x))
+    raw = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_run"), F.monotonically_increasing_id().alias("n"), lines.alias("l"))
+    first = F.split(F.get("l", F.lit(0)), "\t")
+    own = F.coalesce((F.size(first) >= 3) & (first[0] != "@"), F.lit(False))
+    at = lambda x: F.startswith(x, F.lit("@\t"))
+    heads = F.filter("l", lambda x, i: ~at(x) & ((i > 0) | ~own))
     key = ["imp", "charge", "run"]
-    last = named.where("kind = '@'").groupBy(*key).agg(F.max(F.struct("file", "at")).alias("last"))
-    kept = named.join(last, key).where("file = last.file and at = last.at")
+    blocks_of = raw.select("file", "_run", "n", F.when(own, first).alias("s"), F.filter("l", at).alias("ranges"), F.get(heads, F.size(heads) - 1).alias("head"))
+    forms = blocks_of.where("s is not null and size(ranges) > 0").select("file", "_run", "n", *[F.col("s")[i].alias(c) for i, c in enumerate(key)], "s", "ranges")
+    # the last of a split first, in numbers, which need no sort; written, so that Spark knows whether it is small
+    last = written(forms.groupBy("file", "_run", *key).agg(F.max("n").alias("n")).groupBy(*key).agg(F.max(F.struct("file", "_run", "n")).alias("last")))
+    kept = stored(forms.join(last, key).where("file = last.file and _run = last._run and n = last.n").drop("last"))
+    # only the forms that stay and the headings are put in order
+    side = lambda df, n: df.select("file", "_run", "n", F.lit(n).alias("_side"), *([*key, "s"] if n == 0 else [F.lit(None).cast(kept.schema[c].dataType).alias(c) for c in [*key, "s"]]), ("head" if n else F.lit(None).cast("string").alias("head")))
+    filled = over_runs(side(kept, 0).unionByName(side(blocks_of.where("head is not null"), 1)), ["file"], ["n", "_side"], {"protein_line": F.col("head")}).where("_side = 0")
     number = lambda c, i: F.get(c, F.lit(i)).cast("double")
-    imps = kept.where("kind = '*'").select("protein_line", *key, *[number(F.col("t"), i).alias(n) for i, n in ((4, "mz_mid"), (5, "mz_lo"), (6, "mz_hi"), (7, "area"))])
-    ranges = kept.where("kind = '@'").select(*key, *[number(F.col("t"), i).alias(n) for i, n in ((1, "rt_start"), (2, "rt_end"), (3, "ratio"))], F.get("t", F.lit(4)).cast("int").alias("check_label"))
+    imps = filled.select("protein_line", *key, *[number(F.col("s"), i).alias(n) for i, n in ((3, "mz_mid"), (4, "mz_lo"), (5, "mz_hi"), (6, "area"))])
+    each = kept.select(*key, F.explode("ranges").alias("r")).select(*key, F.split("r", "\t").alias("t"))
+    ranges = each.select(*key, *[number(F.col("t"), i).alias(n) for i, n in ((1, "rt_start"), (2, "rt_end"), (3, "ratio"))], F.get("t", F.lit(4)).cast("int").alias("check_label"))
     return imps, ranges
 
 

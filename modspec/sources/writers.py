@@ -26,10 +26,10 @@ def msms_lines(msms: DataFrame) -> DataFrame:
     return sectioned_lines([top, mid, low], keys)
 
 
-def write_lines(lines: DataFrame, keys: list[str], path: str) -> None:
-    """Writes the lines in the order of their keys; the first key never crosses files."""
+def write_lines(lines: DataFrame, keys: list[str], path: str, whole: Column | None = None) -> None:
+    """Writes the lines in the order of their keys; the first key never crosses files.  ``whole`` makes a line of a row there."""
     ranged = lines.repartitionByRange(F.col(keys[0]).asc_nulls_first()).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys], "level")
-    ranged.select("line").write.text(path)
+    ranged.select(F.col("line") if whole is None else whole.alias("line")).write.text(path)
 
 
 def write_psm_tsv(psms: DataFrame, path: str) -> None:
@@ -154,8 +154,10 @@ def write_peptide_report(imp_rows: DataFrame, rt_ranges: DataFrame, path: str) -
     # levels count up from the titles, whose protein line is null and comes first
     head = spark.createDataFrame([(None, None, None, str(k), t) for k, t in enumerate(PEPTIDE_TITLES)], "protein_line string, imp string, charge string, run string, line string")
     top = imp_rows.select("protein_line").distinct().select("protein_line", *none(keys[1:]), F.col("protein_line").alias("line"))
-    mid = imp_rows.select(*keys, F.format_string("*\t%s\t%s\t%s\t%.4f\t%f\t%f\t%f", "imp", "charge", "run", "mz_mid", "mz_lo", "mz_hi", "area").alias("line"))
+    mid = imp_rows.select(*keys, F.format_string("%.4f\t%f\t%f\t%f", "mz_mid", "mz_lo", "mz_hi", "area").alias("line"))
     some = rt_ranges.where("ratio <> 0")
     placed = some if "protein_line" in some.columns else some.join(imp_rows.select(*keys), keys[1:])
     low = placed.select(*keys, F.format_string("@\t%f\t%f\t%f\t%d", "rt_start", "rt_end", "ratio", "check_label").alias("line"))
-    write_lines(sectioned_lines([head, top, mid, low], keys), keys, path)
+    # a form's keys are put in its line where it is written
+    whole = F.when(F.col("level") == 2, F.concat(F.lit("*\t"), F.coalesce("imp", F.lit("null")), F.lit("\t"), F.coalesce("charge", F.lit("null")), F.lit("\t"), F.coalesce("run", F.lit("null")), F.lit("\t"), "line")).otherwise(F.col("line"))
+    write_lines(sectioned_lines([head, top, mid, low], keys), keys, path, whole)

@@ -159,3 +159,23 @@ def test_review_goes_by_spectrum(spark):
     row = {r["spectrum"]: r for r in got.collect()}[1]
     # 3 hits less 1.5 for gaps at 1, 4 and 7, one less 0.5 for that before it, over 14; the other form has none
     assert row["ladder"] == ((3 - 1.5) + (1 - 0.5)) / 14 / 2 and row["unmatched"] == 1.0
+
+
+def test_only_forms_that_stay_are_put_in_order(spark, monkeypatch, tmp_path):
+    """Of a report that repeats its forms, the last ones and the headings meet."""
+    from modspec.operators import windows
+    from modspec.sources import readers
+
+    ordered, over = [], windows.over_runs
+    monkeypatch.setattr(windows, "over_runs", lambda placed, *rest, **named: ordered.append(placed.count()) or over(placed, *rest, **named))
+    lines = ["Protein_name,Peptide_start_position_on_protein;", "*\tIMP\tCharge\tDataset\tMass_center\tLow_mass_bound\tHigh_mass_bound\tPeak_area", "@\tRT_start\tRT_end\tProportion\tCheck_label"]
+    for p in range(30):
+        lines.append(f"P{p},10;")
+        for f in range(5):
+            lines.append(f"*\t_F{f}_\t2\trun\t1.5\t1.0\t2.0\t{p}.0")
+            lines += [f"@\t{p}.0\t{p + 1}.0\t0.25\t1"] * (0 if p == 29 and f == 4 else 2)
+    (tmp_path / "pep.txt").write_bytes("\r\n".join(lines).encode())
+    imps, ranges = readers.read_peptide_report(spark, str(tmp_path / "pep.txt"))
+    assert sorted((r["imp"], r["protein_line"], r["area"], r["mz_mid"]) for r in imps.collect()) == [(f"_F{f}_", f"P{29 if f < 4 else 28},10;", 29.0 if f < 4 else 28.0, 1.5) for f in range(5)]
+    assert sorted((r["imp"], r["rt_start"], r["check_label"]) for r in ranges.collect()) == sorted([(f"_F{f}_", 29.0 if f < 4 else 28.0, 1) for f in range(5)] * 2)
+    assert ordered == [5 + 30]
