@@ -179,3 +179,21 @@ def test_only_forms_that_stay_are_put_in_order(spark, monkeypatch, tmp_path):
     assert sorted((r["imp"], r["protein_line"], r["area"], r["mz_mid"]) for r in imps.collect()) == [(f"_F{f}_", f"P{29 if f < 4 else 28},10;", 29.0 if f < 4 else 28.0, 1.5) for f in range(5)]
     assert sorted((r["imp"], r["rt_start"], r["check_label"]) for r in ranges.collect()) == sorted([(f"_F{f}_", 29.0 if f < 4 else 28.0, 1) for f in range(5)] * 2)
     assert ordered == [5 + 30]
+
+
+def test_sets_move_once_by_group(spark):
+    """Sets are compared where a group lies: one shuffle of the rows, none of pairs."""
+    from modspec.operators import joins
+
+    rows = [(1, "a", 1), (1, "a", 2), (1, "b", 1), (1, "c", 1), (1, "c", 2), (1, "d", 3), (2, "a", 1), (2, "b", 1), (2, "b", 1), (3, "a", 1), (3, "a", None), (3, "b", 1), (3, "c", None), (None, "a", 1), (None, "b", 1), (None, "b", 2)]
+    got = joins.drop_dominated(spark.createDataFrame(rows, "g int, o string, i int"), "g", "o", "i")
+    assert plan_of(got).count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "a"), (1, "c"), (1, "d"), (2, "a"), (2, "b"), (3, "a"), (3, "c"), (None, "a"), (None, "b")], key=str)
+
+
+def test_an_ion_is_one_number(spark):
+    from modspec.operators import placements
+
+    ions = spark.createDataFrame([(32, 1, 1, 100.0000005), (2, 65535, 3, 549755.8), (1, 7, 2, 0.5)], "type int, pos int, z int, mz double").withColumn("ion", placements.ion_key())
+    got = placements.classed(ions.select("ion", "mz")).collect()
+    assert [(r["type"], r["pos"], r["z"], r["ion"] & ((1 << placements.MZ_BITS) - 1)) for r in got] == [(32, 1, 1, 100000001), (2, 65535, 3, 549755800000), (1, 7, 2, 500000)]
