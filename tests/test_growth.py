@@ -197,3 +197,38 @@ def test_an_ion_is_one_number(spark):
     ions = spark.createDataFrame([(32, 1, 1, 100.0000005), (2, 65535, 3, 549755.8), (1, 7, 2, 0.5)], "type int, pos int, z int, mz double").withColumn("ion", placements.ion_key())
     got = placements.classed(ions.select("ion", "mz")).collect()
     assert [(r["type"], r["pos"], r["z"], r["ion"] & ((1 << placements.MZ_BITS) - 1)) for r in got] == [(32, 1, 1, 100000001), (2, 65535, 3, 549755800000), (1, 7, 2, 500000)]
+
+
+def test_ions_and_peaks_move_once_by_spectrum(spark, monkeypatch):
+    """Spectra of one peptide have their ions from one row, and ions meet peaks without pairs in a shuffle."""
+    from modspec.functions.constants import PROTON, RESIDUES, WATER
+    from modspec.operators import joins, placements
+
+    seen, sums = [], joins.band_sums
+    monkeypatch.setattr(joins, "band_sums", lambda *a: seen.append((sums(*a), a)) or seen[-1][0])
+    mass = sum(RESIDUES[r] for r in "AKAVKG") + WATER + 42.0
+    y1, shifted = RESIDUES["G"] + WATER + PROTON, RESIDUES["A"] + RESIDUES["K"] + PROTON
+    spectra = spark.createDataFrame([(s, "AKAVKG", mass / 2 + PROTON, 2) for s in range(5)], "spectrum long, peptide string, precursor_mz double, charge int")
+    # two peaks near the b ion with the modification, one near that without it
+    peaks = spark.createDataFrame([(s, [(shifted + 42.0, 30.0), (shifted + 42.004, 30.0), (shifted, 20.0 * (s + 1)), (y1, 5.0)]) for s in range(5)], "spectrum long, peaks array<struct<mz:double,intensity:double>>")
+    rules = [("m", "K", 42.0)]
+    got = placements.deconvolve_msms(spectra, peaks, rules, 0.01, 0.01).collect()
+    met, (points, items, _, at, value, item_at, tol, name) = seen[0]
+    assert shuffles(items) + shuffles(points) == shuffles(met)
+    share = {(r["spectrum"], r["imp"]): r["abundance"] for r in got}
+    assert {k: round(v, 6) for k, v in share.items()} == {(s, imp): round(part / (60 + 20 * (s + 1)), 6) for s in range(5) for imp, part in (("_AK{m}AVKG_", 60), ("_AKAVK{m}G_", 20 * (s + 1)))}
+    flat = placements.deconvolve_msms(spectra, peaks.select("spectrum", F.inline("peaks")), rules, 0.01, 0.01).collect()
+    assert sorted(map(tuple, flat)) == sorted(map(tuple, got))
+
+
+def test_sums_of_a_band_are_those_of_the_join(spark):
+    from modspec.operators import joins
+
+    points = spark.createDataFrame([(g, n * 0.37 % 5, 1.0 + n % 4) for g in range(3) for n in range(40)] + [(1, None, 1.0), (2, 2.0, None)], "g int, mz double, v double").repartition(3, "g")
+    items = spark.createDataFrame([(g, i, i * 0.5) for g in range(4) for i in range(12)] + [(1, 99, None)], "g int, item int, at double").repartition(3, "g")
+    got = joins.band_sums(points, items, "g", "mz", "v", "at", 0.25, "sum")
+    assert shuffles(got) == 2
+    want = joins.band_join(points, items, "mz", "at", 0.25, ("g",)).groupBy("g", "item").agg(F.sum("v").alias("sum"))
+    both = items.join(want, ["g", "item"], "left").collect()
+    key = lambda r: (r["g"], r["item"], None if r["sum"] is None else round(r["sum"], 9))
+    assert sorted(map(key, got.collect()), key=str) == sorted(map(key, both), key=str)
