@@ -232,3 +232,31 @@ def test_sums_of_a_band_are_those_of_the_join(spark):
     both = items.join(want, ["g", "item"], "left").collect()
     key = lambda r: (r["g"], r["item"], None if r["sum"] is None else round(r["sum"], 9))
     assert sorted(map(key, got.collect()), key=str) == sorted(map(key, both), key=str)
+
+
+def test_traces_stay_where_they_are(spark, monkeypatch):
+    """Intensities move once, by window and block of places; no row of the result does, nor do peaks."""
+    import re
+
+    from modspec.operators import traces
+
+    monkeypatch.setattr(traces, "BLOCK", 8)
+    fans = spark.createDataFrame([(g, g % 2, 2, 100.0, 100.2) for g in range(6)] + [(9, 1, 2, 300.0, 300.2)], "g int, run int, charge int, low double, high double")
+    shape = lambda n: [(100.1 + k * 1.00335 / 2, v * (n % 5 + 1)) for k, v in enumerate((10.0, 1.0, 0.1))]
+    scans = spark.createDataFrame([(run, n, n / 10, shape(n) if n % (run + 3) == 0 or n > 44 else []) for run in (0, 1) for n in range(10, 50)], "run int, scan int, rt_min double, peaks array<struct<mz:double,intensity:double>>")
+    grid = traces.scan_grid(scans)
+    assert all(r["n"] == 40 and r["i"] == r["scan"] - 9 and r["near"] == [k / 10 for k in range(max(10, r["scan"] - 3), min(49, r["scan"] + 3) + 1)] for r in grid.collect())
+    got = traces.xic_traces(scans, grid.checkpoint(), fans, ["g"])
+    moved = [re.sub(r"#\d+L?", "", keys) for keys in re.findall(r"hashpartitioning\((.*?), \d+\)", plan_of(got))]
+    assert "run, _w, _block" in moved and not [keys for keys in moved if re.search(r"\bi\b|_bucket", keys)]
+    joins = [re.sub(r"#\d+L?", "", line) for line in plan_of(got).splitlines() if "Join [" in line]
+    assert "BroadcastHashJoin [run, _w], [run, _w]" in joins[0]
+    want = set()
+    for g in range(6):
+        raw = [10.0 * (n % 5 + 1) if n % (g % 2 + 3) == 0 or n > 44 else 0.0 for n in range(10, 50)]
+        for i in range(40):
+            if max(raw[max(0, i - 3) : i + 4]) > 0:
+                near = raw[max(0, i - 2) : i + 3]
+                want.add((g, g % 2, i + 1, (i + 10) / 10, raw[i], round(sum(near) / len(near), 9)))
+    rows = [(r["g"], r["run"], r["i"], r["rt"], r["raw"], round(r["smooth"], 9)) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
