@@ -169,7 +169,7 @@ def moving_mean(df: DataFrame, keys: list[str], order: list[str], value: str, ha
 
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str, stop: str, widen: float = 0.2) -> DataFrame:
-    """Merged intervals after widening each by a share of its length on both sides; touching ones merge."""
+    """Merged intervals after widening each by a share of its length on both sides; touching ones merge, null ones count in their group's last."""
     pad = (F.col(stop) - F.col(start)) * widen
     wide = df.select(*keys, (F.col(start) - pad).alias("_a"), (F.col(stop) + pad).alias("_b"))
     island = islands(wide, keys, "_a", "_b", "island")
@@ -177,8 +177,8 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, stop: str, widen
 
 
 def islands(df: DataFrame, keys: list[str], start: str, stop: str, name: str) -> DataFrame:
-    """``df`` with the number of the island of overlapping or touching intervals that a row is in."""
-    w = Window.partitionBy(*keys).orderBy(start, stop)
+    """``df`` with the number of the island of overlapping or touching intervals that a row is in; one without a start is in its group's last."""
+    w = Window.partitionBy(*keys).orderBy(F.col(start).asc_nulls_last(), F.col(stop).asc_nulls_last())
     reach = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
     opened = df.withColumn("_reach", reach).withColumn("_new", (F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))).cast("long"))
     return opened.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_reach", "_new")

@@ -169,3 +169,13 @@ def test_scalars_of_titles_and_top1(spark):
     df = spark.createDataFrame([("a%2e12%20b%3a%3d%22%2c%2d", "PEPTIDE", ["Acetyl (K)", "Phospho (S)"], [2, 5])], "t string, s string, n array<string>, p array<int>")
     got = df.select(scalars.decode_title(F.col("t")), scalars.render_top1(F.col("s"), F.col("n"), F.col("p"))).first()
     assert tuple(got) == ('a.12 b:=",-', "PE{Acetyl}PTI{Phospho}DE")
+
+
+def test_orders_without_a_date_or_a_customer_count_as_in_sql(spark, tmp_path):
+    """The SQL puts nulls last: an order without a date is in its customer's last interval, or alone where no order has one."""
+    c = duckdb.connect()
+    c.execute("""create table orders as select i::bigint as o_orderkey, case when i % 11 = 0 then null else i % 7 end::bigint as o_custkey, 'O' as o_orderstatus, i::double as o_totalprice,
+      case when i % 7 = 3 or i % 5 = 0 then null else timestamp '1995-01-01' + to_days((i * 9)::int) end as o_orderdate, '1-URGENT' as o_orderpriority from range(120) t(i)""")
+    c.execute(f"copy orders to '{tmp_path}/orders.parquet'")
+    got, want = QUERIES["merge_intervals"](spark, str(tmp_path)), c.sql(ORACLES["merge_intervals"])
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
